@@ -1,60 +1,37 @@
 """Watch gaps and per-user viewing features.
 
 The reference numbers each user's events with ``row_number`` and self-joins
-rank r with rank r+1.  A ``lead`` over ``partition by user`` gives the same
-gaps without the join, but still puts a whole user into one task.  Here the
-timeline is range-partitioned on (user, time, tie) instead, so a user holding
-a third of all events is spread over many balanced partitions:
-
-* one pass per partition (Arrow batches, numpy) links each row to the next
-  row of the same user inside the partition;
-* the last row of a partition is linked to the first row of the next
-  non-empty partition through a table of partition heads - one row per
-  partition, so its broadcast has a fixed bound.
+rank r with rank r+1.  ``lead`` over ``partition by user`` gives the same gaps
+without the join, but puts a whole user into one task: a user holding a third
+of all events would be one straggler task.  ``watch_gaps`` therefore splits
+heavy users:
+
+* users with more than ``rows_per_chunk`` events (found with an exact,
+  partially aggregated count) get K = ceil(n / rows_per_chunk) equal time
+  slices of their own [first, last] span; everybody else keeps one slice;
+* ``lead`` runs per (user, slice), so a heavy user spreads over K tasks;
+* the last row of a slice is linked to the first row of the next non-empty
+  slice of the same user through a table of slice heads.
+
+The heavy-user and slice-head tables have at most total / rows_per_chunk
+(+ heavy users) rows - a proven bound - so they are broadcast.  Every key is
+a deterministic function of the row, so a recomputed task after a lost
+executor gives the same answer.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MS_PER_MINUTE = 60000.0
-
-
-def _link_next(user_col: str, time_col: str):
-    """Per-partition pass: next time of the same user, last row flagged."""
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        held = None
-        for pdf in batches:
-            if held is not None:
-                pdf = pd.concat([held, pdf], ignore_index=True)
-            if len(pdf) == 0:
-                continue
-            users = pdf[user_col].to_numpy()
-            times = pdf[time_col].astype("Int64")
-            same = np.zeros(len(pdf), dtype=bool)
-            same[:-1] = users[1:] == users[:-1]
-            nxt = times.shift(-1)
-            nxt[~same] = pd.NA
-            pdf = pdf.assign(next_time=nxt, _pid=np.int32(pid), _tail=False)
-            held = pdf.iloc[-1:].drop(columns=["next_time", "_pid", "_tail"])
-            yield pdf.iloc[:-1]
-        if held is not None and len(held):
-            yield held.assign(next_time=pd.array([pd.NA], dtype="Int64"), _pid=np.int32(pid), _tail=True)
-
-    return run
+ROWS_PER_CHUNK = 2_000_000
+MAX_CHUNKS = 65_536
 
 
 def watch_gaps(play: DataFrame, user_col: str = "user_id", time_col: str = "server_time",
                tie_col: str = "event_id", keep=("video_type", "device_id"),
-               num_partitions: int | None = None) -> DataFrame:
+               rows_per_chunk: int = ROWS_PER_CHUNK, max_chunks: int = MAX_CHUNKS) -> DataFrame:
     """Every play row with ``gap_ms`` = next event time of the same user - own time.
 
     Equal to ``lead(time) over (partition by user order by time, tie) - time``.
@@ -62,33 +39,36 @@ def watch_gaps(play: DataFrame, user_col: str = "user_id", time_col: str = "serv
     self-join); the last event of a user, and rows with a null time, get a
     null gap.
     """
-    spark = play.sparkSession
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [user_col, time_col, tie_col]
     cols = keys + [c for c in keep if c not in keys]
-    ordered = (play.where(F.col(user_col).isNotNull()).select(*cols)
-               .repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys))
-
-    out_schema = T.StructType(
-        [f for f in ordered.schema.fields]
-        + [T.StructField("next_time", T.LongType()), T.StructField("_pid", T.IntegerType()),
-           T.StructField("_tail", T.BooleanType())])
-    linked = ordered.mapInPandas(_link_next(user_col, time_col), out_schema)
-
-    # First row of every partition; min over the full struct keeps the same
-    # columns as ``linked`` above, so both read one range exchange.
-    heads = (ordered.select(F.spark_partition_id().alias("_pid"), F.struct(*cols).alias("_h"))
-             .groupBy("_pid").agg(F.min("_h").alias("_h")))
-    succ = heads.select(
-        "_pid",
-        F.lead(F.col("_h")[user_col]).over(Window.orderBy("_pid")).alias("_nu"),
-        F.lead(F.col("_h")[time_col]).over(Window.orderBy("_pid")).alias("_nt"))
-    # At most one row per partition: a bounded broadcast.
-    fixed = linked.join(F.broadcast(succ), "_pid", "left").select(
-        *[F.col(c) for c in cols],
-        F.when(F.col("_tail") & (F.col("_nu") == F.col(user_col)), F.col("_nt"))
-         .otherwise(F.col("next_time")).alias("next_time"))
-    return fixed.select(*cols, (F.col("next_time") - F.col(time_col)).alias("gap_ms"))
+    p = play.where(F.col(user_col).isNotNull()).select(*cols)
+    t = F.col(time_col)
+
+    heavy = (p.groupBy(user_col)
+             .agg(F.count(F.lit(1)).alias("_n"), F.min(time_col).alias("_t0"), F.max(time_col).alias("_t1"))
+             .where(F.col("_n") > rows_per_chunk)
+             .select(user_col, "_t0", "_t1",
+                     F.least(F.ceil(F.col("_n") / rows_per_chunk), F.lit(max_chunks)).cast("long").alias("_k")))
+    span = F.col("_t1") - F.col("_t0") + 1
+    sliced = (p.join(F.broadcast(heavy), user_col, "left")
+              .withColumn("_chunk", F.coalesce(
+                  F.floor((t - F.col("_t0")).cast("decimal(38,0)") * F.col("_k") / span).cast("long"),
+                  F.lit(0).cast("long")))
+              .drop("_t0", "_t1", "_k"))
+
+    w = Window.partitionBy(user_col, "_chunk").orderBy(time_col, tie_col)
+    linked = (sliced.withColumn("_next", F.lead(time_col).over(w))
+              .withColumn("_last", F.lead(F.lit(1)).over(w).isNull()))
+
+    # First time of every slice of a heavy user, and the next slice's head.
+    heads = (sliced.join(F.broadcast(heavy.select(user_col)), user_col, "left_semi")
+             .groupBy(user_col, "_chunk").agg(F.min(time_col).alias("_ht")))
+    succ_prev = (heads.withColumn("_prev", F.lag("_chunk").over(Window.partitionBy(user_col).orderBy("_chunk")))
+                 .where(F.col("_prev").isNotNull())
+                 .select(user_col, F.col("_prev").alias("_chunk"), F.col("_ht").alias("_nt")))
+    fixed = linked.join(F.broadcast(succ_prev), [user_col, "_chunk"], "left")
+    next_time = F.when(F.col("_last"), F.col("_nt")).otherwise(F.col("_next"))
+    return fixed.select(*cols, (next_time - t).alias("gap_ms"))
 
 
 def gap_minutes(gaps: DataFrame) -> DataFrame:
