@@ -66,3 +66,13 @@ def euclidean(a, b) -> Column:
     """Euclidean norm of ``a - b`` for two equal-length numeric arrays."""
     sq = F.zip_with(_c(a), _c(b), lambda x, y: (x - y) * (x - y))
     return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + v))
+
+
+def round_sig(c, digits: int = 12) -> Column:
+    """Round a double to ``digits`` significant digits.
+
+    Goes through ``%.{digits-1}e`` text, so the result does not depend on how
+    the engine rounds binary fractions; used where two engines sum doubles in
+    different orders and the last bits differ.
+    """
+    return F.format_string(f"%.{digits - 1}e", _c(c)).cast("double")

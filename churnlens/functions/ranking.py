@@ -30,14 +30,6 @@ from churnlens.session import ensure_checkpoint_dir
 BROADCAST_OFFSET_ROWS = 200_000
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols):
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
-        cond = e if cond is None else cond & e
-    return cond
-
-
 def ordinal_within(df: DataFrame, group_cols, order_cols, index_col: str = "_idx",
                    size_col: str = "_n", num_partitions: int | None = None) -> DataFrame:
     """Add the 0-based position of each row inside its group, and the group size.
@@ -59,9 +51,10 @@ def ordinal_within(df: DataFrame, group_cols, order_cols, index_col: str = "_idx
         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
     ).checkpoint(eager=True)
 
-    stats = numbered.groupBy("_pid", *group_cols).agg(
+    gkeys = [f"_g{i}" for i in range(len(group_cols))]
+    stats = numbered.groupBy("_pid", *[F.col(c).alias(g) for c, g in zip(group_cols, gkeys)]).agg(
         F.min("_local").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")
+    w = Window.partitionBy(*gkeys).orderBy("_pid") if gkeys else Window.orderBy("_pid")
     stats = (stats
              .withColumn("_off", F.coalesce(
                  F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -71,7 +64,9 @@ def ordinal_within(df: DataFrame, group_cols, order_cols, index_col: str = "_idx
     # The offset table has at most P x G rows; check before broadcasting it.
     if stats.count() <= BROADCAST_OFFSET_ROWS:
         stats = F.broadcast(stats)
-    on = _null_safe_on(numbered, stats, ["_pid", *group_cols])
+    on = numbered["_pid"] == stats["_pid"]
+    for c, g in zip(group_cols, gkeys):
+        on = on & numbered[c].eqNullSafe(stats[g])
     joined = numbered.join(stats, on, "inner")
     out_cols = [numbered[c] for c in df.columns]
     return joined.select(

@@ -110,3 +110,84 @@ FROM f {label_join}"""
 
 TRAIN = dict(days=fx.TRAIN_DAYS, window=fx.ORDER_WINDOW)
 SCORED = dict(days=fx.SCORED_DAYS, window=fx.ORDER_WINDOW)
+
+
+TELECOM_CTE = """
+li AS (
+  SELECT o.o_custkey AS cust,
+         o.o_orderkey, o.o_orderstatus, l.*
+  FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey),
+per_cust AS (
+  SELECT cust,
+    COUNT(DISTINCT o_orderkey) AS acct,
+    COUNT(DISTINCT CASE WHEN o_orderstatus = 'P' THEN o_orderkey END) AS cs,
+    COUNT(CASE WHEN l_discount > 0.05 THEN 1 END) AS vm,
+    COALESCE(SUM(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 0) AS day_m,
+    COUNT(CASE WHEN l_returnflag = 'R' THEN 1 END) AS day_c,
+    ROUND(COALESCE(SUM(CASE WHEN l_returnflag = 'R' THEN l_extendedprice END), 0), 2) AS day_g,
+    COALESCE(SUM(CASE WHEN l_returnflag = 'A' THEN l_quantity END), 0) AS eve_m,
+    COUNT(CASE WHEN l_returnflag = 'A' THEN 1 END) AS eve_c,
+    ROUND(COALESCE(SUM(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END), 0), 2) AS eve_g,
+    COALESCE(SUM(CASE WHEN l_returnflag = 'N' THEN l_quantity END), 0) AS night_m,
+    COUNT(CASE WHEN l_returnflag = 'N' THEN 1 END) AS night_c,
+    ROUND(COALESCE(SUM(CASE WHEN l_returnflag = 'N' THEN l_extendedprice END), 0), 2) AS night_g,
+    COALESCE(SUM(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 0) AS intl_m,
+    COUNT(CASE WHEN l_linestatus = 'O' THEN 1 END) AS intl_c,
+    ROUND(COALESCE(SUM(CASE WHEN l_linestatus = 'O' THEN l_extendedprice END), 0), 2) AS intl_g
+  FROM li GROUP BY cust),
+telecom AS (
+  SELECT p.cust AS cust_id, n.n_name AS "State", p.acct AS "Account Length", c.c_nationkey AS "Area Code",
+         c.c_name AS "Phone",
+         CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'yes' ELSE 'no' END AS "Int'l Plan",
+         CASE WHEN c.c_acctbal > 5000 THEN 'yes' ELSE 'no' END AS "VMail Plan",
+         p.vm AS "VMail Message",
+         p.day_m AS "Day Mins", p.day_c AS "Day Calls", p.day_g AS "Day Charge",
+         p.eve_m AS "Eve Mins", p.eve_c AS "Eve Calls", p.eve_g AS "Eve Charge",
+         p.night_m AS "Night Mins", p.night_c AS "Night Calls", p.night_g AS "Night Charge",
+         p.intl_m AS "Intl Mins", p.intl_c AS "Intl Calls", p.intl_g AS "Intl Charge",
+         p.cs AS "CustServ Calls",
+         CASE WHEN p.day_g > 900000 THEN 'True.' ELSE 'False.' END AS "Churn?"
+  FROM per_cust p JOIN customer c ON c.c_custkey = p.cust
+  LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey),
+churn AS (
+  SELECT cust_id, "Account Length",
+         CASE WHEN "Int'l Plan" = 'yes' THEN 1 ELSE 0 END AS "Int'l Plan",
+         CASE WHEN "VMail Plan" = 'yes' THEN 1 ELSE 0 END AS "VMail Plan",
+         "VMail Message", "Day Mins", "Day Calls", "Day Charge", "Eve Mins", "Eve Calls", "Eve Charge",
+         "Night Mins", "Night Calls", "Night Charge", "Intl Mins", "Intl Calls", "Intl Charge",
+         "CustServ Calls",
+         CASE WHEN "Churn?" = 'True.' THEN 1 ELSE 0 END AS "Churn?"
+  FROM telecom)"""
+
+# md5 split / bucket as in churnlens.functions.columns.hash_u32
+def hash_u32_sql(*parts: str) -> str:
+    key = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
+    return f"('0x' || substr(md5({key}), 1, 8))::BIGINT"
+
+
+FEATURES_B = ["Account Length", "Int'l Plan", "VMail Plan", "VMail Message",
+              "Day Mins", "Day Calls", "Day Charge", "Eve Mins", "Eve Calls", "Eve Charge",
+              "Night Mins", "Night Calls", "Night Charge", "Intl Mins", "Intl Calls", "Intl Charge",
+              "CustServ Calls"]
+
+
+def qi(c: str) -> str:
+    return '"' + c.replace('"', '""') + '"'
+
+
+def lit(c: str) -> str:
+    return "'" + c.replace("'", "''") + "'"
+
+
+def train_cte() -> str:
+    return f"""
+train AS (SELECT * FROM churn WHERE {hash_u32_sql('0', 'cust_id')} % 1000 < 700)"""
+
+
+def long_cte(src: str = "train") -> str:
+    """Unpivot the feature columns of ``src`` into (cust_id, y, feature, x)."""
+    parts = " UNION ALL ".join(
+        f"SELECT cust_id, CAST(\"Churn?\" AS DOUBLE) AS y, {lit(c)} AS feature, CAST({qi(c)} AS DOUBLE) AS x FROM {src}"
+        for c in FEATURES_B)
+    return f"""
+long AS ({parts})"""

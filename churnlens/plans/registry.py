@@ -190,3 +190,218 @@ def b11_train_processed(spark, sf):
 def b9_scored_processed(spark, sf):
     """Scored-month rows after fill and cast (no label)."""
     return feat.process_features(h10_scored_features(spark, sf), labelled=False)
+
+
+# --- half B: telecom table, preparation, splits, scores, metrics ----------------
+
+from churnlens.operators import metrics as met  # noqa: E402
+from churnlens.operators import prepare as prep  # noqa: E402
+from churnlens.operators import scores as sc  # noqa: E402
+from churnlens.operators import split as spl  # noqa: E402
+
+_B = sql.FEATURES_B
+_TEL = f"WITH {sql.TELECOM_CTE.strip()}"
+_TRAIN = f"WITH {sql.TELECOM_CTE.strip()},\n{sql.train_cte().strip()}"
+_LONG = f"{_TRAIN},\n{sql.long_cte().strip()}"
+
+
+def churn_table(spark, sf) -> DataFrame:
+    """Telecom table with flags encoded and State / Area Code / Phone dropped."""
+    return prep.prepare_churn(fx.telecom(spark, sf))
+
+
+def churn_train(spark, sf) -> DataFrame:
+    return spl.hash_split(churn_table(spark, sf), prep.ID_COL, 0.7, 0)[0]
+
+
+@register("b0_telecom_table", f"{_TEL}\nSELECT * FROM telecom")
+def b0_telecom_table(spark, sf):
+    """One row per ordering customer in the telecom churn layout."""
+    return fx.telecom(spark, sf)
+
+
+@register("a3_csv_scan", f"{_TEL}\nSELECT * FROM telecom")
+def a3_csv_scan(spark, sf):
+    """Telecom table written as CSV with a header (A5) and read back with the declared schema (A3)."""
+    import uuid
+
+    from churnlens.session import scratch_path
+    from churnlens.sources.io import read_churn_csv, write_csv
+
+    path = scratch_path(spark, f"churn_csv_{uuid.uuid4().hex}")
+    write_csv(fx.telecom(spark, sf), path)
+    return read_churn_csv(spark, path)
+
+
+@register("b13_encoded", f"{_TEL}\nSELECT * FROM churn")
+def b13_encoded(spark, sf):
+    """Drop State / Area Code / Phone, flags to 0/1."""
+    return churn_table(spark, sf)
+
+
+@register("b14_cross_features", f"""{_TEL}
+SELECT cust_id, "Account Length", "Int'l Plan", "VMail Plan", "VMail Message",
+       "Intl Mins", "Intl Calls", "Intl Charge", "CustServ Calls", "Churn?",
+       "Day Charge" + "Eve Charge" + "Night Charge" AS "Charge",
+       "Day Mins" + "Eve Mins" + "Night Mins" AS "Mins",
+       "Day Calls" + "Eve Calls" + "Night Calls" - "CustServ Calls" AS "Calls"
+FROM churn""")
+def b14_cross_features(spark, sf):
+    """Charge / Mins / Calls cross features replacing their nine parts."""
+    return prep.add_cross_features(churn_table(spark, sf))
+
+
+_NULLS = " UNION ALL ".join(
+    f"SELECT {sql.lit(c)} AS \"column\", COUNT(*) - COUNT({sql.qi(c)}) AS n_null FROM telecom"
+    for c in ["cust_id", "State", "Account Length", "Area Code", "Phone", "Int'l Plan", "VMail Plan",
+              "VMail Message", *_B[4:], "Churn?"])
+
+
+@register("b15_null_profile", f"{_TEL}\n{_NULLS}")
+def b15_null_profile(spark, sf):
+    """Null count per column in one aggregate pass."""
+    return prep.null_profile(fx.telecom(spark, sf))
+
+
+@register("j1_hash_split", f"""{_TEL}
+SELECT cust_id, {sql.hash_u32_sql('0', 'cust_id')} % 1000 < 700 AS is_train FROM churn""")
+def j1_hash_split(spark, sf):
+    """Seeded 70/30 holdout flag from md5(seed:id)."""
+    return churn_table(spark, sf).select(prep.ID_COL, spl.split_flag(prep.ID_COL, 0.7, 0).alias("is_train"))
+
+
+@register("j2_stratified_folds", f"""{_TRAIN}
+SELECT cust_id, "Churn?", CAST(ntile(5) OVER (PARTITION BY "Churn?" ORDER BY cust_id) - 1 AS INTEGER) AS fold
+FROM train""")
+def j2_stratified_folds(spark, sf):
+    """Unshuffled stratified 5 folds of the training rows."""
+    t = churn_train(spark, sf).select(prep.ID_COL, prep.LABEL_COL)
+    return spl.assign_folds(t, prep.ID_COL, 5, by=prep.LABEL_COL)
+
+
+@register("j3_plain_folds", f"""{_TRAIN}
+SELECT cust_id, CAST(ntile(5) OVER (ORDER BY cust_id) - 1 AS INTEGER) AS fold FROM train""")
+def j3_plain_folds(spark, sf):
+    """Unshuffled plain 5 folds of the training rows."""
+    return spl.assign_folds(churn_train(spark, sf).select(prep.ID_COL), prep.ID_COL, 5)
+
+
+@register("l1_variance", f"""{_LONG}
+SELECT feature, CAST(printf('%.11e', var_pop(x)) AS DOUBLE) AS variance FROM long GROUP BY feature""")
+def l1_variance(spark, sf):
+    """Population variance per feature of the training rows."""
+    v = sc.variance_scores(churn_train(spark, sf), _B)
+    from churnlens.functions.columns import round_sig
+    return v.select("feature", round_sig("variance", 12).alias("variance"))
+
+
+@register("l2_chi2", f"""{_LONG},
+cls AS (SELECT feature, y, COUNT(*) AS n, SUM(x) AS o FROM long GROUP BY feature, y),
+tot AS (SELECT feature, SUM(n) AS nn, SUM(o) AS s FROM cls GROUP BY feature)
+SELECT cls.feature, ROUND(SUM(power(o - s * n / nn, 2) / (s * n / nn)), 6) AS chi2
+FROM cls JOIN tot USING (feature) GROUP BY cls.feature""")
+def l2_chi2(spark, sf):
+    """Chi-square score of every feature against the churn label."""
+    s = sc.chi2_scores(churn_train(spark, sf), _B, prep.LABEL_COL)
+    return s.select("feature", F.round("chi2", 6).alias("chi2"))
+
+
+@register("l6_f_scores", f"""{_LONG},
+cls AS (SELECT feature, y, COUNT(*) AS n, AVG(x) AS m, var_pop(x) AS v FROM long GROUP BY feature, y),
+tot AS (SELECT feature, AVG(x) AS gm, COUNT(*) AS nn, COUNT(DISTINCT y) AS k FROM long GROUP BY feature)
+SELECT cls.feature,
+       ROUND((SUM(n * power(m - gm, 2)) / (ANY_VALUE(k) - 1)) / (SUM(n * v) / (ANY_VALUE(nn) - ANY_VALUE(k))), 6) AS f_score
+FROM cls JOIN tot USING (feature) GROUP BY cls.feature""")
+def l6_f_scores(spark, sf):
+    """One-way ANOVA F score of every feature across the churn classes."""
+    s = sc.f_scores(churn_train(spark, sf), _B, prep.LABEL_COL)
+    return s.select("feature", F.round("f_score", 6).alias("f_score"))
+
+
+def _mi_sql(bins_expr: str, out: str, agg: str) -> str:
+    return f"""{_LONG},
+ranked AS (SELECT feature, x, y, rank() OVER (PARTITION BY feature ORDER BY x) - 1 AS r,
+                  COUNT(*) OVER (PARTITION BY feature) AS n FROM long),
+grid AS (SELECT ranked.*, b FROM ranked CROSS JOIN (SELECT unnest(range(2, 65)) AS b) g
+         WHERE {bins_expr}),
+cells AS (SELECT feature, b, FLOOR(r * b / n) AS bin, COUNT(*) AS nb, SUM(y) AS nb1, ANY_VALUE(n) AS nn
+          FROM grid GROUP BY feature, b, FLOOR(r * b / n)),
+pos AS (SELECT feature, b, SUM(nb1) AS p FROM cells GROUP BY feature, b),
+mi AS (SELECT c.feature, c.b,
+         SUM(COALESCE(CASE WHEN nb1 > 0 THEN nb1 / nn * ln(nb1 * nn / (nb * p)) END, 0)
+           + COALESCE(CASE WHEN nb - nb1 > 0 THEN (nb - nb1) / nn * ln((nb - nb1) * nn / (nb * (nn - p))) END, 0))
+           / ln(2) AS mi
+       FROM cells c JOIN pos USING (feature, b) GROUP BY c.feature, c.b)
+SELECT feature, ROUND({agg}(mi), 6) AS {out} FROM mi GROUP BY feature"""
+
+
+@register("l4_mic", _mi_sql("b <= greatest(2, least(32, CAST(floor(pow(n, 0.6) / 2) AS INTEGER)))", "mic", "MAX"))
+def l4_mic(spark, sf):
+    """Grid (equal-frequency) approximation of the maximal information coefficient."""
+    s = sc.mic_scores(churn_train(spark, sf), _B, prep.LABEL_COL, prep.ID_COL, max_bins=32)
+    return s.select("feature", F.round("mic", 6).alias("mic"))
+
+
+@register("l5_mutual_info", _mi_sql("b = 16", "mi", "MAX"))
+def l5_mutual_info(spark, sf):
+    """Binned plug-in mutual information (16 equal-frequency bins) per feature."""
+    s = sc.mutual_info_scores(churn_train(spark, sf), _B, prep.LABEL_COL, prep.ID_COL, bins=16)
+    return s.select("feature", F.round("mi", 6).alias("mi"))
+
+
+@register("e5_top5_chi2", f"""{_LONG},
+cls AS (SELECT feature, y, COUNT(*) AS n, SUM(x) AS o FROM long GROUP BY feature, y),
+tot AS (SELECT feature, SUM(n) AS nn, SUM(o) AS s FROM cls GROUP BY feature),
+sc AS (SELECT cls.feature, ROUND(SUM(power(o - s * n / nn, 2) / (s * n / nn)), 6) AS chi2
+       FROM cls JOIN tot USING (feature) GROUP BY cls.feature)
+SELECT feature, chi2 FROM sc ORDER BY chi2 DESC, feature LIMIT 5""")
+def e5_top5_chi2(spark, sf):
+    """SelectKBest(chi2, k=5): the five best-scoring features."""
+    return sc.top_k(l2_chi2(spark, sf), 5, "chi2")
+
+
+@register("d7_value_counts", f"""{_TRAIN}
+SELECT "CustServ Calls", COUNT(*) AS count FROM train GROUP BY 1""")
+def d7_value_counts(spark, sf):
+    """Histogram of one column (``value_counts``)."""
+    return sc.value_counts(churn_train(spark, sf), "CustServ Calls")
+
+
+def _rule_pred():
+    # A fixed rule standing in for a model's output: more day than evening calls.
+    return F.when(F.col("`Day Calls`") > F.col("`Eve Calls`"), 1).otherwise(0)
+
+
+_RULE = f"""{_TRAIN},
+pred AS (SELECT CAST("Churn?" AS DOUBLE) AS label,
+                CAST(CASE WHEN "Day Calls" > "Eve Calls" THEN 1 ELSE 0 END AS DOUBLE) AS prediction FROM train)"""
+
+
+@register("i5_confusion", f"{_RULE}\nSELECT label, prediction, COUNT(*) AS n FROM pred GROUP BY 1, 2")
+def i5_confusion(spark, sf):
+    """Confusion counts of a rule classifier on the training rows."""
+    t = churn_train(spark, sf).withColumn("prediction", _rule_pred())
+    return met.confusion(t, prep.LABEL_COL, "prediction")
+
+
+@register("i3_i4_precision_recall", f"""{_RULE}
+SELECT CASE WHEN SUM(prediction) > 0 THEN SUM(label * prediction) / SUM(prediction) ELSE 0 END AS precision,
+       CASE WHEN SUM(label) > 0 THEN SUM(label * prediction) / SUM(label) ELSE 0 END AS recall FROM pred""")
+def i3_i4_precision_recall(spark, sf):
+    """Positive-class precision and recall."""
+    t = churn_train(spark, sf).withColumn("prediction", _rule_pred())
+    return met.precision_recall(t, prep.LABEL_COL, "prediction", 1)
+
+
+@register("i1_i2_weighted", f"""{_RULE},
+c AS (SELECT label, prediction, COUNT(*) AS n FROM pred GROUP BY 1, 2),
+per AS (SELECT a.cls, a.na, COALESCE(t.tp, 0) AS tp, COALESCE(p.np, 0) AS np
+        FROM (SELECT label AS cls, SUM(n) AS na FROM c GROUP BY 1) a
+        LEFT JOIN (SELECT label AS cls, n AS tp FROM c WHERE label = prediction) t ON a.cls = t.cls
+        LEFT JOIN (SELECT prediction AS cls, SUM(n) AS np FROM c GROUP BY 1) p ON a.cls = p.cls)
+SELECT SUM(na / (SELECT SUM(na) FROM per) * CASE WHEN np > 0 THEN tp / np ELSE 0 END) AS weightedPrecision,
+       SUM(na / (SELECT SUM(na) FROM per) * tp / na) AS weightedRecall FROM per""")
+def i1_i2_weighted(spark, sf):
+    """Weighted precision and recall (true-class-share weights)."""
+    t = churn_train(spark, sf).withColumn("prediction", _rule_pred())
+    return met.weighted_precision_recall(t, prep.LABEL_COL, "prediction")
