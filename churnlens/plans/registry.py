@@ -405,3 +405,121 @@ def i1_i2_weighted(spark, sf):
     """Weighted precision and recall (true-class-share weights)."""
     t = churn_train(spark, sf).withColumn("prediction", _rule_pred())
     return met.weighted_precision_recall(t, prep.LABEL_COL, "prediction")
+
+
+# --- neighbours, SMOTE, clustering --------------------------------------------
+
+from churnlens.functions.columns import round_sig  # noqa: E402
+from churnlens.operators import cluster as clu  # noqa: E402
+from churnlens.operators import neighbors as nbr  # noqa: E402
+from churnlens.operators import resample as rs  # noqa: E402
+
+
+def churn_test(spark, sf) -> DataFrame:
+    return spl.hash_split(churn_table(spark, sf), prep.ID_COL, 0.7, 0)[1]
+
+
+def _sq_sql(a: str, b: str, cols) -> str:
+    return " + ".join(f"(CAST({a}.{sql.qi(c)} AS DOUBLE) - CAST({b}.{sql.qi(c)} AS DOUBLE)) * "
+                      f"(CAST({a}.{sql.qi(c)} AS DOUBLE) - CAST({b}.{sql.qi(c)} AS DOUBLE))" for c in cols)
+
+
+@register("k5_knn_classify", f"""{_TRAIN},
+test AS (SELECT * FROM churn WHERE {sql.hash_u32_sql('0', 'cust_id')} % 1000 >= 700),
+pairs AS (SELECT t.cust_id AS qid, r.cust_id AS rid, CAST(r."Churn?" AS DOUBLE) AS y, {_sq_sql('t', 'r', _B)} AS d
+          FROM test t CROSS JOIN train r),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, rid) AS rn FROM pairs),
+votes AS (SELECT qid, y, COUNT(*) AS v FROM rk WHERE rn <= 5 GROUP BY qid, y),
+best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY v DESC, y) AS r FROM votes)
+SELECT qid AS id, y AS prediction FROM best WHERE r = 1""")
+def k5_knn_classify(spark, sf):
+    """5-nearest-neighbour vote for every holdout customer (exact, blocked broadcast)."""
+    tr = nbr.as_points(churn_train(spark, sf), _B, prep.ID_COL, prep.LABEL_COL)
+    te = nbr.as_points(churn_test(spark, sf), _B, prep.ID_COL)
+    return nbr.knn_classify(tr, te, 5)
+
+
+def _smote_sql(k=5, seed=2):
+    arr = ", ".join(f"CAST({sql.qi(c)} AS DOUBLE)" for c in _B)
+    interp = ", ".join(f"xb[{i + 1}] + u * (xn[{i + 1}] - xb[{i + 1}])" for i in range(len(_B)))
+    sq = " + ".join(f"(a.x[{i + 1}] - b.x[{i + 1}]) * (a.x[{i + 1}] - b.x[{i + 1}])" for i in range(len(_B)))
+    return f"""{_TRAIN},
+cls AS (SELECT CAST("Churn?" AS DOUBLE) AS y, COUNT(*) AS n FROM train GROUP BY 1),
+mc AS (SELECT y AS ym, n AS nmin FROM cls ORDER BY n, y LIMIT 1),
+need AS (SELECT MAX(n) - (SELECT nmin FROM mc) AS need FROM cls),
+mino AS (SELECT cust_id AS id, [{arr}] AS x FROM train WHERE CAST("Churn?" AS DOUBLE) = (SELECT ym FROM mc)),
+idx AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM mino),
+pairs AS (SELECT a.id AS base_id, b.id AS nb_id, {sq} AS d FROM mino a JOIN mino b ON a.id <> b.id),
+nb AS (SELECT base_id, nb_id, row_number() OVER (PARTITION BY base_id ORDER BY d, nb_id) - 1 AS rnk FROM pairs),
+draws AS (SELECT j AS draw, j % (SELECT nmin FROM mc) AS i,
+                 {sql.hash_u32_sql(str(seed), 'j', "'nb'")} % least({k}, (SELECT nmin FROM mc) - 1) AS rnk,
+                 {sql.hash_u32_sql(str(seed), 'j', "'gap'")} / 4294967296.0 AS u
+          FROM (SELECT unnest(range((SELECT need FROM need))) AS j) r),
+d AS (SELECT draws.draw, idx.id AS base_id, nb.nb_id, draws.u, mb.x AS xb, mn.x AS xn
+      FROM draws JOIN idx ON draws.i = idx.i
+      JOIN nb ON nb.base_id = idx.id AND nb.rnk = draws.rnk
+      JOIN mino mb ON mb.id = idx.id JOIN mino mn ON mn.id = nb.nb_id)
+SELECT draw, base_id, nb_id, [{interp}] AS x, (SELECT ym FROM mc) AS y FROM d"""
+
+
+@register("l12_smote", _smote_sql())
+def l12_smote(spark, sf):
+    """SMOTE samples bringing the churn class of the training rows to parity."""
+    pts = nbr.as_points(churn_train(spark, sf), _B, prep.ID_COL, prep.LABEL_COL)
+    return rs.smote(pts, k=5, seed=2)
+
+
+def _emb_points(spark, sf):
+    e = fx.embeddings(spark, sf)
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("label").alias("cluster"))
+
+
+def _label_centroids(points: DataFrame, dims: int) -> DataFrame:
+    return points.groupBy("cluster").agg(
+        F.array(*[F.avg(F.col("x")[i]) for i in range(dims)]).alias("center"))
+
+
+EMB_DIMS = 64
+
+
+def _reldist_sql(final: str) -> str:
+    avgs = ", ".join(f"avg(x[{i + 1}])" for i in range(EMB_DIMS))
+    sq = " + ".join(f"(x[{i + 1}] - center[{i + 1}]) * (x[{i + 1}] - center[{i + 1}])" for i in range(EMB_DIMS))
+    return f"""
+WITH e AS (SELECT vec_id AS id, label AS cluster, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+c AS (SELECT cluster, [{avgs}] AS center FROM e GROUP BY cluster),
+d AS (SELECT e.id, e.cluster, sqrt({sq}) AS dist FROM e JOIN c USING (cluster)),
+m AS (SELECT cluster, median(dist) AS median_dist FROM d GROUP BY cluster),
+s AS (SELECT d.id, d.cluster, d.dist, m.median_dist,
+             CASE WHEN m.median_dist > 0 THEN d.dist / m.median_dist END AS score FROM d JOIN m USING (cluster))
+{final}"""
+
+
+def _reldist(spark, sf):
+    pts = _emb_points(spark, sf)
+    return clu.relative_distance(pts, _label_centroids(pts, EMB_DIMS), "id", "x", "cluster")
+
+
+@register("d8_median_distance", _reldist_sql(
+    "SELECT cluster, CAST(printf('%.9e', median_dist) AS DOUBLE) AS median_dist FROM m"))
+def d8_median_distance(spark, sf):
+    """Exact median distance to the class centroid per embedding class."""
+    pts = _emb_points(spark, sf)
+    d = (pts.join(F.broadcast(_label_centroids(pts, EMB_DIMS)), "cluster")
+         .select("id", "cluster", clu.euclidean("x", "center").alias("dist")))
+    from churnlens.functions.ranking import exact_median
+    m = exact_median(d, ["cluster"], "dist", "id", "median_dist")
+    return m.select("cluster", round_sig("median_dist", 10).alias("median_dist"))
+
+
+@register("l16_relative_distance", _reldist_sql(
+    "SELECT id, cluster, CAST(printf('%.9e', score) AS DOUBLE) AS score FROM s"))
+def l16_relative_distance(spark, sf):
+    """Distance to the centroid over the class median distance, per embedding."""
+    return _reldist(spark, sf).select("id", "cluster", round_sig("score", 10).alias("score"))
+
+
+@register("l17_outliers_removed", _reldist_sql("SELECT id, cluster FROM s WHERE score <= 2"))
+def l17_outliers_removed(spark, sf):
+    """Embeddings kept after dropping relative distance above 2."""
+    return clu.remove_outliers(_reldist(spark, sf), 2.0).select("id", "cluster")
