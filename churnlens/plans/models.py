@@ -13,6 +13,19 @@ from churnlens.operators.features import FEATURE_COLS, add_label
 from churnlens.operators.metrics import weighted_precision_recall
 
 
+ROWS_PER_PARTITION = 250_000
+
+
+def right_size(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION, n: int | None = None) -> DataFrame:
+    """Repartition an ML frame to ceil(rows / rows_per_partition) partitions.
+
+    Iterative fits run one job per iteration; on a small frame most of the
+    time is task overhead, on a large one each task should hold a bounded
+    number of rows.  Rows are spread round-robin (no key skew)."""
+    n = df.count() if n is None else n
+    return df.repartition(max(1, -(-n // rows_per_partition)))
+
+
 def to_vectors(df: DataFrame, cols, label: str | None, id_col: str, out: str = "features") -> DataFrame:
     """(id, features vector, label double) - the frame every estimator reads."""
     va = VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error")
@@ -61,21 +74,21 @@ TUNED_GBT = dict(maxIter=78, stepSize=0.1, maxDepth=5, minInstancesPerNode=1)
 TUNED_FOREST = dict(numTrees=75, maxDepth=7, featureSubsetStrategy="5", minInstancesPerNode=1)
 
 
-def importances(model, cols) -> DataFrame:
+def importances(model, cols, spark=None) -> DataFrame:
     """(feature, importance) of a fitted tree model, descending (K8)."""
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     imp = model.featureImportances.toArray().tolist()
     rows = [(c, float(v)) for c, v in zip(cols, imp)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def coefficients(model, cols) -> DataFrame:
+def coefficients(model, cols, spark=None) -> DataFrame:
     """(feature, coefficient, abs) of a fitted linear model."""
     from pyspark.sql import SparkSession
 
-    spark = SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     coef = model.coefficients.toArray().tolist()
     return spark.createDataFrame([(c, float(v), abs(float(v))) for c, v in zip(cols, coef)],
                                  "feature string, coefficient double, abs_coefficient double")

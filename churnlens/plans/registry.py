@@ -523,3 +523,163 @@ def l16_relative_distance(spark, sf):
 def l17_outliers_removed(spark, sf):
     """Embeddings kept after dropping relative distance above 2."""
     return clu.remove_outliers(_reldist(spark, sf), 2.0).select("id", "cluster")
+
+
+# --- models (rows-only checks; unit tests cover their rules) ---------------------
+
+from churnlens.plans import models as mdl  # noqa: E402
+from churnlens.plans import stack as stk  # noqa: E402
+from churnlens.plans import tune as tun  # noqa: E402
+
+# Notebook-era library defaults of the compared estimators
+# (gradient boosting 100 stages of depth 3, forest 10 trees, 5 neighbours).
+DEFAULT_GBT = dict(maxIter=100, maxDepth=3, stepSize=0.1)
+DEFAULT_FOREST = dict(numTrees=10, maxDepth=10)
+
+
+def train_vectors_a(spark, sf) -> DataFrame:
+    """Half-A training month as (user_id, features, label)."""
+    return feat.assemble(feat.process_features(h9_train_features(spark, sf), labelled=True))
+
+
+def scored_vectors_a(spark, sf) -> DataFrame:
+    return feat.assemble(feat.process_features(h10_scored_features(spark, sf), labelled=False), keep=("user_id",))
+
+
+def _fit_half_a(spark, sf):
+    data = mdl.right_size(train_vectors_a(spark, sf)).persist()
+    train, test = spl.hash_split(data, "user_id", 0.7, 0)
+    return mdl.fit_churn_pipeline(train), test
+
+
+@register("h5_pipeline_holdout")
+def h5_pipeline_holdout(spark, sf):
+    """Index -> vector index -> logistic regression pipeline; holdout predictions."""
+    model, test = _fit_half_a(spark, sf)
+    return model.transform(test).select("user_id", "label", "prediction", "predictedLabel")
+
+
+@register("h7_scored_predictions")
+def h7_scored_predictions(spark, sf):
+    """Model of the training month applied to the scored month: (user_id, predictedLabel)."""
+    model, _ = _fit_half_a(spark, sf)
+    return mdl.score(scored_vectors_a(spark, sf), model)
+
+
+@register("h8_backtest_rows")
+def h8_backtest_rows(spark, sf):
+    """Predictions of the scored month against the later account snapshot."""
+    rows, _ = mdl.backtest(h7_scored_predictions(spark, sf), fx.user_state(spark, sf))
+    return rows
+
+
+@register("h8_backtest_metrics")
+def h8_backtest_metrics(spark, sf):
+    """weightedPrecision / weightedRecall of the back-test."""
+    _, m = mdl.backtest(h7_scored_predictions(spark, sf), fx.user_state(spark, sf))
+    return m
+
+
+def vectors_b(spark, sf, cols=None):
+    """Half-B training and holdout frames: (cust_id, features, label[, fold])."""
+    cols = cols or _B
+    tr = churn_train(spark, sf)
+    folds = spl.assign_folds(tr.select(prep.ID_COL, prep.LABEL_COL), prep.ID_COL, 5, by=prep.LABEL_COL)
+    vtr = mdl.right_size(mdl.to_vectors(tr, cols, prep.LABEL_COL, prep.ID_COL).join(
+        folds.select(prep.ID_COL, "fold"), prep.ID_COL)).persist()
+    vte = mdl.to_vectors(churn_test(spark, sf), cols, prep.LABEL_COL, prep.ID_COL)
+    return vtr, vte
+
+
+@register("k7_gbt_holdout")
+def k7_gbt_holdout(spark, sf):
+    """Tuned gradient-boosted trees fitted on the training rows, holdout predictions."""
+    vtr, vte = vectors_b(spark, sf)
+    return mdl.fit_predict(mdl.gbt(**mdl.TUNED_GBT), vtr, vte).select(prep.ID_COL, "label", "prediction")
+
+
+@register("k6_forest_holdout")
+def k6_forest_holdout(spark, sf):
+    """Tuned random forest, holdout predictions."""
+    vtr, vte = vectors_b(spark, sf)
+    return mdl.fit_predict(mdl.forest(**mdl.TUNED_FOREST), vtr, vte).select(prep.ID_COL, "label", "prediction")
+
+
+@register("k2_k4_linear_holdout")
+def k2_k4_linear_holdout(spark, sf):
+    """L2 and L1 logistic regression (C=1) and a linear SVC on the holdout rows."""
+    vtr, vte = vectors_b(spark, sf)
+    n = vtr.count()
+    out = None
+    for name, est in {"lr_l2": mdl.logistic(1.0, "l2", n), "lr_l1": mdl.logistic(1.0, "l1", n),
+                      "svc": mdl.linear_svc()}.items():
+        p = mdl.fit_predict(est, vtr, vte).select(prep.ID_COL, F.col("prediction").alias(name))
+        out = p if out is None else out.join(p, prep.ID_COL)
+    return out
+
+
+@register("k8_gbt_importances")
+def k8_gbt_importances(spark, sf):
+    """Feature importances of the tuned GBT, descending."""
+    vtr, _ = vectors_b(spark, sf)
+    return mdl.importances(mdl.gbt(**mdl.TUNED_GBT).fit(vtr), _B)
+
+
+@register("j4_cv_logistic")
+def j4_cv_logistic(spark, sf):
+    """Per-fold precision / recall of logistic regression over the stratified folds."""
+    vtr, _ = vectors_b(spark, sf)
+    return tun.cross_validate(vtr, mdl.logistic())
+
+
+@register("j5_compare_models")
+def j5_compare_models(spark, sf):
+    """Mean CV precision / recall of the five compared classifiers."""
+    vtr, _ = vectors_b(spark, sf)
+    ests = {"logistic": mdl.logistic(1.0, "l2", vtr.count()), "svc": mdl.linear_svc(),
+            "forest": mdl.forest(**DEFAULT_FOREST), "gbt": mdl.gbt(**DEFAULT_GBT)}
+    cv = tun.compare_models(vtr, ests)
+    # kNN has no fit step: vote per fold with the other folds as reference.
+    pts = vtr.select(F.col(prep.ID_COL).alias("id"), F.col("features"), "label", "fold")
+    from pyspark.ml.functions import vector_to_array
+    pts = pts.withColumn("x", vector_to_array("features")).withColumnRenamed("label", "y")
+    folds = [r[0] for r in pts.select("fold").distinct().collect()]
+    rows = []
+    for f in sorted(folds):
+        pred = nbr.knn_classify(pts.where(F.col("fold") != f), pts.where(F.col("fold") == f), 5)
+        j = pred.join(pts.select("id", F.col("y").alias("label")), "id")
+        m = met.precision_recall(j, "label", "prediction", 1).first()
+        rows.append((m.precision, m.recall))
+    knn_row = spark.createDataFrame(
+        [("knn", sum(r[0] for r in rows) / len(rows), sum(r[1] for r in rows) / len(rows))],
+        "model string, precision double, recall double")
+    return cv.unionByName(knn_row)
+
+
+@register("l13_sse_curve")
+def l13_sse_curve(spark, sf):
+    """K-means within-cluster sum of squares for k = 1..9 (training rows, label excluded)."""
+    return clu.sse_curve(churn_train(spark, sf), _B, range(1, 10))
+
+
+@register("l14_silhouette_curve")
+def l14_silhouette_curve(spark, sf):
+    """Silhouette (squared Euclidean) for k = 2..9."""
+    return clu.silhouette_curve(churn_train(spark, sf), _B, range(2, 10))
+
+
+@register("l15_kmeans_sizes")
+def l15_kmeans_sizes(spark, sf):
+    """Cluster sizes of K-means with k=4 and 500 iterations."""
+    assign, _ = clu.kmeans_fit(churn_train(spark, sf), _B, prep.ID_COL, 4, 500, 0)
+    return clu.cluster_sizes(assign)
+
+
+@register("j15_stacking")
+def j15_stacking(spark, sf):
+    """Forest + GBT stacked by out-of-fold predictions, meta GBT on the holdout rows."""
+    vtr, vte = vectors_b(spark, sf)
+    base = {"gbt": mdl.gbt(**mdl.TUNED_GBT), "rf": mdl.forest(**mdl.TUNED_FOREST)}
+    st_tr, st_te = stk.stack_features(base, vtr, vte, prep.ID_COL)
+    pred = stk.fit_stack(mdl.gbt(maxIter=20, maxDepth=3), st_tr, st_te, list(base))
+    return pred.select(prep.ID_COL, "gbt", "rf", "label", "prediction")

@@ -37,14 +37,14 @@ def sweep_k(df: DataFrame, scores: DataFrame, score_col: str, est, label: str, i
         rows.append((k, p, r))
         if best < r:
             best, best_k = r, k
-    table = _spark().createDataFrame(rows, "k int, precision double, recall double")
+    table = df.sparkSession.createDataFrame(rows, "k int, precision double, recall double")
     return table, best_k, ranked[best_k:]
 
 
 def single_feature_scores(df: DataFrame, cols, est, label: str, id_col: str, fold_col: str = "fold") -> DataFrame:
     """CV recall of the estimator on each column alone."""
     rows = [(c, _cv_on(df, [c], label, id_col, est, fold_col)[1]) for c in cols]
-    return _spark().createDataFrame(rows, "feature string, recall double")
+    return df.sparkSession.createDataFrame(rows, "feature string, recall double")
 
 
 def recursive_elimination(df: DataFrame, cols, est, label: str, id_col: str, fold_col: str = "fold",
@@ -64,7 +64,7 @@ def recursive_elimination(df: DataFrame, cols, est, label: str, id_col: str, fol
         imp = importances(model, current).orderBy("importance", F.desc("feature")).collect()
         drop = {x.feature for x in imp[:step]}
         current = [c for c in current if c not in drop]
-    table = _spark().createDataFrame(rows, "n_features int, features string, precision double, recall double")
+    table = df.sparkSession.createDataFrame(rows, "n_features int, features string, precision double, recall double")
     return table, best_cols
 
 
@@ -83,7 +83,7 @@ def sweep_threshold(df: DataFrame, weights: DataFrame, value_col: str, threshold
         rows.append((float(t), len(keep), r))
         if best < r:
             best, best_t = r, t
-    return _spark().createDataFrame(rows, "threshold double, n_features int, recall double"), best_t
+    return df.sparkSession.createDataFrame(rows, "threshold double, n_features int, recall double"), best_t
 
 
 def ablate(df: DataFrame, cols, drop, est, label: str, id_col: str, fold_col: str = "fold"):

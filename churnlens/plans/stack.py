@@ -24,10 +24,12 @@ def stack_features(models: dict, train: DataFrame, test: DataFrame, id_col: str,
     folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
     out_col = F.col("probability").getItem(1) if use_probability else F.col("prediction")
     tr_parts, te_parts = [], []
+    from churnlens.plans.tune import PARALLELISM, _pmap
+
     for name, est in models.items():
+        fitted = _pmap(lambda f: est.copy().fit(train.where(F.col(fold_col) != f)), folds, PARALLELISM)
         oof, tst = [], []
-        for f in folds:
-            m = est.fit(train.where(F.col(fold_col) != f))
+        for f, m in zip(folds, fitted):
             oof.append(m.transform(train.where(F.col(fold_col) == f)).select(id_col, out_col.alias(name)))
             tst.append(m.transform(test).select(id_col, out_col.alias(name)))
         tr_parts.append(reduce(DataFrame.unionByName, oof))

@@ -8,6 +8,8 @@ persisted vector frame.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -20,17 +22,31 @@ def _spark() -> SparkSession:
     return SparkSession.getActiveSession()
 
 
-def cross_validate(df: DataFrame, est, fold_col: str = "fold", positive: float = 1.0) -> DataFrame:
+PARALLELISM = 5
+
+
+def _pmap(fn, items, parallelism: int):
+    """Run independent Spark jobs from a few driver threads (as CrossValidator does)."""
+    if parallelism <= 1 or len(items) <= 1:
+        return [fn(x) for x in items]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(items))) as pool:
+        return list(pool.map(fn, items))
+
+
+def cross_validate(df: DataFrame, est, fold_col: str = "fold", positive: float = 1.0,
+                   parallelism: int = PARALLELISM) -> DataFrame:
     """Per fold: precision and recall of class ``positive`` after fitting on the
     other folds; returns (fold, precision, recall)."""
     folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
-    rows = []
-    for f in folds:
-        model = est.fit(df.where(F.col(fold_col) != f))
+
+    def one(f):
+        model = est.copy().fit(df.where(F.col(fold_col) != f))
         pred = model.transform(df.where(F.col(fold_col) == f))
         m = precision_recall(pred, "label", "prediction", positive).first()
-        rows.append((int(f), float(m.precision), float(m.recall)))
-    return _spark().createDataFrame(rows, "fold int, precision double, recall double")
+        return (int(f), float(m.precision), float(m.recall))
+
+    rows = _pmap(one, folds, parallelism)
+    return df.sparkSession.createDataFrame(rows, "fold int, precision double, recall double")
 
 
 def cv_means(df: DataFrame, est, fold_col: str = "fold") -> tuple[float, float]:
@@ -41,8 +57,8 @@ def cv_means(df: DataFrame, est, fold_col: str = "fold") -> tuple[float, float]:
 
 def compare_models(df: DataFrame, estimators: dict, fold_col: str = "fold") -> DataFrame:
     """(model, precision, recall) means for several estimators."""
-    rows = [(name, *cv_means(df, est, fold_col)) for name, est in estimators.items()]
-    return _spark().createDataFrame(rows, "model string, precision double, recall double")
+    rows = _pmap(lambda kv: (kv[0], *cv_means(df, kv[1], fold_col)), list(estimators.items()), 2)
+    return df.sparkSession.createDataFrame(rows, "model string, precision double, recall double")
 
 
 def recall_evaluator(positive: float = 1.0) -> MulticlassClassificationEvaluator:
@@ -73,7 +89,7 @@ def grid_search(df: DataFrame, est, grid: dict, fold_col: str = "fold", metric:
         rows.append(tuple(str(vals[n]) for n in names) + (float(score),))
     best_i = max(range(len(rows)), key=lambda i: (rows[i][-1], -i))
     best = {p.name: v for p, v in maps[best_i].items()}
-    scores = _spark().createDataFrame(rows, ", ".join([f"{n} string" for n in names] + ["score double"]))
+    scores = df.sparkSession.createDataFrame(rows, ", ".join([f"{n} string" for n in names] + ["score double"]))
     return best, scores
 
 
