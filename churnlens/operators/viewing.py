@@ -61,7 +61,8 @@ def watch_gaps(play: DataFrame, user_col: str = "user_id", time_col: str = "serv
               .withColumn("_last", F.lead(F.lit(1)).over(w).isNull()))
 
     # First time of every slice of a heavy user, and the next slice's head.
-    heads = (sliced.join(F.broadcast(heavy.select(user_col)), user_col, "left_semi")
+    heads = (p.select(user_col, time_col).join(F.broadcast(heavy), user_col, "inner")
+             .withColumn("_chunk", F.floor((t - F.col("_t0")).cast("decimal(38,0)") * F.col("_k") / span).cast("long"))
              .groupBy(user_col, "_chunk").agg(F.min(time_col).alias("_ht")))
     succ_prev = (heads.withColumn("_prev", F.lag("_chunk").over(Window.partitionBy(user_col).orderBy("_chunk")))
                  .where(F.col("_prev").isNotNull())

@@ -79,8 +79,9 @@ def grid_search(df: DataFrame, est, grid: dict, fold_col: str = "fold", metric:
     maps = pg.build()
     ev = recall_evaluator() if metric == "recall" else MulticlassClassificationEvaluator(
         metricName="precisionByLabel", metricLabel=1.0)
+    k = df.select(fold_col).distinct().count()
     cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col,
-                        parallelism=parallelism)
+                        numFolds=k, parallelism=parallelism)
     model = cv.fit(df)
     names = list(grid)
     rows = []
