@@ -20,6 +20,7 @@ FILL_DEFAULTS = {
     "userOffer": -1,
     "userCancel": -1,
 }
+FEATURE_COLS_OUT = ["user_id", *FEATURE_COLS, "nns_state"]
 LABEL_STATES = (0, 4, 5)
 CHURN_STATES = (4, 5)
 

@@ -683,3 +683,110 @@ def j15_stacking(spark, sf):
     st_tr, st_te = stk.stack_features(base, vtr, vte, prep.ID_COL)
     pred = stk.fit_stack(mdl.gbt(maxIter=20, maxDepth=3), st_tr, st_te, list(base))
     return pred.select(prep.ID_COL, "gbt", "rf", "label", "prediction")
+
+
+# --- sinks, SQL edge, indexers ----------------------------------------------------
+
+@register("a4_parquet_sink", sql.feature_sql(fx.TRAIN_DAYS, fx.ORDER_WINDOW, labelled=True))
+def a4_parquet_sink(spark, sf):
+    """Training features written as Parquet (fails if the path exists) and read back."""
+    import uuid
+
+    from churnlens.session import scratch_path
+    from churnlens.sources.io import write_parquet
+
+    path = scratch_path(spark, f"features_{uuid.uuid4().hex}")
+    write_parquet(h9_train_features(spark, sf), path, partition_by="nns_state")
+    return spark.read.parquet(path).select(*feat.FEATURE_COLS_OUT)
+
+
+@register("a6_a7_model_roundtrip")
+def a6_a7_model_roundtrip(spark, sf):
+    """Pipeline saved with overwrite to the shared folder, loaded back, used to score."""
+    import uuid
+
+    from churnlens.session import scratch_path
+    from churnlens.sources.io import load_model, save_model
+
+    model, test = _fit_half_a(spark, sf)
+    path = scratch_path(spark, f"model_{uuid.uuid4().hex}")
+    save_model(model, path)
+    return mdl.score(test, load_model(path))
+
+
+@register("a8_sql_view", f"""
+WITH {sql.play_cte(fx.TRAIN_DAYS).strip()},
+{sql.GAPS_CTE.strip()}
+SELECT user_id, video_type, gap_ms / 60000.0::DOUBLE AS watch_time FROM d""")
+def a8_sql_view(spark, sf):
+    """SQL users: the play log as a temp view, watch gaps in Spark SQL with lead()."""
+    from churnlens.sources.io import register as reg
+
+    reg({"playlog": fx.play_log(spark, sf, fx.TRAIN_DAYS)})
+    return spark.sql("""
+        SELECT user_id, video_type, watch_time / 60000.0D AS watch_time FROM (
+          SELECT user_id, video_type,
+                 lead(server_time) OVER (PARTITION BY user_id ORDER BY server_time, event_id) - server_time AS watch_time
+          FROM playlog WHERE user_id IS NOT NULL) c
+        WHERE watch_time IS NOT NULL""")
+
+
+@register("a10_preview", f"""
+SELECT * FROM ({sql.feature_sql(fx.TRAIN_DAYS, fx.ORDER_WINDOW, labelled=True)}) t ORDER BY user_id LIMIT 10""")
+def a10_preview(spark, sf):
+    """First ten feature rows under a total order (``show(10)`` with a defined answer)."""
+    from churnlens.sources.io import preview
+
+    return preview(h9_train_features(spark, sf), 10, "user_id")
+
+
+@register("d6_count", f"""
+SELECT COUNT(*) AS n_rows FROM ({sql.feature_sql(fx.TRAIN_DAYS, fx.ORDER_WINDOW, labelled=True)}) t""")
+def d6_count(spark, sf):
+    """Global row count of the labelled training features."""
+    return h9_train_features(spark, sf).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("b17_concat_by_id", f"""{_TRAIN}
+SELECT t.*, CAST(ntile(5) OVER (PARTITION BY t."Churn?" ORDER BY t.cust_id) - 1 AS INTEGER) AS fold FROM train t""")
+def b17_concat_by_id(spark, sf):
+    """Column-wise concatenation of the training rows and their folds by id (no positions)."""
+    t = churn_train(spark, sf)
+    folds = spl.assign_folds(t.select(prep.ID_COL, prep.LABEL_COL), prep.ID_COL, 5, by=prep.LABEL_COL)
+    return prep.join_on_row_id(t, folds.select(prep.ID_COL, "fold"))
+
+
+@register("h2_label_index", f"""
+WITH f AS ({_processed_sql(fx.TRAIN_DAYS)}),
+c AS (SELECT CAST(CAST(label AS DOUBLE) AS VARCHAR) AS label, COUNT(*) AS n FROM f GROUP BY 1)
+SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS DOUBLE) AS label_index FROM c""")
+def h2_label_index(spark, sf):
+    """StringIndexer order of the label (most frequent first), fitted on the training features."""
+    from pyspark.ml.feature import StringIndexer
+
+    f = feat.process_features(h9_train_features(spark, sf), labelled=True).withColumn(
+        "label", F.col("label").cast("double"))
+    m = StringIndexer(inputCol="label", outputCol="idx").fit(f)
+    return spark.createDataFrame([(lab, float(i)) for i, lab in enumerate(m.labels)], "label string, label_index double")
+
+
+@register("h3_categorical_slots", f"""
+WITH f AS ({_processed_sql(fx.TRAIN_DAYS)})
+{" UNION ALL ".join(f"SELECT {i} AS slot, COUNT(DISTINCT {c}) <= 10 AS categorical FROM f" for i, c in enumerate(feat.FEATURE_COLS))}""")
+def h3_categorical_slots(spark, sf):
+    """Feature slots that VectorIndexer(maxCategories=10) treats as categorical."""
+    from pyspark.ml.feature import VectorIndexer
+
+    v = feat.assemble(feat.process_features(h9_train_features(spark, sf), labelled=True))
+    m = VectorIndexer(inputCol="features", outputCol="idx", maxCategories=10, handleInvalid="keep").fit(v)
+    cats = set(m.categoryMaps)
+    return spark.createDataFrame([(i, i in cats) for i in range(len(feat.FEATURE_COLS))],
+                                 "slot int, categorical boolean")
+
+
+@register("l13_sse_k1", f"""{_LONG}
+SELECT CAST(printf('%.11e', SUM(v)) AS DOUBLE) AS sse FROM (SELECT var_pop(x) * COUNT(*) AS v FROM long GROUP BY feature) t""")
+def l13_sse_k1(spark, sf):
+    """Within-cluster sum of squares for one cluster (k = 1: total sum of squares)."""
+    return spark.createDataFrame([(clu.total_sum_of_squares(churn_train(spark, sf), _B),)], "sse double") \
+        .select(round_sig("sse", 12).alias("sse"))
