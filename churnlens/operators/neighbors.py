@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlens.functions.ranking import ordinal_within
+from churnlens.session import ship_package
 
 BLOCK_ROWS = 20_000
-CHUNK = 512
+CHUNK = 2048
+REF_ROWS_PER_PARTITION = 50_000
 
 
 def _sq_dist(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -35,6 +37,23 @@ def _sq_dist(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return acc
 
 
+def _smallest_k(d: np.ndarray, ids: np.ndarray, k: int):
+    """Per row of ``d``: positions of the k smallest values, ties to the smaller id.
+
+    ``argpartition`` finds the k smallest in linear time; rows where the k-th
+    value is tied with values outside that set are redone with an exact
+    (distance, id) sort, so the answer never depends on the tie order."""
+    m, w = d.shape
+    if w <= k:
+        return np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)
+    part = np.argpartition(d, k - 1, axis=1)[:, :k]
+    kth = np.take_along_axis(d, part, 1).max(1)
+    tied = np.nonzero((d <= kth[:, None]).sum(1) > k)[0]
+    for r in tied:
+        part[r] = np.lexsort((ids, d[r]))[:k]
+    return part
+
+
 def _local_topk(block, k: int, exclude_self: bool):
     q_ids, q_vals = block
 
@@ -54,9 +73,10 @@ def _local_topk(block, k: int, exclude_self: bool):
                 d = _sq_dist(q_vals, xs)
                 if exclude_self:
                     d[q_ids[:, None] == xis[None, :]] = np.inf
-                cd = np.concatenate([best_d, d], axis=1)
-                ci = np.concatenate([best_i, np.broadcast_to(xis, d.shape)], axis=1)
-                cy = np.concatenate([best_y, np.broadcast_to(xys, d.shape)], axis=1)
+                sel = _smallest_k(d, xis, k)
+                cd = np.concatenate([best_d, np.take_along_axis(d, sel, 1)], axis=1)
+                ci = np.concatenate([best_i, xis[sel]], axis=1)
+                cy = np.concatenate([best_y, xys[sel]], axis=1)
                 order = np.lexsort((ci, cd), axis=1)[:, :k]
                 best_d = np.take_along_axis(cd, order, 1)
                 best_i = np.take_along_axis(ci, order, 1)
@@ -80,8 +100,17 @@ def knn(ref: DataFrame, query: DataFrame, k: int = 5, exclude_self: bool = False
     ``y`` (double label, may be null).
     """
     spark = ref.sparkSession
+    ship_package(spark)
     r = ref.select(F.col("id").alias("_rid"), F.col("x").alias("_x"),
                    F.col("y").cast("double").alias("_ry") if "y" in ref.columns else F.lit(None).cast("double").alias("_ry"))
+    # Every query block scans the whole reference side: spread it over the
+    # cluster (at least the default parallelism, at most REF_ROWS_PER_PARTITION
+    # rows per task) and keep it for the block loop.
+    r = r.persist()
+    n_ref = r.count()
+    n_parts = max(spark.sparkContext.defaultParallelism, -(-n_ref // REF_ROWS_PER_PARTITION))
+    r = r.repartition(n_parts)
+    query = query.select("id", "x").persist()
     n_query = query.count()
     blocks = max(1, -(-n_query // block_rows))
     q = ordinal_within(query.select("id", "x"), [], ["id"], "_qi", "_qn") if blocks > 1 else query.select("id", "x")

@@ -22,6 +22,7 @@ def smote(points: DataFrame, k: int = 5, seed: int = 2, minority: float | None =
 
     Returns (draw, base_id, nb_id, x, y) - one row per synthetic sample.
     """
+    points = points.select("id", "x", "y").persist()  # read by the counts, the index and the kNN
     counts = {r.y: r.n for r in points.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if minority is None:
         minority = min(counts, key=lambda c: (counts[c], c))

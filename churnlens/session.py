@@ -59,3 +59,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for intermediate tables inside the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "churnlens", name)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``churnlens`` importable in executor Python workers (once per app).
+
+    Python-side tasks (``mapInPandas``) unpickle functions by module name, so
+    the package is zipped and handed to ``addPyFile``, which distributes it
+    with the job like any other dependency."""
+    import shutil
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    stage = tempfile.mkdtemp(prefix="churnlens-pkg-")
+    archive = shutil.make_archive(os.path.join(stage, "churnlens"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="churnlens")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
