@@ -790,3 +790,41 @@ def l13_sse_k1(spark, sf):
     """Within-cluster sum of squares for one cluster (k = 1: total sum of squares)."""
     return spark.createDataFrame([(clu.total_sum_of_squares(churn_train(spark, sf), _B),)], "sse double") \
         .select(round_sig("sse", 12).alias("sse"))
+
+
+# --- back-test over stored predictions (C5, H8, I1, I2 with a DuckDB twin) --------
+
+def _rule_predictions(spark, sf) -> DataFrame:
+    """Stand-in stored predictions for the scored month: churn when the user cancelled."""
+    f = b9_scored_processed(spark, sf)
+    return f.select("user_id", F.when(F.col("userCancel") >= 1, 1.0).otherwise(0.0).alias("predictedLabel"))
+
+
+_BACKTEST = f"""
+WITH {sql.USERS_CTE.strip()},
+f AS ({_processed_sql(fx.SCORED_DAYS, labelled=False)}),
+pred AS (SELECT user_id, CASE WHEN userCancel >= 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS predictedLabel FROM f),
+j AS (SELECT pred.user_id, pred.predictedLabel,
+             CASE WHEN CAST(nns_state AS DOUBLE) = 4 OR CAST(nns_state AS DOUBLE) = 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS label
+      FROM pred JOIN nnsuser ON pred.user_id = nnsuser.nns_id)"""
+
+
+@register("h8_backtest_stored_rows", f"{_BACKTEST}\nSELECT user_id, predictedLabel, label FROM j")
+def h8_backtest_stored_rows(spark, sf):
+    """Stored predictions joined to the later account snapshot and labelled."""
+    rows, _ = mdl.backtest(_rule_predictions(spark, sf), fx.user_state(spark, sf))
+    return rows
+
+
+@register("h8_backtest_stored_metrics", f"""{_BACKTEST},
+c AS (SELECT label, predictedLabel AS prediction, COUNT(*) AS n FROM j GROUP BY 1, 2),
+per AS (SELECT a.cls, a.na, COALESCE(t.tp, 0) AS tp, COALESCE(p.np, 0) AS np
+        FROM (SELECT label AS cls, SUM(n) AS na FROM c GROUP BY 1) a
+        LEFT JOIN (SELECT label AS cls, n AS tp FROM c WHERE label = prediction) t ON a.cls = t.cls
+        LEFT JOIN (SELECT prediction AS cls, SUM(n) AS np FROM c GROUP BY 1) p ON a.cls = p.cls)
+SELECT SUM(na / (SELECT SUM(na) FROM per) * CASE WHEN np > 0 THEN tp / np ELSE 0 END) AS weightedPrecision,
+       SUM(na / (SELECT SUM(na) FROM per) * tp / na) AS weightedRecall FROM per""")
+def h8_backtest_stored_metrics(spark, sf):
+    """weightedPrecision / weightedRecall of stored predictions against the later snapshot."""
+    _, m = mdl.backtest(_rule_predictions(spark, sf), fx.user_state(spark, sf))
+    return m
