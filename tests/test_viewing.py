@@ -43,3 +43,10 @@ def test_heavy_user_split_equals_plain_lead(spark):
     assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
     one_row_slices = watch_gaps(play, rows_per_chunk=1).select("event_id", "gap_ms")
     assert one_row_slices.exceptAll(plain).count() == 0
+
+
+def test_gap_small_every_user_split(spark):
+    # rows_per_chunk=1 slices every user, including the null-time row of u3
+    g = watch_gaps(_gap_small(spark), rows_per_chunk=1).where(F.col("gap_ms").isNotNull())
+    got = sorted((r.user_id, r.video_type, r.gap_ms) for r in g.collect())
+    assert got == sorted([("u1", "vod", 60000), ("u1", "live", 0), ("u1", "vod", 120000), ("u3", "live", 60)])
