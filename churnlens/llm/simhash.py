@@ -37,7 +37,8 @@ from churnlens.session import ensure_checkpoint_dir, ship_package
 BITS = 128
 RADIUS = 4
 BLOCKS = 5
-_STEP = 4096  # terms voted at a time
+_BYTE_AT = np.arange(BITS // 8) * 256
+_BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(float)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,11 +65,10 @@ def fingerprint(text: str, hashes: WordHashes) -> np.ndarray:
         more, counts = np.unique(runs, return_counts=True)
         terms, weights = np.concatenate([terms, more]), np.concatenate([weights, _weights(counts, 2)])
     lanes = np.stack([_mix(terms + np.uint64(0x9E3779B97F4A7C15)), _mix(terms ^ np.uint64(0xD1B54A32D192ED03))], axis=1)
-    votes = np.zeros(BITS)
-    for k in range(0, len(lanes), _STEP):
-        bits = np.unpackbits(lanes[k:k + _STEP].byteswap().view(np.uint8), axis=1)
-        votes += weights[k:k + _STEP] @ bits.astype(np.float32).astype(np.float64)
-    return np.packbits(2 * votes > weights.sum()).view(">u8").astype(np.uint64)
+    # Weight of each value of each of the 16 hash bytes, then of each bit of the values.
+    cells = lanes.byteswap().view(np.uint8) + _BYTE_AT
+    votes = np.bincount(cells.ravel(), np.repeat(weights, BITS // 8), 32 * BITS).reshape(BITS // 8, 256) @ _BITS_OF
+    return np.packbits(2 * votes.ravel() > weights.sum()).view(">u8").astype(np.uint64)
 
 
 def _hex(fp: np.ndarray) -> str:
@@ -141,7 +141,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     ordered = (docs.select(id_in("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-               .repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text"))
+               .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text"))
     done = ordered.mapInPandas(_stream, _STREAM).checkpoint()
     # The numbers of the partitions that have rows (no ids, no texts).
     parts = sorted(r[0] for r in done.where("edge = 2").select("part").collect())

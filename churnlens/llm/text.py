@@ -8,7 +8,6 @@ Spark-column form and a Python form are kept here so that they agree.
 from __future__ import annotations
 
 import re
-import string
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[ \x09-\x0D]+"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +54,8 @@ def let(value: Column, body) -> Column:
 
 
 def lower_ascii(text: str) -> str:
-    return text.translate(_LOWER)
+    """A-Z to a-z, as ``bytes.lower`` does."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 class WordHashes(dict):
