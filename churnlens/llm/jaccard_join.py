@@ -12,18 +12,24 @@ Jaccard distance d = 1 - |x n y| / |x u y| is a metric, so d(x, y) <= r implies
    share a rim shingle becomes a pivot; a set belongs to the region of every pivot it
    shares one with, which replicates the sets that lie between regions.  A pair within
    r always has a region in common.
-3. A region is joined exactly, in one task if it is small.  Above ``LEAF`` sets it picks
+3. A set's shingle counts over ``PARTS`` fixed parts of the universe are its distances to
+   as many fixed pivots in the symmetric-difference metric; the triangle inequality over
+   them drops, before any set is moved, the members of a region that no other member can
+   be within r of.
+4. A region is joined exactly, in one task if it is small.  Above ``LEAF`` sets it picks
    pivots, measures all sets against them, gives each set to its nearest pivot (Voronoi
    cells) and copies it to each cell q with d(x, q) <= d(x, nearest) + 2r (the triangle
    inequality puts every partner of a cell's set in that window); cells join recursively.
    Cells that do not get smaller, and leaves, are joined by exact overlap counts.
-4. A region above ``BLOCK`` sets is dealt into blocks, and pairs of blocks are joined like
+5. A region above ``BLOCK`` sets is dealt into blocks, and pairs of blocks are joined like
    regions, so no task holds more than two blocks.  A region returns a spanning forest of
    its links (at most one edge for each set), never all pairs.
-5. Edges of all regions meet in ``graph.components``.
+6. Edges of all regions meet in ``graph.components``.
 
 The order of shingles affects speed only; it comes from counts of all shingles of all
-texts in a table of fixed size (``2 ** ORDER_BITS`` counters, the one broadcast).
+texts in a table of fixed size (``2 ** ORDER_BITS`` counters).  The documents whose sets are
+built are told by a filter of ``2 ** WANTED_BITS`` bits, which lets others through at worst.
+These two are all that is broadcast.
 
 Defined results: null and empty texts, and texts without words, have an empty set and
 are linked with nothing; a text of fewer words than n is one shingle; equal sets are
@@ -40,94 +46,132 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.llm.graph import components
-from churnlens.llm.text import NO_ID, WORD, WordHashes, id_in, id_out, lower_ascii
+from churnlens.llm.text import NO_ID, id_in, id_out, mix, word_hashes
 from churnlens.session import ensure_checkpoint_dir, ship_package
 
 ORDER_BITS = 17
 LEAF = 128          # sets joined by overlap counts without another split
 PIVOTS = 8          # pivots of a split
-BLOCK = 1024        # sets of one block
-BLOCK_SHINGLES = 4_000_000
+BLOCK = 512         # sets of one block
+PARTS = 64          # parts of the universe that a sketch counts
+WANTED_BITS = 24    # size of the filter on the documents whose sets are built
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (public constants of SplitMix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None, n: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct n-gram hashes of the whole text."""
-    words = WORD.findall(lower_ascii(text or ""))
-    if not words:
+def shingles(ids: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the word n-grams of a text, from its word hashes; repeats included."""
+    if not len(ids):
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     k = min(n, len(ids))
     out = np.full(len(ids) - k + 1, k, np.uint64)
     for j in range(k):
-        out = _mix(out + ids[j:len(ids) - k + 1 + j])
-    return np.unique(out)
+        out = mix(out + ids[j:len(ids) - k + 1 + j])
+    return out
 
 
 def signature(sh: np.ndarray) -> tuple[int, int]:
     """128 bits that stand for a set, as two signed 64-bit numbers."""
-    a, b = _mix(sh + np.uint64(0x9E3779B97F4A7C15)), _mix(sh ^ np.uint64(0xD1B54A32D192ED03))
+    a, b = mix(sh + np.uint64(0x9E3779B97F4A7C15)), mix(sh ^ np.uint64(0xD1B54A32D192ED03))
     return int(a.sum().astype(np.int64)), int((b.sum() ^ np.uint64(len(sh))).astype(np.int64))
 
 
+def sketch(sh: np.ndarray) -> bytes:
+    """Shingles per part of the universe (``PARTS`` parts, at most 255 counted)."""
+    return np.minimum(np.bincount((sh & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
 def _buckets(sh: np.ndarray) -> np.ndarray:
     return (sh >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
 
-_FACTS = "doc_id long, n long, s1 long, s2 long, bucket int, total long"
+def _slices(batches, *columns):
+    """Lists of the columns, a bounded number of rows at a time."""
+    for pdf in batches:
+        for k in range(0, len(pdf), 256):
+            yield [list(pdf[c][k:k + 256]) for c in columns]
 
 
-def _facts(n: int):
+def _occurrences(n: int):
     def run(batches):
-        hashes, totals = WordHashes(), np.zeros(1 << ORDER_BITS, np.int64)
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                sh = shingles(text, n, hashes)
-                np.add.at(totals, _buckets(sh), 1)
-                rows.append((len(sh), *signature(sh)))
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out.assign(bucket=None, total=None)
+        totals = np.zeros(1 << ORDER_BITS, np.int64)
+        for (texts,) in _slices(batches, "text"):
+            found = [shingles(ids, n) for ids in word_hashes(texts)]
+            totals += np.bincount(_buckets(np.concatenate(found)), minlength=len(totals)) if found else 0
         used = np.flatnonzero(totals)
-        yield pd.DataFrame({"doc_id": None, "n": None, "s1": None, "s2": None, "bucket": used, "total": totals[used]})
+        yield pd.DataFrame({"bucket": used, "total": totals[used]})
 
     return run
 
 
-def _rims(n: int, percent: int, order):
+_FACTS = "doc_id long, n long, s1 long, s2 long, sketch binary, rim array<long>"
+
+
+def _facts(n: int, percent: int, order):
     def run(batches):
-        hashes, totals = WordHashes(), order.value
-        for pdf in batches:
+        totals = order.value
+        for ids, texts in _slices(batches, "doc_id", "text"):
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                sh = shingles(text, n, hashes)
-                if len(sh):
-                    rim = len(sh) - -(-percent * len(sh) // 100) + 1
-                    weight = totals[_buckets(sh)]
-                    rare = np.lexsort((sh, weight))[:rim]
-                    rows.append((doc_id, *signature(sh), sh[rare].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "s1", "s2", "rim"])
+            for doc_id, words in zip(ids, word_hashes(texts)):
+                sh = np.unique(shingles(words, n))
+                rim = len(sh) - -(-percent * len(sh) // 100) + 1 if len(sh) else 0
+                # sh is sorted, so a stable sort orders by (count, hash).
+                rare = np.argsort(totals[_buckets(sh)], kind="stable")[:rim]
+                rows.append((doc_id, len(sh), *signature(sh), sketch(sh), sh[rare].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "sketch", "rim"])
 
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, wanted):
+    """Sets of the documents whose id may be wanted."""
     def run(batches):
-        hashes = WordHashes()
+        bits = wanted.value
         for pdf in batches:
-            rows = []
-            for rep, text, s1, s2 in zip(pdf["rep"], pdf["text"], pdf["s1"], pdf["s2"]):
-                sh = shingles(text, n, hashes)
-                if signature(sh) == (s1, s2):
-                    rows.append((rep, sh.tobytes()))
-            yield pd.DataFrame(rows, columns=["rep", "shingles"])
+            at = _bit_at(pdf["doc_id"].to_numpy())
+            pdf = pdf[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            for ids, texts in _slices([pdf], "doc_id", "text"):
+                rows = []
+                for doc_id, words in zip(ids, word_hashes(texts)):
+                    sh = np.unique(shingles(words, n))
+                    rows.append((doc_id, *signature(sh), sh.tobytes()))
+                yield pd.DataFrame(rows, columns=["rep", "s1", "s2", "shingles"])
+
+    return run
+
+
+def _bit_at(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+
+
+def _wanted_words(batches):
+    for pdf in batches:
+        at = np.unique(_bit_at(pdf["rep"].to_numpy()))
+        yield pd.DataFrame({"word": at >> 5, "bits": np.int64(1) << (at & 31)})
+
+
+def may_link(sizes: np.ndarray, sketches: np.ndarray, others: np.ndarray, other_sketches: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs the triangle inequality leaves: sets within r differ in at most
+    (1 - t)(|x| + |y|) / (1 + t) shingles, and their counts differ by no more than that
+    in total."""
+    apart = np.abs(sketches[:, None, :].astype(np.int16) - other_sketches[None, :, :].astype(np.int16)).sum(axis=2, dtype=np.int64)
+    apart = np.maximum(apart, np.abs(sizes[:, None] - others[None, :]))
+    return apart * (100 + percent) <= (100 - percent) * (sizes[:, None] + others[None, :])
+
+
+def _possible(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("rep").sort_values("n")
+        sizes = pdf["n"].to_numpy()
+        counts = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), PARTS)
+        keep = np.zeros(len(pdf), bool)
+        for k in range(0, len(pdf), 64):
+            # Sizes are sorted: partners lie in a window.
+            a = np.searchsorted(sizes, sizes[k] * percent // 100)
+            b = np.searchsorted(sizes, -(-sizes[min(k + 63, len(pdf) - 1)] * 100 // percent), side="right")
+            hit = may_link(sizes[k:k + 64], counts[k:k + 64], sizes[a:b], counts[a:b], percent)
+            own = np.arange(k, min(k + 64, len(pdf)))
+            hit[own - k, own - a] = False
+            keep[k:k + 64] = hit.any(axis=1)
+        return pdf.loc[keep, ["pivot", "i", "j", "rep"]]
 
     return run
 
@@ -233,6 +277,14 @@ def _region_edges(percent: int):
     return run
 
 
+def _dealt(members: DataFrame, blocks) -> DataFrame:
+    """Rows (pivot, i, j, rep): each set in every pair of blocks that holds its own."""
+    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    return (members.withColumn("blocks", blocks.cast("int")).withColumn("mine", mine)
+            .select("pivot", "rep", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            .select("pivot", "rep", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+
+
 def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs``: documents link when
     100 |x n y| >= percent |x u y|; a component's id is its smallest document id."""
@@ -241,35 +293,38 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     ship_package(spark)
     texts = docs.select(id_in("doc_id").alias("doc_id"), "text")
 
-    facts = texts.mapInPandas(_facts(n), _FACTS).checkpoint()
-    rows = facts.where("bucket is null").select(id_out("doc_id").alias("doc_id"), "n", "s1", "s2")
     # At most 2 ** ORDER_BITS counters, whatever the input.
-    counted = facts.where("bucket is not null").groupBy("bucket").agg(F.sum("total").alias("total")).toPandas()
+    counted = (texts.select("text").mapInPandas(_occurrences(n), "bucket int, total long")
+               .groupBy("bucket").agg(F.sum("total").alias("total")).toPandas())
     totals = np.zeros(1 << ORDER_BITS, np.int64)
     totals[counted["bucket"].to_numpy(dtype=np.int64)] = counted["total"].to_numpy(dtype=np.int64)
     order = spark.sparkContext.broadcast(totals)
 
+    facts = texts.mapInPandas(_facts(n, percent, order), _FACTS).checkpoint()
+    rows = facts.select(id_out("doc_id").alias("doc_id"), "n", "s1", "s2")
     classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).checkpoint()
-    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), "s1", "s2")
-    index = (texts.where(F.col("doc_id") != NO_ID).mapInPandas(_rims(n, percent, order), "doc_id long, s1 long, s2 long, rim array<long>")
-             .join(reps, ["doc_id", "s1", "s2"]).select("doc_id", F.explode("rim").alias("shingle")))
+    reps = facts.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"])
+    index = reps.select("doc_id", F.explode("rim").alias("shingle"))
     pivots = (index.groupBy("shingle").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_last"))
               .where("pivot < _last").select("shingle", "pivot"))
-    members = (index.join(pivots, "shingle").select("pivot", F.col("doc_id").alias("rep")).distinct()
-               .join(classes.select("rep", "s1", "s2", "n"), "rep").checkpoint())
-
-    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("w"))
-    blocks = F.greatest(F.ceil(F.col("g") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int")
-    placed = members.join(sizes.select("pivot", blocks.alias("blocks")), "pivot")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    placed = (placed.withColumn("mine", mine)
-              .select("pivot", "rep", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-              .select("pivot", "rep", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
-
-    wanted = members.select("rep", "s1", "s2").distinct()
-    sets = (texts.join(wanted, texts["doc_id"] == wanted["rep"]).select("rep", "text", "s1", "s2")
-            .mapInPandas(_sets(n), "rep long, shingles binary"))
-    edges = (placed.join(sets, "rep").groupBy("pivot", "i", "j")
+    members = index.join(pivots, "shingle").select("pivot", F.col("doc_id").alias("rep")).distinct().checkpoint()
+
+    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("g"))
+    small = facts.select(F.col("doc_id").alias("rep"), "n", "sketch", "s1", "s2")
+    placed = _dealt(members.join(sizes, "pivot"), F.ceil(F.col("g") / BLOCK)).join(
+        small.join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "rep")
+    near = (placed.select("pivot", "i", "j", "rep", "n", "sketch").groupBy("pivot", "i", "j")
+            .applyInPandas(_possible(percent), "pivot long, i int, j int, rep long").checkpoint())
+
+    # At most 2 ** (WANTED_BITS - 5) words, whatever the input.
+    words = (near.select("rep").mapInPandas(_wanted_words, "word long, bits long")
+             .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas())
+    bits = np.zeros(1 << (WANTED_BITS - 5), np.uint32)
+    bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    wanted = spark.sparkContext.broadcast(bits.view(np.uint8))
+    sets = (texts.mapInPandas(_sets(n, wanted), "rep long, s1 long, s2 long, shingles binary")
+            .join(classes, ["rep", "s1", "s2"]).select("rep", "shingles"))
+    edges = (near.join(sets, "rep").groupBy("pivot", "i", "j")
              .applyInPandas(_region_edges(percent), "a long, b long"))
     roots = components(edges)
 

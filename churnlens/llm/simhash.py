@@ -31,40 +31,32 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.text import WORD, WordHashes, id_in, id_out, lower_ascii
+from churnlens.llm.text import id_in, id_out, mix, word_hashes
 from churnlens.session import ensure_checkpoint_dir, ship_package
 
 BITS = 128
 RADIUS = 4
 BLOCKS = 5
+_ROWS = 256  # texts worked on at a time
 _BYTE_AT = np.arange(BITS // 8) * 256
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(float)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser (public constants of SplitMix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _weights(counts: np.ndarray, scale: int) -> np.ndarray:
     return scale * (1 + np.floor(np.log2(counts)))
 
 
-def fingerprint(text: str, hashes: WordHashes) -> np.ndarray:
-    """Two uint64 (high, low half of the 128 bits)."""
-    words = WORD.findall(lower_ascii(text))
-    if not words:
+def fingerprint(ids: np.ndarray) -> np.ndarray:
+    """Two uint64 (high, low half of the 128 bits) from the word hashes of a text."""
+    if not len(ids):
         return np.zeros(2, np.uint64)
-    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     terms, counts = np.unique(ids, return_counts=True)
     weights = _weights(counts, 1)
     if len(ids) > 2:
-        runs = _mix(_mix(_mix(ids[:-2]) + ids[1:-1]) + ids[2:])
+        runs = mix(mix(mix(ids[:-2]) + ids[1:-1]) + ids[2:])
         more, counts = np.unique(runs, return_counts=True)
         terms, weights = np.concatenate([terms, more]), np.concatenate([weights, _weights(counts, 2)])
-    lanes = np.stack([_mix(terms + np.uint64(0x9E3779B97F4A7C15)), _mix(terms ^ np.uint64(0xD1B54A32D192ED03))], axis=1)
+    lanes = np.stack([mix(terms + np.uint64(0x9E3779B97F4A7C15)), mix(terms ^ np.uint64(0xD1B54A32D192ED03))], axis=1)
     # Weight of each value of each of the 16 hash bytes, then of each bit of the values.
     cells = lanes.byteswap().view(np.uint8) + _BYTE_AT
     votes = np.bincount(cells.ravel(), np.repeat(weights, BITS // 8), 32 * BITS).reshape(BITS // 8, 256) @ _BITS_OF
@@ -92,33 +84,41 @@ _NAMES = [x.split()[0] for x in _RESULT.split(", ")]
 _STREAM = _RESULT + ", part int, edge int, text string"
 
 
-def _result(doc_id, text, fp, next_text, next_fp, hashes) -> list:
-    new = edited(text, next_text)
-    new_fp = fp if new == text else fingerprint(new, hashes)
-    return [doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), _hex(fp), _hex(new_fp),
-            likeness(fp, new_fp), likeness(fp, next_fp)]
+def fingerprints(texts: list[str]) -> list[np.ndarray]:
+    return [fingerprint(ids) for ids in word_hashes(texts)]
+
+
+def _results(rows) -> list[list]:
+    """Result rows of (doc_id, text, fingerprint, next text, next fingerprint)."""
+    news = [edited(text, following) for _, text, _, following, _ in rows]
+    out = []
+    for (doc_id, text, fp, _, next_fp), new, new_fp in zip(rows, news, fingerprints(news)):
+        out.append([doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), _hex(fp),
+                    _hex(new_fp), likeness(fp, new_fp), likeness(fp, next_fp)])
+    return out
 
 
 def _stream(batches):
     """Ascending ids of one partition: a row's next document is the row before it.
     The first row (edge 1) and the last row (edge 2) leave with their text."""
-    part, hashes, last = TaskContext.get().partitionId(), WordHashes(), None
+    part, last, names = TaskContext.get().partitionId(), None, [*_NAMES, "part", "edge", "text"]
+
+    def edge(row, kind):
+        doc_id, text, fp = row
+        return _frame([[doc_id, len(text), None, _hex(fp), None, None, None, part, kind, text]], names)
+
     for pdf in batches:
-        rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            fp = last[2] if last is not None and last[1] == text else fingerprint(text, hashes)
+        for k in range(0, len(pdf), _ROWS):
+            ids, texts = list(pdf["doc_id"][k:k + _ROWS]), list(pdf["text"][k:k + _ROWS])
+            rows = list(zip(ids, texts, fingerprints(texts)))
             if last is None:
-                rows.append([doc_id, len(text), None, _hex(fp), None, None, None, part, 1, text])
-            else:
-                rows.append([*_result(doc_id, text, fp, last[1], last[2], hashes), part, 0, None])
-            last = (doc_id, text, fp)
-            if len(rows) >= 512:
-                yield _frame(rows, [*_NAMES, "part", "edge", "text"])
-                rows = []
-        if rows:
-            yield _frame(rows, [*_NAMES, "part", "edge", "text"])
+                yield edge(rows[0], 1)
+            pairs = [(*row, *before[1:]) for before, row in zip([*([last] if last else []), *rows], rows if last else rows[1:])]
+            if pairs:
+                yield _frame([[*r, part, 0, None] for r in _results(pairs)], names)
+            last = rows[-1]
     if last is not None:
-        yield _frame([[last[0], len(last[1]), None, _hex(last[2]), None, None, None, part, 2, last[1]]], [*_NAMES, "part", "edge", "text"])
+        yield edge(last, 2)
 
 
 def _frame(rows, names) -> pd.DataFrame:
@@ -126,13 +126,12 @@ def _frame(rows, names) -> pd.DataFrame:
 
 
 def _finish(batches):
-    hashes = WordHashes()
     for pdf in batches:
-        rows = []
-        for doc_id, text, following in zip(pdf["doc_id"], pdf["text"], pdf["next_text"]):
-            fp, next_fp = fingerprint(text, hashes), fingerprint(following, hashes)
-            rows.append(_result(doc_id, text, fp, following, next_fp, hashes))
-        yield _frame(rows, _NAMES)
+        for k in range(0, len(pdf), _ROWS):
+            part = pdf[k:k + _ROWS]
+            texts, following = list(part["text"]), list(part["next_text"])
+            rows = list(zip(part["doc_id"], texts, fingerprints(texts), following, fingerprints(following)))
+            yield _frame(_results(rows), _NAMES)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
