@@ -12,7 +12,7 @@ Jaccard distance d = 1 - |x n y| / |x u y| is a metric, so d(x, y) <= r implies
    share a rim shingle becomes a pivot; a set belongs to the region of every pivot it
    shares one with, which replicates the sets that lie between regions.  A pair within
    r always has a region in common.
-3. A set's shingle counts over ``PARTS`` fixed parts of the universe are its distances to
+3. A set's shingle counts over fixed parts of the universe are its distances to
    as many fixed pivots in the symmetric-difference metric; the triangle inequality over
    them drops, before any set is moved, the members of a region that no other member can
    be within r of.
@@ -53,7 +53,7 @@ ORDER_BITS = 17
 LEAF = 128          # sets joined by overlap counts without another split
 PIVOTS = 8          # pivots of a split
 BLOCK = 512         # sets of one block
-PARTS = 64          # parts of the universe that a sketch counts
+PARTS = 1024        # most parts of the universe that a sketch counts
 WANTED_BITS = 24    # size of the filter on the documents whose sets are built
 
 
@@ -75,8 +75,10 @@ def signature(sh: np.ndarray) -> tuple[int, int]:
 
 
 def sketch(sh: np.ndarray) -> bytes:
-    """Shingles per part of the universe (``PARTS`` parts, at most 255 counted)."""
-    return np.minimum(np.bincount((sh & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+    """Shingles per part of the universe, about 16 in a part; the number of parts is a
+    power of two from 16 to ``PARTS``, so a finer sketch folds into a coarser one."""
+    parts = min(PARTS, 1 << max(4, (len(sh) >> 4).bit_length()))
+    return np.bincount((sh & np.uint64(parts - 1)).astype(np.int64), minlength=parts).astype(np.uint32).tobytes()
 
 
 def _buckets(sh: np.ndarray) -> np.ndarray:
@@ -148,30 +150,60 @@ def _wanted_words(batches):
         yield pd.DataFrame({"word": at >> 5, "bits": np.int64(1) << (at & 31)})
 
 
-def may_link(sizes: np.ndarray, sketches: np.ndarray, others: np.ndarray, other_sketches: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs the triangle inequality leaves: sets within r differ in at most
-    (1 - t)(|x| + |y|) / (1 + t) shingles, and their counts differ by no more than that
-    in total."""
-    apart = np.abs(sketches[:, None, :].astype(np.int16) - other_sketches[None, :, :].astype(np.int16)).sum(axis=2, dtype=np.int64)
-    apart = np.maximum(apart, np.abs(sizes[:, None] - others[None, :]))
-    return apart * (100 + percent) <= (100 - percent) * (sizes[:, None] + others[None, :])
+def may_link(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets, sorted by size, have a possible partner among the others.
+
+    Sets within r differ in at most (1 - t)(|x| + |y|) / (1 + t) shingles, hence in size
+    and, summed over any parts of the universe, in counts by no more than that."""
+    keep = np.zeros(len(sizes), bool)
+    first = np.searchsorted(sizes, -(-sizes * percent // 100))  # smaller partners begin here
+    folded: dict[int, tuple[int, np.ndarray]] = {}
+    for k in range(1, len(sizes)):
+        a = int(first[k])
+        if a >= k:
+            continue
+        parts = len(sketches[a])
+        if parts not in folded:
+            folded[parts] = a, np.array([s.reshape(-1, parts).sum(axis=0) for s in sketches[a:]], np.int64)
+        start, counts = folded[parts]
+        apart = np.abs(counts[a - start:k - start] - counts[k - start]).sum(axis=1)
+        hit = apart * (100 + percent) <= (100 - percent) * (sizes[a:k] + sizes[k])
+        if hit.any():
+            keep[k] = True
+            keep[a:k] |= hit
+    return keep
+
+
+_KEYS = ["pivot", "i", "j"]
+
+
+def _groups(batches, columns):
+    """Groups of rows that arrive sorted by ``_KEYS``, as dicts of arrays."""
+    rest = None
+    for pdf in batches:
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        keys = pdf[_KEYS].to_numpy()
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        arrays = {c: pdf[c].to_numpy() for c in columns}
+        for a, b in zip([0, *cuts], cuts):
+            yield keys[a], {c: v[a:b] for c, v in arrays.items()}
+        rest = pdf[cuts[-1] if len(cuts) else 0:]
+    if rest is not None and len(rest):
+        yield rest[_KEYS].to_numpy()[0], {c: rest[c].to_numpy() for c in columns}
 
 
 def _possible(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rep").sort_values("n")
-        sizes = pdf["n"].to_numpy()
-        counts = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), PARTS)
-        keep = np.zeros(len(pdf), bool)
-        for k in range(0, len(pdf), 64):
-            # Sizes are sorted: partners lie in a window.
-            a = np.searchsorted(sizes, sizes[k] * percent // 100)
-            b = np.searchsorted(sizes, -(-sizes[min(k + 63, len(pdf) - 1)] * 100 // percent), side="right")
-            hit = may_link(sizes[k:k + 64], counts[k:k + 64], sizes[a:b], counts[a:b], percent)
-            own = np.arange(k, min(k + 64, len(pdf)))
-            hit[own - k, own - a] = False
-            keep[k:k + 64] = hit.any(axis=1)
-        return pdf.loc[keep, ["pivot", "i", "j", "rep"]]
+    def run(batches):
+        out: list[tuple] = []
+        for key, group in _groups(batches, ["rep", "n", "sketch"]):
+            sizes = group["n"]
+            if len(sizes) > 1 and (sizes[:-1] * 100 >= percent * sizes[1:]).any():
+                keep = may_link(sizes, [np.frombuffer(b, np.uint32) for b in group["sketch"]], percent)
+                out += [(*key, r) for r in group["rep"][keep]]
+            if len(out) >= 10_000:
+                yield pd.DataFrame(out, columns=[*_KEYS, "rep"])
+                out = []
+        yield pd.DataFrame(out, columns=[*_KEYS, "rep"])
 
     return run
 
@@ -313,8 +345,8 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     small = facts.select(F.col("doc_id").alias("rep"), "n", "sketch", "s1", "s2")
     placed = _dealt(members.join(sizes, "pivot"), F.ceil(F.col("g") / BLOCK)).join(
         small.join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "rep")
-    near = (placed.select("pivot", "i", "j", "rep", "n", "sketch").groupBy("pivot", "i", "j")
-            .applyInPandas(_possible(percent), "pivot long, i int, j int, rep long").checkpoint())
+    near = (placed.select(*_KEYS, "rep", "n", "sketch").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "n")
+            .mapInPandas(_possible(percent), "pivot long, i int, j int, rep long").checkpoint())
 
     # At most 2 ** (WANTED_BITS - 5) words, whatever the input.
     words = (near.select("rep").mapInPandas(_wanted_words, "word long, bits long")
