@@ -14,8 +14,8 @@ Jaccard distance d = 1 - |x n y| / |x u y| is a metric, so d(x, y) <= r implies
    r always has a region in common.
 3. A set's shingle counts over fixed parts of the universe are its distances to
    as many fixed pivots in the symmetric-difference metric; the triangle inequality over
-   them drops, before any set is moved, the members of a region that no other member can
-   be within r of.
+   them splits a region, before any set is moved, into the groups that possible links
+   connect, and drops the members that no other can be within r of.
 4. A region is joined exactly, in one task if it is small.  Above ``LEAF`` sets it picks
    pivots, measures all sets against them, gives each set to its nearest pivot (Voronoi
    cells) and copies it to each cell q with d(x, q) <= d(x, nearest) + 2r (the triangle
@@ -151,11 +151,12 @@ def _wanted_words(batches):
 
 
 def may_link(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which sets, sorted by size, have a possible partner among the others.
+    """Sets, sorted by size, in groups that possible links connect: per set the first
+    member of its group.
 
     Sets within r differ in at most (1 - t)(|x| + |y|) / (1 + t) shingles, hence in size
     and, summed over any parts of the universe, in counts by no more than that."""
-    keep = np.zeros(len(sizes), bool)
+    group = np.arange(len(sizes))
     first = np.searchsorted(sizes, -(-sizes * percent // 100))  # smaller partners begin here
     folded: dict[int, tuple[int, np.ndarray]] = {}
     for k in range(1, len(sizes)):
@@ -168,10 +169,10 @@ def may_link(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.
         start, counts = folded[parts]
         apart = np.abs(counts[a - start:k - start] - counts[k - start]).sum(axis=1)
         hit = apart * (100 + percent) <= (100 - percent) * (sizes[a:k] + sizes[k])
-        if hit.any():
-            keep[k] = True
-            keep[a:k] |= hit
-    return keep
+        met = np.unique(group[a:k][hit])
+        if len(met):
+            group[np.isin(group, met) | (group == k)] = met[0]
+    return group
 
 
 _KEYS = ["pivot", "i", "j"]
@@ -193,17 +194,22 @@ def _groups(batches, columns):
 
 
 def _possible(percent: int):
+    """Groups of possible links, each a region of its own under its smallest id: the same
+    group met in several regions becomes one."""
     def run(batches):
         out: list[tuple] = []
-        for key, group in _groups(batches, ["rep", "n", "sketch"]):
-            sizes = group["n"]
-            if len(sizes) > 1 and (sizes[:-1] * 100 >= percent * sizes[1:]).any():
-                keep = may_link(sizes, [np.frombuffer(b, np.uint32) for b in group["sketch"]], percent)
-                out += [(*key, r) for r in group["rep"][keep]]
+        for _, group in _groups(batches, ["rep", "n", "sketch"]):
+            reps = group["rep"]
+            if len(reps) > 1:
+                own = may_link(group["n"], [np.frombuffer(b, np.uint32) for b in group["sketch"]], percent)
+                for g, size in zip(*np.unique(own, return_counts=True)):
+                    if size > 1:
+                        members = reps[own == g]
+                        out += [(members.min(), r) for r in members]
             if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=[*_KEYS, "rep"])
+                yield pd.DataFrame(out, columns=["pivot", "rep"])
                 out = []
-        yield pd.DataFrame(out, columns=[*_KEYS, "rep"])
+        yield pd.DataFrame(out, columns=["pivot", "rep"])
 
     return run
 
@@ -309,10 +315,12 @@ def _region_edges(percent: int):
     return run
 
 
-def _dealt(members: DataFrame, blocks) -> DataFrame:
-    """Rows (pivot, i, j, rep): each set in every pair of blocks that holds its own."""
+def _dealt(members: DataFrame) -> DataFrame:
+    """Rows (pivot, i, j, rep): regions above ``BLOCK`` sets are dealt into blocks, and each
+    set is in every pair of blocks that holds its own."""
+    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    return (members.withColumn("blocks", blocks.cast("int")).withColumn("mine", mine)
+    return (members.join(sizes, "pivot").withColumn("mine", mine)
             .select("pivot", "rep", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
             .select("pivot", "rep", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
 
@@ -341,15 +349,21 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
               .where("pivot < _last").select("shingle", "pivot"))
     members = index.join(pivots, "shingle").select("pivot", F.col("doc_id").alias("rep")).distinct().checkpoint()
 
-    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("g"))
-    small = facts.select(F.col("doc_id").alias("rep"), "n", "sketch", "s1", "s2")
-    placed = _dealt(members.join(sizes, "pivot"), F.ceil(F.col("g") / BLOCK)).join(
-        small.join(members.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"]), "rep")
-    near = (placed.select(*_KEYS, "rep", "n", "sketch").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "n")
-            .mapInPandas(_possible(percent), "pivot long, i int, j int, rep long").checkpoint())
+    # Partners have like sizes, and rows of ids and sizes are small: look at those first.
+    by_size = Window.partitionBy(*_KEYS).orderBy("n", "rep")
+    like = lambda small, large: F.coalesce(100 * small >= percent * large, F.lit(False))
+    placed = (_dealt(members).join(facts.select(F.col("doc_id").alias("rep"), "n", "s1", "s2")
+                                   .join(classes.drop("n"), ["rep", "s1", "s2"]).select("rep", "n"), "rep")
+              .withColumns({"_less": F.lag("n").over(by_size), "_more": F.lead("n").over(by_size)})
+              .where(like(F.col("_less"), F.col("n")) | like(F.col("n"), F.col("_more"))).select(*_KEYS, "rep", "n"))
+    sketches = (facts.select(F.col("doc_id").alias("rep"), "sketch", "s1", "s2")
+                .join(classes.drop("n"), ["rep", "s1", "s2"]).select("rep", "sketch"))
+    groups = (placed.join(sketches, "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "n")
+              .mapInPandas(_possible(percent), "pivot long, rep long").distinct().checkpoint())
+    near = _dealt(groups)
 
     # At most 2 ** (WANTED_BITS - 5) words, whatever the input.
-    words = (near.select("rep").mapInPandas(_wanted_words, "word long, bits long")
+    words = (groups.select("rep").mapInPandas(_wanted_words, "word long, bits long")
              .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas())
     bits = np.zeros(1 << (WANTED_BITS - 5), np.uint32)
     bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)

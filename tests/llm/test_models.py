@@ -1,0 +1,118 @@
+"""Rule ensemble, mixing and the pipeline."""
+import random
+
+import numpy as np
+import pytest
+
+from churnlens.llm import mixing
+from churnlens.llm import rule_ensemble as ens
+from churnlens.llm.queries import QUERIES, held_out
+from conftest import SF001, SF01
+
+
+def _corpus(spark, n=240):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(n):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(20, 120))]
+        bad = i % 3 == 0
+        text = " ".join(w + "###" for w in words) if bad else " ".join(words) + "."
+        rows.append((i, text, "x"))
+        labels.append((i, 0 if bad else 1))
+    return spark.createDataFrame(rows, "doc_id long, text string, score string"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+
+def test_ensemble_separates_held_out_rows(spark):
+    docs, labels = _corpus(spark)
+    model = ens.fit(docs, labels.where(~held_out()))
+    assert model.weighted and all(r.terms for r, _ in model.weighted)
+    got = ens.score(docs, model).join(labels, "doc_id").where(held_out()).collect()
+    assert got and all((r.predicted == 1) == (r.quality == 1) and 0 <= r.score <= 1 for r in got)
+
+
+def test_paths_are_the_trees_paths():
+    text = ("DecisionTreeClassificationModel: depth=2\n  If (feature 2 <= 0.5)\n   If (feature 2 <= 0.25)\n    Predict: 1.0\n"
+            "   Else (feature 2 > 0.25)\n    Predict: 0.0\n  Else (feature 2 > 0.5)\n   Predict: 0.0\n")
+    terms = {r.terms for r in ens.paths(text)}
+    assert terms == {(("symbols", True, 0.5),), (("symbols", True, 0.25),), (("symbols", False, 0.25), ("symbols", True, 0.5)),
+                     (("symbols", False, 0.5),)}
+
+
+def test_ensemble_on_odd_tables(spark):
+    docs, labels = _corpus(spark, 12)
+    odd = spark.createDataFrame([(None, None, "k"), (1, "", "k"), (1, "", "k"), (2, "w " * 50_000, "k")], "doc_id long, text string, predicted string")
+    for own, share in ((labels.limit(0), 0.5), (labels.where("quality = 1"), 1 - 1e-6)):
+        model = ens.fit(docs, own)
+        rows = ens.score(odd, model).collect()
+        assert len(rows) == 4 and all(abs(r.score - share) < 1e-9 for r in rows)
+    assert ens.score(odd.limit(0), model).count() == 0
+    assert ens.fit(docs.limit(0), labels).weighted == ()
+
+
+def _plain_rates(tokens, p, goal, floor):
+    """Projected gradient in numpy, run long."""
+    gram = (p * tokens[:, None]).T @ p
+    weight = 1 / gram.sum(axis=1)
+    rate = np.maximum(floor, 1 - p @ np.linalg.lstsq(gram, gram.sum(axis=1) - goal, rcond=1e-9)[0])
+    for _ in range(3_000):
+        rate = np.maximum(floor, rate - p @ (weight * ((rate * tokens) @ p - goal)))
+    return rate
+
+
+@pytest.mark.parametrize("goal, floor", [((600.0, 300.0, 100.0), 0.0), ((10.0, 900.0, 90.0), 0.0), ((900.0, 50.0, 50.0), 0.5)])
+def test_rates_equal_plain_projected_gradient(spark, goal, floor):
+    rng = np.random.default_rng(1)
+    tokens = rng.integers(1, 20, 120).astype(float)
+    p = rng.dirichlet([0.4, 0.3, 0.3], 120)
+    members = spark.createDataFrame([(i, int(t), [float(x) for x in q]) for i, (t, q) in enumerate(zip(tokens, p))],
+                                    "doc_id long, n_tokens long, p array<double>")
+    rows = sorted(mixing.fit_rates(members, list(goal), floor, rounds=200).collect())
+    got = np.array([r.rate for r in rows])
+    want = _plain_rates(tokens, p, np.array(goal), floor)
+    assert got.min() >= floor
+    assert np.allclose((got * tokens) @ p, (want * tokens) @ p, rtol=0, atol=2e-3 * tokens.sum())
+    if floor == 0.0:
+        assert np.allclose((got * tokens) @ p, goal, atol=2e-3 * tokens.sum())
+
+
+def test_mixing_meets_its_shares(spark):
+    got = QUERIES["op2_mixing"](spark, SF01).toPandas()
+    total = got["n_tokens"].sum()
+    for d, share in {"clean": 0.9, "toxic": 0.05, "junk": 0.05}.items():
+        assert abs((got["rate"] * got["n_tokens"] * got[f"p_{d}"]).sum() / total - share) < 1e-3
+    assert np.allclose(got[["p_clean", "p_toxic", "p_junk"]].sum(axis=1), 1)
+
+
+def test_mixing_on_odd_tables(spark):
+    docs = spark.createDataFrame([(None, "a b"), (1, None), (1, "x y z"), (2, "w " * 30_000)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    rows = mixing.mix(docs, none, {"unlabelled": 2.0}, relative="epochs").collect()
+    assert len(rows) == 4 and all(abs(r.rate - 2) < 1e-6 for r in rows if r.n_tokens)
+    one = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "doc_id long, domain string")
+    assert mixing.mix(docs, one, {"a": 1.0}).count() == 4
+    assert mixing.mix(docs.limit(0), one, {"a": 1.0}).count() == 0
+
+
+def test_realise_repeats_rows(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "doc_id long, text string")
+    rates = spark.createDataFrame([(1, 3.0), (2, 0.0), (1, 4.0)], "doc_id long, rate double")
+    assert sorted(r.text for r in mixing.realise(docs, rates).collect()) == ["a", "a", "a", "c", "d"]
+    many = spark.range(4000).selectExpr("id AS doc_id", "'t' AS text")
+    n = mixing.realise(many, many.selectExpr("doc_id", "1.5D AS rate")).count()
+    assert abs(n - 6000) < 200
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as pipe
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select(*pipe.COLUMNS)
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", "s", 0)], docs.schema)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    now = docs.unionByName(odd)
+    for name, stage in pipe.STAGES[:-1]:
+        rows = stage(spark, now, SF001)
+        assert rows.columns == pipe.COLUMNS, name
+        assert all(r.text == texts[r.doc_id] for r in rows.collect() if r.doc_id in texts), name
+        now = rows.checkpoint()
+    last = pipe.STAGES[-1][1](spark, now, SF001).collect()
+    assert last and all(r.round_trip and r.n_tokens == len(r.ids) for r in last)
