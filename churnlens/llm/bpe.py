@@ -26,6 +26,7 @@ import json
 import re
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from churnlens.session import ship_package
 
-KEEP = 300_000
+KEEP = 500_000
 CHUNK = 256  # texts per returned batch
 _NONE = 1 << 60
 
@@ -88,15 +89,13 @@ def merge(ids: list[int], merges: dict) -> list[int]:
     # its children 2i and 2i + 1, so tree[1] is the least of all.
     size = 1 << (n - 1).bit_length()
     level = [get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
-    level += [_NONE] * (size - n + 1)
-    tree = level
-    while len(level) > 1:
-        level = list(map(min, level[::2], level[1::2]))
-        tree = level + tree
-    tree = [_NONE, *tree]
-    least = tree[1]
-    if least == _NONE:
+    if min(level) == _NONE:
         return ids
+    tree = [_NONE] * size + level + [_NONE] * (size - n + 1)
+    for i in range(size - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
+    least = tree[1]
     ids = list(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while least != _NONE:
@@ -148,11 +147,13 @@ class Encoder(dict):
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
-    def __missing__(self, unit: str) -> list[int]:
-        byte_ids, merges = self.v.byte_ids, self.v.merges
-        ids = []
-        for piece in self.pieces(unit):
-            ids += merge([byte_ids[b] for b in piece.encode("utf-8", "replace")], merges)
+    def __missing__(self, unit: str) -> tuple[int, ...]:
+        pieces = [unit] if unit.lstrip(" ").isalpha() else self.pieces(unit)
+        if len(pieces) == 1:
+            byte_ids = self.v.byte_ids
+            ids = tuple(merge([byte_ids[b] for b in unit.encode("utf-8", "replace")], self.v.merges))
+        else:
+            ids = tuple(chain.from_iterable(map(self.__getitem__, pieces)))
         if len(unit) <= 48:
             if len(self) >= self.keep:
                 self.clear()
@@ -177,8 +178,25 @@ def decode_ids(ids, bytes_of: dict) -> str:
     return b"".join(map(bytes_of.get, ids, [b""] * len(ids))).decode("utf-8", "replace")
 
 
-def _per_batch(df: DataFrame, col: str, out: str, kind, make, to_array) -> DataFrame:
-    """``df`` with ``out``, computed from ``col`` in Arrow batches of ``CHUNK`` rows."""
+def _token_table(bytes_of: dict) -> np.ndarray:
+    """Bytes by id, with one place more for ids out of the vocabulary."""
+    table = np.full(max(bytes_of) + 2, b"", dtype=object)
+    for i, b in bytes_of.items():
+        table[i] = b
+    return table
+
+
+def decode_lists(lists: pa.ListArray, table: np.ndarray) -> list[str]:
+    """The texts of many lists of ids; null counts as empty."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    tokens = table[np.where((flat >= 0) & (flat < len(table)), flat, len(table) - 1).astype(np.int64)].tolist()
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    return [b"".join(tokens[a:b]).decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
+
+
+def _per_batch(df: DataFrame, col: str, out: str, kind, make) -> DataFrame:
+    """``df`` with ``out``: ``make()`` gives a function of the Arrow column ``col``, called
+    for ``CHUNK`` rows at a time."""
     kept = df.drop(out)
     schema = T.StructType([*kept.schema.fields, T.StructField(out, kind)])
 
@@ -187,17 +205,12 @@ def _per_batch(df: DataFrame, col: str, out: str, kind, make, to_array) -> DataF
         for batch in batches:
             for k in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(k, CHUNK)
-                values = [fn(x) for x in part.column(col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, to_array(values)], names=[*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, fn(part.column(col))], names=[*part.schema.names, out])
 
     ship_package(df.sparkSession)
     return kept.mapInArrow(run, schema)
 
 
-def _lists(values) -> pa.Array:
-    return pa.array(values, pa.list_(pa.int32()))
-
-
 def shared(spark: SparkSession, path: str):
     """The vocabulary as a broadcast variable."""
     return spark.sparkContext.broadcast(load(path))
@@ -208,19 +221,26 @@ def encode(df: DataFrame, vocabulary, text_col: str = "text", out: str = "ids")
 
     def make():
         encoder = Encoder(vocabulary.value)
-        return lambda text: encoder.encode(text or "")
 
-    return _per_batch(df, text_col, out, T.ArrayType(T.IntegerType()), make, _lists)
+        def run(texts):
+            ids = [encoder.encode(t or "") for t in texts.to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+        return run
+
+    return _per_batch(df, text_col, out, T.ArrayType(T.IntegerType()), make)
 
 
 def decode(df: DataFrame, vocabulary, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with ``out``, the text of the ids (special tokens kept)."""
 
     def make():
-        bytes_of = vocabulary.value.bytes_of
-        return lambda ids: decode_ids(ids or [], bytes_of)
+        table = _token_table(vocabulary.value.bytes_of)
+        return lambda lists: pa.array(decode_lists(lists, table), pa.string())
 
-    return _per_batch(df, ids_col, out, T.StringType(), make, lambda values: pa.array(values, pa.string()))
+    return _per_batch(df, ids_col, out, T.StringType(), make)
 
 
 def ids_digest(ids: str = "ids"):
