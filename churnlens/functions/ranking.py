@@ -25,10 +25,6 @@ from pyspark.sql import functions as F
 
 from churnlens.session import ensure_checkpoint_dir
 
-# Largest (partition, group) offset table that is broadcast.  Above this the
-# offsets are joined with a shuffle join.
-BROADCAST_OFFSET_ROWS = 200_000
-
 
 def ordinal_within(df: DataFrame, group_cols, order_cols, index_col: str = "_idx",
                    size_col: str = "_n", num_partitions: int | None = None) -> DataFrame:
@@ -41,11 +37,11 @@ def ordinal_within(df: DataFrame, group_cols, order_cols, index_col: str = "_idx
     order_cols = list(order_cols)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = group_cols + order_cols
     pid = F.spark_partition_id()
     numbered = (
-        df.repartitionByRange(n_parts, *keys)
+        # Without a count, adaptive execution sizes the partitions.
+        (df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys))
         .sortWithinPartitions(*keys)
         .withColumn("_pid", pid)
         .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33))
@@ -61,9 +57,6 @@ def ordinal_within(df: DataFrame, group_cols, order_cols, index_col: str = "_idx
              .withColumn(size_col, F.sum("_cnt").over(
                  w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
              .drop("_cnt"))
-    # The offset table has at most P x G rows; check before broadcasting it.
-    if stats.count() <= BROADCAST_OFFSET_ROWS:
-        stats = F.broadcast(stats)
     on = numbered["_pid"] == stats["_pid"]
     for c, g in zip(group_cols, gkeys):
         on = on & numbered[c].eqNullSafe(stats[g])

@@ -24,7 +24,7 @@ def total_sum_of_squares(df: DataFrame, cols) -> float:
     return float(sum((v or 0.0) * n for v in r[1:]))
 
 
-def sse_curve(df: DataFrame, cols, ks=range(1, 10), seed: int = 0, max_iter: int = 20) -> DataFrame:
+def sse_curve(df: DataFrame, cols, ks=range(1, 10), seed: int = 0, max_iter: int = 300) -> DataFrame:
     """(k, sse) - within-cluster sum of squares per k (elbow table)."""
     v = _vectors(df, cols).select("features").persist()
     rows = []
@@ -38,7 +38,7 @@ def sse_curve(df: DataFrame, cols, ks=range(1, 10), seed: int = 0, max_iter: int
     return df.sparkSession.createDataFrame(rows, "k int, sse double")
 
 
-def silhouette_curve(df: DataFrame, cols, ks=range(2, 10), seed: int = 0, max_iter: int = 20) -> DataFrame:
+def silhouette_curve(df: DataFrame, cols, ks=range(2, 10), seed: int = 0, max_iter: int = 300) -> DataFrame:
     """(k, silhouette) with Spark's ``ClusteringEvaluator`` (squared Euclidean,
     linear time) - the pairwise Euclidean form would need all pairs."""
     v = _vectors(df, cols).select("features").persist()

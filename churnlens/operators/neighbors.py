@@ -1,31 +1,24 @@
 """Exact k-nearest neighbours (K5, shared with SMOTE).
 
-No pairs are materialised and no cross join is planned.  The query side is
-cut into blocks whose size is checked (``block_rows`` rows of d doubles);
-each block is broadcast and every partition of the reference side computes,
-with numpy, the k closest reference rows of every query row in the block.
-Only those k candidates per query per partition leave the task; a window
-over at most (partitions x k) candidates per query keeps the global k
-(ties: smaller reference id).  Compute is exact and therefore
-n_query x n_ref, but memory and shuffle stay linear in k.
+No pairs are materialised and no cross join is planned.  Both sides are hashed into
+blocks of about ``block_rows`` rows; every pair of a query block and a reference block
+is one cogrouped task, which holds two blocks and a slice of their distances.  Only k
+candidates per query and reference block leave a task; a window keeps the k nearest
+(ties: smaller reference id).  Nothing passes through the driver.  Compute is exact and
+therefore n_query x n_ref.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from churnlens.functions.ranking import ordinal_within
 from churnlens.session import ship_package
 
-BLOCK_ROWS = 20_000
-CHUNK = 2048
-REF_ROWS_PER_PARTITION = 50_000
+BLOCK_ROWS = 8_192
+CELLS = 4_000_000  # distances held at a time
 
 
 def _sq_dist(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -54,39 +47,28 @@ def _smallest_k(d: np.ndarray, ids: np.ndarray, k: int):
     return part
 
 
-def _local_topk(block, k: int, exclude_self: bool):
-    q_ids, q_vals = block
-
-    def run(batches):
-        m = len(q_ids)
-        best_d = np.full((m, 0), np.inf)
-        best_i = np.empty((m, 0), dtype=np.int64)
-        best_y = np.empty((m, 0))
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = np.stack(pdf["_x"].to_numpy()).astype(np.float64)
-            xi = pdf["_rid"].to_numpy().astype(np.int64)
-            xy = pdf["_ry"].to_numpy().astype(np.float64)
-            for s in range(0, len(x), CHUNK):
-                xs, xis, xys = x[s:s + CHUNK], xi[s:s + CHUNK], xy[s:s + CHUNK]
-                d = _sq_dist(q_vals, xs)
-                if exclude_self:
-                    d[q_ids[:, None] == xis[None, :]] = np.inf
-                sel = _smallest_k(d, xis, k)
-                cd = np.concatenate([best_d, np.take_along_axis(d, sel, 1)], axis=1)
-                ci = np.concatenate([best_i, xis[sel]], axis=1)
-                cy = np.concatenate([best_y, xys[sel]], axis=1)
-                order = np.lexsort((ci, cd), axis=1)[:, :k]
-                best_d = np.take_along_axis(cd, order, 1)
-                best_i = np.take_along_axis(ci, order, 1)
-                best_y = np.take_along_axis(cy, order, 1)
-        if best_d.shape[1] == 0:
-            return
-        keep = np.isfinite(best_d)
-        rows = np.nonzero(keep)
-        yield pd.DataFrame({"query_id": q_ids[rows[0]], "ref_id": best_i[keep],
-                            "sq_dist": best_d[keep], "ref_label": best_y[keep]})
+def _block_topk(k: int, exclude_self: bool):
+    """The k nearest rows of one reference block for every row of one query block."""
+
+    def run(query: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
+        if not len(query) or not len(ref):
+            return pd.DataFrame({"query_id": [], "ref_id": [], "sq_dist": [], "ref_label": []})
+        ref = ref.sort_values("_rid")
+        x, ids, labels = np.stack(ref["_x"]).astype(float), ref["_rid"].to_numpy(), ref["_ry"].to_numpy(dtype=float)
+        q, out = np.stack(query["x"]).astype(float), []
+        step = max(1, CELLS // len(ref))
+        for s in range(0, len(query), step):
+            qi = query["id"].to_numpy()[s:s + step]
+            d = _sq_dist(q[s:s + step], x)
+            if exclude_self:
+                d[qi[:, None] == ids[None, :]] = np.inf
+            # Positions stand for ids: the block is in id order.
+            near = _smallest_k(d, np.arange(len(ids)), k)[:, :k]
+            dist = np.take_along_axis(d, near, 1)
+            keep = np.isfinite(dist)
+            out.append(pd.DataFrame({"query_id": np.broadcast_to(qi[:, None], dist.shape)[keep], "ref_id": ids[near][keep],
+                                     "sq_dist": dist[keep], "ref_label": labels[near][keep]}))
+        return pd.concat(out, ignore_index=True)
 
     return run
 
@@ -96,46 +78,30 @@ def knn(ref: DataFrame, query: DataFrame, k: int = 5, exclude_self: bool = False
     """(query_id, ref_id, sq_dist, ref_label, rank 0..k-1) for the k nearest
     reference rows of every query row.
 
-    Both frames carry ``id`` (long) and ``x`` (array<double>); ``ref`` also
-    ``y`` (double label, may be null).
+    Both frames carry ``id`` (any type) and ``x`` (array<double>); ``ref`` also
+    ``y`` (double label, may be null).  A null or non-finite coordinate is an error.
     """
-    spark = ref.sparkSession
-    ship_package(spark)
-    r = ref.select(F.col("id").alias("_rid"), F.col("x").alias("_x"),
-                   F.col("y").cast("double").alias("_ry") if "y" in ref.columns else F.lit(None).cast("double").alias("_ry"))
-    # Every query block scans the whole reference side: spread it over the
-    # cluster (at least the default parallelism, at most REF_ROWS_PER_PARTITION
-    # rows per task) and keep it for the block loop.
-    r = r.persist()
-    n_ref = r.count()
-    n_parts = max(spark.sparkContext.defaultParallelism, -(-n_ref // REF_ROWS_PER_PARTITION))
-    r = r.repartition(n_parts)
-    query = query.select("id", "x").persist()
-    n_query = query.count()
-    blocks = max(1, -(-n_query // block_rows))
-    q = ordinal_within(query.select("id", "x"), [], ["id"], "_qi", "_qn") if blocks > 1 else query.select("id", "x")
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("ref_id", T.LongType()),
-                           T.StructField("sq_dist", T.DoubleType()), T.StructField("ref_label", T.DoubleType())])
-    parts = []
-    for b in range(blocks):
-        qb = q if blocks == 1 else q.where(F.floor(F.col("_qi") / block_rows) == b)
-        pdf = qb.select("id", "x").toPandas()  # at most block_rows rows: a checked bound
-        if len(pdf) == 0:
-            continue
-        block = (pdf["id"].to_numpy().astype(np.int64), np.stack(pdf["x"].to_numpy()).astype(np.float64))
-        bc = spark.sparkContext.broadcast(block)
-        parts.append(r.mapInPandas(_local_topk_bc(bc, k, exclude_self), schema))
-    cand = reduce(DataFrame.unionByName, parts)
+    ship_package(ref.sparkSession)
+
+    def points(df):
+        bad = F.col("x").isNull() | F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+        return df.withColumn("x", F.when(bad, F.raise_error(F.lit("kNN needs finite coordinates"))).otherwise(F.col("x")))
+
+    r = points(ref).select(F.col("id").alias("_rid"), F.col("x").alias("_x"),
+                           F.col("y").cast("double").alias("_ry") if "y" in ref.columns else F.lit(None).cast("double").alias("_ry"))
+    q = points(query).select("id", "x")
+    kinds = dict(ref.select("id", F.lit(1)).dtypes)["id"], dict(query.select("id", F.lit(1)).dtypes)["id"]
+    nq, nr = (max(1, -(-df.count() // block_rows)) for df in (query, ref))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("_qb", block("id", nq)).withColumn("_rb", every(nr))
+    right = r.withColumn("_rb", block("_rid", nr)).withColumn("_qb", every(nq))
+    cand = (left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb"))
+            .applyInPandas(_block_topk(k, exclude_self), f"query_id {kinds[1]}, ref_id {kinds[0]}, sq_dist double, ref_label double"))
     w = Window.partitionBy("query_id").orderBy("sq_dist", "ref_id")
     return cand.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
 
 
-def _local_topk_bc(bc, k, exclude_self):
-    def run(batches):
-        yield from _local_topk(bc.value, k, exclude_self)(batches)
-    return run
-
-
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
     """Majority vote of the k nearest training labels (uniform weights; a tie
     goes to the smaller label).  Returns (id, prediction)."""
@@ -148,7 +114,7 @@ def knn_classify(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
 
 def as_points(df: DataFrame, cols, id_col: str, label: str | None = None) -> DataFrame:
     """(id, x array<double>, y) from feature columns."""
-    sel = [F.col(f"`{id_col}`").cast("long").alias("id"),
+    sel = [F.col(f"`{id_col}`").alias("id"),
            F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("x")]
     if label is not None:
         sel.append(F.col(f"`{label}`").cast("double").alias("y"))

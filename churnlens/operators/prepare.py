@@ -67,7 +67,7 @@ def with_row_id(df: DataFrame, keys, out: str = "row_id") -> DataFrame:
     keys = [keys] if isinstance(keys, str) else list(keys)
     if len(keys) == 1:
         return df.withColumn(out, F.col(keys[0]))
-    return df.withColumn(out, F.xxhash64(*keys))
+    return df.withColumn(out, F.struct(*keys))  # exact: a hash could collide
 
 
 def join_on_row_id(left: DataFrame, right: DataFrame, id_col: str = ID_COL) -> DataFrame:

@@ -30,7 +30,7 @@ def smote(points: DataFrame, k: int = 5, seed: int = 2, minority: float | None =
     need = max(counts.values()) - n_min
     spark = points.sparkSession
     mino = points.where(F.col("y") == minority).select("id", "x")
-    if need <= 0 or n_min == 0:
+    if need <= 0 or n_min < 2:  # one row has no neighbour to draw towards
         return spark.createDataFrame([], "draw long, base_id long, nb_id long, x array<double>, y double")
     idx = ordinal_within(mino.select("id"), [], ["id"], "_i", "_n").select("id", "_i")
     nb = knn(mino, mino, k, exclude_self=True).select(

@@ -59,24 +59,27 @@ def _class_moments(df: DataFrame, cols, label: str) -> DataFrame:
 
 def chi2_scores(df: DataFrame, cols, label: str) -> DataFrame:
     """(feature, chi2): with class sums O_c, class counts n_c and
-    E_c = sum(x) * n_c / n, chi2 = sum_c (O_c - E_c)^2 / E_c (non-negative x)."""
+    E_c = sum(x) * n_c / n, chi2 = sum_c (O_c - E_c)^2 / E_c (non-negative x).  A column
+    that is zero throughout has a null score."""
     m = _class_moments(df, cols, label)
     tot = m.groupBy("feature").agg(F.sum("n").alias("_tot_n"), F.sum("sum").alias("_tot_s"))
     e = m.join(tot, "feature").withColumn("_exp", F.col("_tot_s") * F.col("n") / F.col("_tot_n"))
     return e.groupBy("feature").agg(
-        F.sum((F.col("sum") - F.col("_exp")) ** 2 / F.col("_exp")).alias("chi2"))
+        F.sum(F.try_divide((F.col("sum") - F.col("_exp")) ** 2, F.col("_exp"))).alias("chi2"))
 
 
 def f_scores(df: DataFrame, cols, label: str) -> DataFrame:
     """(feature, f_score): one-way ANOVA F of the column across the classes,
-    [sum n_c (m_c - m)^2 / (C - 1)] / [sum n_c var_c / (N - C)]."""
+    [sum n_c (m_c - m)^2 / (C - 1)] / [sum n_c var_c / (N - C)].  Null when the
+    column does not vary inside any class (constant or perfectly separating)."""
     m = _class_moments(df, cols, label).withColumn("mean", F.col("sum") / F.col("n"))
     tot = m.groupBy("feature").agg(F.sum("n").alias("_tot_n"), F.sum("sum").alias("_tot_s"),
                                    F.count(F.lit(1)).alias("_k"))
     j = m.join(tot, "feature").withColumn("gm", F.col("_tot_s") / F.col("_tot_n"))
     return j.groupBy("feature").agg(
-        ((F.sum(F.col("n") * (F.col("mean") - F.col("gm")) ** 2) / (F.first("_k") - 1))
-         / (F.sum(F.col("n") * F.col("var_pop")) / (F.first("_tot_n") - F.first("_k")))).alias("f_score"))
+        F.try_divide(
+            F.try_divide(F.sum(F.col("n") * (F.col("mean") - F.col("gm")) ** 2), F.first("_k") - 1),
+            F.try_divide(F.sum(F.col("n") * F.col("var_pop")), F.first("_tot_n") - F.first("_k"))).alias("f_score"))
 
 
 def _value_table(df: DataFrame, cols, label: str, id_col: str) -> DataFrame:
@@ -110,17 +113,17 @@ def _binned_mi(vals: DataFrame, bins_col) -> DataFrame:
     return c.groupBy("feature", "b").agg((F.sum(t) / F.lit(LN2)).alias("mi"))
 
 
-def mic_scores(df: DataFrame, cols, label: str, id_col: str, max_bins: int = 32) -> DataFrame:
+def mic_scores(df: DataFrame, cols, label: str, id_col: str) -> DataFrame:
     """(feature, mic): grid approximation of the maximal information coefficient.
 
-    For b = 2 .. min(max_bins, floor(n^0.6 / 2)) the column is cut into b
+    For b = 2 .. floor(n^0.6 / 2) the column is cut into b
     equal-frequency bins (ties stay together: bin = floor(rank * b / n)) and the
     mutual information with the binary label is taken in bits; the score is the
     maximum over b.  It is a lower bound of the exact MIC (which also searches
     unequal bin edges).
     """
     v = _value_table(df, cols, label, id_col)
-    b_hi = F.least(F.lit(max_bins), F.floor(F.pow(F.col("_n"), 0.6) / 2).cast("int"))
+    b_hi = F.floor(F.pow(F.col("_n"), 0.6) / 2).cast("int")
     v = v.withColumn("b", F.explode(F.sequence(F.lit(2), F.greatest(b_hi, F.lit(2)))))
     v = v.withColumn("bin", F.floor(F.col("_rank_lt") * F.col("b") / F.col("_n")))
     return _binned_mi(v, "bin").groupBy("feature").agg(F.max("mi").alias("mic"))

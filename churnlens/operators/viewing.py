@@ -6,17 +6,13 @@ without the join, but puts a whole user into one task: a user holding a third
 of all events would be one straggler task.  ``watch_gaps`` therefore splits
 heavy users:
 
-* users with more than ``rows_per_chunk`` events (found with an exact,
-  partially aggregated count) get K = ceil(n / rows_per_chunk) equal time
-  slices of their own [first, last] span; everybody else keeps one slice;
-* ``lead`` runs per (user, slice), so a heavy user spreads over K tasks;
-* the last row of a slice is linked to the first row of the next non-empty
-  slice of the same user through a table of slice heads.
-
-The heavy-user and slice-head tables have at most total / rows_per_chunk
-(+ heavy users) rows - a proven bound - so they are broadcast.  Every key is
-a deterministic function of the row, so a recomputed task after a lost
-executor gives the same answer.
+* users with more than ``rows_per_chunk`` events (an exact, partially aggregated
+  count) get their events numbered in order by ``ordinal_within``, which spreads one
+  user over many range partitions; every ``rows_per_chunk`` numbers are one slice, so
+  a slice never holds more, however the events lie in time; all others keep one slice;
+* ``lead`` runs per (user, slice), so a heavy user spreads over many tasks;
+* the last row of a slice is linked to the first time of the next slice through a
+  table of slice heads (one row per full slice), in an equi-join.
 """
 
 from __future__ import annotations
@@ -24,14 +20,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.functions.ranking import ordinal_within
+
 MS_PER_MINUTE = 60000.0
 ROWS_PER_CHUNK = 2_000_000
-MAX_CHUNKS = 65_536
 
 
 def watch_gaps(play: DataFrame, user_col: str = "user_id", time_col: str = "server_time",
                tie_col: str = "event_id", keep=("video_type", "device_id"),
-               rows_per_chunk: int = ROWS_PER_CHUNK, max_chunks: int = MAX_CHUNKS) -> DataFrame:
+               rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Every play row with ``gap_ms`` = next event time of the same user - own time.
 
     Equal to ``lead(time) over (partition by user order by time, tie) - time``.
@@ -44,30 +41,17 @@ def watch_gaps(play: DataFrame, user_col: str = "user_id", time_col: str = "serv
     p = play.where(F.col(user_col).isNotNull()).select(*cols)
     t = F.col(time_col)
 
-    heavy = (p.groupBy(user_col)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(time_col).alias("_t0"), F.max(time_col).alias("_t1"))
-             .where(F.col("_n") > rows_per_chunk)
-             .select(user_col, "_t0", "_t1",
-                     F.least(F.ceil(F.col("_n") / rows_per_chunk), F.lit(max_chunks)).cast("long").alias("_k")))
-    span = F.col("_t1") - F.col("_t0") + 1
-    sliced = (p.join(F.broadcast(heavy), user_col, "left")
-              .withColumn("_chunk", F.coalesce(
-                  F.floor((t - F.col("_t0")).cast("decimal(38,0)") * F.col("_k") / span).cast("long"),
-                  F.lit(0).cast("long")))
-              .drop("_t0", "_t1", "_k"))
+    heavy = (p.groupBy(user_col).agg(F.count(F.lit(1)).alias("_n"))
+             .where(F.col("_n") > rows_per_chunk).select(user_col))
+    hot = (ordinal_within(p.join(heavy, user_col, "left_semi"), [user_col], [time_col, tie_col], "_i", "_size")
+           .withColumn("_chunk", F.floor(F.col("_i") / rows_per_chunk).cast("long")).select(*cols, "_chunk"))
+    sliced = p.join(heavy, user_col, "left_anti").withColumn("_chunk", F.lit(0).cast("long")).unionByName(hot)
 
     w = Window.partitionBy(user_col, "_chunk").orderBy(time_col, tie_col)
     linked = (sliced.withColumn("_next", F.lead(time_col).over(w))
               .withColumn("_last", F.lead(F.lit(1)).over(w).isNull()))
-
-    # First time of every slice of a heavy user, and the next slice's head.
-    heads = (p.select(user_col, time_col).join(F.broadcast(heavy), user_col, "inner")
-             .withColumn("_chunk", F.floor((t - F.col("_t0")).cast("decimal(38,0)") * F.col("_k") / span).cast("long"))
-             .groupBy(user_col, "_chunk").agg(F.min(time_col).alias("_ht")))
-    succ_prev = (heads.withColumn("_prev", F.lag("_chunk").over(Window.partitionBy(user_col).orderBy("_chunk")))
-                 .where(F.col("_prev").isNotNull())
-                 .select(user_col, F.col("_prev").alias("_chunk"), F.col("_ht").alias("_nt")))
-    fixed = linked.join(F.broadcast(succ_prev), [user_col, "_chunk"], "left")
+    heads = hot.groupBy(user_col, (F.col("_chunk") - 1).alias("_chunk")).agg(F.min(time_col).alias("_nt"))
+    fixed = linked.join(heads, [user_col, "_chunk"], "left")
     next_time = F.when(F.col("_last"), F.col("_nt")).otherwise(F.col("_next"))
     return fixed.select(*cols, (next_time - t).alias("gap_ms"))
 

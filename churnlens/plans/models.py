@@ -13,19 +13,6 @@ from churnlens.operators.features import FEATURE_COLS, add_label
 from churnlens.operators.metrics import weighted_precision_recall
 
 
-ROWS_PER_PARTITION = 250_000
-
-
-def right_size(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION, n: int | None = None) -> DataFrame:
-    """Repartition an ML frame to ceil(rows / rows_per_partition) partitions.
-
-    Iterative fits run one job per iteration; on a small frame most of the
-    time is task overhead, on a large one each task should hold a bounded
-    number of rows.  Rows are spread round-robin (no key skew)."""
-    n = df.count() if n is None else n
-    return df.repartition(max(1, -(-n // rows_per_partition)))
-
-
 def to_vectors(df: DataFrame, cols, label: str | None, id_col: str, out: str = "features") -> DataFrame:
     """(id, features vector, label double) - the frame every estimator reads."""
     va = VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error")
@@ -103,15 +90,6 @@ def fit_predict(est, train: DataFrame, test: DataFrame, keep=("label",)) -> Data
 
 # H2-H8 -----------------------------------------------------------------------
 
-def churn_pipeline(label_indexer=None, max_categories: int = 10) -> Pipeline:
-    """StringIndexer -> VectorIndexer(maxCategories, keep unseen) -> LR -> IndexToString."""
-    li = label_indexer or StringIndexer(inputCol="label", outputCol="indexedLabel")
-    vi = VectorIndexer(inputCol="features", outputCol="indexedFeatures", maxCategories=max_categories,
-                       handleInvalid="keep")
-    lr = LogisticRegression(labelCol="indexedLabel", featuresCol="indexedFeatures")
-    return Pipeline(stages=[li, vi, lr])
-
-
 def fit_churn_pipeline(train: DataFrame, max_categories: int = 10, fit_index_on: DataFrame | None = None) -> PipelineModel:
     """Fit the half-A model.  Indexers are fitted on ``train`` unless
     ``fit_index_on`` is given (the reference fits them on all rows)."""

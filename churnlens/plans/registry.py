@@ -322,8 +322,8 @@ def _mi_sql(bins_expr: str, out: str, agg: str) -> str:
     return f"""{_LONG},
 ranked AS (SELECT feature, x, y, rank() OVER (PARTITION BY feature ORDER BY x) - 1 AS r,
                   COUNT(*) OVER (PARTITION BY feature) AS n FROM long),
-grid AS (SELECT ranked.*, b FROM ranked CROSS JOIN (SELECT unnest(range(2, 65)) AS b) g
-         WHERE {bins_expr}),
+wide AS (SELECT ranked.*, unnest(range(2, greatest(17, CAST(floor(pow(n, 0.6) / 2) AS BIGINT) + 1))) AS b FROM ranked),
+grid AS (SELECT * FROM wide WHERE {bins_expr}),
 cells AS (SELECT feature, b, FLOOR(r * b / n) AS bin, COUNT(*) AS nb, SUM(y) AS nb1, ANY_VALUE(n) AS nn
           FROM grid GROUP BY feature, b, FLOOR(r * b / n)),
 pos AS (SELECT feature, b, SUM(nb1) AS p FROM cells GROUP BY feature, b),
@@ -335,10 +335,10 @@ mi AS (SELECT c.feature, c.b,
 SELECT feature, ROUND({agg}(mi), 6) AS {out} FROM mi GROUP BY feature"""
 
 
-@register("l4_mic", _mi_sql("b <= greatest(2, least(32, CAST(floor(pow(n, 0.6) / 2) AS INTEGER)))", "mic", "MAX"))
+@register("l4_mic", _mi_sql("b <= greatest(2, CAST(floor(pow(n, 0.6) / 2) AS INTEGER))", "mic", "MAX"))
 def l4_mic(spark, sf):
     """Grid (equal-frequency) approximation of the maximal information coefficient."""
-    s = sc.mic_scores(churn_train(spark, sf), _B, prep.LABEL_COL, prep.ID_COL, max_bins=32)
+    s = sc.mic_scores(churn_train(spark, sf), _B, prep.LABEL_COL, prep.ID_COL)
     return s.select("feature", F.round("mic", 6).alias("mic"))
 
 
@@ -532,9 +532,10 @@ from churnlens.plans import stack as stk  # noqa: E402
 from churnlens.plans import tune as tun  # noqa: E402
 
 # Notebook-era library defaults of the compared estimators
-# (gradient boosting 100 stages of depth 3, forest 10 trees, 5 neighbours).
+# (gradient boosting 100 stages of depth 3, forest 10 trees without a depth limit - 30
+# is the most Spark allows - 5 neighbours).
 DEFAULT_GBT = dict(maxIter=100, maxDepth=3, stepSize=0.1)
-DEFAULT_FOREST = dict(numTrees=10, maxDepth=10)
+DEFAULT_FOREST = dict(numTrees=10, maxDepth=30)
 
 
 def train_vectors_a(spark, sf) -> DataFrame:
@@ -547,7 +548,7 @@ def scored_vectors_a(spark, sf) -> DataFrame:
 
 
 def _fit_half_a(spark, sf):
-    data = mdl.right_size(train_vectors_a(spark, sf)).persist()
+    data = train_vectors_a(spark, sf).persist()
     train, test = spl.hash_split(data, "user_id", 0.7, 0)
     return mdl.fit_churn_pipeline(train), test
 
@@ -585,8 +586,8 @@ def vectors_b(spark, sf, cols=None):
     cols = cols or _B
     tr = churn_train(spark, sf)
     folds = spl.assign_folds(tr.select(prep.ID_COL, prep.LABEL_COL), prep.ID_COL, 5, by=prep.LABEL_COL)
-    vtr = mdl.right_size(mdl.to_vectors(tr, cols, prep.LABEL_COL, prep.ID_COL).join(
-        folds.select(prep.ID_COL, "fold"), prep.ID_COL)).persist()
+    vtr = mdl.to_vectors(tr, cols, prep.LABEL_COL, prep.ID_COL).join(
+        folds.select(prep.ID_COL, "fold"), prep.ID_COL).persist()
     vte = mdl.to_vectors(churn_test(spark, sf), cols, prep.LABEL_COL, prep.ID_COL)
     return vtr, vte
 

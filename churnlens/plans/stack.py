@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def stack_features(models: dict, train: DataFrame, test: DataFrame, id_col: str,
     ``train`` has id, features, label and the fold column; ``test`` has id,
     features (and label if known)."""
     folds = sorted(r[0] for r in train.select(fold_col).distinct().collect())
-    out_col = F.col("probability").getItem(1) if use_probability else F.col("prediction")
+    out_col = vector_to_array("probability")[1] if use_probability else F.col("prediction")
     tr_parts, te_parts = [], []
     from churnlens.plans.tune import PARALLELISM, _pmap
 

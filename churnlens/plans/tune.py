@@ -12,16 +12,12 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.operators.metrics import precision_recall
 
 
-def _spark() -> SparkSession:
-    return SparkSession.getActiveSession()
-
-
 PARALLELISM = 5
 
 
@@ -73,6 +69,8 @@ def grid_search(df: DataFrame, est, grid: dict, fold_col: str = "fold", metric:
     Returns (best params dict, scores DataFrame of params + mean metric).  The
     first best grid point wins ties (grid order), like the notebook.
     """
+    if metric not in ("recall", "precision"):
+        raise ValueError("metric is recall or precision")
     pg = ParamGridBuilder()
     for name, values in grid.items():
         pg = pg.addGrid(est.getParam(name), list(values))

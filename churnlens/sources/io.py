@@ -73,7 +73,7 @@ def write_csv(df: DataFrame, path: str, single_file: bool = False, mode: str = "
     """CSV sink with a header.  ``single_file`` funnels all rows through one
     task - only for small result tables."""
     if single_file:
-        df = df.coalesce(1)
+        df = df.repartition(1)  # upstream work keeps its tasks
     df.write.mode(mode).option("header", True).csv(path)
 
 

@@ -50,3 +50,12 @@ def test_gap_small_every_user_split(spark):
     g = watch_gaps(_gap_small(spark), rows_per_chunk=1).where(F.col("gap_ms").isNotNull())
     got = sorted((r.user_id, r.video_type, r.gap_ms) for r in g.collect())
     assert got == sorted([("u1", "vod", 60000), ("u1", "live", 0), ("u1", "vod", 120000), ("u3", "live", 60)])
+
+
+def test_burst_at_one_time_is_split(spark):
+    # A bot's events share one timestamp: slices go by number, not by time.
+    rows = [("bot", "vod", 1000, "a", i) for i in range(400)] + [("bot", "vod", 61000, "a", 400), ("u", "vod", 1, "b", 500)]
+    g = watch_gaps(spark.createDataFrame(rows, GAP_SCHEMA), rows_per_chunk=16)
+    gaps = {r.event_id: r.gap_ms for r in g.collect()}
+    assert len(gaps) == 402 and gaps[399] == 60000 and gaps[400] is None
+    assert all(gaps[i] == 0 for i in range(399))
