@@ -318,7 +318,8 @@ def _region_edges(percent: int):
 def _dealt(members: DataFrame) -> DataFrame:
     """Rows (pivot, i, j, rep): regions above ``BLOCK`` sets are dealt into blocks, and each
     set is in every pair of blocks that holds its own."""
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # Written out: a join right above its aggregate could not be split at a hot pivot.
+    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).checkpoint()
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     return (members.join(sizes, "pivot").withColumn("mine", mine)
             .select("pivot", "rep", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
