@@ -55,11 +55,11 @@ def add_cross_features(df: DataFrame, drop_parts: bool = True) -> DataFrame:
 
 
 def null_profile(df: DataFrame, cols=None) -> DataFrame:
-    """(column, n_null) for every column, one aggregate pass."""
+    """(column, n_null) for every column, one aggregate pass, fewest nulls first."""
     cols = list(cols or df.columns)
     counts = df.agg(*[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"n{i}") for i, c in enumerate(cols)])
     stack = ", ".join(f"'{c.replace(chr(39), chr(92) + chr(39))}', n{i}" for i, c in enumerate(cols))
-    return counts.selectExpr(f"stack({len(cols)}, {stack}) as (column, n_null)")
+    return counts.selectExpr(f"stack({len(cols)}, {stack}) as (column, n_null)").orderBy("n_null", "column")
 
 
 def with_row_id(df: DataFrame, keys, out: str = "row_id") -> DataFrame:
@@ -70,6 +70,11 @@ def with_row_id(df: DataFrame, keys, out: str = "row_id") -> DataFrame:
     return df.withColumn(out, F.struct(*keys))  # exact: a hash could collide
 
 
+def repeated_keys(df: DataFrame, keys) -> DataFrame:
+    """(keys, n) of the keys that occur more than once; empty when the keys are unique."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def join_on_row_id(left: DataFrame, right: DataFrame, id_col: str = ID_COL) -> DataFrame:
     """Column-wise concatenation by id (``pd.concat(axis=1)`` without positions)."""
     return left.join(right, id_col, "inner")

@@ -142,7 +142,8 @@ def top_k(scores: DataFrame, k: int, score_col: str, name_col: str = "feature")
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    """(col, count), most frequent first."""
+    return df.groupBy(col).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), F.col(f"`{col}`"))
 
 
 def mean_scores(fold_scores: DataFrame, group_cols, value_cols) -> DataFrame:

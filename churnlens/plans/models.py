@@ -13,13 +13,13 @@ from churnlens.operators.features import FEATURE_COLS, add_label
 from churnlens.operators.metrics import weighted_precision_recall
 
 
-def to_vectors(df: DataFrame, cols, label: str | None, id_col: str, out: str = "features") -> DataFrame:
-    """(id, features vector, label double) - the frame every estimator reads."""
+def to_vectors(df: DataFrame, cols, label: str | None, id_col: str, out: str = "features", keep=()) -> DataFrame:
+    """(id, features vector, label double, ``keep`` columns) - the frame every estimator reads."""
     va = VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error")
     sel = [F.col(f"`{id_col}`").alias(id_col), out]
     if label is not None:
         sel.append(F.col(f"`{label}`").cast("double").alias("label"))
-    return va.transform(df).select(*sel)
+    return va.transform(df).select(*sel, *keep)
 
 
 # K1-K7 -----------------------------------------------------------------------

@@ -54,55 +54,40 @@ def e2_watch_gap(spark, sf):
 
 
 @register("d1_user_time", f"""
-WITH {sql.play_cte(fx.TRAIN_DAYS).strip()},
-{sql.GAPS_CTE.strip()}
-SELECT user_id, CAST(SUM(gap_ms) AS DOUBLE) / 60000.0::DOUBLE AS user_time FROM d GROUP BY user_id""")
+{sql.ctes(sql.play_cte(fx.TRAIN_DAYS), sql.GAPS_CTE, sql.VIEWING_CTE)}
+SELECT user_id, user_time FROM viewing""")
 def d1_user_time(spark, sf):
     """Total watch minutes per user."""
     return view.viewing_features(fx.play_log(spark, sf, fx.TRAIN_DAYS)).select("user_id", "user_time")
 
 
 @register("d2_vod_live", f"""
-WITH {sql.play_cte(fx.TRAIN_DAYS).strip()},
-{sql.GAPS_CTE.strip()},
-uw AS (SELECT DISTINCT user_id FROM d),
-uvod AS (SELECT user_id, CAST(SUM(gap_ms) AS DOUBLE) / 60000.0::DOUBLE AS vod_time FROM d WHERE video_type = 'vod' GROUP BY user_id),
-ulive AS (SELECT user_id, CAST(SUM(gap_ms) AS DOUBLE) / 60000.0::DOUBLE AS live_time FROM d WHERE video_type = 'live' GROUP BY user_id)
-SELECT uw.user_id, vod_time, live_time FROM uw LEFT JOIN uvod USING (user_id) LEFT JOIN ulive USING (user_id)""")
+{sql.ctes(sql.play_cte(fx.TRAIN_DAYS), sql.GAPS_CTE, sql.VIEWING_CTE)}
+SELECT user_id, vod_time, live_time FROM viewing""")
 def d2_vod_live(spark, sf):
     """Filtered watch-minute sums per user (vod, live); null when none."""
     return view.viewing_features(fx.play_log(spark, sf, fx.TRAIN_DAYS)).select("user_id", "vod_time", "live_time")
 
 
 @register("d4_device_counts", f"""
-WITH {sql.play_cte(fx.TRAIN_DAYS).strip()},
-{sql.GAPS_CTE.strip()}
-SELECT user_id, COUNT(device_id) AS device_freq, COUNT(DISTINCT device_id) AS device_uni
-FROM play WHERE user_id IN (SELECT user_id FROM d) GROUP BY user_id""")
+{sql.ctes(sql.play_cte(fx.TRAIN_DAYS), sql.GAPS_CTE, sql.VIEWING_CTE)}
+SELECT user_id, device_freq, device_uni FROM viewing""")
 def d4_device_counts(spark, sf):
     """Non-null device count and exact distinct device count per user."""
     return view.viewing_features(fx.play_log(spark, sf, fx.TRAIN_DAYS)).select("user_id", "device_freq", "device_uni")
 
 
 @register("d5_search", f"""
-WITH {sql.userlog_cte(fx.TRAIN_DAYS).strip()}
-SELECT user_id, COUNT(*) AS userSearch FROM userlog WHERE event_name = 'search' GROUP BY user_id""")
+{sql.ctes(sql.userlog_cte(fx.TRAIN_DAYS), sql.SEARCH_CTE)}
+SELECT user_id, userSearch FROM searches""")
 def d5_search(spark, sf):
     """Search events per user."""
     return ords.search_features(fx.user_log(spark, sf, fx.TRAIN_DAYS))
 
 
 @register("d5_order_features", f"""
-WITH {sql.orders_cte(fx.ORDER_WINDOW).strip()},
-ids AS (SELECT DISTINCT nns_user_id AS user_id FROM buyorder),
-uother AS (SELECT nns_user_id AS user_id, COUNT(*) AS userOther FROM buyorder
-           WHERE nns_order_type = 'other' AND nns_order_state = 1 GROUP BY nns_user_id),
-uoffer AS (SELECT nns_user_id AS user_id, ROUND(SUM(nns_order_price), 2) AS userOffer FROM buyorder
-           WHERE nns_order_state = 1 GROUP BY nns_user_id),
-ucancel AS (SELECT nns_user_id AS user_id, COUNT(*) AS userCancel FROM buyorder
-            WHERE nns_order_state = 5 GROUP BY nns_user_id)
-SELECT ids.user_id, userOther, userOffer, userCancel
-FROM ids LEFT JOIN uother USING (user_id) LEFT JOIN uoffer USING (user_id) LEFT JOIN ucancel USING (user_id)""")
+{sql.ctes(sql.orders_cte(fx.ORDER_WINDOW), sql.SHOPPING_CTE)}
+SELECT user_id, userOther, userOffer, userCancel FROM shopping""")
 def d5_order_features(spark, sf):
     """Paid 'other' orders, paid amount and cancellations per user in the order window."""
     return ords.order_features(fx.buy_order(spark, sf), fx.ORDER_WINDOW)
@@ -581,13 +566,12 @@ def h8_backtest_metrics(spark, sf):
     return m
 
 
-def vectors_b(spark, sf, cols=None):
-    """Half-B training and holdout frames: (cust_id, features, label[, fold])."""
+def vectors_b(spark, sf, cols=None, by=prep.LABEL_COL):
+    """Half-B training and holdout frames: (cust_id, features, label[, fold]); folds are
+    stratified by ``by``, plain without it."""
     cols = cols or _B
-    tr = churn_train(spark, sf)
-    folds = spl.assign_folds(tr.select(prep.ID_COL, prep.LABEL_COL), prep.ID_COL, 5, by=prep.LABEL_COL)
-    vtr = mdl.to_vectors(tr, cols, prep.LABEL_COL, prep.ID_COL).join(
-        folds.select(prep.ID_COL, "fold"), prep.ID_COL).persist()
+    tr = spl.assign_folds(churn_train(spark, sf), prep.ID_COL, 5, by=by)
+    vtr = mdl.to_vectors(tr, cols, prep.LABEL_COL, prep.ID_COL, keep=("fold",)).persist()
     vte = mdl.to_vectors(churn_test(spark, sf), cols, prep.LABEL_COL, prep.ID_COL)
     return vtr, vte
 
@@ -678,8 +662,8 @@ def l15_kmeans_sizes(spark, sf):
 
 @register("j15_stacking")
 def j15_stacking(spark, sf):
-    """Forest + GBT stacked by out-of-fold predictions, meta GBT on the holdout rows."""
-    vtr, vte = vectors_b(spark, sf)
+    """Forest + GBT stacked by out-of-fold predictions over plain folds, meta GBT on the holdout rows."""
+    vtr, vte = vectors_b(spark, sf, by=None)
     base = {"gbt": mdl.gbt(**mdl.TUNED_GBT), "rf": mdl.forest(**mdl.TUNED_FOREST)}
     st_tr, st_te = stk.stack_features(base, vtr, vte, prep.ID_COL)
     pred = stk.fit_stack(mdl.gbt(maxIter=20, maxDepth=3), st_tr, st_te, list(base))
@@ -829,3 +813,134 @@ def h8_backtest_stored_metrics(spark, sf):
     """weightedPrecision / weightedRecall of stored predictions against the later snapshot."""
     _, m = mdl.backtest(_rule_predictions(spark, sf), fx.user_state(spark, sf))
     return m
+
+
+# --- profiles and checks (A11, B19, D9, D10, q12) ----------------------------------
+
+@register("a11_shape", f"""{_TEL}
+SELECT COUNT(*) AS n_rows, CAST({len(_B) + 5} AS INTEGER) AS n_columns FROM telecom""")
+def a11_shape(spark, sf):
+    """Rows and columns of the telecom table (``DataFrame.shape``)."""
+    t = fx.telecom(spark, sf)
+    return t.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(t.columns)).alias("n_columns"))
+
+
+@register("b19_row_ids", f"""{_TRAIN}
+SELECT t.cust_id, t."Account Length", c."Day Calls" FROM train t JOIN churn c ON t.cust_id = c.cust_id""")
+def b19_row_ids(spark, sf):
+    """Two column sets of one table put side by side by a stable row id, not by position."""
+    t = prep.with_row_id(churn_train(spark, sf), prep.ID_COL)
+    c = prep.with_row_id(churn_table(spark, sf), prep.ID_COL)
+    both = prep.join_on_row_id(t.select("row_id", prep.ID_COL, "`Account Length`"), c.select("row_id", "`Day Calls`"), "row_id")
+    return both.drop("row_id")
+
+
+@register("d9_fold_means", f"""{_TRAIN},
+f AS (SELECT "Churn?" AS y, ntile(5) OVER (ORDER BY cust_id) AS fold FROM train),
+s AS (SELECT fold, AVG(CAST(y AS DOUBLE)) AS share, CAST(COUNT(*) AS DOUBLE) AS size FROM f GROUP BY fold)
+SELECT 'churn' AS name, ROUND(AVG(share), 9) AS share, ROUND(AVG(size), 9) AS size FROM s""")
+def d9_fold_means(spark, sf):
+    """Per-fold values averaged over the folds: churn share and size of the plain folds."""
+    f = spl.assign_folds(churn_train(spark, sf).select(prep.ID_COL, prep.LABEL_COL), prep.ID_COL, 5)
+    per = f.groupBy("fold").agg(F.avg(F.col(f"`{prep.LABEL_COL}`").cast("double")).alias("share"),
+                                F.count(F.lit(1)).cast("double").alias("size"))
+    means = sc.mean_scores(per.withColumn("name", F.lit("churn")), ["name"], ["share", "size"])
+    return means.select("name", F.round("share", 9).alias("share"), F.round("size", 9).alias("size"))
+
+
+@register("d10_first_best", f"""{_LONG},
+v AS (SELECT feature, var_pop(x) AS variance FROM long GROUP BY feature)
+SELECT feature FROM v ORDER BY variance DESC, feature LIMIT 1""")
+def d10_first_best(spark, sf):
+    """The first best of a list of scores (a tie goes to the first): here, by variance."""
+    return sc.first_best(sc.variance_scores(churn_train(spark, sf), _B), "feature", "variance").select("feature")
+
+
+@register("q12_repeated_keys", f"""
+WITH {sql.orders_cte().strip()}
+SELECT nns_user_id, COUNT(*) AS n FROM buyorder GROUP BY 1 HAVING COUNT(*) > 1""")
+def q12_repeated_keys(spark, sf):
+    """Keys that a table holds more than once: here, users with several orders."""
+    return prep.repeated_keys(fx.buy_order(spark, sf), ["nns_user_id"])
+
+
+# --- selection sweeps (L1, L3, L5-L11): the compared model is the default GBT --------
+
+from churnlens.plans import select as fsel  # noqa: E402
+
+# Thresholds and column sets of the sweeps.
+VARIANCE_THRESHOLDS = [0.1, 0.3, 0.5]
+COEFFICIENT_THRESHOLDS = [i / 100_000 for i in range(60, 160, 5)]
+IMPORTANCE_THRESHOLDS = [i / 10_000 for i in range(250, 350, 10)]
+DROPPED_SETS = [["VMail Plan"], ["Night Calls", "Account Length"], ["Eve Calls"], ["Eve Calls", "Night Calls"]]
+
+
+def _sweep(spark, sf) -> "fsel.Sweep":
+    vtr, _ = vectors_b(spark, sf)
+    return fsel.Sweep(vtr, _B, mdl.gbt(**DEFAULT_GBT))
+
+
+@register("l1_variance_sweep")
+def l1_variance_sweep(spark, sf):
+    """CV precision and recall of GBT and forest on the columns above each variance threshold."""
+    vtr, _ = vectors_b(spark, sf)
+    scores = sc.variance_scores(churn_train(spark, sf), _B)
+    out = None
+    for name, est in {"gbt": mdl.gbt(**DEFAULT_GBT), "forest": mdl.forest(**DEFAULT_FOREST)}.items():
+        t = fsel.Sweep(vtr, _B, est).thresholds(scores, "variance", VARIANCE_THRESHOLDS, strict=True)[0]
+        t = t.withColumn("model", F.lit(name))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+@register("l3_chi2_sweep")
+def l3_chi2_sweep(spark, sf):
+    """CV precision and recall on the k columns of best chi2, for every k."""
+    return _sweep(spark, sf).best_k(l2_chi2(spark, sf), "chi2")[0]
+
+
+@register("l5_mutual_info_sweep")
+def l5_mutual_info_sweep(spark, sf):
+    """CV precision and recall on the k columns of most mutual information, for every k."""
+    return _sweep(spark, sf).best_k(l5_mutual_info(spark, sf), "mi")[0]
+
+
+@register("l6_f_sweep")
+def l6_f_sweep(spark, sf):
+    """CV precision and recall on the k columns of best F score, for every k."""
+    return _sweep(spark, sf).best_k(l6_f_scores(spark, sf), "f_score")[0]
+
+
+@register("l7_single_columns")
+def l7_single_columns(spark, sf):
+    """CV recall on each column alone."""
+    return _sweep(spark, sf).single_columns()
+
+
+@register("l8_elimination")
+def l8_elimination(spark, sf):
+    """Recursive elimination inside each fold: mean recall for every number of columns."""
+    return _sweep(spark, sf).eliminate()[0]
+
+
+@register("l9_l1_thresholds")
+def l9_l1_thresholds(spark, sf):
+    """CV recall on the columns whose L1 logistic coefficient reaches each threshold."""
+    sweep = _sweep(spark, sf)
+    model = mdl.logistic(1.0, "l1", sweep.df.count()).fit(sweep.df)
+    return sweep.thresholds(mdl.coefficients(model, _B), "abs_coefficient", COEFFICIENT_THRESHOLDS)[0]
+
+
+@register("l10_gbt_thresholds")
+def l10_gbt_thresholds(spark, sf):
+    """CV recall on the columns whose GBT importance reaches each threshold."""
+    sweep = _sweep(spark, sf)
+    return sweep.thresholds(mdl.importances(sweep.est.fit(sweep.df), _B), "importance", IMPORTANCE_THRESHOLDS)[0]
+
+
+@register("l11_dropped_columns")
+def l11_dropped_columns(spark, sf):
+    """CV precision and recall without each of the named sets of columns."""
+    sweep = _sweep(spark, sf)
+    rows = [(",".join(d), *sweep.cv([c for c in _B if c not in d])) for d in DROPPED_SETS]
+    return spark.createDataFrame(rows, "dropped string, precision double, recall double")

@@ -1,71 +1,122 @@
-"""Feature-selection sweeps.
+"""Feature-selection sweeps.
 
-Scores are Spark aggregates (``churnlens.operators.scores``); each candidate
-column set is evaluated with ``cv_means`` over the shared fold column.  The
-loops run over column counts and thresholds - a few dozen small driver-side
-iterations - while every fit is distributed.
+A ``Sweep`` holds one frame of full vectors with its folds, persisted by the caller;
+a candidate set of columns is cut out of the vectors with ``VectorSlicer``, so nothing
+is assembled or joined again.  Sets that come up twice are fitted once.  The driver
+loops run over column counts and thresholds; every fit is distributed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import VectorSlicer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.operators.metrics import precision_recall
 from churnlens.plans.models import importances, to_vectors
-from churnlens.plans.tune import cv_means
-
-
-def _spark():
-    return SparkSession.getActiveSession()
-
-
-def _cv_on(df: DataFrame, cols, label: str, id_col: str, est, fold_col: str):
-    v = to_vectors(df, cols, label, id_col).join(df.select(F.col(f"`{id_col}`").alias(id_col), fold_col), id_col)
-    return cv_means(v, est, fold_col)
+from churnlens.plans.tune import PARALLELISM, _pmap, cv_means
+
+
+class Sweep:
+    """``df`` has features (vector of ``cols``), label and the fold column."""
+
+    def __init__(self, df: DataFrame, cols, est, fold_col: str = "fold"):
+        self.df, self.cols, self.est, self.fold_col = df, list(cols), est, fold_col
+        self.spark = df.sparkSession
+        self._known: dict[tuple, tuple[float, float]] = {}
+
+    def cut(self, keep, df: DataFrame | None = None) -> DataFrame:
+        """``df`` with the vectors reduced to the columns ``keep``."""
+        df = self.df if df is None else df
+        if list(keep) == self.cols:
+            return df
+        slicer = VectorSlicer(inputCol="_all", outputCol="features", indices=[self.cols.index(c) for c in keep])
+        return slicer.transform(df.withColumnRenamed("features", "_all")).drop("_all")
+
+    def cv(self, keep) -> tuple[float, float]:
+        """Mean CV precision and recall on the columns ``keep``."""
+        key = tuple(sorted(keep, key=self.cols.index))
+        if key not in self._known:
+            self._known[key] = cv_means(self.cut(key), self.est, self.fold_col)
+        return self._known[key]
+
+    def best_k(self, scores: DataFrame, score_col: str, ks=None) -> tuple[DataFrame, int, list]:
+        """For k = 1..n the k best columns by ``score_col``: CV precision and recall.
+        The first k of best recall wins.  Returns (table, best k, columns left out)."""
+        ranked = [r.feature for r in scores.orderBy(F.desc_nulls_last(score_col), "feature").collect()]
+        rows = [(k, *self.cv(ranked[:k])) for k in ks or range(1, len(ranked) + 1)]
+        best = max(rows, key=lambda r: (r[2], -r[0]))[0]
+        return self.spark.createDataFrame(rows, "k int, precision double, recall double"), best, ranked[best:]
+
+    def single_columns(self) -> DataFrame:
+        """(feature, recall): CV recall on each column alone."""
+        return self.spark.createDataFrame([(c, self.cv([c])[1]) for c in self.cols], "feature string, recall double")
+
+    def thresholds(self, weights: DataFrame, value_col: str, thresholds, strict: bool = False):
+        """CV precision and recall on the columns whose value reaches (``strict``: exceeds)
+        each threshold; no column left: zero.  Returns (table, first best threshold)."""
+        value = {r["feature"]: r[value_col] for r in weights.collect()}
+        rows = []
+        for t in thresholds:
+            keep = [c for c in self.cols if value[c] is not None and (value[c] > t or not strict and value[c] == t)]
+            rows.append((float(t), len(keep), *(self.cv(keep) if keep else (0.0, 0.0))))
+        best = max(rows, key=lambda r: (r[3], -r[0]))[0]
+        return self.spark.createDataFrame(rows, "threshold double, n_features int, precision double, recall double"), best
+
+    def _path(self, train: DataFrame, step: int, down_to: int):
+        """Fits on fewer and fewer columns: yields (columns, model); each time the least
+        important ones go (of equals, the first by name)."""
+        keep = list(self.cols)
+        while True:
+            model = self.est.copy().fit(self.cut(keep, train))
+            yield keep, model
+            if len(keep) <= down_to:
+                return
+            n = min(step, len(keep) - down_to)
+            least = importances(model, keep, self.spark).orderBy("importance", "feature").limit(n).collect()
+            keep = [c for c in keep if c not in {r.feature for r in least}]
+
+    def eliminate(self, step: int = 1, min_features: int = 1) -> tuple[DataFrame, list]:
+        """Recursive elimination (L8).  Columns are ranked inside each fold, on its training
+        rows only, and scored on its held-out rows; the size of best mean recall (the
+        smaller of equals) is then reached on all rows.  Returns (table, columns)."""
+        folds = sorted(r[0] for r in self.df.select(self.fold_col).distinct().collect())
+
+        def one(f):
+            train, held = (self.df.where(F.col(self.fold_col) != f), self.df.where(F.col(self.fold_col) == f))
+            found = {}
+            for keep, model in self._path(train, step, min_features):
+                m = precision_recall(model.transform(self.cut(keep, held)), "label", "prediction", 1.0).first()
+                found[len(keep)] = float(m.recall)
+            return found
+
+        per_fold = _pmap(one, folds, PARALLELISM)
+        rows = [(n, sum(p[n] for p in per_fold) / len(per_fold)) for n in sorted(per_fold[0])]
+        best = max(rows, key=lambda r: (r[1], -r[0]))[0]
+        columns = next(keep for keep, _ in self._path(self.df, step, best) if len(keep) == best)
+        return self.spark.createDataFrame(rows, "n_features int, recall double"), columns
+
+
+# The same over a wide frame: feature columns, label, id and fold column.
+
+def _over(df: DataFrame, cols, label: str, id_col: str, est, fold_col: str) -> Sweep:
+    return Sweep(to_vectors(df, cols, label, id_col, keep=(fold_col,)), cols, est, fold_col)
 
 
 def sweep_k(df: DataFrame, scores: DataFrame, score_col: str, est, label: str, id_col: str,
             fold_col: str = "fold", ks=None) -> tuple[DataFrame, int, list]:
-    """For k = 1..n keep the k best columns by ``score_col``, CV precision and
-    recall; the first k with the best recall wins (strict '<').  Returns
-    (table, best k, dropped columns)."""
-    ranked = [r.feature for r in scores.orderBy(F.desc(score_col), "feature").collect()]
-    ks = ks or range(1, len(ranked) + 1)
-    rows, best_k, best = [], None, -1.0
-    for k in ks:
-        p, r = _cv_on(df, ranked[:k], label, id_col, est, fold_col)
-        rows.append((k, p, r))
-        if best < r:
-            best, best_k = r, k
-    table = df.sparkSession.createDataFrame(rows, "k int, precision double, recall double")
-    return table, best_k, ranked[best_k:]
+    """``Sweep.best_k`` over the scored columns."""
+    cols = [r.feature for r in scores.select("feature").collect()]
+    return _over(df, cols, label, id_col, est, fold_col).best_k(scores, score_col, ks)
 
 
 def single_feature_scores(df: DataFrame, cols, est, label: str, id_col: str, fold_col: str = "fold") -> DataFrame:
-    """CV recall of the estimator on each column alone."""
-    rows = [(c, _cv_on(df, [c], label, id_col, est, fold_col)[1]) for c in cols]
-    return df.sparkSession.createDataFrame(rows, "feature string, recall double")
+    return _over(df, cols, label, id_col, est, fold_col).single_columns()
 
 
 def recursive_elimination(df: DataFrame, cols, est, label: str, id_col: str, fold_col: str = "fold",
                           step: int = 1, min_features: int = 1):
-    """Drop the least important column(s) of a full fit, step by step, scoring
-    each set with CV recall; return (table, best column list) (L8)."""
-    current = list(cols)
-    rows, best_cols, best = [], list(cols), -1.0
-    while len(current) >= min_features:
-        p, r = _cv_on(df, current, label, id_col, est, fold_col)
-        rows.append((len(current), ",".join(current), p, r))
-        if best < r:
-            best, best_cols = r, list(current)
-        if len(current) - step < min_features:
-            break
-        model = est.fit(to_vectors(df, current, label, id_col))
-        imp = importances(model, current).orderBy("importance", F.desc("feature")).collect()
-        drop = {x.feature for x in imp[:step]}
-        current = [c for c in current if c not in drop]
-    table = df.sparkSession.createDataFrame(rows, "n_features int, features string, precision double, recall double")
-    return table, best_cols
+    return _over(df, cols, label, id_col, est, fold_col).eliminate(step, min_features)
 
 
 def select_from_model(weights: DataFrame, threshold: float, value_col: str) -> list[str]:
@@ -75,18 +126,10 @@ def select_from_model(weights: DataFrame, threshold: float, value_col: str) -> l
 
 def sweep_threshold(df: DataFrame, weights: DataFrame, value_col: str, thresholds, est, label: str,
                     id_col: str, fold_col: str = "fold"):
-    """CV recall for each threshold; first best wins.  Returns (table, best t)."""
-    rows, best_t, best = [], None, -1.0
-    for t in thresholds:
-        keep = select_from_model(weights, t, value_col)
-        r = _cv_on(df, keep, label, id_col, est, fold_col)[1] if keep else 0.0
-        rows.append((float(t), len(keep), r))
-        if best < r:
-            best, best_t = r, t
-    return df.sparkSession.createDataFrame(rows, "threshold double, n_features int, recall double"), best_t
+    cols = [r.feature for r in weights.select("feature").collect()]
+    return _over(df, cols, label, id_col, est, fold_col).thresholds(weights, value_col, thresholds)
 
 
 def ablate(df: DataFrame, cols, drop, est, label: str, id_col: str, fold_col: str = "fold"):
     """CV (precision, recall) with the named columns removed."""
-    keep = [c for c in cols if c not in set(drop)]
-    return _cv_on(df, keep, label, id_col, est, fold_col)
+    return _over(df, cols, label, id_col, est, fold_col).cv([c for c in cols if c not in set(drop)])
