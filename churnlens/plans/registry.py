@@ -944,3 +944,8 @@ def l11_dropped_columns(spark, sf):
     sweep = _sweep(spark, sf)
     rows = [(",".join(d), *sweep.cv([c for c in _B if c not in d])) for d in DROPPED_SETS]
     return spark.createDataFrame(rows, "dropped string, precision double, recall double")
+
+
+# Dozens to hundreds of fits each; run after the others.
+SWEEPS = ("l1_variance_sweep", "l3_chi2_sweep", "l5_mutual_info_sweep", "l6_f_sweep", "l7_single_columns",
+          "l8_elimination", "l9_l1_thresholds", "l10_gbt_thresholds", "l11_dropped_columns")
