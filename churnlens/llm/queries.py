@@ -34,14 +34,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of every text and of its edited text.  ``n_near``: documents within the
-    Hamming radius (itself included), for ids divisible by 50, found in the permuted tables."""
+    Hamming radius (itself included), for ids divisible by 50, found in the block tables;
+    ``near_class`` is the same for these and the documents near them."""
     docs = simhash.with_next(table(spark, sf, "documents")).checkpoint()
-    asked = docs.where(F.col("doc_id") % QUERY_STEP == 0)
-    copies = docs.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"))
-    near = (simhash.find_within(asked, copies).join(copies.withColumnRenamed("fingerprint", "fp"), "fp")
-            .groupBy("query_fp").agg(F.sum("copies").alias("n_near")))
-    counts = asked.join(near, F.col("fingerprint") == F.col("query_fp")).select("doc_id", "n_near").distinct()
-    return docs.join(counts, "doc_id", "left")
+    return simhash.near_classes(docs, F.col("doc_id") % QUERY_STEP == 0)
 
 
 def op2_mixing(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,11 +5,13 @@ votes on 128 signed counters with an integer weight (more for runs, damped by te
 frequency); the sign of each counter is the bit.  Weights are integers, so the votes
 do not depend on the order of addition and equal texts have equal fingerprints.
 
-``find_within`` is exact: the 128 bits are cut into ``blocks`` blocks; fingerprints
-within ``radius`` differ in at most ``radius`` blocks, so they agree on some choice of
-``blocks - radius`` blocks.  Each choice is one permuted table whose key is those
-blocks; tables are rows of an equi-join, and a pair is kept in the first table that
-holds it.
+``find_within`` is exact: the 128 bits are cut into blocks, each with its own small
+radius; the block radii plus one add up to ``radius`` + 1, so fingerprints within
+``radius`` are within the block's radius in at least one block.  Each block is one table
+keyed by its bits; the corpus has one row in each, a query one row for every key within
+the block's radius.  Tables are rows of an equi-join, and a pair is kept in the first
+table that holds it.  ``RADIUS`` is chosen from the distances of near copies at the
+project's own level (5-word shingles, Jaccard 0.8 or more; README has the recall).
 
 ``with_next`` fingerprints each document's edited text, which needs the next document
 in descending ``doc_id``.  Documents are range-partitioned by id and streamed in order;
@@ -28,15 +30,17 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.llm import graph
 from churnlens.llm.text import id_in, id_out, mix, word_hashes
 from churnlens.session import ensure_checkpoint_dir, ship_package
 
 BITS = 128
-RADIUS = 4
-BLOCKS = 5
+RADIUS = 18
+BLOCKS = 8
+_KEY_BITS = 48  # of a longer block, the first so many bits are its key
 _ROWS = 256  # texts worked on at a time
 _BYTE_AT = np.arange(BITS // 8) * 256
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(float)
@@ -151,35 +155,74 @@ def with_next(docs: DataFrame) -> DataFrame:
     return done.where("edge = 0").select(*_NAMES).unionByName(firsts).withColumn("doc_id", id_out("doc_id"))
 
 
-def _cuts(blocks: int) -> list[tuple[int, int]]:
-    """(start, length) of the blocks, in hex digits."""
-    digits = BITS // 4
-    ends = [digits * (i + 1) // blocks for i in range(blocks)]
-    return [(a, b - a) for a, b in zip([0, *ends], ends)]
+def _cuts(radius: int, blocks: int) -> list[tuple[int, int, int]]:
+    """(start bit, length, radius) of the blocks that are needed."""
+    ends = [BITS * (i + 1) // blocks for i in range(blocks)]
+    own = [(radius + 1) // blocks + (i < (radius + 1) % blocks) - 1 for i in range(blocks)]
+    return [(a, min(b - a, _KEY_BITS), r) for a, b, r in zip([0, *ends], ends, own) if r >= 0]
 
 
 def _halves(fp):
     return [F.conv(F.substring(fp, k, 16), 16, -10).cast("long") for k in (1, 17)]
 
 
+def _bits(high, low, start: int, length: int):
+    """``length`` of the 128 bits, from bit ``start`` (0 is the highest)."""
+    end, mask = start + length, F.lit((1 << length) - 1)
+    if end <= 64:
+        return F.shiftrightunsigned(high, 64 - end).bitwiseAND(mask)
+    if start >= 64:
+        return F.shiftrightunsigned(low, 128 - end).bitwiseAND(mask)
+    return F.shiftleft(high, end - 64).bitwiseOR(F.shiftrightunsigned(low, 128 - end)).bitwiseAND(mask)
+
+
+def _flips(length: int, radius: int) -> list[int]:
+    """All words of ``length`` bits with at most ``radius`` ones."""
+    return [sum(1 << k for k in c) for r in range(min(radius, length) + 1) for c in combinations(range(length), r)]
+
+
 def find_within(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """All pairs (query_fp, fp, distance) of distinct fingerprints (column
     ``fingerprint``, 32 hex digits) at most ``radius`` bits apart, equal ones included."""
-    if not 0 <= radius < blocks:
-        raise ValueError("more blocks than the radius are needed")
-    tables = list(combinations(range(blocks), blocks - radius))
-    cuts = _cuts(blocks)
-
-    def keys(fp):
-        return [F.concat(*[F.substring(fp, cuts[b][0] + 1, cuts[b][1]) for b in t]) for t in tables]
-
-    def tabled(df, name):
-        fp = df.select(F.col("fingerprint").alias(name)).where(F.col(name).isNotNull()).distinct()
-        rows = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), k.alias("k")) for i, k in enumerate(keys(F.col(name)))]))
-        return fp.select(name, rows.alias("x")).select(name, F.col("x.t").alias("t"), F.col("x.k").alias("k"))
-
-    pairs = tabled(queries, "query_fp").join(tabled(corpus, "fp"), ["t", "k"])
-    first = F.coalesce(*[F.when(a == b, F.lit(i)) for i, (a, b) in enumerate(zip(keys(F.col("query_fp")), keys(F.col("fp"))))])
-    distance = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(_halves(F.col("query_fp")), _halves(F.col("fp")))), F.lit(0))
-    return (pairs.where(F.col("t") == first).select("query_fp", "fp", distance.alias("distance"))
-            .where(F.col("distance") <= radius))
+    if radius < 0 or not 1 <= blocks <= BITS:
+        raise ValueError("a radius of 0 or more and 1 to 128 blocks are needed")
+    cuts = _cuts(radius, blocks)
+
+    def tabled(df, side, probe):
+        high, low = F.col(f"{side}_high"), F.col(f"{side}_low")
+        fp = df.select("fingerprint").where("fingerprint is not null").distinct()
+        fp = fp.select(*[h.alias(c) for h, c in zip(_halves(F.col("fingerprint")), (f"{side}_high", f"{side}_low"))])
+        keys = []
+        for t, (start, length, near) in enumerate(cuts):
+            key = _bits(high, low, start, length).bitwiseOR(F.lit(t << _KEY_BITS))
+            flips = F.array(*[F.lit(x).cast("long") for x in (_flips(length, near) if probe else [0])])
+            keys.append(F.transform(flips, key.bitwiseXOR))
+        return fp.select(high, low, F.explode(F.flatten(F.array(*keys))).alias("key"))
+
+    a, b = tabled(queries, "a", True), tabled(corpus, "b", False)
+    apart = [F.col("a_high").bitwiseXOR(F.col("b_high")), F.col("a_low").bitwiseXOR(F.col("b_low"))]
+    distance = F.bit_count(apart[0]) + F.bit_count(apart[1])
+    first = F.coalesce(*[F.when(F.bit_count(_bits(*apart, start, length)) <= near, F.lit(t))
+                         for t, (start, length, near) in enumerate(cuts)])
+    met = (a["key"] == b["key"]) & (distance <= radius) & (F.shiftrightunsigned(a["key"], _KEY_BITS) == first)
+    digits = lambda side: F.lower(F.concat(*[F.lpad(F.hex(f"{side}_{h}"), 16, "0") for h in ("high", "low")]))
+    return a.join(b, met).select(digits("a").alias("query_fp"), digits("b").alias("fp"), distance.alias("distance"))
+
+
+def near_classes(docs: DataFrame, asked: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """``docs`` (doc_id, fingerprint, ...) with ``n_near``, the rows within ``radius`` of an
+    asked row (itself included; null for other rows), and ``near_class``: asked rows and
+    the rows near them are linked, and a class is named by its smallest id.  Rows that no
+    asked row is near to have no class."""
+    copies = docs.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).checkpoint()
+    pairs = (find_within(docs.where(asked), copies, radius, blocks).join(copies.withColumnRenamed("fingerprint", "fp"), "fp")
+             .join(copies.select(F.col("fingerprint").alias("query_fp"), F.col("first_id").alias("query_id")), "query_fp")
+             .checkpoint())
+    near = pairs.groupBy(F.col("query_fp").alias("fingerprint")).agg(F.sum("copies").alias("n_near"))
+    links = pairs.where("query_id is not null and first_id is not null").select(F.col("query_id").alias("a"), F.col("first_id").alias("b"))
+    roots = graph.components(links).withColumnRenamed("node", "first_id")
+    # A fingerprint linked to itself alone has no root; its class is its own id.
+    found = (pairs.select(F.col("fp").alias("fingerprint"), "first_id").distinct().join(roots, "first_id", "left")
+             .select("fingerprint", F.coalesce("root", "first_id").alias("near_class")).join(near, "fingerprint", "left"))
+    return docs.join(found, "fingerprint", "left").select(
+        *[docs[c] for c in docs.columns], F.when(asked, F.col("n_near")).alias("n_near"), "near_class")

@@ -57,6 +57,37 @@ def test_find_within_is_exact(spark, radius, blocks):
     assert got == {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in fps for b in fps if (a ^ b).bit_count() <= radius}
 
 
+def test_search_at_its_own_radius_is_exact_and_finds_near_copies(spark):
+    rng = random.Random(5)
+    texts = []
+    for n in (60, 150, 400):
+        for _ in range(4):
+            base = _text(rng, n).split()
+            copy = list(base)
+            copy[rng.randrange(n)] = "other"
+            texts += [" ".join(base), " ".join(copy), " ".join(base)]
+    fps = [simhash._hex(f) for f in simhash.fingerprints(texts)]
+    far = [f"{int(fps[0], 16) ^ sum(1 << k for k in rng.sample(range(128), d)):032x}" for d in range(14, 23) for _ in range(6)]
+    rows = [(k, f) for k, f in enumerate(fps + far)] + [(None, fps[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    got = [(r.doc_id, r.n_near, r.near_class) for r in simhash.near_classes(docs, F.col("doc_id") % 3 == 0).collect()]
+    assert len(got) == len(rows)
+    apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    asked = [k for k, _ in rows if k is not None and k % 3 == 0]
+    root = {k: k for k, _ in rows[:-1]}
+    near = {q: [k for k, f in rows if apart(f, rows[q][1]) <= simhash.RADIUS] for q in asked}
+    for _ in range(len(rows)):
+        for q in asked:
+            ks = [k for k in near[q] if k is not None]
+            low = min(root[k] for k in ks)
+            root.update({k: low for k in ks})
+    reached = {k for ks in near.values() for k in ks}
+    assert sorted(got, key=repr) == sorted(((k, len(near[k]) if k in near else None, (root[k] if k is not None else root[0]) if k in reached else None)
+                                            for k, _ in rows), key=repr)
+    classes = {k: c for k, _, c in got}
+    assert all(classes[k] == classes[k + 1] == classes[k + 2] == k for k in range(3, 36, 3))
+
+
 def _components(texts, n, percent):
     """Brute force over word tuples."""
     sets = []
