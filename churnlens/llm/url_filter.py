@@ -5,11 +5,13 @@ rule wins.  Every other url gets the verdict of its host, found by propagation o
 host edges: personalised PageRank spreads trust from hosts with allowed pages along
 links, and distrust from hosts with blocked pages against the links (who links to a
 blocked host is suspect).  A host is blocked when its distrust exceeds its trust by
-more than ``margin`` of their sum; a host that neither reaches is allowed.
+more than ``margin`` (and ``TIE``, for the fit's residual) of their sum, however small
+both are; a host that neither reaches is allowed.
 
 Host edges come from absolute links in the html (counted per host pair before they
 move) and from each host to those parent domains that are hosts of pages themselves.
-The number of rounds is fixed, so the work follows the edges.  Seeds, edges and
+Rounds go on until no score grows by more than ``RESIDUAL`` of itself, so every host
+that a seed reaches has its score; a round's work follows the edges.  Seeds, edges and
 scores are aggregated per host first; only ids, hosts and paths meet the verdicts,
 in an equi-join that Spark splits when one host is hot.
 
@@ -37,8 +39,11 @@ RULES = (
 )
 MAX_RULES = 1000  # rules are literals in the plan
 DAMPING = 0.85
-ROUNDS = 10
+ROUNDS = 10  # of the SQL twin; the filter itself goes on until the scores stand still
 MARGIN = 0.0
+RESIDUAL = 1e-7  # growth of a score in the last round, relative to the score
+TIE = 1e-6  # trust and distrust that differ by less of their sum count as equal
+FOLD = 4  # rounds between checkpoints
 LINK = r"""(?i)<a\s[^>]*href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
 
@@ -93,21 +98,46 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return linked.unionByName(up).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Scores per (host, kind) from seeds (host, kind, seed): ``trust`` follows the
-    edges, ``distrust`` runs against them.  Mass at hosts without a way on is dropped."""
-    ensure_checkpoint_dir(edges.sparkSession)
+def _ways(edges: DataFrame) -> DataFrame:
+    """(at, kind, to, share): where a host's scores go, checkpointed."""
     ways = (edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit("trust").alias("kind"), "n")
             .unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit("distrust").alias("kind"), "n")))
     total = ways.groupBy("at", "kind").agg(F.sum("n").alias("all"))
-    ways = ways.join(total, ["at", "kind"]).select("at", "kind", "to", (F.col("n") / F.col("all")).alias("share")).checkpoint()
+    return ways.join(total, ["at", "kind"]).select("at", "kind", "to", (F.col("n") / F.col("all")).alias("share")).checkpoint()
+
+
+def _moved(ways: DataFrame, state: DataFrame, damping: float) -> DataFrame:
+    return (ways.join(state.withColumnRenamed("host", "at"), ["at", "kind"])
+            .select(F.col("to").alias("host"), "kind", (F.lit(damping) * F.col("share") * F.col("score")).alias("score")))
+
+
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None,
+              residual: float = RESIDUAL) -> DataFrame:
+    """Scores per (host, kind) from seeds (host, kind, seed): ``trust`` follows the
+    edges, ``distrust`` runs against them.  Mass at hosts without a way on is dropped.
+
+    Without ``rounds``, scores start from the teleport vector and what arrived in a round
+    is passed on in the next, until that is at most ``residual`` of every score.  The
+    largest such ratio never rises, and it is 1 while new hosts are reached, so none is
+    left out.  With ``rounds``, so many plain rounds from the seeds."""
+    ensure_checkpoint_dir(edges.sparkSession)
+    ways = _ways(edges)
     start = seeds.select("host", "kind", (F.lit(1 - damping) * F.col("seed")).alias("score"))
-    state = seeds.select("host", "kind", F.col("seed").alias("score"))
-    for _ in range(rounds):
-        moved = (ways.join(state.withColumnRenamed("host", "at"), ["at", "kind"])
-                 .select(F.col("to").alias("host"), "kind", (F.lit(damping) * F.col("share") * F.col("score")).alias("score")))
-        state = start.unionByName(moved).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-    return state
+    if rounds is not None:
+        state = seeds.select("host", "kind", F.col("seed").alias("score"))
+        for _ in range(rounds):
+            state = (start.unionByName(_moved(ways, state, damping)).groupBy("host", "kind")
+                     .agg(F.sum("score").alias("score")))
+        return state
+    state = start.groupBy("host", "kind").agg(F.sum("score").alias("score")).withColumn("new", F.col("score")).checkpoint()
+    while (state.agg(F.max(F.col("new") / F.col("score"))).first()[0] or 0.0) > residual:
+        for _ in range(FOLD):
+            fresh = state.where("new > 0").select("host", "kind", F.col("new").alias("score"))
+            state = (state.select("host", "kind", "score", F.lit(0.0).alias("new"))
+                     .unionByName(_moved(ways, fresh, damping).withColumn("new", F.col("score")))
+                     .groupBy("host", "kind").agg(F.sum("score").alias("score"), F.sum("new").alias("new")))
+        state = state.checkpoint()
+    return state.select("host", "kind", "score")
 
 
 def host_verdicts(judged: DataFrame, edges: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -117,7 +147,7 @@ def host_verdicts(judged: DataFrame, edges: DataFrame, margin: float = MARGIN) -
                      F.col("n").cast("double").alias("seed")))
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
     scores = propagate(seeds, edges).groupBy("host").agg(part("trust").alias("trust"), part("distrust").alias("distrust"))
-    excess = F.round(F.col("distrust") - F.col("trust") - margin * (F.col("distrust") + F.col("trust")), 6)
+    excess = F.col("distrust") - F.col("trust") - max(margin, TIE) * (F.col("distrust") + F.col("trust"))
     return scores.withColumn("host_verdict", F.when(excess > 0, F.lit("block")).otherwise(F.lit("allow")))
 
 

@@ -95,6 +95,37 @@ def test_propagation_equals_plain_iteration(spark):
     assert got.keys() == state.keys() and all(abs(got[k] - state[k]) < 1e-9 for k in state)
 
 
+def test_propagation_goes_on_until_scores_stand_still(spark):
+    edges = [(f"c{i}", f"c{i + 1}", 1) for i in range(25)] + [("x", "y", 1), ("y", "x", 1), ("y", "z", 3), ("z", "x", 1)]
+    seeds = [("c0", "trust", 1.0), ("x", "trust", 2.0), ("c25", "distrust", 1.0), ("y", "distrust", 1.0)]
+    got = {(r.host, r.kind): r.score for r in urls.propagate(
+        spark.createDataFrame(seeds, "host string, kind string, seed double"),
+        spark.createDataFrame(edges, "src string, dst string, n long")).collect()}
+    for kind in ("trust", "distrust"):
+        ways = [(s, d, n) if kind == "trust" else (d, s, n) for s, d, n in edges]
+        state = {h: 0.15 * s for h, k, s in seeds if k == kind}
+        for _ in range(300):
+            new = {h: 0.15 * s for h, k, s in seeds if k == kind}
+            for s, d, n in ways:
+                if s in state:
+                    new[d] = new.get(d, 0) + 0.85 * n / sum(m for x, _, m in ways if x == s) * state[s]
+            state = new
+        assert {h for h, k in got if k == kind} == state.keys()
+        assert all(abs(got[h, kind] - v) < 1e-6 * v for h, v in state.items())
+
+
+def test_host_verdicts_do_not_shrink_with_degree(spark):
+    # Two links from a blocked host with many links to it: distrust 0.15 * 0.85^2 / 1000^2, no trust.
+    edges = spark.createDataFrame([("near", "bad.com", 1), ("rest", "bad.com", 999), ("far", "near", 1), ("rest", "near", 999),
+                                   ("far", "good.org", 1)], "src string, dst string, n long")
+    judged = spark.createDataFrame([("bad.com", "com/de/", "block"), ("good.org", "org/", "allow")],
+                                   "host string, rule string, rule_verdict string")
+    got = {r.host: r.host_verdict for r in urls.host_verdicts(judged, edges).collect()}
+    assert got == {"bad.com": "block", "near": "block", "rest": "block", "far": "block", "good.org": "allow"}
+    tied = spark.createDataFrame([("a.org", "org/", "allow"), ("a.org", "com/de/", "block")], "host string, rule string, rule_verdict string")
+    assert [r.host_verdict for r in urls.host_verdicts(tied, edges).where("host = 'a.org'").collect()] == ["allow"]
+
+
 def test_url_filter_of_no_pages(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
