@@ -9,7 +9,7 @@
 
 The fit uses at most ``MAX_PER_CLASS`` labelled rows of each class on average (a
 documented bound: rows are taken by a hash of their id, with a rate from the class
-counts).  Only the texts of those rows are measured for the fit; the id list is
+counts, and weigh 1 / rate, so the classes keep their shares).  Only the texts of those rows are measured for the fit; the id list is
 bounded by that parameter and is broadcast.  Everything else covers all rows.
 
 Statistics depend on the text only: no label, language, source or id is an input.
@@ -125,14 +125,15 @@ def _tightened(terms) -> Rule:
 
 
 def _fit_rows(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, text_col: str, per_class: int):
-    """(statistics and label of the sampled rows, counts of labels)."""
+    """(statistics, label and weight of the sampled rows, counts of labels)."""
     own = (labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y"))
            .where("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.min("_y").alias("_y")))
     counts = {r["_y"]: r["n"] for r in own.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = F.lit(1.0)
     for y, n in counts.items():
-        rate = F.when(F.col("_y") == y, F.lit(per_class / n)).otherwise(rate)
-    drawn = own.where(F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 30)) < rate * (1 << 30))
+        rate = F.when(F.col("_y") == y, F.lit(min(1.0, per_class / n))).otherwise(rate)
+    drawn = (own.where(F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 30)) < rate * (1 << 30))
+             .withColumn("_weight", 1 / rate))
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     rows = statistics(texts.join(F.broadcast(drawn), "_id"), "_text")
     return rows.repartitionByRange(8, "_id").sortWithinPartitions("_id").checkpoint(), counts
@@ -150,15 +151,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
         return Ensemble(_logit(share), ())
     features = array_to_vector(F.array(*[F.col(f"_s_{s}") for s in STATS]))
     forest = RandomForestClassifier(labelCol="_y", featuresCol="_x", numTrees=TREES, maxDepth=DEPTH, seed=SEED,
-                                    featureSubsetStrategy="onethird", minInstancesPerNode=5)
-    trees = forest.fit(rows.select(F.col("_y").cast("double").alias("_y"), features.alias("_x"))).trees
+                                    featureSubsetStrategy="onethird", minInstancesPerNode=5, weightCol="_weight")
+    trees = forest.fit(rows.select(F.col("_y").cast("double").alias("_y"), "_weight", features.alias("_x"))).trees
     rules = sorted(set().union(*(paths(t.toDebugString) for t in trees)), key=lambda r: r.terms)
     if not rules:
         return Ensemble(_logit(sum(y * n for y, n in counts.items()) / sum(counts.values())), ())
     hits = array_to_vector(F.array(*[r.column().cast("double") for r in rules]))
-    table = rows.select(F.col("_y").cast("double").alias("_y"), hits.alias("_x")).checkpoint()
+    table = rows.select(F.col("_y").cast("double").alias("_y"), "_weight", hits.alias("_x")).checkpoint()
     lasso = LogisticRegression(labelCol="_y", featuresCol="_x", elasticNetParam=1.0, regParam=LASSO, maxIter=MAX_ITER,
-                               standardization=False).fit(table)
+                               standardization=False, weightCol="_weight").fit(table)
     weights = [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray()) if w]
     return Ensemble(float(lasso.intercept), tuple(weights))
 

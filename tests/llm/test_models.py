@@ -30,6 +30,20 @@ def test_ensemble_separates_held_out_rows(spark):
     assert got and all((r.predicted == 1) == (r.quality == 1) and 0 <= r.score <= 1 for r in got)
 
 
+def test_ensemble_of_a_sample_keeps_the_class_shares(spark):
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(1200):
+        bad = rng.random() < 0.15
+        marked = rng.random() < (0.6 if bad else 0.2)  # the classes overlap
+        rows.append((i, " ".join(rng.choice(["ab", "cde", "fghi"]) + "#" * (marked and k % 2) for k in range(rng.randint(20, 60)))))
+        labels.append((i, 0 if bad else 1))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    mean = lambda n: ens.score(docs, ens.fit(docs, known, per_class=n)).agg({"score": "avg"}).first()[0]
+    share = sum(y for _, y in labels) / len(labels)
+    assert abs(mean(5000) - share) < 0.02 and abs(mean(150) - share) < 0.06
+
+
 def test_paths_are_the_trees_paths():
     text = ("DecisionTreeClassificationModel: depth=2\n  If (feature 2 <= 0.5)\n   If (feature 2 <= 0.25)\n    Predict: 1.0\n"
             "   Else (feature 2 > 0.25)\n    Predict: 0.0\n  Else (feature 2 > 0.5)\n   Predict: 0.0\n")
