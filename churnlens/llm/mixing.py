@@ -23,7 +23,7 @@ rates rest on their bound.
 Defined results: null text counts as empty: no tokens, posteriors by the intercepts, and
 a rate like any other; ids labelled more than once take the smallest domain; labels that
 are null are left out; with one labelled domain all posteriors are 1; without labels the
-single domain is ``unlabelled``; a domain without expected tokens has no say; a row with a
+single domain is ``unlabelled`` and, without a target, all rates are 1; a domain without expected tokens has no say; a row with a
 null id is kept and gets a rate; equal texts have equal rates; repeated rows count as often
 as they occur; extra columns are not read by the fit.
 """
@@ -99,7 +99,7 @@ def expected_tokens(members: DataFrame, k: int, rate: Column | None = None) -> n
     return np.array([x or 0.0 for x in row])
 
 
-def fit_rates(members: DataFrame, targets: list[float], floor: float = 0.0, rounds: int = ROUNDS) -> DataFrame:
+def fit_rates(members: DataFrame, targets: list[float], floor: float | Column = 0.0, rounds: int = ROUNDS) -> DataFrame:
     """``members`` (n_tokens, p, ...) with ``rate`` >= ``floor``: sums of rate * n_tokens * p
     match ``targets`` in weighted least squares.  ``members`` should be checkpointed."""
     k, goal = len(targets), np.asarray(targets, float)
@@ -109,7 +109,8 @@ def fit_rates(members: DataFrame, targets: list[float], floor: float = 0.0, roun
     weight = np.where(tokens > 0, 1 / np.where(tokens > 0, tokens, 1), 0.0)
     scale = max(goal.sum(), tokens.sum(), 1.0)
     start = np.linalg.lstsq(gram, np.where(tokens > 0, tokens - goal, 0.0), rcond=1e-9)[0]
-    lowered = lambda c, u: F.greatest(F.lit(float(floor)), c - _dot("p", u))
+    floor = floor if isinstance(floor, Column) else F.lit(float(floor))
+    lowered = lambda c, u: F.greatest(floor, c - _dot("p", u))
     kept = [F.col(f"`{c}`") for c in members.columns]
     # _rate is the point reached, _ahead the point the gradient is taken at.
     held = members.select(*kept, lowered(F.lit(1.0), start).alias("_rate")).withColumn("_ahead", F.col("_rate"))
@@ -127,15 +128,17 @@ def fit_rates(members: DataFrame, targets: list[float], floor: float = 0.0, roun
                         (F.col("_new") + F.lit(push) * (F.col("_new") - F.col("_rate"))).alias("_ahead")))
         if n % FOLD == FOLD - 1:  # keep the plan short
             held = held.checkpoint()
-    return held.select(*kept, F.greatest(F.lit(float(floor)), "_ahead").alias("rate"))
+    return held.select(*kept, F.greatest(floor, "_ahead").alias("rate"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], relative: str = "share", floor: float = 0.0,
-        per_domain: int = MAX_PER_DOMAIN) -> DataFrame:
+        per_domain: int = MAX_PER_DOMAIN, whole: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, p_<domain> ..., rate) per row of ``docs``.
 
     ``targets``: domain -> share of all tokens (``relative="share"``), times the domain's
-    expected tokens (``"epochs"``) or tokens (``"tokens"``); a domain left out has 0."""
+    expected tokens (``"epochs"``) or tokens (``"tokens"``); a domain left out has 0, but a single one
+    that is left out has no mixture to meet: its rows have rate 1.  Rows whose likeliest
+    domain is ``whole`` have a rate of 1 or more."""
     scored, domains = posteriors(docs, labelled, per_domain)
     members = scored.checkpoint()
     base = expected_tokens(members, len(domains))
@@ -146,7 +149,14 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], relativ
         goal = goal * base
     elif relative != "tokens":
         raise ValueError("relative is share, epochs or tokens")
-    fitted = fit_rates(members, list(goal), floor)
+    if len(domains) == 1 and domains[0] not in targets:
+        fitted = members.withColumn("rate", F.lit(1.0))
+    else:
+        least = F.lit(float(floor))
+        if whole in domains:
+            likeliest = F.get("p", F.lit(domains.index(whole))) >= F.array_max("p")
+            least = F.when(likeliest, F.lit(max(1.0, float(floor)))).otherwise(least)
+        fitted = fit_rates(members, list(goal), least)
     return fitted.select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)], "rate")
 
 

@@ -107,6 +107,27 @@ def test_mixing_on_odd_tables(spark):
     assert mixing.mix(docs.limit(0), one, {"a": 1.0}).count() == 0
 
 
+def test_likely_clean_documents_have_rates_of_one_or_more(spark):
+    rng = random.Random(6)
+    text = lambda share: " ".join(rng.choice("abcdefgh" if rng.random() < share else "stuvwxyz") * 3 for _ in range(12))
+    docs = spark.createDataFrame([(i, text((i % 11) / 10)) for i in range(110)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, "clean" if i % 11 > 5 else "junk") for i in range(0, 110, 2)], "doc_id long, domain string")
+    targets = {"clean": 1.25, "junk": 0.25}
+    low = lambda rows: [r for r in rows if r.p_clean > r.p_junk and r.rate < 1]
+    assert low(mixing.mix(docs, known, targets, relative="epochs").collect())
+    rows = mixing.mix(docs, known, targets, relative="epochs", whole="clean").collect()
+    assert len(rows) == 110 and not low(rows) and any(r.rate < 1 for r in rows)
+
+
+def test_without_labels_documents_stay(spark, tmp_path):
+    import corpus_pipeline as pipe
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(k, "a b c " * k, "en", "s", 0) for k in range(5)], "doc_id long, text string, lang string, source string, n_chars int")
+    for stage in (pipe.quality_classifier, pipe.source_mixing):
+        assert sorted(stage(spark, docs, str(tmp_path)).collect()) == sorted(docs.collect())
+
+
 def test_realise_repeats_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "doc_id long, text string")
     rates = spark.createDataFrame([(1, 3.0), (2, 0.0), (1, 4.0)], "doc_id long, rate double")
