@@ -12,8 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import (bpe, chat_format, jaccard_join, mixing, quality_rules, rule_ensemble, sharding, simhash, sql,
-                           url_filter, warc)
+from churnlens.llm import (bpe, chat_format, fill_middle, jaccard_join, learned_index, mixing, quality_rules, rule_ensemble,
+                           sharding, simhash, sql, url_filter, vector_codes, warc)
 from churnlens.llm.text import table
 from churnlens.session import scratch_path
 
@@ -100,6 +100,27 @@ def op10_rule_ensemble(spark: SparkSession, sf: str) -> DataFrame:
     return rule_ensemble.score(docs, model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_fill_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars",
+                       digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restore()).alias("restored_sha256"))
+
+
+def op12_learned_index(spark: SparkSession, sf: str) -> DataFrame:
+    return learned_index.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    codes, books, _ = vector_codes.compress(table(spark, sf, "embeddings"))
+    codes = codes.checkpoint()
+    # Written out, so that the join of a frequent label can be split.
+    per_label = codes.groupBy("label").agg(F.sum("error").alias("label_error")).select(F.col("label").alias("_l"), "label_error").checkpoint()
+    return codes.join(per_label, F.col("label").eqNullSafe(F.col("_l"))).select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error",
+        F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,5 +129,5 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_mixing, op3_jaccard_join, op4_quality_rules, op5_warc, op6_url_filter, op7_chat_format, op8_sharding,
-    op9_bpe, op10_rule_ensemble, pipeline)}
+    op9_bpe, op10_rule_ensemble, op11_fill_middle, op12_learned_index, op13_vector_codes, pipeline)}
 ORACLE = sql.ORACLE

@@ -155,3 +155,21 @@ claims(turn, slot, free) AS (
 owner AS (SELECT slot, shard FROM claims JOIN names ON k = (turn - 1) % {_N} WHERE turn > 0),
 keyed AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {_M} AS slot FROM documents)
 SELECT doc_id, slot, shard FROM keyed JOIN owner USING (slot)"""
+
+
+_FIM_H = "('0x' || substr(h, {0}, 8))::BIGINT"
+_FIM_UNITS = "array_to_string(u[{0}:{1}], '')"
+
+ORACLE["op11_fill_middle"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+  sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT *, len(u)::BIGINT AS n, {_FIM_H.format(1)} % (len(u) + 1) AS x, {_FIM_H.format(9)} % (len(u) + 1) AS y,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_FIM_H.format(17)} % 100 >= 100
+    THEN 'plain' WHEN {_FIM_H.format(25)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, {_FIM_UNITS.format(1, 'least(x, y)')} AS pre, {_FIM_UNITS.format('least(x, y) + 1', 'greatest(x, y)')} AS mid,
+  {_FIM_UNITS.format('greatest(x, y) + 1', 'n')} AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p"""
