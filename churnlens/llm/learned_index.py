@@ -14,9 +14,10 @@
    exact search of these over all rows, one pass), and at least to as many as hold k
    rows.  The rows met there are ranked by their exact inner product.
 
-Partitions above ``BLOCK`` rows are dealt into blocks by row, their queries into blocks
-by id, and a task holds one block of each, so a partition with a third of all rows is
-no bottleneck.  Only the sample, the classifier and counts per partition reach the
+Small partitions share a bin of at most ``BLOCK`` rows, in which a query still meets only
+the partitions it asks for and leaves one list of k rows; a partition above ``BLOCK`` rows
+is dealt into bins by row.  Queries are dealt into blocks by id, and a task holds one bin
+and one block, so a partition with a third of all rows is no bottleneck.  Only the sample, the classifier and counts per partition reach the
 driver; their sizes are bounded by ``MAX_PARTS``.  The share of the table that a query
 meets depends on the data: few partitions where vectors cluster, over half of them where
 all directions are alike; the calibration measures it.
@@ -51,7 +52,7 @@ LINKS = 10             # neighbours of a sampled row in the graph
 ROOM = 1.1             # most rows of a part, as a multiple of the mean
 CALIBRATION = 256      # queries whose true neighbours are searched exactly
 TARGET = 0.95          # share of true neighbours that the probes must hold
-BLOCK = 4096           # rows of a block
+BLOCK = 8192           # rows of a bin
 QUERY_BLOCK = 1024     # queries of a block
 _SLICE = 4096
 
@@ -137,31 +138,41 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _kept(qi, ids, ri, score, k: int):
+    """Of (query, id, row, score) the k best ids of each query, best first."""
+    by = np.lexsort((-score, ids, qi))
+    qi, ids, ri, score = qi[by], ids[by], ri[by], score[by]
+    once = np.ones(len(qi), bool)
+    once[1:] = (qi[1:] != qi[:-1]) | (ids[1:] != ids[:-1])
+    qi, ids, ri, score = qi[once], ids[once], ri[once], score[once]
+    by = np.lexsort((ids, -score, qi))
+    qi, ids, ri, score = qi[by], ids[by], ri[by], score[by]
+    best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return qi[best], ids[best], ri[best], score[best]
+
+
 def best_rows(qid, q, rid, x, k: int):
     """(query position, row position, score) of each query's k best rows with other ids;
     an id counts once."""
     order = np.argsort(rid, kind="stable")
-    ids = rid[order]
-    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    scores = q @ x[order].T
-    scores[qid[:, None] == ids[None, :]] = -np.inf
-    by_id = np.maximum.reduceat(scores, starts, axis=1)
-    least = np.full(len(q), -np.inf)
-    if len(starts) > k:
-        least = np.partition(by_id, len(starts) - k, axis=1)[:, len(starts) - k]
-    # A matrix product rounds by position: look a hair below, then score exactly.
-    hair = 1e-12 * np.linalg.norm(q, axis=1) * (np.linalg.norm(x, axis=1).max() if len(x) else 0) + 1e-300
-    qi, at = np.nonzero((scores >= (least - hair)[:, None]) & (scores > -np.inf))
-    ri = order[at]
-    score = exact_scores(q[qi], x[ri])
-    by = np.lexsort((-score, rid[ri], qi))
-    qi, ri, score = qi[by], ri[by], score[by]
-    once = np.concatenate([[True], (qi[1:] != qi[:-1]) | (rid[ri][1:] != rid[ri][:-1])]) if len(qi) else np.empty(0, bool)
-    qi, ri, score = qi[once], ri[once], score[once]
-    by = np.lexsort((rid[ri], -score, qi))
-    qi, ri, score = qi[by], ri[by], score[by]
-    place = np.arange(len(qi)) - np.searchsorted(qi, qi)
-    return qi[place < k], ri[place < k], score[place < k]
+    ids, x = rid[order], x[order]
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.empty(0, int)
+    longest = np.linalg.norm(x, axis=1).max() if len(x) else 0.0
+    out = []
+    for a in range(0, len(q) if len(ids) else 0, 256):
+        some = q[a:a + 256]
+        scores = some @ x.T
+        scores[qid[a:a + 256, None] == ids[None, :]] = -np.inf
+        least = np.full(len(some), -np.inf)
+        if len(starts) > k:
+            by_id = np.maximum.reduceat(scores, starts, axis=1) if len(starts) < len(ids) else scores
+            least = np.partition(by_id, len(starts) - k, axis=1)[:, len(starts) - k]
+        # A matrix product rounds by position: look a hair below, then score exactly.
+        hair = 1e-12 * np.linalg.norm(some, axis=1) * longest + 1e-300
+        qi, at = np.nonzero((scores >= (least - hair)[:, None]) & (scores > -np.inf))
+        qi, _, at, score = _kept(qi, ids[at], at, exact_scores(some[qi], x[at]), k)
+        out.append((qi + a, order[at], score))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
 
 
 # --- the index -------------------------------------------------------------------------
@@ -205,8 +216,8 @@ def _classifier(spark, x: np.ndarray, near: np.ndarray, part: np.ndarray, parts:
     to = np.concatenate([part, part[near].ravel()])
     w = np.concatenate([np.ones(len(x)), np.full(near.size, 1 / max(1, near.shape[1]))])
     votes = pd.DataFrame({"at": at, "label": to, "w": w}).groupby(["at", "label"], as_index=False)["w"].sum()
-    points = spark.createDataFrame(pd.DataFrame({"at": np.arange(len(x)), "x": list(x)}))
-    votes = spark.createDataFrame(votes.astype({"at": "int64", "label": "float64"}))
+    points = spark.createDataFrame(list(enumerate(x.tolist())), "at long, x array<double>")
+    votes = spark.createDataFrame([(int(i), float(p), float(v)) for i, p, v in votes.to_numpy()], "at long, label double, w double")
     train = points.join(votes, "at").select(array_to_vector("x").alias("features"), "label", "w").checkpoint()
     model = LogisticRegression(family="multinomial", weightCol="w", maxIter=40, regParam=1e-4, standardization=False).fit(train)
     found = np.hstack([model.coefficientMatrix.toArray(), model.interceptVector.toArray()[:, None]])
@@ -305,29 +316,60 @@ def calibrate(index: Index, queries: DataFrame, k: int, target: float = TARGET,
     return (int(np.searchsorted(recall, min(target, recall[-1]) - 1e-12)) + 1 if len(at) else 1), recall
 
 
-def _routed(index_weights, sizes: np.ndarray, probes: int, k: int):
-    """Adds ``parts``: the ``probes`` most probable, and more until they hold k + 1 rows."""
+def bins(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first bin, number of bins) of each part: small parts share a bin of at most
+    ``block`` rows, a larger part has bins of its own."""
+    first, many, at, room = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, block
+    for p, n in enumerate(sizes.tolist()):
+        if n > block:
+            first[p], many[p] = at + 1, -(-n // block)
+            at, room = int(at + 1 + many[p]), block
+        else:
+            if n > room:
+                at, room = at + 1, block
+            first[p], room = at, room - n
+    return first, many
+
+
+def _routed(weights, sizes: np.ndarray, first: np.ndarray, probes: int, k: int):
+    """One row for each query and (first) bin: the parts that the query asks for there,
+    the ``probes`` most probable ones and more until they hold k + 1 rows."""
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(a, _SLICE)
                 x = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                order = np.argsort(-part_probabilities(x, index_weights.value), axis=1, kind="stable")
+                order = np.argsort(-part_probabilities(x, weights.value), axis=1, kind="stable")
                 enough = (np.cumsum(sizes[order], axis=1) <= k).sum(axis=1) + 1
                 take = np.minimum(np.maximum(enough, probes), order.shape[1])
-                lists = [o[:t].tolist() for o, t in zip(order, take)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists, pa.list_(pa.int32()))],
-                                                 names=[*part.schema.names, "parts"])
+                rows, at, parts = [], [], []
+                for i, (o, t) in enumerate(zip(order, take)):
+                    asked = o[:t][sizes[o[:t]] > 0]
+                    for b in np.unique(first[asked]).tolist():
+                        rows.append(i)
+                        at.append(b)
+                        parts.append(asked[first[asked] == b].tolist())
+                yield pa.RecordBatch.from_arrays([*part.take(pa.array(rows, pa.int64())).columns, pa.array(at, pa.int32()),
+                                                  pa.array(parts, pa.list_(pa.int32()))], names=["id", "v", "bin", "parts"])
 
     return run
 
 
-def _block(qs: pd.DataFrame, rs: pd.DataFrame, k: int) -> pd.DataFrame:
-    if not len(qs) or not len(rs):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-    qid, rid = qs["id"].to_numpy(), rs["id"].to_numpy()
-    qi, ri, score = best_rows(qid, matrix(qs["v"]), rid, matrix(rs["v"]), k)
-    return pd.DataFrame({"query_id": qid[qi], "vec_id": rid[ri], "score": score})
+def _meet(qs: pd.DataFrame, rs: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of a bin for each of its queries, part by part."""
+    qid, rid, own = qs["id"].to_numpy(), rs["id"].to_numpy(), rs["part"].to_numpy()
+    none = np.empty(0, np.int64)
+    found = [(none, none, none, np.empty(0))]
+    if len(qs) and len(rs):
+        q, x = matrix(qs["v"]), matrix(rs["v"])
+        asked = np.repeat(np.arange(len(qs)), qs["parts"].map(len))
+        parts = np.concatenate([np.asarray(p, np.int64) for p in qs["parts"]])
+        for p in np.unique(own):
+            some, rows = asked[parts == p], np.flatnonzero(own == p)
+            qi, ri, score = best_rows(qid[some], q[some], rid[rows], x[rows], k)
+            found.append((some[qi], rid[rows][ri], rows[ri], score))
+    qi, ids, _, score = _kept(*(np.concatenate(c) for c in zip(*found)), k)
+    return pd.DataFrame({"query_id": qid[qi].astype(np.int64), "vec_id": ids.astype(np.int64), "score": score.astype(float)})
 
 
 def search(index: Index | None, queries: DataFrame, k: int = 20, probes: int | None = None, target: float = TARGET) -> DataFrame:
@@ -342,20 +384,20 @@ def search(index: Index | None, queries: DataFrame, k: int = 20, probes: int | N
         return spark.createDataFrame([], out)
     if probes is None:
         probes, _ = calibrate(index, queries, k, target)
-    kind = dict(queries.dtypes)["v"]
-    routed = queries.mapInArrow(_routed(spark.sparkContext.broadcast(index.weights), index.sizes, probes, k),
-                                f"id long, v {kind}, parts array<int>").checkpoint()
-    asked = routed.select("id", "v", F.explode("parts").alias("part"))
-    counts = asked.groupBy("part").count().collect()  # a row per part
-    plan = spark.createDataFrame([(r.part, int(-(-index.sizes[r.part] // BLOCK)), -(-r["count"] // QUERY_BLOCK)) for r in counts
-                                  if index.sizes[r.part]], "part int, rows int, asks int")
+    first, many = bins(index.sizes, BLOCK)
+    routed = queries.mapInArrow(_routed(spark.sparkContext.broadcast(index.weights), index.sizes, first, probes, k),
+                                f"id long, v {dict(queries.dtypes)['v']}, bin int, parts array<int>").checkpoint()
+    # A row per part at most: how many blocks of queries each of its bins meets.
+    asks = {r.bin: -(-r["count"] // QUERY_BLOCK) for r in routed.groupBy("bin").count().collect()}
+    plan = spark.createDataFrame([(p, b, m, asks[b]) for p, (b, m) in enumerate(zip(first.tolist(), many.tolist())) if b in asks],
+                                 "part int, bin int, rows int, asks int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt: list[DataFrame] = []
-    for side, salt, own, other in ((asked, F.col("id"), "asks", "rows"), (index.rows, F.col("salt"), "rows", "asks")):
-        mine = F.pmod(F.xxhash64(salt), F.col(own)).cast("int").alias(own[0])
-        dealt.append(side.join(F.broadcast(plan), "part").select("part", "id", "v", mine, upto(other).alias(other[0])))
-    found = (dealt[0].groupBy("part", "a", "r").cogroup(dealt[1].groupBy("part", "a", "r"))
-             .applyInPandas(lambda qs, rs: _block(qs, rs, k), _FOUND))
+    dealt = lambda salt, n: F.pmod(F.xxhash64(salt), F.col(n)).cast("int")
+    qs = (routed.join(F.broadcast(plan.select("bin", "rows", "asks").distinct()), "bin")
+          .select("bin", "id", "v", "parts", dealt("id", "asks").alias("a"), upto("rows").alias("r")))
+    rs = (index.rows.join(F.broadcast(plan), "part")
+          .select("bin", "id", "v", "part", dealt("salt", "rows").alias("r"), upto("asks").alias("a")))
+    found = qs.groupBy("bin", "a", "r").cogroup(rs.groupBy("bin", "a", "r")).applyInPandas(lambda x, y: _meet(x, y, k), _FOUND)
     # By query alone: the ids of one query's few candidates are told apart where they meet.
     found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return _top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score",

@@ -132,6 +132,11 @@ def test_search_finds_neighbours_with_exact_scores(spark, monkeypatch):
         (q, k + 1, i, -s) for q, f in want.items() for k, (s, i) in enumerate(f)}
 
 
+def test_bins_hold_small_parts_together_and_split_large_ones():
+    first, many = li.bins(np.array([3, 4, 25, 0, 9, 2]), 10)
+    assert first.tolist() == [0, 0, 1, 4, 4, 5] and many.tolist() == [1, 1, 3, 1, 1, 1]
+
+
 def test_search_edge_cases(spark):
     rows = [(0, [1, 0]), (0, [1, 0]), (20, [0.5, 0.5]), (3, [1, 0]), (2, [1, 0]), (2, [9, 9]), (40, None), (5, [0, 0]), (6, [1, None]),
             (7, [float("nan"), 1]), (8, [float("inf"), 1]), (9, [1, 2, 3]), (None, [4, 4]), (60, []), (11, [-1, -1])]
