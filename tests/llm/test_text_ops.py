@@ -205,6 +205,24 @@ def test_bpe_merge_is_the_greedy_merge():
             value, k = min(pairs)
             plain[k:k + 2] = [value & 0xFFFFF]
         assert bpe.merge(ids, merges) == plain
+    rows, want = [], []
+    for n in [0, 1, 2, 3, 8, 8, *(rng.randint(0, 8) for _ in range(400))]:
+        ids = [rng.randrange(8) for _ in range(n)]
+        rows.append(ids + [-1] * (8 - n))
+        want.append(bpe.merge(ids, merges))
+    got = bpe.merge_many(np.array(rows), np.array([sum(i >= 0 for i in r) for r in rows]), bpe._Pairs(merges))
+    assert [r[r >= 0].tolist() for r in got] == want
+    assert bpe.merge_many(np.array([[3], [-1]]), np.array([1, 0]), bpe._Pairs(merges)).tolist() == [[3], [-1]]
+
+
+def test_every_code_point_equals_the_library(library):
+    encoder = bpe.Encoder(bpe.load(tokenizer_path()), keep=50_000)
+    texts = [f"a{chr(i)} {chr(i)}1{chr(i)}{chr(i)}!{chr(i)} x" for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for k in range(0, len(texts), 20_000):
+        some = texts[k:k + 20_000]
+        flat, counts = encoder.encode_many(some)
+        for text, ids, want in zip(some, np.split(flat, np.cumsum(counts)[:-1]), library.encode_batch(some, add_special_tokens=False)):
+            assert ids.tolist() == want.ids, text
 
 
 def test_decoding_broken_bytes(spark, library):
