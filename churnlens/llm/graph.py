@@ -13,8 +13,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star and small-star rounds: every node hands its smallest neighbour to its
     larger, then to its smaller neighbours, until all edges point at a root; the number
-    of rounds grows with the logarithm of the nodes.  A round aggregates before it joins,
-    so a node with many edges is no bottleneck, and its edges are checkpointed."""
+    of rounds grows with the logarithm of the nodes.  A round aggregates before it joins, and
+    what it has aggregated is written out: Spark splits a join at a node with many edges only
+    where the join does not stand right above its aggregate.  Edges are checkpointed."""
     ensure_checkpoint_dir(edges.sparkSession)
     e = (edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
          .distinct().checkpoint())
@@ -27,8 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         seen = state
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
             e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")).checkpoint()
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = large.checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         e = (large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
              .unionByName(low.select("u", F.col("m").alias("v"))).distinct().checkpoint())

@@ -4,14 +4,15 @@ Jaccard distance d = 1 - |x n y| / |x u y| is a metric, so d(x, y) <= r implies
 |d(x, p) - d(y, p)| <= r for every pivot p.
 
 1. A text becomes the set of its distinct word n-grams (64-bit hashes).  Texts with
-   one set are one class; its smallest id stands for it, so groups of copies of any
-   size leave by a partially aggregated ``groupBy``.
+   one set are one class with a number of its own; its smallest id stands for it, so
+   groups of copies of any size leave by a partially aggregated ``groupBy``.
 2. A set's shingles are ordered from rare to common.  Two sets within r share one of
    the first n - ceil(t n) + 1 shingles (t = 1 - r), so every set needs to meet only
-   the sets that share a shingle of this *rim*.  The smallest id among the sets that
-   share a rim shingle becomes a pivot; a set belongs to the region of every pivot it
+   the sets that share a shingle of this *rim*.  The smallest number among the classes
+   that share a rim shingle becomes a pivot; a set belongs to the region of every pivot it
    shares one with, which replicates the sets that lie between regions.  A pair within
-   r always has a region in common.
+   r always has a region in common.  Shingles that stand in one class's rim only leave
+   before any set is joined or moved (by a filter of their hashes, then exactly).
 3. A set's shingle counts over fixed parts of the universe are its distances to
    as many fixed pivots in the symmetric-difference metric; the triangle inequality over
    them splits a region, before any set is moved, into the groups that possible links
@@ -27,13 +28,14 @@ Jaccard distance d = 1 - |x n y| / |x u y| is a metric, so d(x, y) <= r implies
 6. Edges of all regions meet in ``graph.components``.
 
 The order of shingles affects speed only; it comes from counts of all shingles of all
-texts in a table of fixed size (``2 ** ORDER_BITS`` counters).  The documents whose sets are
-built are told by a filter of ``2 ** WANTED_BITS`` bits, which lets others through at worst.
-These two are all that is broadcast.
+texts in a table of fixed size (``2 ** ORDER_BITS`` counters).  Rim shingles of several
+classes, and the documents whose sets are built, are told by filters of ``2 ** WANTED_BITS``
+bits, which let others through at worst.  These three are all that is broadcast.
 
 Defined results: null and empty texts, and texts without words, have an empty set and
 are linked with nothing; a text of fewer words than n is one shingle; equal sets are
-linked, with distance zero; rows that repeat an id with one text are one document; a row
+linked, with distance zero; rows that repeat an id with one text are one document, with
+several texts each row is linked by its own; a row
 without an id is linked only as a copy (component null if no copy has an id); extra
 columns are not read.
 """
@@ -50,8 +52,8 @@ from churnlens.llm.text import NO_ID, id_in, id_out, mix, word_hashes
 from churnlens.session import ensure_checkpoint_dir, ship_package
 
 ORDER_BITS = 17
-LEAF = 128          # sets joined by overlap counts without another split
-PIVOTS = 8          # pivots of a split
+LEAF = 8            # sets joined by overlap counts without another split
+PIVOTS = 4          # pivots of a split
 BLOCK = 512         # sets of one block
 PARTS = 1024        # most parts of the universe that a sketch counts
 WANTED_BITS = 24    # size of the filter on the documents whose sets are built
@@ -124,30 +126,68 @@ def _facts(n: int, percent: int, order):
 
 
 def _sets(n: int, wanted):
-    """Sets of the documents whose id may be wanted."""
+    """Sets of the documents that may be wanted, by id before a text is read and then by
+    signature too."""
     def run(batches):
         bits = wanted.value
+        asked = (pdf[_has(bits, _name(pdf["doc_id"].to_numpy()))] for pdf in batches)
+        for ids, texts in _slices(asked, "doc_id", "text"):
+            rows = []
+            for doc_id, words in zip(ids, word_hashes(texts)):
+                sh = np.unique(shingles(words, n))
+                s1, s2 = signature(sh)
+                if _has(bits, _name(np.array([doc_id]), np.array([s1])))[0]:
+                    rows.append((doc_id, s1, s2, sh.tobytes()))
+            yield pd.DataFrame(rows, columns=["rep", "s1", "s2", "shingles"])
+
+    return run
+
+
+def _name(ids: np.ndarray, s1: np.ndarray | None = None) -> np.ndarray:
+    name = mix(ids.astype(np.int64).view(np.uint64))
+    return name if s1 is None else name ^ s1.astype(np.int64).view(np.uint64)
+
+
+def _bit_at(names: np.ndarray) -> np.ndarray:
+    return (mix(names.astype(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+
+
+def _has(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    at = _bit_at(names)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _words_of(names):
+    def run(batches):
         for pdf in batches:
-            at = _bit_at(pdf["doc_id"].to_numpy())
-            pdf = pdf[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            for ids, texts in _slices([pdf], "doc_id", "text"):
-                rows = []
-                for doc_id, words in zip(ids, word_hashes(texts)):
-                    sh = np.unique(shingles(words, n))
-                    rows.append((doc_id, *signature(sh), sh.tobytes()))
-                yield pd.DataFrame(rows, columns=["rep", "s1", "s2", "shingles"])
+            at = np.unique(_bit_at(names(pdf)))
+            yield pd.DataFrame({"word": at >> 5, "bits": np.int64(1) << (at & 31)})
 
     return run
 
 
-def _bit_at(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+def _filter(rows: DataFrame, names):
+    """A broadcast filter of ``names(rows)``: at most 2 ** (WANTED_BITS - 5) words pass the
+    driver, whatever the input."""
+    words = (rows.mapInPandas(_words_of(names), "word long, bits long")
+             .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas())
+    bits = np.zeros(1 << (WANTED_BITS - 5), np.uint32)
+    bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    return rows.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
 
-def _wanted_words(batches):
-    for pdf in batches:
-        at = np.unique(_bit_at(pdf["rep"].to_numpy()))
-        yield pd.DataFrame({"word": at >> 5, "bits": np.int64(1) << (at & 31)})
+def _shared_rims(shared):
+    """Rows with the shingles of their rims that may stand in several classes' rims."""
+    def run(batches):
+        bits = shared.value
+        for pdf in batches:
+            rims = [np.asarray(r, np.int64) for r in pdf["rim"]]
+            flat = np.concatenate([np.empty(0, np.int64), *rims])
+            hit = np.split(_has(bits, flat.view(np.uint64)), np.cumsum([len(r) for r in rims])[:-1]) if rims else []
+            pdf = pdf.assign(rim=[r[h] for r, h in zip(rims, hit)])
+            yield pdf[[len(r) > 0 for r in pdf["rim"]]]
+
+    return run
 
 
 def may_link(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
@@ -194,12 +234,12 @@ def _groups(batches, columns):
 
 
 def _possible(percent: int):
-    """Groups of possible links, each a region of its own under its smallest id: the same
+    """Groups of possible links, each a region of its own under its smallest class: the same
     group met in several regions becomes one."""
     def run(batches):
         out: list[tuple] = []
-        for _, group in _groups(batches, ["rep", "n", "sketch"]):
-            reps = group["rep"]
+        for _, group in _groups(batches, ["cid", "n", "sketch"]):
+            reps = group["cid"]
             if len(reps) > 1:
                 own = may_link(group["n"], [np.frombuffer(b, np.uint32) for b in group["sketch"]], percent)
                 for g, size in zip(*np.unique(own, return_counts=True)):
@@ -207,18 +247,19 @@ def _possible(percent: int):
                         members = reps[own == g]
                         out += [(members.min(), r) for r in members]
             if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=["pivot", "rep"])
+                yield pd.DataFrame(out, columns=["pivot", "cid"])
                 out = []
-        yield pd.DataFrame(out, columns=["pivot", "rep"])
+        yield pd.DataFrame(out, columns=["pivot", "cid"])
 
     return run
 
 
 class Forest:
-    """Disjoint sets of the members of a region."""
+    """Disjoint sets of the members of a region, and how many Voronoi cells it took."""
 
     def __init__(self, n: int):
         self.up = list(range(n))
+        self.cells = 0
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
@@ -280,7 +321,7 @@ def join_region(sets: list[np.ndarray], percent: int, leaf: int = LEAF, pivots:
     def split(members):
         if len(members) <= leaf:
             return whole(members)
-        own = members[np.linspace(0, len(members) - 1, pivots).astype(int)]
+        own = members[np.linspace(0, len(members) - 1, min(pivots, len(members) // 2)).astype(int)]
         inter = _overlaps([sets[i] for i in members], [sets[i] for i in own])
         hit, union = linked(members, own, inter)
         for i, j in zip(*np.nonzero(hit)):
@@ -293,6 +334,7 @@ def join_region(sets: list[np.ndarray], percent: int, leaf: int = LEAF, pivots:
         cells = [members[window[:, q]] for q in range(len(own))]
         if max(map(len, cells)) > 0.8 * len(members) or sum(map(len, cells)) > 3 * len(members):
             return whole(members)
+        forest.cells += len(cells)
         for cell in cells:
             if len(cell) > 1:
                 split(cell)
@@ -305,8 +347,8 @@ def join_region(sets: list[np.ndarray], percent: int, leaf: int = LEAF, pivots:
 
 def _region_edges(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("rep").sort_values("rep")
-        reps = pdf["rep"].to_numpy()
+        pdf = pdf.drop_duplicates("cid").sort_values("cid")
+        reps = pdf["cid"].to_numpy()
         forest = join_region([np.frombuffer(b, np.uint64) for b in pdf["shingles"]], percent)
         root = np.array([forest.find(i) for i in range(len(reps))], dtype=np.int64)
         away = root != np.arange(len(reps))
@@ -316,14 +358,14 @@ def _region_edges(percent: int):
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """Rows (pivot, i, j, rep): regions above ``BLOCK`` sets are dealt into blocks, and each
+    """Rows (pivot, i, j, cid): regions above ``BLOCK`` sets are dealt into blocks, and each
     set is in every pair of blocks that holds its own."""
     # Written out: a join right above its aggregate could not be split at a hot pivot.
     sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).checkpoint()
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     return (members.join(sizes, "pivot").withColumn("mine", mine)
-            .select("pivot", "rep", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            .select("pivot", "rep", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
+            .select("pivot", "cid", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+            .select("pivot", "cid", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
 
 
 def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -343,40 +385,40 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     facts = texts.mapInPandas(_facts(n, percent, order), _FACTS).checkpoint()
     rows = facts.select(id_out("doc_id").alias("doc_id"), "n", "s1", "s2")
-    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")).checkpoint()
-    reps = facts.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"])
-    index = reps.select("doc_id", F.explode("rim").alias("shingle"))
-    pivots = (index.groupBy("shingle").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("_last"))
+    classes = (rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
+               .withColumn("cid", F.monotonically_increasing_id()).checkpoint())
+    # Copies have equal signatures: a shingle of one class's rim only has no partner.
+    several = (facts.select(F.explode("rim").alias("shingle"), "s1").groupBy("shingle")
+               .agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("shingle"))
+    shared = _filter(several, lambda pdf: pdf["shingle"].to_numpy().view(np.uint64))
+    reps = (facts.where("n > 0").mapInPandas(_shared_rims(shared), _FACTS).withColumnRenamed("doc_id", "rep")
+            .join(classes, ["rep", "s1", "s2", "n"]).checkpoint())
+    index = reps.select("cid", F.explode("rim").alias("shingle"))
+    pivots = (index.groupBy("shingle").agg(F.min("cid").alias("pivot"), F.max("cid").alias("_last"))
               .where("pivot < _last").select("shingle", "pivot"))
-    members = index.join(pivots, "shingle").select("pivot", F.col("doc_id").alias("rep")).distinct().checkpoint()
+    members = index.join(pivots, "shingle").select("pivot", "cid").distinct().checkpoint()
 
     # Partners have like sizes, and rows of ids and sizes are small: look at those first.
-    by_size = Window.partitionBy(*_KEYS).orderBy("n", "rep")
+    by_size = Window.partitionBy(*_KEYS).orderBy("n", "cid")
     like = lambda small, large: F.coalesce(100 * small >= percent * large, F.lit(False))
-    placed = (_dealt(members).join(facts.select(F.col("doc_id").alias("rep"), "n", "s1", "s2")
-                                   .join(classes.drop("n"), ["rep", "s1", "s2"]).select("rep", "n"), "rep")
+    placed = (_dealt(members).join(reps.select("cid", "n").distinct(), "cid")
               .withColumns({"_less": F.lag("n").over(by_size), "_more": F.lead("n").over(by_size)})
-              .where(like(F.col("_less"), F.col("n")) | like(F.col("n"), F.col("_more"))).select(*_KEYS, "rep", "n"))
-    sketches = (facts.select(F.col("doc_id").alias("rep"), "sketch", "s1", "s2")
-                .join(classes.drop("n"), ["rep", "s1", "s2"]).select("rep", "sketch"))
-    groups = (placed.join(sketches, "rep").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "n")
-              .mapInPandas(_possible(percent), "pivot long, rep long").distinct().checkpoint())
-    near = _dealt(groups)
-
-    # At most 2 ** (WANTED_BITS - 5) words, whatever the input.
-    words = (groups.select("rep").mapInPandas(_wanted_words, "word long, bits long")
-             .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas())
-    bits = np.zeros(1 << (WANTED_BITS - 5), np.uint32)
-    bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
-    wanted = spark.sparkContext.broadcast(bits.view(np.uint8))
-    sets = (texts.mapInPandas(_sets(n, wanted), "rep long, s1 long, s2 long, shingles binary")
-            .join(classes, ["rep", "s1", "s2"]).select("rep", "shingles"))
-    edges = (near.join(sets, "rep").groupBy("pivot", "i", "j")
+              .where(like(F.col("_less"), F.col("n")) | like(F.col("n"), F.col("_more"))).select(*_KEYS, "cid", "n"))
+    sketches = reps.select("cid", "sketch").dropDuplicates(["cid"])
+    groups = (placed.join(sketches, "cid").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "n")
+              .mapInPandas(_possible(percent), "pivot long, cid long").distinct().checkpoint())
+    named = groups.select("cid").distinct().join(classes, "cid").select("cid", "rep", "s1", "s2").checkpoint()
+    wanted = _filter(named.select("rep", "s1"), lambda pdf: np.concatenate(
+        [_name(pdf["rep"].to_numpy()), _name(pdf["rep"].to_numpy(), pdf["s1"].to_numpy())]))
+    sets = texts.mapInPandas(_sets(n, wanted), "rep long, s1 long, s2 long, shingles binary")
+    near = _dealt(groups).join(named, "cid")
+    edges = (near.join(sets, ["rep", "s1", "s2"]).select(*_KEYS, "cid", "shingles").groupBy(*_KEYS)
              .applyInPandas(_region_edges(percent), "a long, b long"))
-    roots = components(edges)
+    roots = components(edges).join(classes.select(F.col("cid").alias("node"), "rep"), "node")
+    least = roots.groupBy("root").agg(F.min("rep").alias("component_id")).checkpoint()
+    linked = roots.join(least, "root").select(F.col("node").alias("cid"), "component_id")
 
-    found = classes.join(roots, classes["rep"] == roots["node"], "left").select(
-        "s1", "s2", "n", F.coalesce("root", "rep").alias("component_id"))
+    found = classes.join(linked, "cid", "left").select("s1", "s2", "n", F.coalesce("component_id", "rep").alias("component_id"))
     return (rows.join(found, ["s1", "s2", "n"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))

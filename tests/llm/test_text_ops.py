@@ -161,6 +161,33 @@ def test_region_splits_and_prunes_exactly():
     assert len(set(group)) > 15
 
 
+def test_repeated_ids_keep_the_links_of_all_their_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(200)), " ".join(f"b{k}" for k in range(200))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, b + " y"), (4, "other words stand here"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jac.link_components(docs, n=3, percent=90).collect()))
+    assert got == [(0, 198, 1), (1, 198, 1), (1, 198, 1), (2, 199, 1), (3, 199, 1), (3, 199, 1), (4, 2, 4)]
+
+
+def test_voronoi_cells_deal_a_region_and_lose_no_link():
+    rng = random.Random(11)
+    sets = []
+    for g in range(12):
+        base = [rng.getrandbits(62) for _ in range(60)]
+        for k in range(10):
+            sets.append(np.unique(np.array(base[k:] + [rng.getrandbits(62) for _ in range(k)], np.uint64)))
+    forest = jac.join_region(sets, 80)
+    assert forest.cells >= 4
+    as_sets = [set(s.tolist()) for s in sets]
+    root = [forest.find(i) for i in range(len(sets))]
+    want = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(as_sets[i] & as_sets[j]) >= 80 * len(as_sets[i] | as_sets[j]):
+                want = [min(want[i], want[j]) if w in (want[i], want[j]) else w for w in want]
+    assert root == want
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
