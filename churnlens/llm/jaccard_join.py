@@ -16,7 +16,8 @@ Jaccard distance d = 1 - |x n y| / |x u y| is a metric, so d(x, y) <= r implies
 3. A set's shingle counts over fixed parts of the universe are its distances to
    as many fixed pivots in the symmetric-difference metric; the triangle inequality over
    them splits a region, before any set is moved, into the groups that possible links
-   connect, and drops the members that no other can be within r of.
+   connect, and drops the members that no other can be within r of: first with 16 counts
+   (32 bytes a member), then, for the members left, with up to ``PARTS``.
 4. A region is joined exactly, in one task if it is small.  Above ``LEAF`` sets it picks
    pivots, measures all sets against them, gives each set to its nearest pivot (Voronoi
    cells) and copies it to each cell q with d(x, q) <= d(x, nearest) + 2r (the triangle
@@ -83,6 +84,11 @@ def sketch(sh: np.ndarray) -> bytes:
     return np.bincount((sh & np.uint64(parts - 1)).astype(np.int64), minlength=parts).astype(np.uint32).tobytes()
 
 
+def coarse(sh: np.ndarray) -> bytes:
+    """Shingles in each of 16 parts; a clipped count keeps the bound on differences."""
+    return np.minimum(np.bincount((sh & np.uint64(15)).astype(np.int64), minlength=16), 0xFFFF).astype(np.uint16).tobytes()
+
+
 def _buckets(sh: np.ndarray) -> np.ndarray:
     return (sh >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
@@ -106,7 +112,7 @@ def _occurrences(n: int):
     return run
 
 
-_FACTS = "doc_id long, n long, s1 long, s2 long, sketch binary, rim array<long>"
+_FACTS = "doc_id long, n long, s1 long, s2 long, coarse binary, sketch binary, rim array<long>"
 
 
 def _facts(n: int, percent: int, order):
@@ -119,8 +125,8 @@ def _facts(n: int, percent: int, order):
                 rim = len(sh) - -(-percent * len(sh) // 100) + 1 if len(sh) else 0
                 # sh is sorted, so a stable sort orders by (count, hash).
                 rare = np.argsort(totals[_buckets(sh)], kind="stable")[:rim]
-                rows.append((doc_id, len(sh), *signature(sh), sketch(sh), sh[rare].view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "sketch", "rim"])
+                rows.append((doc_id, len(sh), *signature(sh), coarse(sh), sketch(sh), sh[rare].view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "coarse", "sketch", "rim"])
 
     return run
 
@@ -233,15 +239,15 @@ def _groups(batches, columns):
         yield rest[_KEYS].to_numpy()[0], {c: rest[c].to_numpy() for c in columns}
 
 
-def _possible(percent: int):
+def _possible(percent: int, counts: str, kind):
     """Groups of possible links, each a region of its own under its smallest class: the same
     group met in several regions becomes one."""
     def run(batches):
         out: list[tuple] = []
-        for _, group in _groups(batches, ["cid", "n", "sketch"]):
+        for _, group in _groups(batches, ["cid", "n", counts]):
             reps = group["cid"]
             if len(reps) > 1:
-                own = may_link(group["n"], [np.frombuffer(b, np.uint32) for b in group["sketch"]], percent)
+                own = may_link(group["n"], [np.frombuffer(b, kind) for b in group[counts]], percent)
                 for g, size in zip(*np.unique(own, return_counts=True)):
                     if size > 1:
                         members = reps[own == g]
@@ -392,21 +398,18 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
                .agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("shingle"))
     shared = _filter(several, lambda pdf: pdf["shingle"].to_numpy().view(np.uint64))
     reps = (facts.where("n > 0").mapInPandas(_shared_rims(shared), _FACTS).withColumnRenamed("doc_id", "rep")
-            .join(classes, ["rep", "s1", "s2", "n"]).checkpoint())
+            .join(classes, ["rep", "s1", "s2", "n"]).dropDuplicates(["cid"]).checkpoint())
     index = reps.select("cid", F.explode("rim").alias("shingle"))
     pivots = (index.groupBy("shingle").agg(F.min("cid").alias("pivot"), F.max("cid").alias("_last"))
               .where("pivot < _last").select("shingle", "pivot"))
     members = index.join(pivots, "shingle").select("pivot", "cid").distinct().checkpoint()
 
-    # Partners have like sizes, and rows of ids and sizes are small: look at those first.
-    by_size = Window.partitionBy(*_KEYS).orderBy("n", "cid")
-    like = lambda small, large: F.coalesce(100 * small >= percent * large, F.lit(False))
-    placed = (_dealt(members).join(reps.select("cid", "n").distinct(), "cid")
-              .withColumns({"_less": F.lag("n").over(by_size), "_more": F.lead("n").over(by_size)})
-              .where(like(F.col("_less"), F.col("n")) | like(F.col("n"), F.col("_more"))).select(*_KEYS, "cid", "n"))
-    sketches = reps.select("cid", "sketch").dropDuplicates(["cid"])
-    groups = (placed.join(sketches, "cid").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "n")
-              .mapInPandas(_possible(percent), "pivot long, cid long").distinct().checkpoint())
+    def pruned(regions, counts, kind):
+        placed = _dealt(regions).join(reps.select("cid", "n", counts), "cid")
+        return (placed.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "n")
+                .mapInPandas(_possible(percent, counts, kind), "pivot long, cid long").distinct().checkpoint())
+
+    groups = pruned(pruned(members, "coarse", np.uint16), "sketch", np.uint32)
     named = groups.select("cid").distinct().join(classes, "cid").select("cid", "rep", "s1", "s2").checkpoint()
     wanted = _filter(named.select("rep", "s1"), lambda pdf: np.concatenate(
         [_name(pdf["rep"].to_numpy()), _name(pdf["rep"].to_numpy(), pdf["s1"].to_numpy())]))
