@@ -880,6 +880,12 @@ def _sweep(spark, sf) -> "fsel.Sweep":
     return fsel.Sweep(vtr, _B, mdl.gbt(**DEFAULT_GBT))
 
 
+def _boosted(spark, sf) -> "fsel.BoostedSweep":
+    """The default boosting, its fits in lock step."""
+    vtr, _ = vectors_b(spark, sf)
+    return fsel.BoostedSweep(vtr, _B, DEFAULT_GBT["maxIter"], DEFAULT_GBT["maxDepth"], DEFAULT_GBT["stepSize"])
+
+
 @register("l1_variance_sweep")
 def l1_variance_sweep(spark, sf):
     """CV precision and recall of GBT and forest on the columns above each variance threshold."""
@@ -896,31 +902,31 @@ def l1_variance_sweep(spark, sf):
 @register("l3_chi2_sweep")
 def l3_chi2_sweep(spark, sf):
     """CV precision and recall on the k columns of best chi2, for every k."""
-    return _sweep(spark, sf).best_k(l2_chi2(spark, sf), "chi2")[0]
+    return _boosted(spark, sf).best_k(l2_chi2(spark, sf), "chi2")[0]
 
 
 @register("l5_mutual_info_sweep")
 def l5_mutual_info_sweep(spark, sf):
     """CV precision and recall on the k columns of most mutual information, for every k."""
-    return _sweep(spark, sf).best_k(l5_mutual_info(spark, sf), "mi")[0]
+    return _boosted(spark, sf).best_k(l5_mutual_info(spark, sf), "mi")[0]
 
 
 @register("l6_f_sweep")
 def l6_f_sweep(spark, sf):
     """CV precision and recall on the k columns of best F score, for every k."""
-    return _sweep(spark, sf).best_k(l6_f_scores(spark, sf), "f_score")[0]
+    return _boosted(spark, sf).best_k(l6_f_scores(spark, sf), "f_score")[0]
 
 
 @register("l7_single_columns")
 def l7_single_columns(spark, sf):
     """CV recall on each column alone."""
-    return _sweep(spark, sf).single_columns()
+    return _boosted(spark, sf).single_columns()
 
 
 @register("l8_elimination")
 def l8_elimination(spark, sf):
     """Recursive elimination inside each fold: mean recall for every number of columns."""
-    return _sweep(spark, sf).eliminate()[0]
+    return _boosted(spark, sf).eliminate()[0]
 
 
 @register("l9_l1_thresholds")
@@ -946,6 +952,16 @@ def l11_dropped_columns(spark, sf):
     return spark.createDataFrame(rows, "dropped string, precision double, recall double")
 
 
+# The boosting grids, searched one after another.
+GBT_TREES, GBT_TREES_DEPTH = range(75, 90), 4
+
+
+@register("j6_gbt_trees")
+def j6_gbt_trees(spark, sf):
+    """CV precision and recall of boosting for every number of trees of the grid, from one fit a fold."""
+    return _boosted(spark, sf).tree_counts(GBT_TREES, GBT_TREES_DEPTH)
+
+
 # Dozens to hundreds of fits each; run after the others.
-SWEEPS = ("l1_variance_sweep", "l3_chi2_sweep", "l5_mutual_info_sweep", "l6_f_sweep", "l7_single_columns",
+SWEEPS = ("j6_gbt_trees", "l1_variance_sweep", "l3_chi2_sweep", "l5_mutual_info_sweep", "l6_f_sweep", "l7_single_columns",
           "l8_elimination", "l9_l1_thresholds", "l10_gbt_thresholds", "l11_dropped_columns")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.operators.metrics import precision_recall
+from churnlens.plans import boosting
 from churnlens.plans.models import importances, to_vectors
 from churnlens.plans.tune import PARALLELISM, _pmap, cv_means
 
@@ -97,6 +98,79 @@ class Sweep:
         return self.spark.createDataFrame(rows, "n_features int, recall double"), columns
 
 
+class BoostedSweep(Sweep):
+    """A sweep of gradient-boosted trees whose fits run in lock step (``boosting``)."""
+
+    def __init__(self, df: DataFrame, cols, trees: int = 100, depth: int = 3, rate: float = 0.1, fold_col: str = "fold"):
+        super().__init__(df, cols, None, fold_col)
+        self.trees, self.depth, self.rate = trees, depth, rate
+        self.folds = sorted(int(r[0]) for r in df.select(fold_col).distinct().collect())
+
+    def fit(self, models, trees: int | None = None) -> boosting.Fit:
+        return boosting.fit(self.df, len(self.cols), models, trees or self.trees, self.rate, self.fold_col)
+
+    def _at(self, keep) -> tuple[int, ...]:
+        return tuple(sorted(self.cols.index(c) for c in keep))
+
+    def cv_many(self, sets) -> None:
+        """Fit every fold of all sets of columns that are not known yet, together."""
+        keys = [k for k in dict.fromkeys(tuple(self.cols[i] for i in self._at(s)) for s in sets) if k and k not in self._known]
+        if not keys:
+            return
+        found = self.fit([boosting.Model(self._at(k), f, self.depth) for k in keys for f in self.folds])
+        for i, k in enumerate(keys):
+            part = slice(i * len(self.folds), (i + 1) * len(self.folds))
+            self._known[k] = float(found.precision[-1, part].mean()), float(found.recall[-1, part].mean())
+
+    def cv(self, keep) -> tuple[float, float]:
+        self.cv_many([keep])
+        return super().cv(keep)
+
+    def best_k(self, scores: DataFrame, score_col: str, ks=None) -> tuple[DataFrame, int, list]:
+        ranked = [r.feature for r in scores.orderBy(F.desc_nulls_last(score_col), "feature").collect()]
+        self.cv_many([ranked[:k] for k in ks or range(1, len(ranked) + 1)])
+        return super().best_k(scores, score_col, ks)
+
+    def single_columns(self) -> DataFrame:
+        self.cv_many([[c] for c in self.cols])
+        return super().single_columns()
+
+    def eliminate(self, step: int = 1, min_features: int = 1) -> tuple[DataFrame, list]:
+        """As ``Sweep.eliminate``; the folds' paths and that of all rows go down together."""
+        keep = {f: list(range(len(self.cols))) for f in [*self.folds, None]}
+        whole, rows = {}, []
+        while True:
+            n = len(keep[None])
+            found = self.fit([boosting.Model(tuple(c), f, self.depth) for f, c in keep.items()])
+            rows.append((n, float(found.recall[-1, :len(self.folds)].mean())))
+            whole[n] = [self.cols[c] for c in keep[None]]
+            if n <= min_features:
+                break
+            for k, (f, cols) in enumerate(keep.items()):
+                least = sorted(cols, key=lambda c: (found.importance[k, c], self.cols[c]))[:min(step, n - min_features)]
+                keep[f] = [c for c in cols if c not in least]
+        best = max(rows, key=lambda r: (r[1], -r[0]))[0]
+        return self.spark.createDataFrame(sorted(rows), "n_features int, recall double"), whole[best]
+
+    def grid(self, models: dict, trees: int) -> DataFrame:
+        """CV precision and recall of parameter sets ({name: Model parameters}) at ``trees``
+        trees, all in one lock step; names are tuples of (parameter, value)."""
+        every = tuple(range(len(self.cols)))
+        found = self.fit([boosting.Model(every, f, **p) for p in models.values() for f in self.folds], trees)
+        k = len(self.folds)
+        rows = [(*name, float(found.precision[-1, i * k:(i + 1) * k].mean()), float(found.recall[-1, i * k:(i + 1) * k].mean()))
+                for i, name in enumerate(models)]
+        names = ", ".join(f"{p} int" for p in next(iter(models.values())))
+        return self.spark.createDataFrame(rows, f"{names}, precision double, recall double")
+
+    def tree_counts(self, counts, depth: int) -> DataFrame:
+        """CV precision and recall for each number of trees, from one fit of the longest."""
+        every = tuple(range(len(self.cols)))
+        found = self.fit([boosting.Model(every, f, depth) for f in self.folds], max(counts))
+        return self.spark.createDataFrame([(n, float(found.precision[n].mean()), float(found.recall[n].mean())) for n in counts],
+                                          "trees int, precision double, recall double")
+
+
 # The same over a wide frame: feature columns, label, id and fold column.
 
 def _over(df: DataFrame, cols, label: str, id_col: str, est, fold_col: str) -> Sweep:
