@@ -16,7 +16,8 @@ scores are aggregated per host first; only ids, hosts and paths meet the verdict
 in an equi-join that Spark splits when one host is hot.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits
-no rule and is allowed (no host, no evidence); a null html has no links; repeated
+no rule and is allowed (no host, no evidence); a null html has no links; a score too small
+for a double is zero, and is passed on as nothing; repeated
 rows are judged alike; extra columns are not read; an empty table gives no rows.
 """
 
@@ -102,7 +103,9 @@ def _ways(edges: DataFrame) -> DataFrame:
     """(at, kind, to, share): where a host's scores go, checkpointed."""
     ways = (edges.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit("trust").alias("kind"), "n")
             .unionByName(edges.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit("distrust").alias("kind"), "n")))
-    total = ways.groupBy("at", "kind").agg(F.sum("n").alias("all"))
+    # Written out: a join right above its aggregate could not be split at a hot host.
+    ways = ways.checkpoint()
+    total = ways.groupBy("at", "kind").agg(F.sum("n").alias("all")).checkpoint()
     return ways.join(total, ["at", "kind"]).select("at", "kind", "to", (F.col("n") / F.col("all")).alias("share")).checkpoint()
 
 
@@ -130,7 +133,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
                      .agg(F.sum("score").alias("score")))
         return state
     state = start.groupBy("host", "kind").agg(F.sum("score").alias("score")).withColumn("new", F.col("score")).checkpoint()
-    while (state.agg(F.max(F.col("new") / F.col("score"))).first()[0] or 0.0) > residual:
+    # A score that has underflowed to zero grows by nothing.
+    while (state.agg(F.max(F.try_divide("new", "score"))).first()[0] or 0.0) > residual:
         for _ in range(FOLD):
             fresh = state.where("new > 0").select("host", "kind", F.col("new").alias("score"))
             state = (state.select("host", "kind", "score", F.lit(0.0).alias("new"))
@@ -155,7 +159,7 @@ def judge(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFrame:
     """page_id, host, path, rule, verdict, and the host's trust and distrust (pages a
     rule decides have them too; rounded to 6 places)."""
     judged = parsed(pages, rules)
-    hosts = host_verdicts(judged, host_edges(pages), margin)
+    hosts = host_verdicts(judged, host_edges(pages), margin).checkpoint()
     return (judged.join(hosts, "host", "left")
             .select("page_id", "host", "path", "rule",
                     F.coalesce("rule_verdict", "host_verdict", F.lit("allow")).alias("verdict"),

@@ -186,3 +186,11 @@ def test_shards_are_written_whole(spark, tmp_path):
     sharding.write_shards(docs, "key", str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 500 and back.select("shard").distinct().count() == 1
+
+
+def test_scores_that_underflow_do_not_crash(spark):
+    hops = [(f"h{i}", f"h{i + 1}", 1) for i in range(32)] + [(f"h{i}", "sink", 10 ** 12) for i in range(32)]
+    got = {(r.host, r.kind): r.score for r in urls.propagate(
+        spark.createDataFrame([("h0", "trust", 1.0)], "host string, kind string, seed double"),
+        spark.createDataFrame(hops, "src string, dst string, n long")).collect()}
+    assert got["h0", "trust"] > 0 and got["sink", "trust"] > 0 and got["h1", "trust"] < 1e-12
