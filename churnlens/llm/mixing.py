@@ -15,10 +15,11 @@ The fit of step 1 uses at most ``MAX_PER_DOMAIN`` labelled rows of each domain o
 broadcast.  Posteriors, totals and rates cover all rows.  Tokens are counted in words.
 
 Step size: with weights 1 / (tokens of the domain) the gradient map cannot expand, so
-a step of 1 is safe.  The first rates are the unconstrained solution (a K x K system),
-then rounds project and correct until the totals stand still.  Rounds carry momentum
-(accelerated projected gradient): without it the misfit falls too slowly where many
-rates rest on their bound.
+a step of 1 is safe.  All rates start at 1; rounds step along the gradient and project onto
+the bounds until the targets are met or the totals stand still (``STILL`` of all tokens);
+rates that have not settled after ``ROUNDS`` rounds are returned with a warning.  Rounds
+carry momentum (accelerated projected gradient): without it the misfit falls too slowly
+where many rates rest on their bound.
 
 Defined results: null text counts as empty: no tokens, posteriors by the intercepts, and
 a rate like any other; ids labelled more than once take the smallest domain; labels that
@@ -30,6 +31,8 @@ as they occur; extra columns are not read by the fit.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -37,7 +40,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.text import text_or_empty, words_of
+from churnlens.llm.text import packed, text_or_empty, words_of
 from churnlens.session import ensure_checkpoint_dir
 
 MAX_PER_DOMAIN = 4_000
@@ -103,17 +106,14 @@ def fit_rates(members: DataFrame, targets: list[float], floor: float | Column =
     """``members`` (n_tokens, p, ...) with ``rate`` >= ``floor``: sums of rate * n_tokens * p
     match ``targets`` in weighted least squares.  ``members`` should be checkpointed."""
     k, goal = len(targets), np.asarray(targets, float)
-    cells = [F.sum(F.col("n_tokens") * F.get("p", F.lit(i)) * F.get("p", F.lit(j))) for i in range(k) for j in range(k)]
-    gram = np.array([x or 0.0 for x in members.agg(*cells).first()]).reshape(k, k)
-    tokens = gram.sum(axis=1)  # posteriors sum to 1
+    tokens = expected_tokens(members, k)
     weight = np.where(tokens > 0, 1 / np.where(tokens > 0, tokens, 1), 0.0)
     scale = max(goal.sum(), tokens.sum(), 1.0)
-    start = np.linalg.lstsq(gram, np.where(tokens > 0, tokens - goal, 0.0), rcond=1e-9)[0]
     floor = floor if isinstance(floor, Column) else F.lit(float(floor))
     lowered = lambda c, u: F.greatest(floor, c - _dot("p", u))
     kept = [F.col(f"`{c}`") for c in members.columns]
     # _rate is the point reached, _ahead the point the gradient is taken at.
-    held = members.select(*kept, lowered(F.lit(1.0), start).alias("_rate")).withColumn("_ahead", F.col("_rate"))
+    held = members.select(*kept, F.greatest(floor, F.lit(1.0)).alias("_rate")).withColumn("_ahead", F.col("_rate"))
     pace, last, still = 1.0, None, 0
     for n in range(rounds):
         now = expected_tokens(held, k, F.col("_ahead"))
@@ -128,6 +128,8 @@ def fit_rates(members: DataFrame, targets: list[float], floor: float | Column =
                         (F.col("_new") + F.lit(push) * (F.col("_new") - F.col("_rate"))).alias("_ahead")))
         if n % FOLD == FOLD - 1:  # keep the plan short
             held = held.checkpoint()
+    else:
+        warnings.warn(f"rates have not settled after {rounds} rounds: expected tokens {now.tolist()}, targets {goal.tolist()}", stacklevel=2)
     return held.select(*kept, F.greatest(floor, "_ahead").alias("rate"))
 
 
@@ -163,9 +165,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], relativ
 def realise(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """``docs`` with every row repeated as its rate says.  Rows meet their rates by id; an
     id with several rows uses its smallest rate; a row without a rate stays once."""
-    rates = rates.where("doc_id is not null").groupBy("doc_id").agg(F.min("rate").alias("_rate"))
+    rates = rates.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("rate").alias("_rate"))
     whole = F.floor("_rate")
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64("_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.coalesce(whole + F.when(draw < F.col("_rate") - whole, F.lit(1)).otherwise(F.lit(0)), F.lit(1)).cast("int")
-    return (docs.join(rates, "doc_id", "left").where(copies > 0)
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns))
+    return (docs.select(packed(docs), F.col("doc_id").alias("_id")).join(rates, "_id", "left").where(copies > 0)
+            .select("_caller", F.explode(F.sequence(F.lit(1), copies)).alias("_copy")).select("_caller.*"))

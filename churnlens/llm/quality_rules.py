@@ -13,7 +13,7 @@ costs n log n and no shuffle.
 Defined results: null text counts as empty; an empty text has zero in every
 measurement and fails ``few_words``.  Rows are independent, so ties and repeated
 rows give equal results; extra columns are carried along (columns named like a
-ledger column are replaced).
+ledger column, in any case, are replaced).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.text import SPACES, let, text_or_empty, words_of
+from churnlens.llm.text import SPACES, let, packed, text_or_empty, words_of
 
 # Fixed values of the query contract.
 SYMBOLS = "#*$%&|<>"
@@ -100,22 +100,21 @@ CURRENT = "v2"
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without their text, with the measurements and ``fail_bits``."""
-    keep = [c for c in docs.columns if c != text_col and c not in (*MEASURES, "fail_bits")]
     text = text_or_empty(text_col)
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     parts = docs.select(
-        *[F.col(f"`{c}`") for c in keep], words_of(text).alias("_words"), lines.alias("_lines"),
+        packed(docs, text_col, *MEASURES, "fail_bits"), words_of(text).alias("_words"), lines.alias("_lines"),
         F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
         _dropped(text, SYMBOLS).alias("n_symbols"), _dropped(text, "!").alias("n_shouts"))
     measured = parts.select(
-        *[F.col(f"`{c}`") for c in keep], F.size("_words").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "_caller", F.size("_words").cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("_words")).alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"), "n_shouts")
     bits = F.lit(0).cast("long")
     for i, r in enumerate(rules()):
         bits = bits + F.when(r.fails, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-    return measured.withColumn("fail_bits", bits)
+    return measured.select("_caller.*", *MEASURES, bits.alias("fail_bits"))
 
 
 def kept_by(policy: str = CURRENT, bits: str = "fail_bits") -> Column:

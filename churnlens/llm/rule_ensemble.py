@@ -32,7 +32,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.text import SPACES, text_or_empty, words_of
+from churnlens.llm.text import SPACES, packed, text_or_empty, words_of
 from churnlens.session import ensure_checkpoint_dir
 
 MAX_PER_CLASS = 10_000
@@ -173,7 +173,6 @@ def _logit(share: float) -> float:
 
 def score(docs: DataFrame, model: Ensemble, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the text, with ``score`` and ``predicted``."""
-    docs = docs.drop("score", "predicted")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != text_col and not c.startswith("_s_")]
-    scored = statistics(docs, text_col).select(*kept, model.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(packed(docs, text_col, "score", "predicted"), F.col(f"`{text_col}`").alias("_text"))
+    scored = statistics(rows, "_text").select("_caller", model.score().alias("_score"))
+    return scored.select("_caller.*", F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))

@@ -37,6 +37,14 @@ def id_out(col: str) -> Column:
     return F.when(F.col(col) != NO_ID, F.col(col))
 
 
+def packed(df: DataFrame, *left_out: str) -> Column:
+    """The columns of ``df`` but ``left_out`` (in any case) as one struct ``_caller``, so
+    that no name of theirs can clash with a working column; ``_caller.*`` unpacks it."""
+    gone = {c.lower() for c in left_out}
+    kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in gone]
+    return F.struct(*kept).alias("_caller")
+
+
 def words_of(text: Column) -> Column:
     """array<string> of the words, in order."""
     return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")

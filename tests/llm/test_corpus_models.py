@@ -151,3 +151,37 @@ def test_pipeline_stages(spark):
         now = rows.checkpoint()
     last = pipe.STAGES[-1][1](spark, now, SF001).collect()
     assert last and all(r.round_trip and r.n_tokens == len(r.ids) for r in last)
+
+
+CLASHES = ["_words", "_lines", "N_WORDS", "_w", "_s_words", "_rate", "_copy", "_id", "_caller", "_text", "Score"]
+
+
+def test_callers_columns_never_clash(spark):
+    from churnlens.llm import mixing, quality_rules, rule_ensemble
+
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` int" for c in CLASHES)
+    docs = spark.createDataFrame([(1, "a b", *range(11)), (2, None, *range(11)), (None, "x", *range(11))], schema)
+    book = quality_rules.ledger(docs)
+    assert book.count() == 3 and {"_words", "_lines", "_rate"} <= set(book.columns) and "N_WORDS" not in book.columns
+    scored = rule_ensemble.score(docs, rule_ensemble.Ensemble(0.0, ()))
+    assert [r["_s_words"] for r in scored.collect()] == [4] * 3 and {r.score for r in scored.collect()} == {0.5}
+    rates = spark.createDataFrame([(1, 2.0), (2, 0.0)], "doc_id long, rate double")
+    real = mixing.realise(docs, rates)
+    assert real.columns == docs.columns and sorted((r.doc_id or 0, r["_copy"], r["_rate"]) for r in real.collect()) == [
+        (0, 6, 5), (1, 6, 5), (1, 6, 5)]
+
+
+def test_rates_come_from_gradient_rounds(spark, monkeypatch):
+    from churnlens.llm import mixing
+
+    rows = [(k, 10 + k % 7, [0.2 + 0.6 * (k % 2), 0.8 - 0.6 * (k % 2)]) for k in range(200)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>").checkpoint()
+    base, seen = mixing.expected_tokens(members, 2), []
+    real = mixing.expected_tokens
+    monkeypatch.setattr(mixing, "expected_tokens", lambda *a: seen.append(1) or real(*a))
+    got = mixing.fit_rates(members, [base[0] * 1.3, base[1] * 0.6])
+    assert len(seen) > 3  # the totals of rate 1, then rounds
+    now = real(got, 2, mixing.F.col("rate"))
+    assert abs(now - [base[0] * 1.3, base[1] * 0.6]).max() <= 1e-4 * base.sum()
+    with pytest.warns(UserWarning, match="not settled"):
+        mixing.fit_rates(members, [base[0] * 1.3, base[1] * 0.6], rounds=1)
