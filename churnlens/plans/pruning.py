@@ -29,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.plans.models import forest
-from churnlens.plans.tune import PARALLELISM, _pmap
+from churnlens.plans.tune import _pmap
 from churnlens.session import scratch_path, ship_package
 
 
+FITS = 8  # fits at a time
+
+
 class Point(NamedTuple):
     trees: int
     depth: int
@@ -95,16 +98,28 @@ def read_nodes(spark: SparkSession, model: RandomForestClassificationModel) -> N
     return Nodes(roots, left, right, column, cut, level, rows, shares)
 
 
-def fit_forests(df: DataFrame, trees: int, depth: int, min_leaf: int = 1, subset: str = "auto",
-                fold_col: str = "fold", seed: int = 0) -> dict[int, Nodes]:
-    """One forest per fold of ``df`` (features, label 0/1, fold), on the rows of the others."""
+def fit_variants(df: DataFrame, trees: int, depth: int, variants: Sequence[tuple[int, str]], fold_col: str = "fold",
+                 seed: int = 0) -> dict[tuple[int, str], dict[int, Nodes]]:
+    """For each variant (min_leaf, subset) one forest per fold of ``df`` (features, label 0/1,
+    fold), on the rows of the others; fits run from ``FITS`` driver threads."""
     folds = sorted(int(r[0]) for r in df.select(fold_col).distinct().collect() if r[0] is not None)
-    est = forest(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy=subset, seed=seed)
 
-    def one(f):
-        return read_nodes(df.sparkSession, est.copy().fit(df.where(F.col(fold_col) != f)))
+    def one(at):
+        (min_leaf, subset), f = at
+        est = forest(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy=subset, seed=seed)
+        return read_nodes(df.sparkSession, est.fit(df.where(F.col(fold_col) != f)))
 
-    return dict(zip(folds, _pmap(one, folds, PARALLELISM)))
+    every = [(v, f) for v in variants for f in folds]
+    out: dict[tuple[int, str], dict[int, Nodes]] = {v: {} for v in variants}
+    for (v, f), nodes in zip(every, _pmap(one, every, FITS)):
+        out[v][f] = nodes
+    return out
+
+
+def fit_forests(df: DataFrame, trees: int, depth: int, min_leaf: int = 1, subset: str = "auto",
+                fold_col: str = "fold", seed: int = 0) -> dict[int, Nodes]:
+    """One forest per fold."""
+    return fit_variants(df, trees, depth, [(min_leaf, subset)], fold_col, seed)[min_leaf, subset]
 
 
 def _counts(forests: dict[int, Nodes], points: Sequence[Point]):
@@ -165,15 +180,16 @@ class ForestSearch:
         grid = [dict(self.best)]
         for axis, values in axes.items():
             grid = [{**g, axis: v} for g in grid for v in values]
-        fits: dict[tuple, list[dict]] = {}
+        fits: dict[tuple[int, str], list[dict]] = {}
         for g in grid:
-            fits.setdefault((g["min_leaf"], g["max_features"]), []).append(g)
-        found = {}
-        for (leaf, columns), members in fits.items():
-            forests = fit_forests(self.df, max(g["trees"] for g in members), max(g["depth"] for g in members), leaf,
-                                  "auto" if columns is None else str(columns), self.fold_col)
-            scores = score(self.df, forests, [Point(g["trees"], g["depth"], g["min_split"]) for g in members], self.fold_col)
-            found.update({tuple(g.values()): s for g, s in zip(members, scores)})
+            fits.setdefault((g["min_leaf"], "auto" if g["max_features"] is None else str(g["max_features"])), []).append(g)
+        grown = fit_variants(self.df, max(g["trees"] for g in grid), max(g["depth"] for g in grid), list(fits), self.fold_col)
+
+        def scores(variant):
+            points = [Point(g["trees"], g["depth"], g["min_split"]) for g in fits[variant]]
+            return score(self.df, grown[variant], points, self.fold_col)
+
+        found = {tuple(g.values()): s for v, each in zip(fits, _pmap(scores, list(fits), FITS)) for g, s in zip(fits[v], each)}
         scored = [(name, *g.values(), *found[tuple(g.values())]) for g in grid]
         self.rows += scored
         self.best = grid[max(range(len(grid)), key=lambda k: (scored[k][-1], -k))]

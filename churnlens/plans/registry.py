@@ -962,6 +962,46 @@ def j6_gbt_trees(spark, sf):
     return _boosted(spark, sf).tree_counts(GBT_TREES, GBT_TREES_DEPTH)
 
 
+from churnlens.plans import pruning as prn  # noqa: E402
+
+# The forest grids, searched one after another.
+FOREST_TREES = range(55, 90, 5)
+FOREST_DEPTHS, FOREST_SPLITS = range(3, 8), range(2, 100, 20)
+FOREST_LEAF_SPLITS, FOREST_LEAVES = range(2, 200, 50), range(1, 100, 10)
+
+
+def _forest_search(spark, sf) -> "prn.ForestSearch":
+    """A search that has the number of trees (from forests without a depth limit)."""
+    vtr, _ = vectors_b(spark, sf)
+    search = prn.ForestSearch(vtr, len(_B))
+    search.stage("trees", trees=FOREST_TREES)
+    return search
+
+
+@register("j9_forest_trees")
+def j9_forest_trees(spark, sf):
+    """CV precision and recall of forests for every number of trees of the grid, from one forest a fold."""
+    return _forest_search(spark, sf).table().select("trees", "precision", "recall")
+
+
+@register("j10_forest_depth_split")
+def j10_forest_depth_split(spark, sf):
+    """Depth x minimum split at the best number of trees, from one deep forest a fold."""
+    search = _forest_search(spark, sf)
+    search.stage("depth x split", depth=FOREST_DEPTHS, min_split=FOREST_SPLITS)
+    return search.table().where("stage = 'depth x split'").select("trees", "depth", "min_split", "precision", "recall")
+
+
+@register("j12_forest_stages")
+def j12_forest_stages(spark, sf):
+    """All four stages of the forest search: trees, depth x split, split x leaf, columns per split."""
+    search = _forest_search(spark, sf)
+    search.stage("depth x split", depth=FOREST_DEPTHS, min_split=FOREST_SPLITS)
+    search.stage("split x leaf", min_split=FOREST_LEAF_SPLITS, min_leaf=FOREST_LEAVES)
+    search.stage("columns per split", max_features=range(1, len(_B) + 1))
+    return search.table()
+
+
 # Dozens to hundreds of fits each; run after the others.
-SWEEPS = ("j6_gbt_trees", "l1_variance_sweep", "l3_chi2_sweep", "l5_mutual_info_sweep", "l6_f_sweep", "l7_single_columns",
+SWEEPS = ("j9_forest_trees", "j10_forest_depth_split", "j12_forest_stages", "j6_gbt_trees", "l1_variance_sweep", "l3_chi2_sweep", "l5_mutual_info_sweep", "l6_f_sweep", "l7_single_columns",
           "l8_elimination", "l9_l1_thresholds", "l10_gbt_thresholds", "l11_dropped_columns")
