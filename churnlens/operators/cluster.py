@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.functions.columns import euclidean
 from churnlens.functions.ranking import exact_median
+from churnlens.operators.kstarts import finite, kmeans_starts, nearest
 
-
-def _vectors(df: DataFrame, cols, out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)
+STARTS = 10  # fixed value: starts of the reference's library
 
 
 def total_sum_of_squares(df: DataFrame, cols) -> float:
@@ -24,40 +22,39 @@ def total_sum_of_squares(df: DataFrame, cols) -> float:
     return float(sum((v or 0.0) * n for v in r[1:]))
 
 
-def sse_curve(df: DataFrame, cols, ks=range(1, 10), seed: int = 0, max_iter: int = 300) -> DataFrame:
-    """(k, sse) - within-cluster sum of squares per k (elbow table)."""
-    v = _vectors(df, cols).select("features").persist()
-    rows = []
-    for k in ks:
-        if k == 1:
-            rows.append((1, total_sum_of_squares(df, cols)))
-        else:
-            m = KMeans(k=k, seed=seed, maxIter=max_iter).fit(v)
-            rows.append((k, float(m.summary.trainingCost)))
-    v.unpersist()
+def _points(df: DataFrame, cols) -> DataFrame:
+    return df.withColumn("x", F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
+
+
+def sse_curve(df: DataFrame, cols, ks=range(1, 10), seed: int = 0, max_iter: int = 300, starts: int = STARTS) -> DataFrame:
+    """(k, sse) - within-cluster sum of squares per k (elbow table), the best of ``starts``."""
+    many = [k for k in ks if k > 1]
+    best = kmeans_starts(_points(df, cols), many, starts, seed, max_iter) if many else {}
+    rows = [(k, total_sum_of_squares(df, cols) if k == 1 else best[k].cost if k in best else 0.0) for k in ks]
     return df.sparkSession.createDataFrame(rows, "k int, sse double")
 
 
-def silhouette_curve(df: DataFrame, cols, ks=range(2, 10), seed: int = 0, max_iter: int = 300) -> DataFrame:
-    """(k, silhouette) with Spark's ``ClusteringEvaluator`` (squared Euclidean,
-    linear time) - the pairwise Euclidean form would need all pairs."""
-    v = _vectors(df, cols).select("features").persist()
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
+def silhouette_curve(df: DataFrame, cols, ks=range(2, 10), seed: int = 0, max_iter: int = 300, starts: int = STARTS) -> DataFrame:
+    """(k, silhouette) of the best of ``starts``, with Spark's ``ClusteringEvaluator`` (squared
+    Euclidean, linear time) - the pairwise Euclidean form would need all pairs."""
+    best = kmeans_starts(_points(df, cols), list(ks), starts, seed, max_iter)
+    v = finite(_points(df, cols)).select("x", array_to_vector("x").alias("features"))
+    v = v.select("features", *[nearest("x", b.centers).alias(f"p{k}") for k, b in best.items()]).persist()
     rows = []
-    for k in ks:
-        m = KMeans(k=k, seed=seed, maxIter=max_iter).fit(v)
-        rows.append((k, float(ev.evaluate(m.transform(v)))))
+    for k in best:
+        ev = ClusteringEvaluator(featuresCol="features", predictionCol=f"p{k}")
+        rows.append((k, float(ev.evaluate(v))))
     v.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double")
 
 
-def kmeans_fit(df: DataFrame, cols, id_col: str, k: int = 4, max_iter: int = 500, seed: int = 0):
-    """Fit K-means; returns (assignments (id, cluster), centroids (cluster, center array))."""
-    v = _vectors(df, cols)
-    model = KMeans(k=k, maxIter=max_iter, seed=seed, predictionCol="cluster").fit(v)
-    assign = model.transform(v).select(F.col(f"`{id_col}`").alias(id_col), "cluster")
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    cent = df.sparkSession.createDataFrame(centers, "cluster int, center array<double>")
+def kmeans_fit(df: DataFrame, cols, id_col: str, k: int = 4, max_iter: int = 500, seed: int = 0, starts: int = STARTS):
+    """K-means, the best of ``starts``; returns (assignments (id, cluster), centroids (cluster, center array))."""
+    pts = _points(df, cols)
+    centers = kmeans_starts(pts, [k], starts, seed, max_iter)
+    centers = centers[k].centers if centers else []
+    assign = finite(pts).select(F.col(f"`{id_col}`").alias(id_col), (nearest("x", centers) if len(centers) else F.lit(None).cast("int")).alias("cluster"))
+    cent = df.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centers)], "cluster int, center array<double>")
     return assign, cent
 
 
