@@ -9,7 +9,9 @@ unique keys; the neighbour search is the exact blocked kNN.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens.functions.columns import hash_u32, hash_unit
@@ -53,3 +55,58 @@ def oversample(points: DataFrame, k: int = 5, seed: int = 2) -> DataFrame:
     s = smote(points, k, seed)
     return points.select("id", "x", "y").unionByName(
         s.select((-(F.col("draw") + 1)).alias("id"), "x", "y"))
+
+
+def fold_neighbors(mino: DataFrame, folds, k: int = 5) -> DataFrame:
+    """(fold, base_id, nb_id, rank): for every fold and every row outside it, the k nearest
+    rows outside it, from one search.
+
+    Each row keeps its k nearest within every fold; what is nearest outside a fold is among
+    those of the other folds, so no pair is measured twice.  ``mino`` has id, x, fold."""
+    parts = [knn(mino.where(F.col("fold") == g).select("id", "x"), mino.select("id", "x"), k, exclude_self=True)
+             .select("query_id", "ref_id", "sq_dist", F.lit(g).alias("_g")) for g in folds]
+    near = reduce(DataFrame.unionByName, parts).join(mino.select(F.col("id").alias("query_id"), F.col("fold").alias("_f")), "query_id")
+    each = (near.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds])))
+            .where((F.col("fold") != F.col("_f")) & (F.col("fold") != F.col("_g"))))
+    w = Window.partitionBy("fold", "query_id").orderBy("sq_dist", "ref_id")
+    return (each.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+            .select("fold", F.col("query_id").alias("base_id"), F.col("ref_id").alias("nb_id"), "rank"))
+
+
+def smote_folds(points: DataFrame, k: int = 5, seed: int = 2) -> DataFrame:
+    """SMOTE inside every training part: (fold, draw, base_id, nb_id, x, y), the rows that
+    bring the part without ``fold`` to parity; no parent lies in ``fold``.
+
+    ``points`` has id, x, y, fold.  Draw j starts from the minority row j mod n of the part
+    in id order, as ``smote`` does.  A part with one class, at parity or with fewer than two
+    minority rows gets none; rows without fold or label take no part."""
+    spark = points.sparkSession
+    points = points.where("fold IS NOT NULL AND y IS NOT NULL").select("id", "x", "y", F.col("fold").cast("int").alias("fold"))
+    counts = {(r.fold, r.y): r.n for r in points.groupBy("fold", "y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    folds, classes = sorted({f for f, _ in counts}), sorted({y for _, y in counts})
+    totals = {y: sum(n for (_, c), n in counts.items() if c == y) for y in classes}
+    empty = spark.createDataFrame([], "fold int, draw long, base_id long, nb_id long, x array<double>, y double")
+    if len(classes) < 2:
+        return empty
+    minority = min(classes, key=lambda y: (totals[y], y))
+    draws = []
+    for f in folds:
+        part = {y: totals[y] - counts.get((f, y), 0) for y in classes}
+        need, n = max(part.values()) - part[minority], part[minority]
+        if need > 0 and n > 1:
+            draws.append(spark.range(need).select(
+                F.lit(f).alias("fold"), F.col("id").alias("draw"), (F.col("id") % n).alias("_i"),
+                (hash_u32(F.lit(seed), F.lit(f), F.col("id"), F.lit("nb")) % min(k, n - 1)).alias("rank"),
+                hash_unit(F.lit(seed), F.lit(f), F.col("id"), F.lit("gap")).alias("u")))
+    if not draws:
+        return empty
+    mino = points.where(F.col("y") == minority).select("id", "x", "fold").persist()
+    members = (mino.select("id", F.col("fold").alias("_f")).withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds])))
+               .where(F.col("fold") != F.col("_f")).select("fold", "id"))
+    idx = ordinal_within(members, ["fold"], ["id"], "_i", "_n").select("fold", F.col("id").alias("base_id"), "_i")
+    d = (reduce(DataFrame.unionByName, draws).join(idx, ["fold", "_i"])
+         .join(fold_neighbors(mino, folds, k), ["fold", "base_id", "rank"])
+         .join(mino.select(F.col("id").alias("base_id"), F.col("x").alias("xb")), "base_id")
+         .join(mino.select(F.col("id").alias("nb_id"), F.col("x").alias("xn")), "nb_id"))
+    synth = F.zip_with("xb", "xn", lambda a, b: a + F.col("u") * (b - a))
+    return d.select("fold", "draw", "base_id", "nb_id", synth.alias("x"), F.lit(float(minority)).alias("y"))

@@ -50,6 +50,18 @@ class Model(NamedTuple):
     min_leaf: int = 1
 
 
+def own_rows(fold: int) -> int:
+    """Fold number of rows that only the models holding out ``fold`` train on (synthetic
+    rows drawn from that training part); no model is scored on them."""
+    return -2 - fold
+
+
+def _trains(fold: int | None, held: int | None) -> bool:
+    if fold is not None and fold < -1:
+        return held is not None and fold == own_rows(held)
+    return fold != held
+
+
 class Tree(NamedTuple):
     """One tree of every model; node i has the children 2i and 2i + 1."""
     column: np.ndarray  # (models, nodes), -1: no split
@@ -114,10 +126,13 @@ def _sums(models: list[Model], tree: Tree, level: int, bins: int):
         found: dict[int, np.ndarray] = {}
         for x, y, fold, scores in blocks:
             at = tree.nodes(x, level) - (1 << level)
+            own = fold < -1
             for m, model in enumerate(models):
                 if level >= model.depth:
                     continue
                 mine = at[:, m] >= 0
+                if own.any():
+                    mine &= ~own if model.fold is None else ~own | (fold == own_rows(model.fold))
                 if model.fold is not None:
                     held = fold == model.fold
                     if not level:
@@ -178,7 +193,7 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
     counts = {(r[0], r[1]): r[2] for r in df.groupBy(F.col(fold_col).cast("long"), F.col("label").cast("int")).count().collect()}
     start = np.zeros(len(models))
     for m, model in enumerate(models):
-        no, yes = (sum(n for (f, y), n in counts.items() if y == label and f != model.fold) for label in (0, 1))
+        no, yes = (sum(n for (f, y), n in counts.items() if y == label and _trains(f, model.fold)) for label in (0, 1))
         start[m] = np.log(max(yes, 1e-9) / max(no, 1e-9)) if yes + no else 0.0
     tasks = max(1, -(-cuts.n // ROWS_PER_TASK))
     depth = max(m.depth for m in models)

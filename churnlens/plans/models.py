@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler, VectorIndexer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,39 @@ def linear_svc(**kw):
     return LinearSVC(**{"maxIter": 100, **kw})
 
 
+class FourierFeatures(Transformer):
+    """Random Fourier features of the kernel exp(-gamma |x - z|^2): ``size`` values
+    sqrt(2 / size) cos(w x + b) with w from N(0, 2 gamma) and b from [0, 2 pi), drawn by
+    ``seed`` for ``columns`` inputs.  A column expression; the table of weights is a literal
+    of size x (columns + 1) numbers."""
+
+    def __init__(self, columns: int, size: int = 256, gamma: float | None = None, seed: int = 0,
+                 input_col: str = "features", output_col: str = "fourier"):
+        super().__init__()
+        self.columns, self.size, self.seed = columns, size, seed
+        self.gamma = 1.0 / columns if gamma is None else gamma
+        self.input_col, self.output_col = input_col, output_col
+
+    def weights(self) -> np.ndarray:
+        rng = np.random.default_rng(self.seed)
+        w = rng.normal(scale=np.sqrt(2 * self.gamma), size=(self.size, self.columns))
+        return np.hstack([w, rng.uniform(0, 2 * np.pi, size=(self.size, 1))])
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        table = F.from_json(F.lit(str(self.weights().tolist())), "array<array<double>>")
+        x = F.concat(vector_to_array(self.input_col), F.array(F.lit(1.0)))
+        dot = lambda w: F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        return df.withColumn(self.output_col, array_to_vector(F.transform(table, lambda w: F.cos(dot(w)) * float(np.sqrt(2 / self.size)))))
+
+
+def kernel_svc(columns: int, size: int = 256, gamma: float | None = None, seed: int = 0, **kw) -> Pipeline:
+    """Support-vector classifier with an RBF kernel (K4) over ``columns`` standardised
+    features, by ``size`` random Fourier features; ``gamma`` is 1 / columns by default."""
+    return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True),
+                            FourierFeatures(columns, size, gamma, seed, "scaled", "fourier"),
+                            LinearSVC(**{"featuresCol": "fourier", "maxIter": 100, "regParam": 1e-3, **kw})])
+
+
 def forest(numTrees: int = 20, maxDepth: int = 5, featureSubsetStrategy: str = "auto",
            minInstancesPerNode: int = 1, seed: int = 0, **kw):
     return RandomForestClassifier(numTrees=numTrees, maxDepth=maxDepth,

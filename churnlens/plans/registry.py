@@ -962,6 +962,7 @@ def j6_gbt_trees(spark, sf):
     return _boosted(spark, sf).tree_counts(GBT_TREES, GBT_TREES_DEPTH)
 
 
+from churnlens.plans import boosting as bst  # noqa: E402
 from churnlens.plans import pruning as prn  # noqa: E402
 
 # The forest grids, searched one after another.
@@ -1002,6 +1003,98 @@ def j12_forest_stages(spark, sf):
     return search.table()
 
 
+# --- flows into a fit (L12, L15-L17, B14) and the kernel classifier (K4) --------------
+
+# The tuned boosting, with the minimum split that Spark's own lacks.
+TUNED_TREES, TUNED_SHAPE = 78, dict(depth=5, min_split=52)
+WITHOUT_EVE = [c for c in _B if c != "Eve Calls"]
+HELD = 1  # fold of the holdout rows; training rows are fold 0
+
+
+def _x_rows(df: DataFrame, cols, fold) -> DataFrame:
+    return nbr.as_points(df, cols, prep.ID_COL, prep.LABEL_COL).withColumn("fold", F.lit(fold).cast("int"))
+
+
+def _boosted_holdout(train: DataFrame, test: DataFrame, n_columns: int) -> DataFrame:
+    """(precision, recall) on ``test`` of the tuned boosting fitted on ``train`` (x, y)."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = train.select("x", "y", F.lit(0).alias("fold")).unionByName(test.select("x", "y", F.lit(HELD).alias("fold")))
+    frame = rows.select(array_to_vector("x").alias("features"), F.col("y").alias("label"), "fold").persist()
+    found = bst.fit(frame, n_columns, [bst.Model(tuple(range(n_columns)), HELD, **TUNED_SHAPE)], TUNED_TREES)
+    frame.unpersist()
+    return train.sparkSession.createDataFrame([(float(found.precision[-1, 0]), float(found.recall[-1, 0]))],
+                                              "precision double, recall double")
+
+
+@register("l12_smote_folds")
+def l12_smote_folds(spark, sf):
+    """CV precision and recall of the default boosting with SMOTE inside every training part
+    (no synthetic row has a parent among the rows that score it)."""
+    from pyspark.ml.functions import array_to_vector
+
+    folds = spl.assign_folds(churn_train(spark, sf), prep.ID_COL, 5, by=prep.LABEL_COL)
+    pts = nbr.as_points(folds, WITHOUT_EVE, prep.ID_COL, prep.LABEL_COL).join(
+        folds.select(F.col(prep.ID_COL).alias("id"), "fold"), "id").persist()
+    new = rs.smote_folds(pts).select("x", "y", bst.own_rows(F.col("fold")).alias("fold"))
+    rows = pts.select("x", "y", "fold").unionByName(new)
+    frame = rows.select(array_to_vector("x").alias("features"), F.col("y").alias("label"), "fold").persist()
+    every = sorted(r[0] for r in pts.select("fold").distinct().collect())
+    columns = tuple(range(len(WITHOUT_EVE)))
+    found = bst.fit(frame, len(columns), [bst.Model(columns, f, DEFAULT_GBT["maxDepth"]) for f in every], DEFAULT_GBT["maxIter"])
+    for df in (frame, pts):
+        df.unpersist()
+    return spark.createDataFrame([(int(f), float(found.precision[-1, k]), float(found.recall[-1, k])) for k, f in enumerate(every)],
+                                 "fold int, precision double, recall double")
+
+
+@register("l12_smote_holdout")
+def l12_smote_holdout(spark, sf):
+    """Tuned boosting fitted on the training rows brought to parity, on the holdout rows."""
+    train = rs.oversample(nbr.as_points(churn_train(spark, sf), WITHOUT_EVE, prep.ID_COL, prep.LABEL_COL))
+    return _boosted_holdout(train, _x_rows(churn_test(spark, sf), WITHOUT_EVE, HELD), len(WITHOUT_EVE))
+
+
+def _kept_train(spark, sf) -> DataFrame:
+    """Training rows without those far from their cluster's centre: K-means (label among the
+    columns, as in the notebook), relative distance, threshold 2."""
+    train, cols = churn_train(spark, sf).persist(), [*_B, prep.LABEL_COL]
+    assign, centers = clu.kmeans_fit(train, cols, prep.ID_COL, 4, 500, 0)
+    pts = nbr.as_points(train, cols, prep.ID_COL).join(assign.withColumnRenamed(prep.ID_COL, "id"), "id")
+    # A cluster of equal rows has no distance to compare: its rows stay.
+    scored = clu.relative_distance(pts, centers, "id", "x", "cluster").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    kept = clu.remove_outliers(scored, 2.0).select(F.col("id").alias(prep.ID_COL))
+    return train.join(kept, prep.ID_COL)
+
+
+@register("l17_kmeans_kept")
+def l17_kmeans_kept(spark, sf):
+    """Training customers left after K-means outlier removal."""
+    return _kept_train(spark, sf).select(prep.ID_COL)
+
+
+@register("l17_outlier_holdout")
+def l17_outlier_holdout(spark, sf):
+    """Tuned boosting fitted without the K-means outliers, on the holdout rows."""
+    return _boosted_holdout(_x_rows(_kept_train(spark, sf), WITHOUT_EVE, 0), _x_rows(churn_test(spark, sf), WITHOUT_EVE, HELD),
+                            len(WITHOUT_EVE))
+
+
+@register("b14_cross_holdout")
+def b14_cross_holdout(spark, sf):
+    """Tuned boosting on the cross features in place of their parts, on the holdout rows."""
+    train, test = (prep.add_cross_features(t(spark, sf)) for t in (churn_train, churn_test))
+    cols = [c for c in train.columns if c not in (prep.ID_COL, prep.LABEL_COL)]
+    return _boosted_holdout(_x_rows(train, cols, 0), _x_rows(test, cols, HELD), len(cols))
+
+
+@register("k4_kernel_svc")
+def k4_kernel_svc(spark, sf):
+    """Support-vector classifier with an RBF kernel by random Fourier features, holdout predictions."""
+    vtr, vte = vectors_b(spark, sf)
+    return mdl.fit_predict(mdl.kernel_svc(len(_B)), vtr, vte).select(prep.ID_COL, "label", "prediction")
+
+
 # Dozens to hundreds of fits each; run after the others.
-SWEEPS = ("j9_forest_trees", "j10_forest_depth_split", "j12_forest_stages", "j6_gbt_trees", "l1_variance_sweep", "l3_chi2_sweep", "l5_mutual_info_sweep", "l6_f_sweep", "l7_single_columns",
+SWEEPS = ("l12_smote_folds", "l12_smote_holdout", "l17_outlier_holdout", "b14_cross_holdout", "j9_forest_trees", "j10_forest_depth_split", "j12_forest_stages", "j6_gbt_trees", "l1_variance_sweep", "l3_chi2_sweep", "l5_mutual_info_sweep", "l6_f_sweep", "l7_single_columns",
           "l8_elimination", "l9_l1_thresholds", "l10_gbt_thresholds", "l11_dropped_columns")
