@@ -56,8 +56,8 @@ def ordinal_within(df: DataFrame, group_cols, order_cols, index_col: str = "_idx
                  F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
              .withColumn(size_col, F.sum("_cnt").over(
                  w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-             .drop("_cnt"))
-    on = numbered["_pid"] == stats["_pid"]
+             .drop("_cnt").withColumnRenamed("_pid", "_part"))
+    on = numbered["_pid"] == stats["_part"]
     for c, g in zip(group_cols, gkeys):
         on = on & numbered[c].eqNullSafe(stats[g])
     joined = numbered.join(stats, on, "inner")

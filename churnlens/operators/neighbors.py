@@ -1,24 +1,45 @@
-"""Exact k-nearest neighbours (K5, shared with SMOTE).
-
-No pairs are materialised and no cross join is planned.  Both sides are hashed into
-blocks of about ``block_rows`` rows; every pair of a query block and a reference block
-is one cogrouped task, which holds two blocks and a slice of their distances.  Only k
-candidates per query and reference block leave a task; a window keeps the k nearest
-(ties: smaller reference id).  Nothing passes through the driver.  Compute is exact and
-therefore n_query x n_ref.
+"""Exact k-nearest neighbours through a metric index (K5, shared with SMOTE).
+
+No pairs are materialised and no cross join is planned.
+
+* **Cells.** Up to ``pivots`` reference points, drawn from a sample of stated size, are
+  pivots; every reference row belongs to its nearest one.  Rows of a cell are ordered by
+  their distance to the pivot and cut into rings of at most ``block_rows`` rows, so a cell
+  that holds a third of all rows is many blocks.  A ring keeps its smallest and largest
+  distance.
+* **Own ring.** A query is compared with one ring first: the one of its nearest pivot whose
+  distances are nearest to its own.  The k-th distance found there is its bound.  With too
+  few rows there, the bound is the reach (distance to the pivot plus the cell's radius) of
+  the cells that hold k rows together.
+* **Other rings.** By the triangle inequality a row at distance r from pivot p is at least
+  ``|d(q, p) - r|`` away, and at least ``(d(q, p) - d(q, own)) / 2``.  A ring whose lower
+  bound is above the query's bound cannot hold a neighbour; the query goes to all others.
+* **Ties.** Bounds are compared with a margin for rounding and keep equals, so ties go to the
+  smaller reference id whatever the cells.  Of equal points only the k + 1 smallest ids
+  are indexed: no other copy can be among the k nearest.
+
+Pivots, sample and block size decide the work, never the answer.  Every task holds one ring
+and one slice of its queries; nothing but the pivots and one row per cell reaches the driver.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.session import ship_package
+from churnlens.functions.ranking import ordinal_within
+from churnlens.operators.kstarts import plus_plus
+from churnlens.session import ensure_checkpoint_dir, ship_package
 
-BLOCK_ROWS = 8_192
-CELLS = 4_000_000  # distances held at a time
+BLOCK_ROWS = 1_024
+PIVOTS = 512         # most cells
+SAMPLE = 16          # sampled reference rows per pivot
+CELLS = 4_000_000    # distances held at a time
+MARGIN = 1e-9        # of the lengths compared, for rounding
 
 
 def _sq_dist(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -47,59 +68,206 @@ def _smallest_k(d: np.ndarray, ids: np.ndarray, k: int):
     return part
 
 
-def _block_topk(k: int, exclude_self: bool):
-    """The k nearest rows of one reference block for every row of one query block."""
+def _pivot_distances(x: np.ndarray, pivots: np.ndarray):
+    """Slices of rows with their distances to all pivots, few enough to hold."""
+    step = max(1, CELLS // len(pivots))
+    for s in range(0, len(x), step):
+        yield slice(s, s + step), np.sqrt(_sq_dist(x[s:s + step], pivots))
+
+
+def _own_cell(column: str, pivots: np.ndarray):
+    """Add the nearest pivot and the distance to it."""
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            cell, dist = np.empty(len(b), "int32"), np.empty(len(b))
+            for at, d in _pivot_distances(np.stack(b[column]).astype(float), pivots):
+                cell[at] = d.argmin(1)
+                dist[at] = d.min(1)
+            yield b.assign(_cell=cell, _dist=dist)
+
+    return run
+
+
+def _ring_topk(k: int, exclude_self: bool):
+    """Every query of one slice with its k nearest rows of one ring, as arrays."""
 
     def run(query: pd.DataFrame, ref: pd.DataFrame) -> pd.DataFrame:
         if not len(query) or not len(ref):
-            return pd.DataFrame({"query_id": [], "ref_id": [], "sq_dist": [], "ref_label": []})
+            return pd.DataFrame({c: [] for c in ("id", "x", "_cell", "_ring", "refs", "dists", "labels")})
         ref = ref.sort_values("_rid")
         x, ids, labels = np.stack(ref["_x"]).astype(float), ref["_rid"].to_numpy(), ref["_ry"].to_numpy(dtype=float)
-        q, out = np.stack(query["x"]).astype(float), []
+        q, qid = np.stack(query["x"]).astype(float), query["id"].to_numpy()
+        found = {"refs": [], "dists": [], "labels": []}
         step = max(1, CELLS // len(ref))
         for s in range(0, len(query), step):
-            qi = query["id"].to_numpy()[s:s + step]
             d = _sq_dist(q[s:s + step], x)
             if exclude_self:
-                d[qi[:, None] == ids[None, :]] = np.inf
-            # Positions stand for ids: the block is in id order.
+                d[qid[s:s + step, None] == ids[None, :]] = np.inf
+            # Positions stand for ids: the ring is in id order.
             near = _smallest_k(d, np.arange(len(ids)), k)[:, :k]
             dist = np.take_along_axis(d, near, 1)
-            keep = np.isfinite(dist)
-            out.append(pd.DataFrame({"query_id": np.broadcast_to(qi[:, None], dist.shape)[keep], "ref_id": ids[near][keep],
-                                     "sq_dist": dist[keep], "ref_label": labels[near][keep]}))
-        return pd.concat(out, ignore_index=True)
+            for n, e in zip(near, dist):
+                n = n[np.isfinite(e)]
+                found["refs"].append(ids[n].tolist())
+                found["dists"].append(e[np.isfinite(e)].tolist())
+                found["labels"].append(labels[n].tolist())
+        return query[["id", "x", "_cell", "_ring"]].reset_index(drop=True).assign(**found)
+
+    return run
+
+
+def _open_cells(pivots: np.ndarray, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, exclude_self: bool):
+    """Every query with the cells that may hold one of its k nearest: distance to their pivot
+    and the query's bound."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for at, d in _pivot_distances(np.stack(b["x"]).astype(float), pivots) if len(b) else ():
+                part = b.iloc[at]
+                kth = np.array([np.sqrt(max(v)) if len(v) >= k else np.inf for v in part["dists"]])
+                # Cells by reach: those that hold k rows together bound the k-th distance.
+                reach = d + hi
+                order = reach.argsort(1)
+                held = rows[order].cumsum(1) >= k + exclude_self
+                enough = np.where(held.any(1), np.take_along_axis(reach, order, 1)[np.arange(len(d)), held.argmax(1)], np.inf)
+                bound = np.minimum(kth, enough)
+                least = np.maximum(np.maximum(d - hi, lo - d), (d - d.min(1, keepdims=True)) / 2)
+                # An undefined or infinite length keeps the cell.
+                qi, cell = np.nonzero(~(least > bound[:, None] + MARGIN * (d + hi + bound[:, None])))
+                out.append(part.iloc[qi][["id", "x"]].assign(
+                    _own=part["_cell"].to_numpy()[qi], _done=part["_ring"].to_numpy()[qi],
+                    _cell=cell.astype("int32"), _dist=d[qi, cell], _bound=bound[qi]))
+            if out:
+                yield pd.concat(out, ignore_index=True)
 
     return run
 
 
+def _points(df: DataFrame) -> DataFrame:
+    bad = F.col("x").isNull() | F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return df.withColumn("x", F.when(bad, F.raise_error(F.lit("kNN needs finite coordinates"))).otherwise(F.col("x")))
+
+
+def _kind(df: DataFrame) -> str:
+    return dict(df.dtypes)["id"]
+
+
+@dataclass
+class MetricIndex:
+    """Reference rows dealt to rings of cells; see the module.  ``build`` makes one."""
+
+    rows: DataFrame              # _rid, _x, _ry, _cell, _ring
+    rings: DataFrame             # _cell, _ring, _lo, _hi, _rows
+    pivots: np.ndarray
+    cell_rows: np.ndarray
+    cell_lo: np.ndarray
+    cell_hi: np.ndarray
+    kind: str
+    block_rows: int
+
+    @classmethod
+    def build(cls, ref: DataFrame, k: int, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS) -> "MetricIndex | None":
+        """Index ``ref`` (id, x, optional y) for searches of up to ``k``; None for no rows."""
+        spark = ref.sparkSession
+        ship_package(spark)
+        ensure_checkpoint_dir(spark)
+        y = F.col("y").cast("double") if "y" in ref.columns else F.lit(None).cast("double")
+        r = _points(ref).select(F.col("id").alias("_rid"), F.col("x").alias("_x"), y.alias("_ry"))
+        copies = Window.partitionBy("_x").orderBy("_rid")
+        r = r.withColumn("_copy", F.row_number().over(copies)).where(F.col("_copy") <= k + 1).drop("_copy").checkpoint()
+        n = r.count()
+        if not n:
+            return None
+        cells = max(1, min(pivots, n // block_rows))
+        sample = r.orderBy(F.xxhash64("_rid")).limit(SAMPLE * cells).select("_x").collect()
+        centers = plus_plus(np.array([s._x for s in sample], dtype=float).reshape(len(sample), -1), cells, np.random.default_rng(0))
+        dealt = r.mapInPandas(_own_cell("_x", centers), f"_rid {_kind(ref)}, _x array<double>, _ry double, _cell int, _dist double")
+        if n <= block_rows:
+            dealt = dealt.withColumn("_ring", F.lit(0).cast("long")).checkpoint()
+        else:
+            dealt = ordinal_within(dealt, ["_cell"], ["_dist", "_rid"], "_i", "_in_cell").withColumn(
+                "_ring", F.floor(F.col("_i") / block_rows)).drop("_i", "_in_cell")
+        rings = dealt.groupBy("_cell", "_ring").agg(F.min("_dist").alias("_lo"), F.max("_dist").alias("_hi"),
+                                                    F.count(F.lit(1)).alias("_rows")).checkpoint()
+        count, lo, hi = np.zeros(cells), np.full(cells, np.inf), np.full(cells, -np.inf)
+        for c in rings.groupBy("_cell").agg(F.sum("_rows").alias("n"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).collect():
+            count[c._cell], lo[c._cell], hi[c._cell] = c.n, c.lo, c.hi
+        return cls(dealt.drop("_dist"), rings, centers, count, lo, hi, _kind(ref), block_rows)
+
+    def _least(self):
+        """Lower bound of the distance from a query at ``_dist`` from the pivot to a row of the ring."""
+        return F.greatest(F.col("_dist") - F.col("_hi"), F.col("_lo") - F.col("_dist"), F.lit(0.0))
+
+    def _compare(self, asked: DataFrame, k: int, exclude_self: bool, kind: str) -> DataFrame:
+        """Top k of every (query, ring) of ``asked``.  A ring with many queries takes them in slices."""
+        asked = asked.select("id", "x", "_cell", "_ring").checkpoint()
+        slices = asked.groupBy("_cell", "_ring").agg(F.ceil(F.count(F.lit(1)) / self.block_rows).cast("int").alias("_slices")).checkpoint()
+        left = asked.join(slices, ["_cell", "_ring"]).withColumn("_slice", F.pmod(F.xxhash64("id"), "_slices").cast("int"))
+        right = self.rows.join(slices, ["_cell", "_ring"]).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+        return (left.drop("_slices").groupBy("_cell", "_ring", "_slice").cogroup(right.drop("_slices").groupBy("_cell", "_ring", "_slice"))
+                .applyInPandas(_ring_topk(k, exclude_self), f"id {kind}, x array<double>, _cell int, _ring long, "
+                               f"refs array<{self.kind}>, dists array<double>, labels array<double>"))
+
+    def own_rings(self, query: DataFrame) -> DataFrame:
+        """(id, x, _cell, _ring): the ring that every query meets first.  Every cell has a ring but
+        those whose pivot equals an earlier one, which no query is nearest to either."""
+        kind = _kind(query)
+        q = _points(query).select("id", "x").mapInPandas(
+            _own_cell("x", self.pivots), f"id {kind}, x array<double>, _cell int, _dist double").withColumn("_q", F.monotonically_increasing_id()).checkpoint()
+        first = q.select("_q", "_cell", "_dist").join(self.rings, "_cell").groupBy("_q").agg(F.min_by("_ring", F.struct(self._least(), "_ring")).alias("_ring"))
+        return q.join(first, "_q").select("id", "x", "_cell", "_ring")
+
+    def open_rings(self, found: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+        """(id, x, _cell, _ring, _rows): the rings that bounds cannot exclude, the own one left out."""
+        kind = _kind(found)
+        cells = found.select("id", "x", "_cell", "_ring", "dists").mapInPandas(
+            _open_cells(self.pivots, self.cell_rows, self.cell_lo, self.cell_hi, k, exclude_self),
+            f"id {kind}, x array<double>, _own int, _done long, _cell int, _dist double, _bound double")
+        far = self._least() > F.col("_bound") + MARGIN * (F.col("_dist") + F.col("_hi") + F.col("_bound"))
+        # Spark's order puts NaN above all: undefined lengths are kept by name.
+        unknown = F.isnan("_dist") | F.isnan("_bound") | F.isnan(self._least())
+        return (cells.join(self.rings, "_cell").where((unknown | ~far) & ~((F.col("_cell") == F.col("_own")) & (F.col("_ring") == F.col("_done"))))
+                .select("id", "x", "_cell", "_ring", "_rows"))
+
+    def search(self, query: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+        kind = _kind(query)
+        found = self._compare(self.own_rings(query), k, exclude_self, kind)
+        if self.cell_rows.sum() > self.block_rows or len(self.pivots) > 1:
+            found = found.checkpoint()
+            found = found.unionByName(self._compare(self.open_rings(found, k, exclude_self), k, exclude_self, kind))
+        near = found.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("refs", "dists", "labels")).alias("n")).select(
+            "query_id", F.col("n.refs").alias("ref_id"), F.col("n.dists").alias("sq_dist"),
+            F.when(~F.isnan("n.labels"), F.col("n.labels")).alias("ref_label"))
+        w = Window.partitionBy("query_id").orderBy("sq_dist", "ref_id")
+        return near.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+
+    def work(self, query: DataFrame, k: int, exclude_self: bool = False) -> dict:
+        """Pairs that a search compares, against all pairs: {"compared", "all"}."""
+        own = self.own_rings(query).checkpoint()
+        found = self._compare(own, k, exclude_self, _kind(query)).checkpoint()
+        first = own.join(self.rings, ["_cell", "_ring"]).agg(F.sum("_rows")).first()[0] or 0
+        more = self.open_rings(found, k, exclude_self).agg(F.sum("_rows")).first()[0] or 0
+        return {"compared": int(first + more), "all": int(own.count() * self.cell_rows.sum())}
+
+
 def knn(ref: DataFrame, query: DataFrame, k: int = 5, exclude_self: bool = False,
         block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, ref_id, sq_dist, ref_label, rank 0..k-1) for the k nearest
     reference rows of every query row.
 
     Both frames carry ``id`` (any type) and ``x`` (array<double>); ``ref`` also
-    ``y`` (double label, may be null).  A null or non-finite coordinate is an error.
+    ``y`` (double label, may be null).  A null or non-finite coordinate is an error; without
+    reference rows there are no neighbours.
     """
-    ship_package(ref.sparkSession)
-
-    def points(df):
-        bad = F.col("x").isNull() | F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-        return df.withColumn("x", F.when(bad, F.raise_error(F.lit("kNN needs finite coordinates"))).otherwise(F.col("x")))
-
-    r = points(ref).select(F.col("id").alias("_rid"), F.col("x").alias("_x"),
-                           F.col("y").cast("double").alias("_ry") if "y" in ref.columns else F.lit(None).cast("double").alias("_ry"))
-    q = points(query).select("id", "x")
-    kinds = dict(ref.select("id", F.lit(1)).dtypes)["id"], dict(query.select("id", F.lit(1)).dtypes)["id"]
-    nq, nr = (max(1, -(-df.count() // block_rows)) for df in (query, ref))
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.withColumn("_qb", block("id", nq)).withColumn("_rb", every(nr))
-    right = r.withColumn("_rb", block("_rid", nr)).withColumn("_qb", every(nq))
-    cand = (left.groupBy("_qb", "_rb").cogroup(right.groupBy("_qb", "_rb"))
-            .applyInPandas(_block_topk(k, exclude_self), f"query_id {kinds[1]}, ref_id {kinds[0]}, sq_dist double, ref_label double"))
-    w = Window.partitionBy("query_id").orderBy("sq_dist", "ref_id")
-    return cand.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
+    index = MetricIndex.build(ref, k, block_rows)
+    if index is None:
+        return ref.sparkSession.createDataFrame(
+            [], f"query_id {_kind(query)}, ref_id {_kind(ref)}, sq_dist double, ref_label double, rank int")
+    return index.search(query, k, exclude_self)
 
 
 def knn_classify(train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:

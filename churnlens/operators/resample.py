@@ -4,7 +4,7 @@ Draw j (0 <= j < n_major - n_minor) starts from the minority row with index
 j mod n_minor (id order), picks neighbour number md5(seed:j:nb) mod k among
 that row's k nearest minority rows, and interpolates
 x + u (x_nb - x) with u = md5(seed:j:gap) / 2^32.  All steps are equi-joins on
-unique keys; the neighbour search is the exact blocked kNN.
+unique keys; the neighbour search is the exact kNN of the metric index.
 """
 
 from __future__ import annotations

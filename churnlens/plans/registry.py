@@ -418,7 +418,7 @@ votes AS (SELECT qid, y, COUNT(*) AS v FROM rk WHERE rn <= 5 GROUP BY qid, y),
 best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY v DESC, y) AS r FROM votes)
 SELECT qid AS id, y AS prediction FROM best WHERE r = 1""")
 def k5_knn_classify(spark, sf):
-    """5-nearest-neighbour vote for every holdout customer (exact, blocked broadcast)."""
+    """5-nearest-neighbour vote for every holdout customer (exact, metric index)."""
     tr = nbr.as_points(churn_train(spark, sf), _B, prep.ID_COL, prep.LABEL_COL)
     te = nbr.as_points(churn_test(spark, sf), _B, prep.ID_COL)
     return nbr.knn_classify(tr, te, 5)
