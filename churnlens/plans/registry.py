@@ -179,6 +179,7 @@ def b9_scored_processed(spark, sf):
 
 # --- half B: telecom table, preparation, splits, scores, metrics ----------------
 
+from churnlens.operators import neighbor_info as ninfo  # noqa: E402
 from churnlens.operators import metrics as met  # noqa: E402
 from churnlens.operators import prepare as prep  # noqa: E402
 from churnlens.operators import scores as sc  # noqa: E402
@@ -334,6 +335,29 @@ def l5_mutual_info(spark, sf):
     return s.select("feature", F.round("mi", 6).alias("mi"))
 
 
+_PSI = ("(ln({0} + 8) - 0.5 / ({0} + 8) - 1 / (12 * pow({0} + 8, 2)) + 1 / (120 * pow({0} + 8, 4)) - 1 / (252 * pow({0} + 8, 6)) + 1 / (240 * pow({0} + 8, 8))"
+        " - 1 / (132 * pow({0} + 8, 10)) - 1 / ({0}) - 1 / ({0} + 1) - 1 / ({0} + 2) - 1 / ({0} + 3) - 1 / ({0} + 4) - 1 / ({0} + 5) - 1 / ({0} + 6) - 1 / ({0} + 7))").format
+
+
+@register("l5_neighbor_information", f"""{_LONG},
+named AS (SELECT feature, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, row_number() OVER (PARTITION BY feature) AS i FROM long),
+cls AS (SELECT feature, y, CAST(COUNT(*) AS DOUBLE) AS nc FROM named GROUP BY feature, y HAVING COUNT(*) > 1),
+kept AS (SELECT named.*, nc, least(3.0, nc - 1) AS k FROM named JOIN cls USING (feature, y)),
+same AS (SELECT a.feature, a.i, a.k, abs(b.x - a.x) AS d FROM kept a JOIN kept b ON a.feature = b.feature AND a.y = b.y AND a.i <> b.i),
+far AS (SELECT feature, i, k, d, row_number() OVER (PARTITION BY feature, i ORDER BY d) AS place FROM same),
+radius AS (SELECT feature, i, d AS r FROM far WHERE place = k),
+inside AS (SELECT a.feature, a.i, a.k, a.nc, CAST(COUNT(*) AS DOUBLE) AS m
+           FROM (SELECT * FROM kept JOIN radius USING (feature, i)) a JOIN kept b
+             ON a.feature = b.feature AND ((b.x > a.x - a.r AND b.x < a.x + a.r) OR b.x = a.x)
+           GROUP BY a.feature, a.i, a.k, a.nc),
+score AS (SELECT feature, CAST(COUNT(*) AS DOUBLE) AS n, SUM({_PSI("k")}) - SUM({_PSI("nc")}) - SUM({_PSI("m")}) AS s FROM inside GROUP BY feature)
+SELECT feature, ROUND(greatest(0.0, {_PSI("n")} + s / n), 6) + 0.0 AS mi FROM score""")
+def l5_neighbor_information(spark, sf):
+    """Nearest-neighbour mutual information (k = 3, nats) of every column with the label."""
+    s = ninfo.neighbor_info_scores(churn_train(spark, sf), _B, prep.LABEL_COL, prep.ID_COL)
+    return s.select("feature", F.round("mi", 6).alias("mi"))
+
+
 @register("e5_top5_chi2", f"""{_LONG},
 cls AS (SELECT feature, y, COUNT(*) AS n, SUM(x) AS o FROM long GROUP BY feature, y),
 tot AS (SELECT feature, SUM(n) AS nn, SUM(o) AS s FROM cls GROUP BY feature),
@@ -911,6 +935,12 @@ def l5_mutual_info_sweep(spark, sf):
     return _boosted(spark, sf).best_k(l5_mutual_info(spark, sf), "mi")[0]
 
 
+@register("l5_neighbor_sweep")
+def l5_neighbor_sweep(spark, sf):
+    """CV precision and recall on the k columns of most nearest-neighbour information, for every k."""
+    return _boosted(spark, sf).best_k(l5_neighbor_information(spark, sf), "mi")[0]
+
+
 @register("l6_f_sweep")
 def l6_f_sweep(spark, sf):
     """CV precision and recall on the k columns of best F score, for every k."""
@@ -1096,5 +1126,5 @@ def k4_kernel_svc(spark, sf):
 
 
 # Dozens to hundreds of fits each; run after the others.
-SWEEPS = ("l12_smote_folds", "l12_smote_holdout", "l17_outlier_holdout", "b14_cross_holdout", "j9_forest_trees", "j10_forest_depth_split", "j12_forest_stages", "j6_gbt_trees", "l1_variance_sweep", "l3_chi2_sweep", "l5_mutual_info_sweep", "l6_f_sweep", "l7_single_columns",
+SWEEPS = ("l12_smote_folds", "l12_smote_holdout", "l17_outlier_holdout", "b14_cross_holdout", "j9_forest_trees", "j10_forest_depth_split", "j12_forest_stages", "j6_gbt_trees", "l1_variance_sweep", "l3_chi2_sweep", "l5_mutual_info_sweep", "l5_neighbor_sweep", "l6_f_sweep", "l7_single_columns",
           "l8_elimination", "l9_l1_thresholds", "l10_gbt_thresholds", "l11_dropped_columns")
