@@ -19,8 +19,14 @@ splits the first column of the model, then the lowest bin, wins.  Columns are cu
 ``BINS`` - 1 quantiles.
 
 The rows stand in blocks of numpy arrays, a few thousand rows each, in a persisted RDD:
-per-partition state that every pass updates.  It is checkpointed every ``FOLD`` trees, so
-a lost executor costs its blocks' last few trees.
+per-partition state that every pass updates; columns and the scores of a model lie
+together, so a pass reads them in order.  Every core gets its share of the rows.  The
+state is checkpointed every ``FOLD`` trees, so a lost executor costs its blocks' last
+trees; the state before goes as soon as the next one stands.
+
+Curvature is only needed where leaves come out: above a model's last level a node's total
+is summed, not its bins.  Row counts of the root do not change from tree to tree; models
+of one fold share them within a block.
 """
 
 from __future__ import annotations
@@ -39,7 +45,9 @@ from churnlens.session import ensure_checkpoint_dir, ship_package
 BINS = 32
 BLOCK = 8192           # rows of a block
 ROWS_PER_TASK = 65_536
-FOLD = 10              # trees between checkpoints
+LEAST_ROWS = 2_048     # fewer rows are no task of their own
+MASKED = 8             # nodes of a level that are told apart one by one
+FOLD = 25              # trees between checkpoints
 
 
 class Model(NamedTuple):
@@ -62,6 +70,13 @@ def _trains(fold: int | None, held: int | None) -> bool:
     return fold != held
 
 
+def _training(fold: np.ndarray, held: int | None) -> np.ndarray:
+    """``_trains`` for an array of folds."""
+    if held is None:
+        return fold >= -1
+    return (fold >= -1) & (fold != held) | (fold == own_rows(held))
+
+
 class Tree(NamedTuple):
     """One tree of every model; node i has the children 2i and 2i + 1."""
     column: np.ndarray  # (models, nodes), -1: no split
@@ -73,15 +88,23 @@ class Tree(NamedTuple):
         nodes = 2 << depth
         return cls(np.full((models, nodes), -1, np.int16), np.zeros((models, nodes), np.int16), np.zeros((models, nodes)))
 
-    def nodes(self, x: np.ndarray, levels: int) -> np.ndarray:
-        """(rows, models): the node each row is in after ``levels`` levels."""
-        at = np.ones((len(x), len(self.column)), np.int64)
-        models, rows = np.arange(len(self.column)), np.arange(len(x))[:, None]
-        for _ in range(levels):
-            column = self.column[models, at]
-            down = 2 * at + (x[rows, np.maximum(column, 0)] > self.bin[models, at])
-            at = np.where(column >= 0, down, at)
-        return at
+    def nodes(self, m: int, x: np.ndarray, levels: int) -> np.ndarray:
+        """The node of model ``m`` that each row of ``x`` (columns, rows) is in after ``levels`` levels."""
+        column, cut = self.column[m].tolist(), self.bin[m].tolist()
+        at = np.ones(x.shape[1], np.uint8 if len(column) <= 256 else np.int32)
+        for level in range(levels):
+            here = [k for k in range(1 << level, 2 << level) if column[k] >= 0]
+            if not here:
+                break
+            if len(here) <= MASKED:
+                steps = [(at == k) * ((x[column[k]] > cut[k]) + at.dtype.type(k)) for k in here]  # from k to 2 k or 2 k + 1
+                for step in steps:
+                    at += step
+            else:
+                c = self.column[m][at]
+                down = 2 * at.astype(np.intp) + (x[np.maximum(c, 0), np.arange(x.shape[1])] > self.bin[m][at])
+                at = np.where(c >= 0, down, at).astype(at.dtype)
+        return at.astype(np.intp)
 
 
 class Fit(NamedTuple):
@@ -120,34 +143,48 @@ def _chances(scores: np.ndarray) -> np.ndarray:
 
 
 def _sums(models: list[Model], tree: Tree, level: int, bins: int):
-    """Per partition: (model, sums of its nodes of ``level``), and, at the root, what the
+    """Per partition: (model, sums (columns, 3, nodes x bins) of ``level``), and, at the root, what the
     held-out rows are classified as: (-1 - model, [true positives, predicted, actual])."""
+    first, nodes = 1 << level, 1 << level
+    size = nodes * bins  # behind the nodes' bins: rows that do not count
+
     def run(blocks):
         found: dict[int, np.ndarray] = {}
         for x, y, fold, scores in blocks:
-            at = tree.nodes(x, level) - (1 << level)
-            own = fold < -1
+            left_out = {f: ~_training(fold, f) for f in {model.fold for model in models}}
+            held = {f: fold == f for f in left_out if f is not None}
+            roots: dict[tuple, tuple] = {}  # keys and counts of the root, by fold and column
+            wide = x.astype(np.intp)
             for m, model in enumerate(models):
                 if level >= model.depth:
                     continue
-                mine = at[:, m] >= 0
-                if own.any():
-                    mine &= ~own if model.fold is None else ~own | (fold == own_rows(model.fold))
-                if model.fold is not None:
-                    held = fold == model.fold
-                    if not level:
-                        said = held & (scores[:, m] > 0)
-                        new = np.array([(said & (y > 0)).sum(), said.sum(), (held & (y > 0)).sum()], float)
-                        found[-1 - m] = found.get(-1 - m, 0) + new
-                    mine &= ~held
-                if not mine.any():
+                if model.fold is not None and not level:
+                    mine = held[model.fold]
+                    said = mine & (scores[m] > 0)
+                    new = np.array([(said & (y > 0)).sum(), said.sum(), (mine & (y > 0)).sum()], float)
+                    found[-1 - m] = found.get(-1 - m, 0) + new
+                at = tree.nodes(m, x, level) - first
+                at[left_out[model.fold] | (at < 0)] = nodes
+                if not (at < nodes).any():
                     continue
-                p = _chances(scores[mine, m])
-                cols = len(model.columns)
-                key = ((at[mine, m, None] * cols + np.arange(cols)) * bins + x[mine][:, model.columns]).ravel()
-                size = (cols * bins) << level
-                new = np.stack([np.bincount(key, minlength=size)] + [
-                    np.bincount(key, np.repeat(w, cols), minlength=size) for w in (y[mine] - p, p * (1 - p))], axis=-1)
+                p = _chances(scores[m])
+                residual, curvature = y - p, p * (1 - p)
+                new = np.zeros((len(model.columns), 3, size))
+                base = at * bins
+                for k, c in enumerate(model.columns):
+                    if level:
+                        key = base + wide[c]
+                        new[k, 0] = np.bincount(key, minlength=size)[:size]
+                    else:
+                        if (model.fold, c) not in roots:
+                            key = base + wide[c]
+                            roots[model.fold, c] = key, np.bincount(key, minlength=size)[:size]
+                        key, new[k, 0] = roots[model.fold, c]
+                    new[k, 1] = np.bincount(key, residual, minlength=size)[:size]
+                    if level == model.depth - 1:
+                        new[k, 2] = np.bincount(key, curvature, minlength=size)[:size]
+                if level < model.depth - 1:
+                    new[0, 2, ::bins] = np.bincount(at, curvature, minlength=nodes)[:nodes]
                 found[m] = found[m] + new if m in found else new
         return iter(found.items())
 
@@ -157,19 +194,21 @@ def _sums(models: list[Model], tree: Tree, level: int, bins: int):
 def _picked(models: list[Model], level: int, bins: int):
     def run(item):
         m, sums = item
-        return (m, sums) if m < 0 else (m, best_splits(models[m], sums.reshape(1 << level, -1, bins, 3)))
+        if m < 0:
+            return m, sums
+        return m, best_splits(models[m], sums.reshape(-1, 3, 1 << level, bins).transpose(2, 0, 3, 1))
 
     return run
 
 
 def _binned(df: DataFrame, edges: list[np.ndarray], fold_col: str) -> DataFrame:
-    """Blocks (n, x, y, fold) of packed arrays."""
+    """Blocks (n, x by columns, y, fold) of packed arrays."""
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(k, BLOCK)
                 x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                cut = np.stack([np.searchsorted(e, x[:, c]) for c, e in enumerate(edges)], axis=1).astype(np.uint8)
+                cut = np.stack([np.searchsorted(e, x[:, c]) for c, e in enumerate(edges)]).astype(np.uint8)
                 packed = [cut, part.column("y").to_numpy(zero_copy_only=False).astype(np.float64),
                           part.column("fold").to_numpy(zero_copy_only=False).astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])] + [pa.array([a.tobytes()], pa.binary()) for a in packed],
@@ -195,15 +234,15 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
     for m, model in enumerate(models):
         no, yes = (sum(n for (f, y), n in counts.items() if y == label and _trains(f, model.fold)) for label in (0, 1))
         start[m] = np.log(max(yes, 1e-9) / max(no, 1e-9)) if yes + no else 0.0
-    tasks = max(1, -(-cuts.n // ROWS_PER_TASK))
+    tasks = max(1, -(-cuts.n // ROWS_PER_TASK), min(spark.sparkContext.defaultParallelism, -(-cuts.n // LEAST_ROWS)))
     depth = max(m.depth for m in models)
 
     def first(r):
         y = np.frombuffer(r.y, np.float64)
-        return np.frombuffer(r.x, np.uint8).reshape(r.n, -1), y, np.frombuffer(r.fold, np.int64), np.tile(start, (r.n, 1))
+        return np.frombuffer(r.x, np.uint8).reshape(-1, r.n), y, np.frombuffer(r.fold, np.int64), np.tile(start[:, None], (1, r.n))
 
     state = _binned(df.repartition(tasks), edges, fold_col).rdd.map(first).persist(StorageLevel.MEMORY_AND_DISK)
-    adders = max(1, min(tasks, len(models)))
+    adders = max(1, min(tasks, len(models) // 8))
     importance = np.zeros((len(models), n_columns))
     grown: list[Tree] = []
     says: list[np.ndarray] = []
@@ -217,6 +256,7 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
     def classified(found):
         says.append(np.array([found.get(-1 - m, np.zeros(3)) for m in range(len(models))]))
 
+    old = None
     for t in range(trees):
         tree = Tree.empty(len(models), depth)
         gains = np.zeros_like(importance)
@@ -224,6 +264,8 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
             found = collected(tree, level)
             if not level:
                 classified(found)
+                if old is not None:  # the pass has read it for the last time
+                    old.unpersist()
             for m in (m for m in found if m >= 0):
                 for k, (column, cut, gain, total, left) in enumerate(found[m]):
                     node = (1 << level) + k
@@ -239,9 +281,10 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
         if t % FOLD == FOLD - 1:
             state.checkpoint()
             state.count()
-            old.unpersist()
     classified(collected(Tree.empty(len(models), depth), 0))
-    state.unpersist()
+    for last in (old, state):
+        if last is not None:
+            last.unpersist()
     tp, said, real = np.moveaxis(np.stack(says), -1, 0)
     importance /= np.maximum(importance.sum(axis=1, keepdims=True), 1e-300)
     return Fit(np.where(said > 0, tp / np.maximum(said, 1), 0.0), np.where(real > 0, tp / np.maximum(real, 1), 0.0),
@@ -255,16 +298,17 @@ def _leaf(sums) -> float:
 def _added(tree: Tree, depth: int, rate: float):
     def run(block):
         x, y, fold, scores = block
-        return x, y, fold, scores + rate * tree.value[np.arange(scores.shape[1]), tree.nodes(x, depth)]
+        return x, y, fold, np.stack([s + rate * tree.value[m][tree.nodes(m, x, depth)] for m, s in enumerate(scores)])
 
     return run
 
 
 def predict_scores(found: Fit, x: np.ndarray, rate: float = 0.1) -> np.ndarray:
     """(rows, models): scores of unbinned rows, positive for class 1."""
-    cut = np.stack([np.searchsorted(e, x[:, c]) for c, e in enumerate(found.edges)], axis=1)
+    cut = np.stack([np.searchsorted(e, x[:, c]) for c, e in enumerate(found.edges)])
     scores = np.tile(found.start, (len(x), 1))
     for tree in found.trees:
         depth = tree.column.shape[1].bit_length() - 2
-        scores += rate * tree.value[np.arange(scores.shape[1]), tree.nodes(cut, depth)]
+        for m in range(scores.shape[1]):
+            scores[:, m] += rate * tree.value[m][tree.nodes(m, cut, depth)]
     return scores

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from churnlens.operators.features import FEATURE_COLS, add_label
 from churnlens.operators.metrics import weighted_precision_recall
 
+PARTS = 24
+
 
 def to_vectors(df: DataFrame, cols, label: str | None, id_col: str, out: str = "features", keep=()) -> DataFrame:
     """(id, features vector, label double, ``keep`` columns) - the frame every estimator reads."""
@@ -24,6 +26,13 @@ def to_vectors(df: DataFrame, cols, label: str | None, id_col: str, out: str = "
     return va.transform(df).select(*sel, *keep)
 
 
+def dealt(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` dealt by id to as many partitions as there are cores, at least ``PARTS``.  A fit
+    passes over its rows hundreds of times, and a task a shuffle partition costs more there
+    than its rows; from ``PARTS`` cores down the rows of a partition do not depend on them."""
+    return df.repartition(max(PARTS, df.sparkSession.sparkContext.defaultParallelism), id_col)
+
+
 # K1-K7 -----------------------------------------------------------------------
 
 def logistic(C: float | None = None, penalty: str = "none", n: int | None = None, **kw):

@@ -595,7 +595,7 @@ def vectors_b(spark, sf, cols=None, by=prep.LABEL_COL):
     stratified by ``by``, plain without it."""
     cols = cols or _B
     tr = spl.assign_folds(churn_train(spark, sf), prep.ID_COL, 5, by=by)
-    vtr = mdl.to_vectors(tr, cols, prep.LABEL_COL, prep.ID_COL, keep=("fold",)).persist()
+    vtr = mdl.dealt(mdl.to_vectors(tr, cols, prep.LABEL_COL, prep.ID_COL, keep=("fold",)), prep.ID_COL).persist()
     vte = mdl.to_vectors(churn_test(spark, sf), cols, prep.LABEL_COL, prep.ID_COL)
     return vtr, vte
 

@@ -111,3 +111,41 @@ def test_sweeps_of_a_planted_column(spark):
     assert staged == {1: 1.0, 2: 1.0, 4: 1.0}
     grid = sweep.grid({(d, s): {"depth": d, "min_split": s} for d in (1, 2) for s in (2, 500)}, 2)
     assert {(r.depth, r.min_split): r.recall for r in grid.collect()}[1, 2] == 1.0
+
+
+def test_every_core_gets_rows_and_old_states_go(spark, frame, monkeypatch):
+    monkeypatch.setattr(bst, "LEAST_ROWS", 100)
+    tasks, kept = [], []
+    held = spark.sparkContext._jsc.getPersistentRDDs
+    before = len(held())
+    run = bst._sums
+
+    def seen(*a):
+        kept.append(len(held()) - before)
+        return run(*a)
+
+    monkeypatch.setattr(bst, "_sums", seen)
+    binned = bst._binned
+    monkeypatch.setattr(bst, "_binned", lambda df, *a: tasks.append(df.rdd.getNumPartitions()) or binned(df, *a))
+    found = bst.fit(frame[1], 3, [bst.Model((0, 1, 2), 0)], trees=6)
+    assert tasks == [3]  # 300 rows, 100 a task at least; one task before
+    assert max(kept) <= 2  # a state and the one before; before, all since the last checkpoint
+    assert len(held()) == before and found.recall.shape == (7, 1)
+
+
+def test_nodes_of_wide_levels_equal_those_told_apart(monkeypatch):
+    rng = np.random.default_rng(5)
+    tree = bst.Tree.empty(1, 9)
+    tree.column[0, :512] = rng.integers(-1, 3, 512)
+    tree.bin[0] = rng.integers(0, 30, 1024)
+    x = rng.integers(0, 32, (3, 500)).astype(np.uint8)
+    for levels in (0, 1, 5, 9):
+        want = []
+        for row in x.T:
+            k = 1
+            for _ in range(levels):
+                k = k if tree.column[0, k] < 0 else 2 * k + int(row[tree.column[0, k]] > tree.bin[0, k])
+            want.append(k)
+        for masked in (0, 4, 1 << 9):
+            monkeypatch.setattr(bst, "MASKED", masked)
+            assert tree.nodes(0, x, levels).tolist() == want
