@@ -1,7 +1,7 @@
 """WARC archives: writing with Spark, reading through a Python data source.
 
 ``write_archive`` turns rows into WARC/1.1 records, one string each, and lets Spark's
-text writer place them, so archives can go to any store Spark writes to.  Of records
+text writer place them, gzipped, so archives can go to any store Spark writes to.  Of records
 with equal payloads of at least ``min_revisit_bytes`` bytes the one with the largest
 id is a ``response``; the others are ``revisit`` records without payload that refer
 to it.  Equal payloads meet by their SHA-1 (id and digest only); the join that tells a
@@ -14,7 +14,8 @@ first.  Filters on ``warc_type`` and the other header columns are pushed into th
 reader (set ``spark.sql.python.filterPushdown.enabled``); the payload of a record that
 a filter rejects, or any payload with option ``payload=false``, is skipped by its
 Content-Length and never decoded.  Files are opened through pyarrow's file systems
-(local and shared folders, HDFS, S3, GCS).
+(local and shared folders, HDFS, S3, GCS); those named ``.gz`` are unzipped as they are
+read and count ``GZIP_RATIO`` times their size when partitions are planned.
 
 Defined results: null html is an empty payload; a null url leaves Target-URI out, line
 breaks in it are escaped; equal payloads under one id are each a response; with a null
@@ -35,6 +36,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, In
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 20_000
 PARTITION_BYTES = 64 << 20
+GZIP_RATIO = 4
 ID_URN = "urn:page:"
 _BATCH_BYTES = 4 << 20
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -84,7 +86,7 @@ def record(rows: DataFrame) -> DataFrame:
 
 
 def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    (record(with_roles(pages, min_revisit_bytes)).write.option("lineSep", "\r\n\r\n")
+    (record(with_roles(pages, min_revisit_bytes)).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
      .option("maxRecordsPerFile", records_per_file).text(path))
 
 
@@ -156,7 +158,7 @@ class WarcReader(DataSourceReader):
         infos = system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         single = system.get_file_info(root)
         infos = [single] if single.is_file else infos
-        files = sorted((i.path, i.size) for i in infos
+        files = sorted((i.path, i.size * (GZIP_RATIO if i.path.endswith(".gz") else 1)) for i in infos
                        if i.is_file and i.size and not i.base_name.startswith((".", "_")))
         plan, group, total = [], [], 0
         for path, size in files:
@@ -171,7 +173,7 @@ class WarcReader(DataSourceReader):
         system, _ = _file_system(self.path)
         rows, size = [], 0
         for path in partition.paths:
-            with system.open_input_file(path) as raw:
+            with _open(system, path) as raw:
                 buffered = _Buffered(raw)
                 while (h := _headers(buffered)) is not None:
                     length = int(h.get("content-length", 0))
@@ -195,12 +197,16 @@ class WarcReader(DataSourceReader):
             yield _batch(rows)
 
 
+def _open(system, path: str):
+    return system.open_input_stream(path, compression="gzip") if path.endswith(".gz") else system.open_input_file(path)
+
+
 class _Buffered:
-    """Lines, bytes and skips over a random-access file."""
+    """Lines, bytes and skips over a file; one without random access is read over what is skipped."""
 
     def __init__(self, raw, block: int = 1 << 18):
         self.raw, self.block, self.buffer, self.at = raw, block, b"", 0
-        self.size = raw.size()
+        self.size = raw.size() if raw.seekable() else None
 
     def _fill(self) -> bool:
         """Read another block behind what is left; False at the end."""
@@ -220,13 +226,26 @@ class _Buffered:
         have = self.buffer[self.at:self.at + n]
         self.at += len(have)
         if len(have) < n:
-            have += self.raw.read(n - len(have))
+            have += self._more(n - len(have))
             self._reset()
         return have
 
+    def _more(self, n: int) -> bytes:
+        """The next n bytes of the file, fewer only at its end (a stream may hand out less at a time)."""
+        parts = []
+        while n > 0 and (part := self.raw.read(n)):
+            parts.append(part)
+            n -= len(part)
+        return b"".join(parts)
+
     def skip(self, n: int) -> None:
         if self.at + n <= len(self.buffer):
             self.at += n
+        elif self.size is None:
+            n -= len(self.buffer) - self.at
+            while n > 0 and (part := self.raw.read(min(n, self.block))):
+                n -= len(part)
+            self._reset()
         else:
             self.raw.seek(min(self.size, self.raw.tell() + n - (len(self.buffer) - self.at)))
             self._reset()

@@ -308,3 +308,16 @@ def test_warc_reader_skips_what_filters_reject(tmp_path):
 
 def test_warc_of_no_pages(spark, tmp_path):
     assert warc.read_archive(spark, _write(spark, tmp_path, rows=[])).count() == 0
+
+
+def test_warc_archives_are_gzipped_and_skip_without_seeking(spark, tmp_path):
+    rows = [(k, f"http://h/{k}", f"<p>{k}</p>" * 200_000) for k in range(3)]
+    path = _write(spark, tmp_path, rows=rows)
+    files = list(tmp_path.rglob("part-*"))
+    assert files and all(p.name.endswith(".gz") for p in files)
+    assert sum(p.stat().st_size for p in files) < sum(len(r[2]) for r in rows) / 10  # plain before
+    got = {r.record_id: bytes(r.payload) for r in warc.read_archive(spark, path).collect()}
+    assert got == {f"<urn:page:{k}>": html.encode() for k, _, html in rows}
+    assert warc.read_archive(spark, path, payload=False).where("payload IS NULL AND payload_length > 0").count() == 3
+    reader = warc.WarcReader({"path": str(path)})
+    assert sum(1 for part in reader.partitions() for b in reader.read(part) for _ in range(b.num_rows)) == 3
