@@ -16,7 +16,7 @@ from collections.abc import Iterable, Sequence
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from churnlens.session import ship_package
 
 INIT_ROWS = 4096
+SLICE_ROWS = 4096  # rows measured at a time
 
 
 class Best(NamedTuple):
@@ -49,28 +50,27 @@ def plus_plus(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 def _pass(runs: list[np.ndarray], shift: np.ndarray):
-    """Per partition: (run, centre, rows, cost, sums)."""
+    """Per partition: (run, centre, rows, cost, sums).  Rows by centre are summed as one matrix
+    product a run and slice."""
     width = len(shift)
+    names = ["run", "center", "n", "cost", *(f"s{j}" for j in range(width))]
 
-    def run(batches: Iterable[pd.DataFrame]):
-        n = [np.zeros(len(c)) for c in runs]
-        cost, sums = [np.zeros(len(c)) for c in runs], [np.zeros((len(c), width)) for c in runs]
+    def run(batches: Iterable[pa.RecordBatch]):
+        sums = [np.zeros((len(c), 2 + width)) for c in runs]
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["x"].to_numpy()) - shift
-            for r, c in enumerate(runs):
-                near = np.argmin((c ** 2).sum(axis=1) - 2 * x @ c.T, axis=1)
-                n[r] += np.bincount(near, minlength=len(c))
-                cost[r] += np.bincount(near, ((x - c[near]) ** 2).sum(axis=1), minlength=len(c))
-                np.add.at(sums[r], near, x)
-        for r, c in enumerate(runs):
-            out = pd.DataFrame(sums[r], columns=[f"s{j}" for j in range(width)])
-            out.insert(0, "run", r)
-            out.insert(1, "center", np.arange(len(c)))
-            out.insert(2, "n", n[r])
-            out.insert(3, "cost", cost[r])
-            yield out
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width) - shift
+            for s in range(0, len(x), SLICE_ROWS):
+                part = x[s:s + SLICE_ROWS]
+                many = np.hstack([np.ones((len(part), 1)), np.zeros((len(part), 1)), part])
+                for r, c in enumerate(runs):
+                    near = np.argmin((c ** 2).sum(axis=1)[:, None] - 2 * c @ part.T, axis=0)
+                    many[:, 1] = ((part - c[near]) ** 2).sum(axis=1)
+                    sums[r] += (near == np.arange(len(c))[:, None]).astype(float) @ many
+        run_of = np.repeat(np.arange(len(runs)), [len(c) for c in runs])
+        center = np.concatenate([np.arange(len(c)) for c in runs])
+        out = np.concatenate(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(run_of, pa.int32()), pa.array(center, pa.int32()),
+                                          *(pa.array(np.ascontiguousarray(v)) for v in out.T)], names=names)
 
     return run
 
@@ -84,9 +84,11 @@ def kmeans_starts(points: DataFrame, ks: Sequence[int], starts: int = 10, seed:
     centres returned."""
     spark = points.sparkSession
     ship_package(spark)
-    rows = finite(points).select("x").persist(StorageLevel.MEMORY_AND_DISK)
+    # Dealt to all cores, after the draw's hash: every pass has a task a core, not a shuffle partition.
+    rows = (finite(points).select("x", F.xxhash64("x", F.monotonically_increasing_id(), F.lit(seed)).alias("_h"))
+            .repartition(spark.sparkContext.defaultParallelism, "_h").persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        drawn = rows.withColumn("_h", F.xxhash64("x", F.monotonically_increasing_id(), F.lit(seed))).orderBy("_h").limit(INIT_ROWS)
+        drawn = rows.orderBy("_h").limit(INIT_ROWS)
         sample = [r.x for r in drawn.select("x").collect()]
         if not sample:
             return {}
@@ -101,7 +103,7 @@ def kmeans_starts(points: DataFrame, ks: Sequence[int], starts: int = 10, seed:
         sums = [F.sum(c).alias(c) for c in ["n", "cost", *(f"s{j}" for j in range(width))]]
         moving = list(names)
         for step in range(max_iter):
-            passed = rows.mapInPandas(_pass([centers[m] for m in moving], shift), schema).groupBy("run", "center").agg(*sums)
+            passed = rows.select("x").mapInArrow(_pass([centers[m] for m in moving], shift), schema).groupBy("run", "center").agg(*sums)
             got = np.array([tuple(r) for r in passed.collect()], float)
             still = []
             for i, m in enumerate(moving):

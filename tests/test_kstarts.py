@@ -59,3 +59,26 @@ def test_nearest_takes_the_first_of_equals(spark):
     df = _frame(spark, [[1.0, 0.0], [4.0, 0.0]])
     got = [r.c for r in df.select("id", nearest("x", np.array([[2.0, 0.0], [0.0, 0.0], [5.0, 0.0]])).alias("c")).orderBy("id").collect()]
     assert got == [0, 2]
+
+
+def test_a_pass_has_a_task_a_core_whatever_the_partitions(spark, monkeypatch):
+    from churnlens.operators import kstarts
+
+    passes = []
+
+    def seen(*a):
+        run = made(*a)
+        passes.append(1)
+        return run
+
+    made = kstarts._pass
+    monkeypatch.setattr(kstarts, "_pass", seen)
+    parts = []
+    persist = type(spark.range(0)).persist
+    monkeypatch.setattr(type(spark.range(0)), "persist", lambda df, *a: parts.append(df.rdd.getNumPartitions()) or persist(df, *a))
+    x = _blobs()
+    found = kmeans_starts(_frame(spark, x).repartition(57), [2, 5], starts=3)
+    assert parts == [spark.sparkContext.defaultParallelism]  # 57 before
+    for k, best in found.items():
+        assert np.allclose(best.cost, ((x[:, None] - best.centers) ** 2).sum(-1).min(1).sum())
+    assert len(passes) >= 2
