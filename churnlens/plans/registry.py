@@ -646,8 +646,9 @@ def j5_compare_models(spark, sf):
     """Mean CV precision / recall of the five compared classifiers."""
     vtr, _ = vectors_b(spark, sf)
     ests = {"logistic": mdl.logistic(1.0, "l2", vtr.count()), "svc": mdl.linear_svc(),
-            "forest": mdl.forest(**DEFAULT_FOREST), "gbt": mdl.gbt(**DEFAULT_GBT)}
-    cv = tun.compare_models(vtr, ests)
+            "forest": mdl.forest(**DEFAULT_FOREST)}
+    cv = tun.compare_models(vtr, ests).unionByName(
+        spark.createDataFrame([("gbt", *_boosted(spark, sf, vtr).cv(_B))], "model string, precision double, recall double"))
     # kNN has no fit step: vote per fold with the other folds as reference.
     pts = vtr.select(F.col(prep.ID_COL).alias("id"), F.col("features"), "label", "fold")
     from pyspark.ml.functions import vector_to_array
@@ -899,14 +900,9 @@ IMPORTANCE_THRESHOLDS = [i / 10_000 for i in range(250, 350, 10)]
 DROPPED_SETS = [["VMail Plan"], ["Night Calls", "Account Length"], ["Eve Calls"], ["Eve Calls", "Night Calls"]]
 
 
-def _sweep(spark, sf) -> "fsel.Sweep":
-    vtr, _ = vectors_b(spark, sf)
-    return fsel.Sweep(vtr, _B, mdl.gbt(**DEFAULT_GBT))
-
-
-def _boosted(spark, sf) -> "fsel.BoostedSweep":
+def _boosted(spark, sf, vtr: DataFrame | None = None) -> "fsel.BoostedSweep":
     """The default boosting, its fits in lock step."""
-    vtr, _ = vectors_b(spark, sf)
+    vtr = vectors_b(spark, sf)[0] if vtr is None else vtr
     return fsel.BoostedSweep(vtr, _B, DEFAULT_GBT["maxIter"], DEFAULT_GBT["maxDepth"], DEFAULT_GBT["stepSize"])
 
 
@@ -916,8 +912,8 @@ def l1_variance_sweep(spark, sf):
     vtr, _ = vectors_b(spark, sf)
     scores = sc.variance_scores(churn_train(spark, sf), _B)
     out = None
-    for name, est in {"gbt": mdl.gbt(**DEFAULT_GBT), "forest": mdl.forest(**DEFAULT_FOREST)}.items():
-        t = fsel.Sweep(vtr, _B, est).thresholds(scores, "variance", VARIANCE_THRESHOLDS, strict=True)[0]
+    for name, sweep in {"gbt": _boosted(spark, sf, vtr), "forest": fsel.Sweep(vtr, _B, mdl.forest(**DEFAULT_FOREST))}.items():
+        t = sweep.thresholds(scores, "variance", VARIANCE_THRESHOLDS, strict=True)[0]
         t = t.withColumn("model", F.lit(name))
         out = t if out is None else out.unionByName(t)
     return out
@@ -962,7 +958,7 @@ def l8_elimination(spark, sf):
 @register("l9_l1_thresholds")
 def l9_l1_thresholds(spark, sf):
     """CV recall on the columns whose L1 logistic coefficient reaches each threshold."""
-    sweep = _sweep(spark, sf)
+    sweep = _boosted(spark, sf)
     model = mdl.logistic(1.0, "l1", sweep.df.count()).fit(sweep.df)
     return sweep.thresholds(mdl.coefficients(model, _B), "abs_coefficient", COEFFICIENT_THRESHOLDS)[0]
 
@@ -970,15 +966,17 @@ def l9_l1_thresholds(spark, sf):
 @register("l10_gbt_thresholds")
 def l10_gbt_thresholds(spark, sf):
     """CV recall on the columns whose GBT importance reaches each threshold."""
-    sweep = _sweep(spark, sf)
-    return sweep.thresholds(mdl.importances(sweep.est.fit(sweep.df), _B), "importance", IMPORTANCE_THRESHOLDS)[0]
+    sweep = _boosted(spark, sf)
+    return sweep.thresholds(sweep.importances(), "importance", IMPORTANCE_THRESHOLDS)[0]
 
 
 @register("l11_dropped_columns")
 def l11_dropped_columns(spark, sf):
     """CV precision and recall without each of the named sets of columns."""
-    sweep = _sweep(spark, sf)
-    rows = [(",".join(d), *sweep.cv([c for c in _B if c not in d])) for d in DROPPED_SETS]
+    sweep = _boosted(spark, sf)
+    left = {",".join(d): [c for c in _B if c not in d] for d in DROPPED_SETS}
+    sweep.cv_many(left.values())
+    rows = [(name, *sweep.cv(keep)) for name, keep in left.items()]
     return spark.createDataFrame(rows, "dropped string, precision double, recall double")
 
 

@@ -53,14 +53,16 @@ class Sweep:
         """(feature, recall): CV recall on each column alone."""
         return self.spark.createDataFrame([(c, self.cv([c])[1]) for c in self.cols], "feature string, recall double")
 
+    def _kept(self, weights: DataFrame, value_col: str, thresholds, strict: bool) -> list[tuple]:
+        """Every threshold with the columns that reach (``strict``: exceed) it."""
+        value = {r["feature"]: r[value_col] for r in weights.collect()}
+        return [(t, [c for c in self.cols if value[c] is not None and (value[c] > t or not strict and value[c] == t)]) for t in thresholds]
+
     def thresholds(self, weights: DataFrame, value_col: str, thresholds, strict: bool = False):
         """CV precision and recall on the columns whose value reaches (``strict``: exceeds)
         each threshold; no column left: zero.  Returns (table, first best threshold)."""
-        value = {r["feature"]: r[value_col] for r in weights.collect()}
-        rows = []
-        for t in thresholds:
-            keep = [c for c in self.cols if value[c] is not None and (value[c] > t or not strict and value[c] == t)]
-            rows.append((float(t), len(keep), *(self.cv(keep) if keep else (0.0, 0.0))))
+        rows = [(float(t), len(keep), *(self.cv(keep) if keep else (0.0, 0.0)))
+                for t, keep in self._kept(weights, value_col, thresholds, strict)]
         best = max(rows, key=lambda r: (r[3], -r[0]))[0]
         return self.spark.createDataFrame(rows, "threshold double, n_features int, precision double, recall double"), best
 
@@ -135,6 +137,15 @@ class BoostedSweep(Sweep):
         self.cv_many([[c] for c in self.cols])
         return super().single_columns()
 
+    def thresholds(self, weights: DataFrame, value_col: str, thresholds, strict: bool = False):
+        self.cv_many(kept for _, kept in self._kept(weights, value_col, thresholds, strict))
+        return super().thresholds(weights, value_col, thresholds, strict)
+
+    def importances(self) -> DataFrame:
+        """(feature, importance) of the boosting fitted on all rows."""
+        found = self.fit([boosting.Model(tuple(range(len(self.cols))), None, self.depth)])
+        return self.spark.createDataFrame([(c, float(v)) for c, v in zip(self.cols, found.importance[0])], "feature string, importance double")
+
     def eliminate(self, step: int = 1, min_features: int = 1) -> tuple[DataFrame, list]:
         """As ``Sweep.eliminate``; the folds' paths and that of all rows go down together."""
         keep = {f: list(range(len(self.cols))) for f in [*self.folds, None]}

@@ -149,3 +149,24 @@ def test_nodes_of_wide_levels_equal_those_told_apart(monkeypatch):
         for masked in (0, 4, 1 << 9):
             monkeypatch.setattr(bst, "MASKED", masked)
             assert tree.nodes(0, x, levels).tolist() == want
+
+
+def test_threshold_sets_are_fitted_together(spark, monkeypatch):
+    rows = [(i, float(i * 7919 % 101), float(i % 2), float(i * 104729 % 89), i % 2, i // 2 % 4) for i in range(240)]
+    df = mdl.to_vectors(spark.createDataFrame(rows, "id long, b double, a double, c double, y int, fold int"), COLS, "y", "id",
+                        keep=("fold",)).persist()
+    sweep, fits = BoostedSweep(df, COLS, trees=2, depth=2), []
+    fit = bst.fit
+    monkeypatch.setattr(bst, "fit", lambda *a: fits.append(len(a[2])) or fit(*a))
+    weights = sweep.importances()
+    assert {r.feature: r.importance for r in weights.collect()}["a"] == 1.0
+    scores = spark.createDataFrame([("a", 9.0), ("c", 2.0), ("b", 1.0)], "feature string, score double")
+    table, best = sweep.thresholds(scores, "score", [1.0, 2.0, 9.0, 10.0])
+    assert [(r.n_features, r.recall) for r in table.orderBy("threshold").collect()] == [(3, 1.0), (2, 1.0), (1, 1.0), (0, 0.0)] and best == 1.0
+    assert fits == [1, 12]  # one fit for all sets and folds; one a set before
+
+
+def test_dealt_vectors_have_a_partition_a_core(spark):
+    df = spark.range(1000).repartition(200)
+    parts = mdl.dealt(df, "id").rdd.getNumPartitions()
+    assert parts == max(mdl.PARTS, spark.sparkContext.defaultParallelism) and mdl.dealt(df, "id").count() == 1000
