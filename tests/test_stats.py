@@ -81,3 +81,26 @@ def test_hash_split_is_stable(spark):
     assert a.count() + b.count() == 2000 and abs(a.count() / 2000 - 0.7) < 0.05
     a2, _ = hash_split(df, "id")
     assert a.exceptAll(a2).count() == 0
+
+
+def test_grid_information_by_stretches_equals_values_times_bins(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from churnlens.operators import scores as sc
+
+    rng = np.random.default_rng(4)
+    x, z = rng.integers(0, 90, 1200), rng.random(1200).round(4)
+    x[:500] = 7  # one value holds many bins
+    df = spark.createDataFrame([(k, float(x[k]), float(z[k]), 3.0, int(x[k] + rng.integers(0, 60) > 70)) for k in range(1200)],
+                               "id long, a double, b double, c double, y int")
+    v = sc._value_table(df, ["a", "b", "c"], "y", "id").persist()
+    b_hi = F.floor(F.pow(F.col("_n"), 0.6) / 2).cast("int")
+    every = v.withColumn("b", F.explode(F.sequence(F.lit(2), b_hi)))
+    want = sc._binned_mi(every.withColumn("bin", F.floor(F.col("_rank_lt") * F.col("b") / F.col("_n"))), "bin")
+    want = {(r.feature, r.b): r.mi for r in want.collect()}
+    for ranks in (97, 500, 65_536):
+        got = {(r.feature, r.b): r.mi for r in sc.grid_mi(v, ranks).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    plan = sc.mic_scores(df, ["a"], "y", "id")._jdf.queryExecution().toString()
+    assert "explode" not in plan.lower()  # before: a row a value and number of bins
