@@ -38,7 +38,8 @@ from churnlens.session import ensure_checkpoint_dir, ship_package
 BLOCK_ROWS = 1_024
 PIVOTS = 512         # most cells
 SAMPLE = 16          # sampled reference rows per pivot
-CELLS = 4_000_000    # distances held at a time
+CELLS = 1_000_000    # distances held at a time
+PAIRS = 16_384       # (query, cell) rows handed on at a time, each with the query's coordinates
 MARGIN = 1e-9        # of the lengths compared, for rounding
 
 
@@ -121,11 +122,11 @@ def _ring_topk(k: int, exclude_self: bool):
 
 def _open_cells(pivots: np.ndarray, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int, exclude_self: bool):
     """Every query with the cells that may hold one of its k nearest: distance to their pivot
-    and the query's bound."""
+    and the query's bound.  Handed on in frames of ``PAIRS`` rows: a batch of queries with all
+    its cells would repeat the coordinates up to ``PIVOTS`` times at once."""
 
     def run(batches):
         for b in batches:
-            out = []
             for at, d in _pivot_distances(np.stack(b["x"]).astype(float), pivots) if len(b) else ():
                 part = b.iloc[at]
                 kth = np.array([np.sqrt(max(v)) if len(v) >= k else np.inf for v in part["dists"]])
@@ -138,11 +139,11 @@ def _open_cells(pivots: np.ndarray, rows: np.ndarray, lo: np.ndarray, hi: np.nda
                 least = np.maximum(np.maximum(d - hi, lo - d), (d - d.min(1, keepdims=True)) / 2)
                 # An undefined or infinite length keeps the cell.
                 qi, cell = np.nonzero(~(least > bound[:, None] + MARGIN * (d + hi + bound[:, None])))
-                out.append(part.iloc[qi][["id", "x"]].assign(
-                    _own=part["_cell"].to_numpy()[qi], _done=part["_ring"].to_numpy()[qi],
-                    _cell=cell.astype("int32"), _dist=d[qi, cell], _bound=bound[qi]))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                for s in range(0, len(qi), PAIRS):
+                    q, c = qi[s:s + PAIRS], cell[s:s + PAIRS]
+                    yield part.iloc[q][["id", "x"]].reset_index(drop=True).assign(
+                        _own=part["_cell"].to_numpy()[q], _done=part["_ring"].to_numpy()[q],
+                        _cell=c.astype("int32"), _dist=d[q, c], _bound=bound[q])
 
     return run
 

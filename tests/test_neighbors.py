@@ -80,3 +80,27 @@ def test_no_reference_rows_and_null_labels(spark):
     ref = spark.createDataFrame([(1, [0.0, 0.0], None), (2, [1.0, 0.0], 1.0)], KIND)
     got = {r.ref_id: r.ref_label for r in nbr.knn(ref, query.limit(1), 2).collect()}
     assert got == {1: None, 2: 1.0}
+
+
+def test_open_cells_are_handed_on_in_small_frames(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from churnlens.operators import neighbors as nbr
+
+    rng = np.random.default_rng(2)
+    x, pivots = rng.normal(size=(3000, 3)), rng.normal(size=(64, 3))
+    batch = pd.DataFrame({"id": range(3000), "x": list(x), "_cell": 0, "_ring": 0, "dists": [[9.0] * 5] * 3000})
+    rows, lo, hi = np.full(64, 10.0), np.zeros(64), np.full(64, 2.0)
+
+    def frames():
+        return list(nbr._open_cells(pivots, rows, lo, hi, 5, False)([batch]))
+
+    small = frames()
+    assert max(map(len, small)) <= nbr.PAIRS  # before: one frame with all pairs of the batch
+    monkeypatch.setattr(nbr, "PAIRS", 10**9)
+    monkeypatch.setattr(nbr, "CELLS", 10**9)
+    whole = frames()
+    assert len(whole) == 1 and len(small) > 5
+    got = pd.concat(small, ignore_index=True)
+    assert got.drop(columns="x").equals(whole[0].drop(columns="x")) and all((a == b).all() for a, b in zip(got["x"], whole[0]["x"]))
