@@ -596,7 +596,8 @@ def vectors_b(spark, sf, cols=None, by=prep.LABEL_COL):
     cols = cols or _B
     tr = spl.assign_folds(churn_train(spark, sf), prep.ID_COL, 5, by=by)
     vtr = mdl.dealt(mdl.to_vectors(tr, cols, prep.LABEL_COL, prep.ID_COL, keep=("fold",)), prep.ID_COL).persist()
-    vte = mdl.to_vectors(churn_test(spark, sf), cols, prep.LABEL_COL, prep.ID_COL)
+    # Kept as well: every model that scores them would build the table again.
+    vte = mdl.dealt(mdl.to_vectors(churn_test(spark, sf), cols, prep.LABEL_COL, prep.ID_COL), prep.ID_COL).persist()
     return vtr, vte
 
 

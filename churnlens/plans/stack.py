@@ -44,6 +44,12 @@ def stack_features(models: dict, train: DataFrame, test: DataFrame, id_col: str,
 
 def fit_stack(meta, stacked_train: DataFrame, stacked_test: DataFrame, cols) -> DataFrame:
     """Fit the meta classifier on the stacked columns and predict the test rows."""
+    from churnlens.plans.models import PARTS
+
     va = VectorAssembler(inputCols=list(cols), outputCol="features")
-    model = meta.fit(va.transform(stacked_train))
+    # Kept while the meta model passes over them: they come from joins of every fold's predictions.
+    parts = max(PARTS, stacked_train.sparkSession.sparkContext.defaultParallelism)
+    rows = va.transform(stacked_train).repartition(parts).persist()
+    model = meta.fit(rows)
+    rows.unpersist()
     return model.transform(va.transform(stacked_test))
