@@ -58,6 +58,7 @@ PIVOTS = 4          # pivots of a split
 BLOCK = 512         # sets of one block
 PARTS = 1024        # most parts of the universe that a sketch counts
 WANTED_BITS = 24    # size of the filter on the documents whose sets are built
+RUN = 8192          # numbers that reach the driver as one row
 
 
 def shingles(ids: np.ndarray, n: int) -> np.ndarray:
@@ -163,6 +164,22 @@ def _has(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
+def _packed(rows: DataFrame, at: str, value: str, size: int, kind) -> np.ndarray:
+    """Array of ``size`` numbers from rows (at, value), zero where there is none.  Runs of
+    ``RUN`` numbers are packed by tasks, so the driver gets size / RUN rows of bytes: as rows
+    of their own, half a million numbers take it some hundred MB of Python objects."""
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        run = int(pdf[at].iloc[0]) // RUN
+        out = np.zeros(RUN, kind)
+        out[pdf[at].to_numpy(np.int64) - run * RUN] = pdf[value].to_numpy(np.int64)
+        return pd.DataFrame({"run": [run], "packed": [out.tobytes()]})
+
+    out = np.zeros(-(-size // RUN) * RUN, kind)
+    for r in rows.groupBy(F.floor(F.col(at) / RUN).alias("_run")).applyInPandas(pack, "run long, packed binary").collect():
+        out[r.run * RUN:(r.run + 1) * RUN] = np.frombuffer(r.packed, kind)
+    return out[:size]
+
+
 def _words_of(names):
     def run(batches):
         for pdf in batches:
@@ -176,9 +193,8 @@ def _filter(rows: DataFrame, names):
     """A broadcast filter of ``names(rows)``: at most 2 ** (WANTED_BITS - 5) words pass the
     driver, whatever the input."""
     words = (rows.mapInPandas(_words_of(names), "word long, bits long")
-             .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas())
-    bits = np.zeros(1 << (WANTED_BITS - 5), np.uint32)
-    bits[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+             .groupBy("word").agg(F.bit_or("bits").alias("bits")))
+    bits = _packed(words, "word", "bits", 1 << (WANTED_BITS - 5), np.uint32)
     return rows.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
 
@@ -384,9 +400,8 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     # At most 2 ** ORDER_BITS counters, whatever the input.
     counted = (texts.select("text").mapInPandas(_occurrences(n), "bucket int, total long")
-               .groupBy("bucket").agg(F.sum("total").alias("total")).toPandas())
-    totals = np.zeros(1 << ORDER_BITS, np.int64)
-    totals[counted["bucket"].to_numpy(dtype=np.int64)] = counted["total"].to_numpy(dtype=np.int64)
+               .groupBy("bucket").agg(F.sum("total").alias("total")))
+    totals = _packed(counted, "bucket", "total", 1 << ORDER_BITS, np.int64)
     order = spark.sparkContext.broadcast(totals)
 
     facts = texts.mapInPandas(_facts(n, percent, order), _FACTS).checkpoint()

@@ -321,3 +321,23 @@ def test_warc_archives_are_gzipped_and_skip_without_seeking(spark, tmp_path):
     assert warc.read_archive(spark, path, payload=False).where("payload IS NULL AND payload_length > 0").count() == 3
     reader = warc.WarcReader({"path": str(path)})
     assert sum(1 for part in reader.partitions() for b in reader.read(part) for _ in range(b.num_rows)) == 3
+
+
+def test_numbers_reach_the_driver_as_packed_runs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    size = 3 * jac.RUN + 17
+    at = np.append(rng.choice(size - 1, 4_000, replace=False), size - 1)
+    value = rng.integers(1, 1 << 32, len(at))
+    want = np.zeros(size, np.uint32)
+    want[at] = value
+    rows = spark.createDataFrame([(int(a), int(v)) for a, v in zip(at, value)], "word long, bits long")
+    assert (jac._packed(rows, "word", "bits", size, np.uint32) == want).all()
+    assert not jac._packed(rows.limit(0), "word", "bits", size, np.uint32).any()
+    # Neither the filters nor the order of shingles come as a row a number.
+    seen = []
+    collect = type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: seen.append(collect(df)) or seen[-1])
+    monkeypatch.setattr(type(rows), "toPandas", lambda df: pytest.fail("rows on the driver"))
+    docs = spark.createDataFrame([(k, " ".join(map(str, rng.integers(0, 5_000, 300)))) for k in range(60)], "doc_id long, text string")
+    jac.link_components(docs, 3, 90).count()
+    assert max(map(len, seen)) <= (1 << (jac.WANTED_BITS - 5)) // jac.RUN
