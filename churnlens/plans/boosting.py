@@ -6,7 +6,8 @@ all models grow their trees together: columns are binned once, each row carries
 under every model, and a level of all models' trees is one pass that sums (rows,
 residuals, curvature) per (model, node, column, bin).  Sums are added per model, and the
 task that adds them picks the model's splits, so the driver gets a few numbers per model
-and node, whatever the rows.  17 column sets x 5 folds x 100 trees of depth 3 are 300
+and node, whatever the rows.  Where the sums of all tasks are no more than ``DIRECT`` bytes
+(a few models, a few tasks), the driver adds them itself, which saves a shuffle a pass.  17 column sets x 5 folds x 100 trees of depth 3 are 300
 passes instead of 25,500.
 
 The first m trees of a model are the m-tree model, so every tree count is scored on the
@@ -48,6 +49,7 @@ ROWS_PER_TASK = 65_536
 LEAST_ROWS = 2_048     # fewer rows are no task of their own
 MASKED = 8             # nodes of a level that are told apart one by one
 FOLD = 25              # trees between checkpoints
+DIRECT = 1 << 23       # bytes of all tasks' sums that the driver adds up itself
 
 
 class Model(NamedTuple):
@@ -191,6 +193,11 @@ def _sums(models: list[Model], tree: Tree, level: int, bins: int):
     return run
 
 
+def _sum_bytes(models: list[Model], level: int, bins: int) -> int:
+    """Bytes of the sums of ``level`` from one task, whatever its rows."""
+    return sum(8 * 3 * len(model.columns) * (bins << level) for model in models if level < model.depth)
+
+
 def _picked(models: list[Model], level: int, bins: int):
     def run(item):
         m, sums = item
@@ -248,10 +255,15 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
     says: list[np.ndarray] = []
 
     def collected(tree, level):
-        sums = state.mapPartitions(_sums(models, tree, level, bins))
+        sums, picked = state.mapPartitions(_sums(models, tree, level, bins)), _picked(models, level, bins)
+        if tasks > 1 and tasks * _sum_bytes(models, level, bins) <= DIRECT:
+            added: dict[int, np.ndarray] = {}
+            for m, new in sums.collect():
+                added[m] = added[m] + new if m in added else new
+            return dict(map(picked, added.items()))
         if tasks > 1:  # one task has added its rows up already
             sums = sums.reduceByKey(np.add, adders)
-        return dict(sums.map(_picked(models, level, bins)).collect())
+        return dict(sums.map(picked).collect())
 
     def classified(found):
         says.append(np.array([found.get(-1 - m, np.zeros(3)) for m in range(len(models))]))

@@ -170,3 +170,27 @@ def test_dealt_vectors_have_a_partition_a_core(spark):
     df = spark.range(1000).repartition(200)
     parts = mdl.dealt(df, "id").rdd.getNumPartitions()
     assert parts == max(mdl.PARTS, spark.sparkContext.defaultParallelism) and mdl.dealt(df, "id").count() == 1000
+
+
+def test_small_sums_take_no_shuffle(spark, monkeypatch):
+    from pyspark import RDD
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 40, size=(3 * bst.LEAST_ROWS, 3)).astype(float)
+    y = (x[:, 0] + rng.integers(0, 20, size=len(x)) > 35).astype(float)
+    rows = [(r.tolist(), float(c), k % 3) for k, (r, c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "x array<double>, label double, fold int").select(
+        array_to_vector(F.col("x")).alias("features"), "label", "fold").persist()
+    models = [bst.Model((0, 1, 2), f) for f in (0, 1, 2, None)]
+    shuffled, calls = RDD.reduceByKey, []
+    monkeypatch.setattr(RDD, "reduceByKey", lambda rdd, *a, **k: calls.append(1) or shuffled(rdd, *a, **k))
+    direct = bst.fit(df, 3, models, 4)
+    assert not calls
+    monkeypatch.setattr(bst, "DIRECT", 0)
+    added = bst.fit(df, 3, models, 4)
+    assert calls
+    for a, b in zip(direct.trees, added.trees):
+        assert (a.column == b.column).all() and (a.bin == b.bin).all() and np.allclose(a.value, b.value)
+    assert np.array_equal(direct.precision, added.precision) and np.array_equal(direct.recall, added.recall)
