@@ -34,6 +34,7 @@ from churnlens.session import scratch_path, ship_package
 
 
 FITS = 8  # fits at a time
+LEAST_ROWS, MOST_ROWS = 16_384, 262_144  # of a partition
 
 
 class Point(NamedTuple):
@@ -63,9 +64,10 @@ class Nodes(NamedTuple):
             shut[at] = shut[a] & shut[b] & (says[a] == says[b])
         return shut
 
-    def votes(self, x: np.ndarray, depth: int, min_split: int) -> np.ndarray:
-        """(rows, trees, 2): running sums over the trees of their class shares."""
-        shut = self.closed(depth, min_split)
+    def votes(self, x: np.ndarray, depth: int, min_split: int, shut: np.ndarray | None = None) -> np.ndarray:
+        """(rows, trees, 2): running sums over the trees of their class shares; ``shut`` is what
+        ``closed`` says, if known."""
+        shut = self.closed(depth, min_split) if shut is None else shut
         at = np.tile(self.roots, (len(x), 1))
         rows = np.arange(len(x))[:, None]
         for _ in range(min(depth, int(self.level.max(initial=0)))):
@@ -78,24 +80,43 @@ def read_nodes(spark: SparkSession, model: RandomForestClassificationModel) -> N
     """The nodes of a fitted two-class forest over numbers."""
     path = scratch_path(spark, f"forest-{uuid.uuid4().hex}")
     model.write().save(path)
-    found = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
-    place = {(r.treeID, r.id): k for k, r in enumerate(found)}
-    n = len(found)
-    left, right, column, level = np.arange(n), np.arange(n), np.full(n, -1), np.zeros(n, np.int64)
-    cut, rows, shares = np.zeros(n), np.zeros(n), np.zeros((n, 2))
-    for k, r in enumerate(found):
-        counts = np.asarray(r.impurityStats, float)
-        if len(counts) != 2:
-            raise ValueError("two classes are needed")
-        rows[k], shares[k] = r.rawCount, counts / max(counts.sum(), 1e-300)
-        if r.leftChild >= 0:
-            if r.split.numCategories >= 0:
-                raise ValueError("categorical splits are not pruned")
-            left[k], right[k] = place[r.treeID, r.leftChild], place[r.treeID, r.rightChild]
-            column[k], cut[k] = r.split.featureIndex, r.split.leftCategoriesOrThreshold[0]
-            level[left[k]] = level[right[k]] = level[k] + 1  # ids are in pre-order: parents first
-    roots = np.array([place[t, 0] for t in sorted({r.treeID for r in found})], np.int64)
-    return Nodes(roots, left, right, column, cut, level, rows, shares)
+    node, split = F.col("nodeData"), F.col("nodeData.split")
+    found = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), node["id"].alias("id"), node["leftChild"].alias("left"), node["rightChild"].alias("right"),
+        node["rawCount"].cast("double").alias("rows"), F.size(node["impurityStats"]).alias("classes"),
+        node["impurityStats"][0].alias("no"), node["impurityStats"][1].alias("yes"), split["featureIndex"].alias("column"),
+        split["numCategories"].alias("kinds"), F.try_element_at(split["leftCategoriesOrThreshold"], F.lit(1)).alias("cut")).toArrow()
+    # Plain columns: a row object a node took longer than the fit of a small forest.
+    of = {c: found.column(c).to_numpy() for c in found.column_names}
+    order = np.lexsort((of["id"], of["tree"]))
+    of = {c: v[order] for c, v in of.items()}
+    if (of["classes"] != 2).any():
+        raise ValueError("two classes are needed")
+    inner = np.flatnonzero(of["left"] >= 0)
+    if (of["kinds"][inner] >= 0).any():
+        raise ValueError("categorical splits are not pruned")
+    n = len(order)
+    name = of["tree"].astype(np.int64) << 32 | of["id"].astype(np.int64)
+    left, right, column, cut, level = np.arange(n), np.arange(n), np.full(n, -1), np.zeros(n), np.zeros(n, np.int64)
+    for down, side in ((left, "left"), (right, "right")):
+        down[inner] = np.searchsorted(name, of["tree"][inner].astype(np.int64) << 32 | of[side][inner].astype(np.int64))
+    column[inner], cut[inner] = of["column"][inner], of["cut"][inner]
+    roots = np.flatnonzero(of["id"] == 0)
+    at = roots[column[roots] >= 0]
+    while len(at):
+        under = np.concatenate([left[at], right[at]])
+        level[under] = np.tile(level[at] + 1, 2)
+        at = under[column[under] >= 0]
+    counts = np.stack([of["no"], of["yes"]], axis=1).astype(float)
+    return Nodes(roots, left, right, column, cut, level, of["rows"], counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300))
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as its rows need: ``LEAST_ROWS`` each up to a task a core,
+    ``MOST_ROWS`` beyond.  A task of a forest's fit sends the sums of all nodes of a level,
+    whatever its rows, so few rows in many partitions cost more there than the rows."""
+    rows = df.count()
+    return df.repartition(max(1, -(-rows // MOST_ROWS), min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // LEAST_ROWS))))
 
 
 def fit_variants(df: DataFrame, trees: int, depth: int, variants: Sequence[tuple[int, str]], fold_col: str = "fold",
@@ -126,12 +147,13 @@ def _counts(forests: dict[int, Nodes], points: Sequence[Point]):
     shapes = sorted({(p.depth, p.min_split) for p in points})
 
     def run(batches: Iterable[pd.DataFrame]):
+        shut = {(f, s): nodes.closed(*s) for f, nodes in forests.items() for s in shapes}
         for batch in batches:
             out = []
             for fold, part in batch.groupby("fold"):
                 x, real = np.stack(part["x"].to_numpy()), part["y"].to_numpy() > 0
                 for shape in shapes:
-                    votes = forests[int(fold)].votes(x, *shape)
+                    votes = forests[int(fold)].votes(x, *shape, shut[int(fold), shape])
                     for k, p in enumerate(points):
                         if (p.depth, p.min_split) == shape:
                             said = votes[:, p.trees - 1, 1] > votes[:, p.trees - 1, 0]
@@ -171,7 +193,7 @@ class ForestSearch:
     precision, recall)."""
 
     def __init__(self, df: DataFrame, n_columns: int, fold_col: str = "fold"):
-        self.df, self.n_columns, self.fold_col = df, n_columns, fold_col
+        self.df, self.n_columns, self.fold_col = gathered(df).persist(), n_columns, fold_col
         self.best = dict(trees=10, depth=30, min_split=2, min_leaf=1, max_features=None)
         self.rows: list[tuple] = []
 

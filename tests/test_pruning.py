@@ -72,3 +72,19 @@ def test_stages_keep_the_first_best(frame):
     top = max(r.recall for r in second)
     first = next(r for r in second if r.recall == top)
     assert (best["depth"], best["min_split"]) == (first.depth, first.min_split)
+
+
+def test_a_search_gathers_few_rows(spark, frame):
+    # A partition a few rows makes every task send the sums of all nodes of a level.
+    search = pruning.ForestSearch(frame.repartition(24), 4)
+    assert search.df.rdd.getNumPartitions() == 1
+    assert sorted(map(str, search.df.collect())) == sorted(map(str, frame.collect()))
+
+
+def test_nodes_are_those_of_the_model(spark, frame):
+    model = forest(numTrees=4, maxDepth=6, seed=3).fit(frame)
+    nodes = pruning.read_nodes(spark, model)
+    assert len(nodes.roots) == 4 and len(nodes.left) == model.totalNumNodes
+    assert (nodes.column[nodes.left == np.arange(len(nodes.left))] == -1).all()
+    raw = np.array([r.rawPrediction.toArray() for r in model.transform(frame).select("rawPrediction").collect()])
+    assert np.allclose(nodes.votes(_x(frame), 6, 0)[:, -1], raw, atol=1e-12)
