@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.columns import hash_u32, hash_unit
 from churnlens.functions.ranking import ordinal_within
-from churnlens.operators.neighbors import knn
+from churnlens.operators.neighbors import MetricIndex, _kind, knn
 
 
 def smote(points: DataFrame, k: int = 5, seed: int = 2, minority: float | None = None) -> DataFrame:
@@ -61,16 +61,14 @@ def fold_neighbors(mino: DataFrame, folds, k: int = 5) -> DataFrame:
     """(fold, base_id, nb_id, rank): for every fold and every row outside it, the k nearest
     rows outside it, from one search.
 
-    Each row keeps its k nearest within every fold; what is nearest outside a fold is among
-    those of the other folds, so no pair is measured twice.  ``mino`` has id, x, fold."""
-    parts = [knn(mino.where(F.col("fold") == g).select("id", "x"), mino.select("id", "x"), k, exclude_self=True)
-             .select("query_id", "ref_id", "sq_dist", F.lit(g).alias("_g")) for g in folds]
-    near = reduce(DataFrame.unionByName, parts).join(mino.select(F.col("id").alias("query_id"), F.col("fold").alias("_f")), "query_id")
-    each = (near.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds])))
-            .where((F.col("fold") != F.col("_f")) & (F.col("fold") != F.col("_g"))))
-    w = Window.partitionBy("fold", "query_id").orderBy("sq_dist", "ref_id")
-    return (each.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k)
-            .select("fold", F.col("query_id").alias("base_id"), F.col("ref_id").alias("nb_id"), "rank"))
+    A part leaves out one fold only, so most neighbours are those of several parts; the index
+    searches for all parts at once.  ``mino`` has id, x, fold."""
+    rows = mino.select("id", "x", F.col("fold").alias("y"))
+    index = MetricIndex.build(rows.where(F.col("y").isin(list(folds))), k, groups=list(folds))
+    if index is None:
+        return mino.sparkSession.createDataFrame([], f"fold int, base_id {_kind(mino)}, nb_id {_kind(mino)}, rank int")
+    return index.outside(rows, k, exclude_self=True).select(
+        F.col("left_out").cast("int").alias("fold"), F.col("query_id").alias("base_id"), F.col("ref_id").alias("nb_id"), "rank")
 
 
 def smote_folds(points: DataFrame, k: int = 5, seed: int = 2) -> DataFrame:

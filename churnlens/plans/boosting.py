@@ -234,14 +234,16 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
     ship_package(spark)
     each = vector_to_array("features")
     shares = [(k + 1) / bins for k in range(bins - 1)]
-    cuts = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(each[c], shares, 10_000).alias(f"c{c}") for c in range(n_columns)]).first()
-    edges = [np.unique(np.array(cuts[f"c{c}"] or [], float)) for c in range(n_columns)]
+    # A group a column: the summaries of all partitions are merged in a task a column.
+    cuts = {r.c: r.cut for r in df.select(F.posexplode(each).alias("c", "v")).groupBy("c").agg(F.percentile_approx("v", shares, 10_000).alias("cut")).collect()}
+    edges = [np.unique(np.array(cuts.get(c) or [], float)) for c in range(n_columns)]
     counts = {(r[0], r[1]): r[2] for r in df.groupBy(F.col(fold_col).cast("long"), F.col("label").cast("int")).count().collect()}
     start = np.zeros(len(models))
     for m, model in enumerate(models):
         no, yes = (sum(n for (f, y), n in counts.items() if y == label and _trains(f, model.fold)) for label in (0, 1))
         start[m] = np.log(max(yes, 1e-9) / max(no, 1e-9)) if yes + no else 0.0
-    tasks = max(1, -(-cuts.n // ROWS_PER_TASK), min(spark.sparkContext.defaultParallelism, -(-cuts.n // LEAST_ROWS)))
+    n = sum(counts.values())
+    tasks = max(1, -(-n // ROWS_PER_TASK), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)))
     depth = max(m.depth for m in models)
 
     def first(r):

@@ -1063,8 +1063,7 @@ def l12_smote_folds(spark, sf):
     from pyspark.ml.functions import array_to_vector
 
     folds = spl.assign_folds(churn_train(spark, sf), prep.ID_COL, 5, by=prep.LABEL_COL)
-    pts = nbr.as_points(folds, WITHOUT_EVE, prep.ID_COL, prep.LABEL_COL).join(
-        folds.select(F.col(prep.ID_COL).alias("id"), "fold"), "id").persist()
+    pts = nbr.as_points(folds, WITHOUT_EVE, prep.ID_COL, prep.LABEL_COL, keep=("fold",)).persist()
     new = rs.smote_folds(pts).select("x", "y", bst.own_rows(F.col("fold")).alias("fold"))
     rows = pts.select("x", "y", "fold").unionByName(new)
     frame = rows.select(array_to_vector("x").alias("features"), F.col("y").alias("label"), "fold").persist()

@@ -104,3 +104,73 @@ def test_open_cells_are_handed_on_in_small_frames(monkeypatch):
     assert len(whole) == 1 and len(small) > 5
     got = pd.concat(small, ignore_index=True)
     assert got.drop(columns="x").equals(whole[0].drop(columns="x")) and all((a == b).all() for a, b in zip(got["x"], whole[0]["x"]))
+
+
+def _parts(rows, folds, k):
+    """For every fold and row outside it, the k nearest rows outside it, all pairs compared."""
+    want = {}
+    for f in folds:
+        part = [r for r in rows if r[2] != f and r[2] in folds]
+        x, ids = np.array([r[1] for r in part]).reshape(len(part), -1), [r[0] for r in part]
+        for a in rows:
+            if a[2] != f and part:
+                d = np.zeros(len(part))
+                for j in range(x.shape[1]):
+                    d += (a[1][j] - x[:, j]) ** 2
+                near = [ids[i] for i in np.lexsort((ids, d)) if ids[i] != a[0]][:k]
+                if near:
+                    want[f, a[0]] = near
+    return want
+
+
+@pytest.mark.parametrize("shape", ["clusters", "grid", "blocks", "lonely"])
+def test_folds_share_one_index(spark, shape, monkeypatch):
+    from churnlens.operators import resample as rs
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 3)) * 1e5 + 1e7 * rng.integers(0, 4, (300, 1))
+    fold = rng.integers(0, 4, 300)
+    if shape == "grid":  # ties and copies everywhere
+        x = rng.integers(0, 4, (300, 3)).astype(float)
+    if shape == "blocks":  # rows of a cell are rows of a fold
+        x = x + 1e9 * fold[:, None]
+    if shape == "lonely":  # a fold of two rows, one of none
+        fold = np.where(np.arange(300) < 2, 2, fold % 2)
+    rows = [(i, r.tolist(), int(f)) for i, (r, f) in enumerate(zip(x, fold))]
+    built, build = [], nbr.MetricIndex.build.__func__
+
+    def small(cls, ref, k, **kw):
+        built.append(1)
+        return build(cls, ref, k, block_rows=16, **kw)
+
+    monkeypatch.setattr(nbr.MetricIndex, "build", classmethod(small))
+    monkeypatch.setattr(nbr, "knn", lambda ref, query, k, exclude_self: nbr.MetricIndex.build(ref, k).search(query, k, exclude_self))
+    monkeypatch.setattr(rs, "knn", nbr.knn)
+    got = {}
+    for r in rs.fold_neighbors(spark.createDataFrame(rows, "id long, x array<double>, fold int"), [0, 1, 2, 3], 4).orderBy("rank").collect():
+        got.setdefault((r.fold, r.base_id), []).append(r.nb_id)
+    assert got == _parts(rows, [0, 1, 2, 3], 4)
+    assert len(built) == 1  # an index and a search a fold before
+
+
+def test_rings_hand_back_rows_within_the_bound_only():
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(200, 3)) + 1e4
+    ref = pd.DataFrame({"_rid": range(200), "_x": list(x), "_ry": 0.0})
+    query = pd.DataFrame({"id": [900, 901], "x": [x[0], x[0] + 50], "_own": np.nan, "_cell": 0, "_ring": 0})
+    every = nbr._ring_topk(5, False)(query, ref)
+    assert every["refs"].map(len).tolist() == [5, 5] and every["dists"][0] == sorted(((x - x[0]) ** 2).sum(1))[:5]
+    assert (every["_kth"] == every["dists"].map(max)).all()
+    some = nbr._ring_topk(5, False)(query.assign(_limit=[every["dists"][0][1], 1.0]), ref)
+    assert some["id"].tolist() == [900] and some["refs"][0] == every["refs"][0][:2]
+
+
+def test_lengths_beyond_doubles_are_measured():
+    import pandas as pd
+
+    ref = pd.DataFrame({"_rid": [1, 2, 3], "_x": [np.array([v]) for v in (1e200, 1e200 + 1e185, -1e200)], "_ry": 0.0})
+    query = pd.DataFrame({"id": [9], "x": [np.array([1e200])], "_own": np.nan, "_cell": 0, "_ring": 0})
+    assert nbr._ring_topk(2, False)(query, ref)["refs"].tolist() == [[1]]
+    assert nbr._ring_topk(1, False)(query, ref)["refs"].tolist() == [[1]]
