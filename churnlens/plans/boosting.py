@@ -21,13 +21,15 @@ splits the first column of the model, then the lowest bin, wins.  Columns are cu
 
 The rows stand in blocks of numpy arrays, a few thousand rows each, in a persisted RDD:
 per-partition state that every pass updates; columns and the scores of a model lie
-together, so a pass reads them in order.  Every core gets its share of the rows.  The
+together, so a pass reads them in order.  A block's rows are of one fold: it carries scores
+of the models that train on it or are scored on it, and a level sums it for those only that
+train on it.  Every core gets its share of the rows.  The
 state is checkpointed every ``FOLD`` trees, so a lost executor costs its blocks' last
 trees; the state before goes as soon as the next one stands.
 
 Curvature is only needed where leaves come out: above a model's last level a node's total
-is summed, not its bins.  Row counts of the root do not change from tree to tree; models
-of one fold share them within a block.
+is summed, not its bins.  Row counts of the root are the same for all models that train on
+a block.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ from churnlens.session import ensure_checkpoint_dir, ship_package
 
 BINS = 32
 BLOCK = 8192           # rows of a block
-ROWS_PER_TASK = 65_536
+ROWS_PER_TASK = 262_144
 LEAST_ROWS = 2_048     # fewer rows are no task of their own
 MASKED = 8             # nodes of a level that are told apart one by one
 FOLD = 25              # trees between checkpoints
@@ -72,11 +74,9 @@ def _trains(fold: int | None, held: int | None) -> bool:
     return fold != held
 
 
-def _training(fold: np.ndarray, held: int | None) -> np.ndarray:
-    """``_trains`` for an array of folds."""
-    if held is None:
-        return fold >= -1
-    return (fold >= -1) & (fold != held) | (fold == own_rows(held))
+def _concerned(models: list[Model], fold: int) -> list[int]:
+    """Models that rows of ``fold`` train or are scored by."""
+    return [m for m, model in enumerate(models) if fold == model.fold or _trains(fold, model.fold)]
 
 
 class Tree(NamedTuple):
@@ -153,35 +153,38 @@ def _sums(models: list[Model], tree: Tree, level: int, bins: int):
     def run(blocks):
         found: dict[int, np.ndarray] = {}
         for x, y, fold, scores in blocks:
-            left_out = {f: ~_training(fold, f) for f in {model.fold for model in models}}
-            held = {f: fold == f for f in left_out if f is not None}
-            roots: dict[tuple, tuple] = {}  # keys and counts of the root, by fold and column
+            roots: dict[int, np.ndarray] = {}  # counts of the root by column
             wide = x.astype(np.intp)
-            for m, model in enumerate(models):
+            for m, score in zip(_concerned(models, fold), scores):
+                model = models[m]
                 if level >= model.depth:
                     continue
-                if model.fold is not None and not level:
-                    mine = held[model.fold]
-                    said = mine & (scores[m] > 0)
-                    new = np.array([(said & (y > 0)).sum(), said.sum(), (mine & (y > 0)).sum()], float)
+                if fold == model.fold and not level:
+                    said = score > 0
+                    new = np.array([(said & (y > 0)).sum(), said.sum(), (y > 0).sum()], float)
                     found[-1 - m] = found.get(-1 - m, 0) + new
-                at = tree.nodes(m, x, level) - first
-                at[left_out[model.fold] | (at < 0)] = nodes
-                if not (at < nodes).any():
+                if not _trains(fold, model.fold):
                     continue
-                p = _chances(scores[m])
+                p = _chances(score)
                 residual, curvature = y - p, p * (1 - p)
                 new = np.zeros((len(model.columns), 3, size))
-                base = at * bins
+                if level:
+                    at = tree.nodes(m, x, level) - first
+                    at[at < 0] = nodes
+                    if not (at < nodes).any():
+                        continue
+                    base = at * bins
+                else:
+                    at = np.zeros(len(y), np.intp)
                 for k, c in enumerate(model.columns):
                     if level:
                         key = base + wide[c]
                         new[k, 0] = np.bincount(key, minlength=size)[:size]
                     else:
-                        if (model.fold, c) not in roots:
-                            key = base + wide[c]
-                            roots[model.fold, c] = key, np.bincount(key, minlength=size)[:size]
-                        key, new[k, 0] = roots[model.fold, c]
+                        key = wide[c]
+                        if c not in roots:
+                            roots[c] = np.bincount(key, minlength=size)[:size]
+                        new[k, 0] = roots[c]
                     new[k, 1] = np.bincount(key, residual, minlength=size)[:size]
                     if level == model.depth - 1:
                         new[k, 2] = np.bincount(key, curvature, minlength=size)[:size]
@@ -209,21 +212,22 @@ def _picked(models: list[Model], level: int, bins: int):
 
 
 def _binned(df: DataFrame, edges: list[np.ndarray], fold_col: str) -> DataFrame:
-    """Blocks (n, x by columns, y, fold) of packed arrays."""
+    """Blocks (n, x by columns, y, fold) of packed arrays, a block of rows of one fold."""
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(k, BLOCK)
+            folds = batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.append(np.nonzero(np.diff(folds))[0] + 1, batch.num_rows)
+            for k, end in ((k, e) for s, e in zip(np.append(0, ends[:-1]), ends) for k in range(s, e, BLOCK)):
+                part = batch.slice(k, min(BLOCK, end - k))
                 x = part.column("x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 cut = np.stack([np.searchsorted(e, x[:, c]) for c, e in enumerate(edges)]).astype(np.uint8)
-                packed = [cut, part.column("y").to_numpy(zero_copy_only=False).astype(np.float64),
-                          part.column("fold").to_numpy(zero_copy_only=False).astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])] + [pa.array([a.tobytes()], pa.binary()) for a in packed],
-                                                 names=["n", "x", "y", "fold"])
+                packed = [cut, part.column("y").to_numpy(zero_copy_only=False).astype(np.float64)]
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows])] + [pa.array([a.tobytes()], pa.binary()) for a in packed]
+                                                 + [pa.array([folds[k]])], names=["n", "x", "y", "fold"])
 
     rows = df.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"),
                      F.col(fold_col).cast("long").alias("fold"))
-    return rows.mapInArrow(run, "n long, x binary, y binary, fold binary")
+    return rows.sortWithinPartitions("fold").mapInArrow(run, "n long, x binary, y binary, fold long")
 
 
 def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, rate: float = 0.1, fold_col: str = "fold",
@@ -234,9 +238,6 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
     ship_package(spark)
     each = vector_to_array("features")
     shares = [(k + 1) / bins for k in range(bins - 1)]
-    # A group a column: the summaries of all partitions are merged in a task a column.
-    cuts = {r.c: r.cut for r in df.select(F.posexplode(each).alias("c", "v")).groupBy("c").agg(F.percentile_approx("v", shares, 10_000).alias("cut")).collect()}
-    edges = [np.unique(np.array(cuts.get(c) or [], float)) for c in range(n_columns)]
     counts = {(r[0], r[1]): r[2] for r in df.groupBy(F.col(fold_col).cast("long"), F.col("label").cast("int")).count().collect()}
     start = np.zeros(len(models))
     for m, model in enumerate(models):
@@ -244,11 +245,14 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
         start[m] = np.log(max(yes, 1e-9) / max(no, 1e-9)) if yes + no else 0.0
     n = sum(counts.values())
     tasks = max(1, -(-n // ROWS_PER_TASK), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)))
+    # A group a column: summaries, one a task and column, are merged in a task a column.
+    cuts = {r.c: r.cut for r in df.coalesce(tasks).select(F.posexplode(each).alias("c", "v")).groupBy("c").agg(F.percentile_approx("v", shares, 10_000).alias("cut")).collect()}
+    edges = [np.unique(np.array(cuts.get(c) or [], float)) for c in range(n_columns)]
     depth = max(m.depth for m in models)
 
     def first(r):
         y = np.frombuffer(r.y, np.float64)
-        return np.frombuffer(r.x, np.uint8).reshape(-1, r.n), y, np.frombuffer(r.fold, np.int64), np.tile(start[:, None], (1, r.n))
+        return np.frombuffer(r.x, np.uint8).reshape(-1, r.n), y, r.fold, np.tile(start[_concerned(models, r.fold), None], (1, r.n))
 
     state = _binned(df.repartition(tasks), edges, fold_col).rdd.map(first).persist(StorageLevel.MEMORY_AND_DISK)
     adders = max(1, min(tasks, len(models) // 8))
@@ -291,7 +295,7 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
                         gains[m, column] += gain
         importance += gains / np.maximum(gains.sum(axis=1, keepdims=True), 1e-300)
         grown.append(tree)
-        old, state = state, state.map(_added(tree, depth, rate)).persist(StorageLevel.MEMORY_AND_DISK)
+        old, state = state, state.map(_added(models, tree, depth, rate)).persist(StorageLevel.MEMORY_AND_DISK)
         if t % FOLD == FOLD - 1:
             state.checkpoint()
             state.count()
@@ -309,10 +313,13 @@ def _leaf(sums) -> float:
     return float(sums[1] / sums[2]) if abs(sums[2]) > 1e-150 else 0.0
 
 
-def _added(tree: Tree, depth: int, rate: float):
+def _added(models: list[Model], tree: Tree, depth: int, rate: float):
     def run(block):
         x, y, fold, scores = block
-        return x, y, fold, np.stack([s + rate * tree.value[m][tree.nodes(m, x, depth)] for m, s in enumerate(scores)])
+        new = np.empty_like(scores)
+        for k, m in enumerate(_concerned(models, fold)):
+            new[k] = scores[k] + rate * tree.value[m][tree.nodes(m, x, depth)]
+        return x, y, fold, new
 
     return run
 

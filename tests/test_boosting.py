@@ -194,3 +194,22 @@ def test_small_sums_take_no_shuffle(spark, monkeypatch):
     for a, b in zip(direct.trees, added.trees):
         assert (a.column == b.column).all() and (a.bin == b.bin).all() and np.allclose(a.value, b.value)
     assert np.array_equal(direct.precision, added.precision) and np.array_equal(direct.recall, added.recall)
+
+
+def test_blocks_are_summed_for_the_models_of_their_fold_only(frame):
+    _, df = frame
+    edges = [np.arange(13.0), np.array([0.5, 1.5]), np.arange(5.0)]
+    own = df.select("features", "label", "fold").unionByName(df.select("features", "label", bst.own_rows(df.fold).alias("fold")))
+    blocks = bst._binned(own.repartition(2), edges, "fold").collect()
+    assert sorted({b.fold for b in blocks}) == [-5, -4, -3, -2, 0, 1, 2, 3] and sum(b.n for b in blocks) == 600  # all folds in a block before
+    models = [bst.Model((0, 1, 2), f) for f in (0, 1, 2, None)]
+    tree, touched = bst.Tree.empty(4, 3), {}
+    for b in blocks:
+        x, y = np.frombuffer(b.x, np.uint8).reshape(-1, b.n), np.frombuffer(b.y, np.float64)
+        scores = np.zeros((len(bst._concerned(models, b.fold)), b.n))
+        found = dict(bst._sums(models, tree, 0, bst.BINS)([(x, y, b.fold, scores)]))
+        assert all(v[:, 0].sum() == 3 * b.n for m, v in found.items() if m >= 0)
+        touched.setdefault(b.fold, set()).update(found)
+        assert bst._added(models, tree, 3, 0.1)((x, y, b.fold, scores))[3].shape == scores.shape
+    assert touched[0] == {-1, 1, 2, 3} and touched[3] == {0, 1, 2, 3}
+    assert touched[bst.own_rows(0)] == {0} and touched[bst.own_rows(2)] == {2} and touched[bst.own_rows(3)] == set()
