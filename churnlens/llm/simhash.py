@@ -206,7 +206,9 @@ def find_within(queries: DataFrame, corpus: DataFrame, radius: int = RADIUS, blo
                          for t, (start, length, near) in enumerate(cuts)])
     met = (a["key"] == b["key"]) & (distance <= radius) & (F.shiftrightunsigned(a["key"], _KEY_BITS) == first)
     digits = lambda side: F.lower(F.concat(*[F.lpad(F.hex(f"{side}_{h}"), 16, "0") for h in ("high", "low")]))
-    return a.join(b, met).select(digits("a").alias("query_fp"), digits("b").alias("fp"), distance.alias("distance"))
+    # Merged by hint: adaptive execution sizes the queries before they become a row a key and
+    # would hand all their keys to the driver as a broadcast.
+    return a.join(b.hint("merge"), met).select(digits("a").alias("query_fp"), digits("b").alias("fp"), distance.alias("distance"))
 
 
 def near_classes(docs: DataFrame, asked: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:

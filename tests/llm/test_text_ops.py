@@ -57,6 +57,16 @@ def test_find_within_is_exact(spark, radius, blocks):
     assert got == {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in fps for b in fps if (a ^ b).bit_count() <= radius}
 
 
+def test_search_broadcasts_no_keys(spark):
+    # Few queries are many keys: 496 a query at the default radius.
+    df = spark.createDataFrame([(f"{k << 64 | k:032x}",) for k in range(40)], "fingerprint string")
+    found = simhash.find_within(df.where("fingerprint < '00000000000000050'"), df)
+    assert found.count() > 0
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_search_at_its_own_radius_is_exact_and_finds_near_copies(spark):
     rng = random.Random(5)
     texts = []
