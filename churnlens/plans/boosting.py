@@ -30,6 +30,12 @@ trees; the state before goes as soon as the next one stands.
 Curvature is only needed where leaves come out: above a model's last level a node's total
 is summed, not its bins.  Row counts of the root are the same for all models that train on
 a block.
+
+Binned rows are small (a byte a column).  While those that a task's models need are at most
+``WHOLE`` bytes, the models are dealt to tasks instead of the rows: a shuffle hands every task
+the blocks its models train on or are scored on, and it grows their trees without a pass
+between the levels.  Above that, for fits of fewer than ``FOLD`` trees and for one model,
+passes over dealt rows as above.  Both grow the same trees (up to rounding).
 """
 
 from __future__ import annotations
@@ -52,6 +58,8 @@ LEAST_ROWS = 2_048     # fewer rows are no task of their own
 MASKED = 8             # nodes of a level that are told apart one by one
 FOLD = 25              # trees between checkpoints
 DIRECT = 1 << 23       # bytes of all tasks' sums that the driver adds up itself
+WHOLE = 1 << 27        # bytes of binned rows that a task may hold
+CHUNK = 16_384         # of them, rows worked on at a time
 
 
 class Model(NamedTuple):
@@ -92,22 +100,27 @@ class Tree(NamedTuple):
 
     def nodes(self, m: int, x: np.ndarray, levels: int) -> np.ndarray:
         """The node of model ``m`` that each row of ``x`` (columns, rows) is in after ``levels`` levels."""
-        column, cut = self.column[m].tolist(), self.bin[m].tolist()
-        at = np.ones(x.shape[1], np.uint8 if len(column) <= 256 else np.int32)
+        at = self.roots(x.shape[1])
         for level in range(levels):
-            here = [k for k in range(1 << level, 2 << level) if column[k] >= 0]
-            if not here:
-                break
-            if len(here) <= MASKED:
-                steps = [(at == k) * ((x[column[k]] > cut[k]) + at.dtype.type(k)) for k in here]  # from k to 2 k or 2 k + 1
-                for step in steps:
-                    at += step
-            else:
-                c = self.column[m][at]
-                down = 2 * at.astype(np.intp) + (x[np.maximum(c, 0), np.arange(x.shape[1])] > self.bin[m][at])
-                at = np.where(c >= 0, down, at).astype(at.dtype)
+            at = self.down(m, x, at, level)
         return at.astype(np.intp)
 
+    def roots(self, rows: int) -> np.ndarray:
+        return np.ones(rows, np.uint8 if self.column.shape[1] <= 256 else np.int32)
+
+    def down(self, m: int, x: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
+        """The nodes after ``level`` + 1 levels of rows that are in ``at`` after ``level``."""
+        first, last = 1 << level, 2 << level
+        here = [(k, c, b) for k, c, b in zip(range(first, last), self.column[m, first:last].tolist(), self.bin[m, first:last].tolist()) if c >= 0]
+        if not here:
+            return at
+        if len(here) <= MASKED:
+            steps = [(at == k) * ((x[c] > b) + at.dtype.type(k)) for k, c, b in here]  # from k to 2 k or 2 k + 1
+            return at + sum(steps[1:], steps[0])
+        c = self.column[m][at]
+        down = 2 * at.astype(np.intp) + (x[np.maximum(c, 0), np.arange(x.shape[1])] > self.bin[m][at])
+        return np.where(c >= 0, down, at).astype(at.dtype)
+
 
 class Fit(NamedTuple):
     precision: np.ndarray    # (trees + 1, models): held-out rows, after each number of trees
@@ -230,6 +243,137 @@ def _binned(df: DataFrame, edges: list[np.ndarray], fold_col: str) -> DataFrame:
     return rows.sortWithinPartitions("fold").mapInArrow(run, "n long, x binary, y binary, fold long")
 
 
+class _Rows:
+    """The binned rows of a model in one task, and what its next tree needs of them."""
+
+    def __init__(self, model: Model, blocks: list[tuple], start: float):
+        self.x = np.concatenate([x[list(model.columns)] for x, _, _ in blocks], axis=1) if blocks else np.empty((len(model.columns), 0), np.uint8)
+        self.y = np.concatenate([y for _, y, _ in blocks]) if blocks else np.empty(0)
+        self.score = np.full(len(self.y), start)
+        self.parts = [slice(s, s + CHUNK) for s in range(0, len(self.y), CHUNK)]
+
+
+def _histograms(rows: _Rows, at: np.ndarray, slot: np.ndarray, slots: int, residual: np.ndarray, bins: int) -> np.ndarray:
+    """(slots, columns, bins, 3): counts and residual sums of the nodes that have a slot."""
+    found = np.zeros((len(rows.x), 2, slots * bins))
+    for part in rows.parts:
+        mine = slot[at[part]]
+        here = np.flatnonzero(mine >= 0)
+        if not len(here):
+            continue
+        keys, own = np.take(rows.x[:, part], here, axis=1) + mine[here] * bins, residual[part][here]
+        for k, key in enumerate(keys):
+            found[k, 0] += np.bincount(key, minlength=slots * bins)
+            found[k, 1] += np.bincount(key, own, minlength=slots * bins)
+    return _with_curvature(found.reshape(len(rows.x), 2, slots, bins).transpose(2, 0, 3, 1))
+
+
+def _with_curvature(sums: np.ndarray) -> np.ndarray:
+    """A place for the third sum, which leaves get by themselves here."""
+    return np.concatenate([sums, np.zeros((*sums.shape[:-1], 1))], axis=-1)
+
+
+def _grown(model: Model, blocks: list[tuple], start: float, trees: int, rate: float, bins: int, n_columns: int) -> tuple:
+    """``model`` fitted on blocks (x, y, fold): (held-out counts after each number of trees,
+    importances before they are scaled, trees of one model)."""
+    rows = _Rows(model, [b for b in blocks if _trains(b[2], model.fold)], start)
+    held = _Rows(model, [b for b in blocks if b[2] == model.fold], start)
+    own = model._replace(columns=tuple(range(len(model.columns))))
+    counts = np.stack([np.bincount(x, minlength=bins) for x in rows.x]).astype(float)  # the root's, the same for all trees
+    residual, curvature, at = np.empty(len(rows.y)), np.empty(len(rows.y)), Tree.empty(1, model.depth).roots(len(rows.y))
+    importance, says, grown = np.zeros(n_columns), [], []
+
+    def classified():
+        said, real = held.score > 0, held.y > 0
+        says.append((float((said & real).sum()), float(said.sum()), float(real.sum())))
+
+    for _ in range(trees):
+        classified()
+        tree, gains = Tree.empty(1, model.depth), np.zeros(n_columns)
+        nodes = tree.column.shape[1]
+        sums = np.zeros((len(rows.x), bins))
+        at.fill(1)
+        for part in rows.parts:
+            p = _chances(rows.score[part])
+            residual[part], curvature[part] = rows.y[part] - p, p * (1 - p)
+            for k, x in enumerate(rows.x[:, part]):
+                sums[k] += np.bincount(x, residual[part], minlength=bins)
+        level, here = 0, {1: _with_curvature(np.stack([counts, sums], axis=-1)[None])[0]} if len(rows.y) else {}
+        while here:
+            split = {}
+            for k, (c, b, gain, total, left) in zip(here, best_splits(own, np.stack(list(here.values())))):
+                if c >= 0:
+                    tree.column[0, k], tree.bin[0, k] = c, b
+                    gains[model.columns[c]] += gain
+                    split[k] = 2 * k + (left[0] > total[0] / 2)  # the child of fewer rows
+            for part in rows.parts:
+                at[part] = tree.down(0, rows.x[:, part], at[part], level)
+            level += 1
+            if level == model.depth or not split:
+                break
+            slot = np.full(nodes, -1, np.int64)
+            slot[list(split.values())] = np.arange(len(split))
+            few = _histograms(rows, at, slot, len(split), residual, bins)
+            # What a node's smaller child has not is in the other.
+            here = dict(sorted(x for (k, child), new in zip(split.items(), few) for x in ((child, new), (child ^ 1, here[k] - new))))
+        leaf = np.zeros((nodes, 2))
+        for part in rows.parts:
+            for j, weight in enumerate((residual, curvature)):
+                leaf[:, j] += np.bincount(at[part], weight[part], minlength=nodes)
+        for k in range(nodes // 2 - 1, 0, -1):
+            if tree.column[0, k] >= 0:
+                leaf[k] += leaf[2 * k] + leaf[2 * k + 1]
+        tree.value[0] = [_leaf((0, *x)) for x in leaf]
+        for part in rows.parts:
+            rows.score[part] += rate * tree.value[0][at[part]]
+        for part in held.parts:
+            held.score[part] += rate * tree.value[0][tree.nodes(0, held.x[:, part], model.depth)]
+        importance += gains / max(gains.sum(), 1e-300)
+        tree.column[0] = np.where(tree.column[0] >= 0, np.array(model.columns, np.int16)[tree.column[0]], -1)
+        grown.append(tree)
+    classified()
+    return np.array(says), importance, grown
+
+
+def _dealt(models: list[Model], tasks: int) -> list[list[int]]:
+    """The models of each task: the widest first, each to the task that has least to do."""
+    groups: list[list[int]] = [[] for _ in range(min(tasks, len(models)))]
+    work = [0] * len(groups)
+    for m in sorted(range(len(models)), key=lambda m: (-len(models[m].columns) * models[m].depth, m)):
+        g = work.index(min(work))
+        groups[g].append(m)
+        work[g] += (len(models[m].columns) + 3) * models[m].depth
+    return groups
+
+
+def _fit_dealt(blocks, models: list[Model], groups: list[list[int]], start: np.ndarray, trees: int, rate: float, bins: int, n_columns: int):
+    """Every model's result of ``_grown``, the models of a group in one task."""
+    def sent(r):
+        return [(g, (r.n, r.x, r.y, r.fold)) for g, group in enumerate(groups) if _concerned([models[m] for m in group], r.fold)]
+
+    def run(items):
+        mine: dict[int, list[tuple]] = {}
+        for g, (n, x, y, fold) in items:
+            mine.setdefault(g, []).append((np.frombuffer(x, np.uint8).reshape(-1, n), np.frombuffer(y, np.float64), fold))
+        for g, own in mine.items():
+            for m in groups[g]:
+                yield m, _grown(models[m], own, start[m], trees, rate, bins, n_columns)
+
+    return dict(blocks.rdd.flatMap(sent).partitionBy(len(groups), int).mapPartitions(run).collect())
+
+
+def _one_fit(found: dict, models: list[Model], depth: int, trees: int, n_columns: int):
+    """(held-out counts (trees + 1, models, 3), importances, trees of all models)."""
+    says, importance = np.zeros((trees + 1, len(models), 3)), np.zeros((len(models), n_columns))
+    grown = [Tree.empty(len(models), depth) for _ in range(trees)]
+    for m, (said, gained, own) in found.items():
+        says[:, m], importance[m] = said, gained
+        for tree, part in zip(grown, own):
+            for whole, column in zip(tree, part):
+                whole[m, :column.shape[1]] = column[0]
+    return says, importance, grown
+
+
 def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, rate: float = 0.1, fold_col: str = "fold",
         bins: int = BINS) -> Fit:
     """Fit ``models`` on ``df`` (features vector of ``n_columns``, label 0/1, fold)."""
@@ -249,12 +393,18 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
     cuts = {r.c: r.cut for r in df.coalesce(tasks).select(F.posexplode(each).alias("c", "v")).groupBy("c").agg(F.percentile_approx("v", shares, 10_000).alias("cut")).collect()}
     edges = [np.unique(np.array(cuts.get(c) or [], float)) for c in range(n_columns)]
     depth = max(m.depth for m in models)
+    blocks = _binned(df.repartition(tasks), edges, fold_col)
+    groups = _dealt(models, spark.sparkContext.defaultParallelism)
+    widest = max(sum(c for (f, _), c in counts.items() if _concerned([models[m] for m in g], f)) for g in groups) * n_columns
+    if len(models) > 1 and trees >= FOLD and widest <= WHOLE:
+        says, importance, grown = _one_fit(_fit_dealt(blocks, models, groups, start, trees, rate, bins, n_columns), models, depth, trees, n_columns)
+        return _scored(says, importance, grown, start, edges)
 
     def first(r):
         y = np.frombuffer(r.y, np.float64)
         return np.frombuffer(r.x, np.uint8).reshape(-1, r.n), y, r.fold, np.tile(start[_concerned(models, r.fold), None], (1, r.n))
 
-    state = _binned(df.repartition(tasks), edges, fold_col).rdd.map(first).persist(StorageLevel.MEMORY_AND_DISK)
+    state = blocks.rdd.map(first).persist(StorageLevel.MEMORY_AND_DISK)
     adders = max(1, min(tasks, len(models) // 8))
     importance = np.zeros((len(models), n_columns))
     grown: list[Tree] = []
@@ -303,7 +453,11 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
     for last in (old, state):
         if last is not None:
             last.unpersist()
-    tp, said, real = np.moveaxis(np.stack(says), -1, 0)
+    return _scored(np.stack(says), importance, grown, start, edges)
+
+
+def _scored(says: np.ndarray, importance: np.ndarray, grown: list[Tree], start: np.ndarray, edges: list[np.ndarray]) -> Fit:
+    tp, said, real = np.moveaxis(says, -1, 0)
     importance /= np.maximum(importance.sum(axis=1, keepdims=True), 1e-300)
     return Fit(np.where(said > 0, tp / np.maximum(said, 1), 0.0), np.where(real > 0, tp / np.maximum(real, 1), 0.0),
                importance, grown, start, edges)

@@ -213,3 +213,58 @@ def test_blocks_are_summed_for_the_models_of_their_fold_only(frame):
         assert bst._added(models, tree, 3, 0.1)((x, y, b.fold, scores))[3].shape == scores.shape
     assert touched[0] == {-1, 1, 2, 3} and touched[3] == {0, 1, 2, 3}
     assert touched[bst.own_rows(0)] == {0} and touched[bst.own_rows(2)] == {2} and touched[bst.own_rows(3)] == set()
+
+
+def _both(fit, monkeypatch):
+    """What dealt models and dealt rows give."""
+    monkeypatch.setattr(bst, "FOLD", 1)
+    dealt = fit()
+    monkeypatch.setattr(bst, "WHOLE", 0)
+    return dealt, fit()
+
+
+def test_dealt_models_grow_the_same_trees(spark, frame, monkeypatch):
+    monkeypatch.setattr(bst, "CHUNK", 70)
+    _, df = frame
+    extra = df.where("fold = 1").withColumn("fold", bst.own_rows(df.fold))
+    models = [bst.Model((0, 1, 2), 0), bst.Model((1,), 2, depth=2), bst.Model((2, 0), 1, depth=4, min_split=60), bst.Model((0, 1), None, min_leaf=25),
+              bst.Model((0, 1, 2), 3, depth=6)]
+    for some in (df, df.unionByName(extra)):
+        dealt, passes = _both(lambda: bst.fit(some, 3, models, 8), monkeypatch)
+        monkeypatch.undo()
+        assert np.array_equal(dealt.recall, passes.recall) and np.array_equal(dealt.precision, passes.precision)
+        assert np.allclose(dealt.importance, passes.importance) and np.allclose(dealt.start, passes.start)
+        for a, b in zip(dealt.trees, passes.trees):
+            assert (a.column == b.column).all() and (a.bin == b.bin).all() and np.allclose(a.value, b.value, atol=1e-9)
+
+
+def test_an_elimination_needs_no_pass_a_level(spark, frame):
+    sc = spark.sparkContext
+    sc.setJobGroup("elimination", "elimination")
+    table, _ = BoostedSweep(frame[1], COLS, trees=bst.FOLD, depth=3).eliminate()
+    jobs = len(sc.statusTracker().getJobIdsForGroup("elimination"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert table.count() == 3 and jobs <= 30  # 3 fits of 25 trees: 225 passes before
+
+
+def test_models_are_dealt_by_their_width():
+    models = [bst.Model(tuple(range(k)), f) for k in range(1, 18) for f in range(5)]
+    groups = bst._dealt(models, 12)
+    assert sorted(m for g in groups for m in g) == list(range(85))
+    work = [sum(len(models[m].columns) for m in g) for g in groups]
+    assert max(work) <= 1.15 * sum(work) / 12
+    assert bst._dealt(models[:2], 12) == [[0], [1]]
+
+
+def test_wide_tables_and_short_fits_keep_passes(spark, frame, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(bst, "_fit_dealt", lambda *a: dealt.append(1) or {})
+    two = [bst.Model((0, 1), 0), bst.Model((2,), 1)]
+    bst.fit(frame[1], 3, two, bst.FOLD - 1)
+    bst.fit(frame[1], 3, two[:1], bst.FOLD)
+    monkeypatch.setattr(bst, "WHOLE", 3 * 300 - 1)
+    bst.fit(frame[1], 3, two, bst.FOLD)
+    assert not dealt
+    monkeypatch.setattr(bst, "WHOLE", 3 * 300)
+    bst.fit(frame[1], 3, two, bst.FOLD)
+    assert dealt == [1]
