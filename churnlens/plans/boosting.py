@@ -374,14 +374,20 @@ def _one_fit(found: dict, models: list[Model], depth: int, trees: int, n_columns
     return says, importance, grown
 
 
+def column_edges(df: DataFrame, n_columns: int, bins: int) -> list[np.ndarray]:
+    """Per column of the vectors: upper bounds of its bins but the last."""
+    shares = [(k + 1) / bins for k in range(bins - 1)]
+    # A group a column: summaries, one a task and column, are merged in a task a column.
+    cuts = {r.c: r.cut for r in df.select(F.posexplode(vector_to_array("features")).alias("c", "v")).groupBy("c").agg(F.percentile_approx("v", shares, 10_000).alias("cut")).collect()}
+    return [np.unique(np.array(cuts.get(c) or [], float)) for c in range(n_columns)]
+
+
 def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, rate: float = 0.1, fold_col: str = "fold",
         bins: int = BINS) -> Fit:
     """Fit ``models`` on ``df`` (features vector of ``n_columns``, label 0/1, fold)."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    each = vector_to_array("features")
-    shares = [(k + 1) / bins for k in range(bins - 1)]
     counts = {(r[0], r[1]): r[2] for r in df.groupBy(F.col(fold_col).cast("long"), F.col("label").cast("int")).count().collect()}
     start = np.zeros(len(models))
     for m, model in enumerate(models):
@@ -389,9 +395,7 @@ def fit(df: DataFrame, n_columns: int, models: list[Model], trees: int = 100, ra
         start[m] = np.log(max(yes, 1e-9) / max(no, 1e-9)) if yes + no else 0.0
     n = sum(counts.values())
     tasks = max(1, -(-n // ROWS_PER_TASK), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_ROWS)))
-    # A group a column: summaries, one a task and column, are merged in a task a column.
-    cuts = {r.c: r.cut for r in df.coalesce(tasks).select(F.posexplode(each).alias("c", "v")).groupBy("c").agg(F.percentile_approx("v", shares, 10_000).alias("cut")).collect()}
-    edges = [np.unique(np.array(cuts.get(c) or [], float)) for c in range(n_columns)]
+    edges = column_edges(df.coalesce(tasks), n_columns, bins)
     depth = max(m.depth for m in models)
     blocks = _binned(df.repartition(tasks), edges, fold_col)
     groups = _dealt(models, spark.sparkContext.defaultParallelism)

@@ -10,9 +10,11 @@ so the votes are those of a forest grown with the smaller depth (equal to Spark'
 the splits draw no columns; tested).  Rows of a node are counted in the tree's own
 bootstrap sample.
 
-The nodes of a forest pass through the driver, as the fitted model itself does in Spark: at
-most trees x 2^(depth + 1), whatever the rows.  The rows are scored where they stand; a
-task returns three counts a grid point and fold.
+A search over ``DEALT_ROWS`` rows or more, while their bins are at most ``boosting.WHOLE``
+bytes, deals the trees to tasks (``dealt_forests``), and no node reaches the driver.  Below
+and above that Spark fits the forests.  Their nodes then pass through the driver, as the
+fitted model itself does in Spark: at most trees x 2^(depth + 1).  The rows are scored where
+they stand; a task returns three counts a grid point and fold.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnlens.plans import boosting, dealt_forests
 from churnlens.plans.models import forest
 from churnlens.plans.tune import _pmap
 from churnlens.session import scratch_path, ship_package
@@ -35,6 +38,7 @@ from churnlens.session import scratch_path, ship_package
 
 FITS = 8  # fits at a time
 LEAST_ROWS, MOST_ROWS = 16_384, 262_144  # of a partition
+DEALT_ROWS = 16_384  # from so many rows on, a search deals its trees to tasks
 
 
 class Point(NamedTuple):
@@ -194,6 +198,8 @@ class ForestSearch:
 
     def __init__(self, df: DataFrame, n_columns: int, fold_col: str = "fold"):
         self.df, self.n_columns, self.fold_col = gathered(df).persist(), n_columns, fold_col
+        rows = self.df.count()
+        self.dealer = dealt_forests.Dealer(self.df, n_columns, fold_col) if rows >= DEALT_ROWS and rows * n_columns <= boosting.WHOLE else None
         self.best = dict(trees=10, depth=30, min_split=2, min_leaf=1, max_features=None)
         self.rows: list[tuple] = []
 
@@ -205,6 +211,10 @@ class ForestSearch:
         fits: dict[tuple[int, str], list[dict]] = {}
         for g in grid:
             fits.setdefault((g["min_leaf"], "auto" if g["max_features"] is None else str(g["max_features"])), []).append(g)
+        if self.dealer:
+            points = [[Point(g["trees"], g["depth"], g["min_split"]) for g in gs] for gs in fits.values()]
+            found = {tuple(g.values()): s for gs, each in zip(fits.values(), self.dealer.scores(list(fits), points)) for g, s in zip(gs, each)}
+            return self._chosen(name, grid, found)
         grown = fit_variants(self.df, max(g["trees"] for g in grid), max(g["depth"] for g in grid), list(fits), self.fold_col)
 
         def scores(variant):
@@ -212,6 +222,9 @@ class ForestSearch:
             return score(self.df, grown[variant], points, self.fold_col)
 
         found = {tuple(g.values()): s for v, each in zip(fits, _pmap(scores, list(fits), FITS)) for g, s in zip(fits[v], each)}
+        return self._chosen(name, grid, found)
+
+    def _chosen(self, name: str, grid: list[dict], found: dict) -> dict:
         scored = [(name, *g.values(), *found[tuple(g.values())]) for g in grid]
         self.rows += scored
         self.best = grid[max(range(len(grid)), key=lambda k: (scored[k][-1], -k))]
