@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from churnlens.functions.ranking import ordinal_within
 from churnlens.operators.scores import _q, _stack
+from churnlens.session import ensure_checkpoint_dir
 
 SLICE_ROWS = 100_000
 SHIFT = 8  # psi(x) from psi(x + SHIFT), where its series has converged
@@ -55,8 +56,8 @@ def class_radii(long: DataFrame, k: int, slice_rows: int = SLICE_ROWS) -> DataFr
 
 
 def _values_before(values: DataFrame, ends: DataFrame) -> DataFrame:
-    """``ends`` (feature, v, kind, x, y) with ``_before``: the values below v (kind 0) or up
-    to v (kind 2)."""
+    """``ends`` (feature, v, kind, x, y) with ``_before``: the values below v (kinds -1 and 0)
+    or up to v (kinds 2 and 3)."""
     rows = values.select("feature", F.col("x").alias("v"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"), "id")
     none = F.lit(None).cast(dict(values.dtypes)["id"])
     marks = ends.select("feature", "v", "kind", "x", "y", none.alias("id"))
@@ -78,6 +79,9 @@ def neighbor_info_scores(df: DataFrame, cols, label: str, id_col: str, k: int =
     cols = list(cols)
     wide = df.where(_q(label).isNotNull()).select(_q(id_col).alias("id"), _q(label).cast("double").alias("y"),
                                                   *[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    # Range partitions sample their rows first: each order and each join would build the table again.
+    ensure_checkpoint_dir(df.sparkSession)
+    wide = wide.checkpoint()
     # 0.0 + x: -0.0 and 0.0 are one value.
     long = (_stack(wide, cols, lambda i: [f"c{i}"], extra=["id", "y"]).withColumnRenamed("v0", "x")
             .where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))).withColumn("x", F.lit(0.0) + F.col("x")))
@@ -85,14 +89,15 @@ def neighbor_info_scores(df: DataFrame, cols, label: str, id_col: str, k: int =
     radii = class_radii(long, k, slice_rows).checkpoint()
     values = long.join(radii.select("feature", "y", "x"), ["feature", "y", "x"], "left_semi")
     key = ["feature", "x", "y"]
-    low = radii.select(*key, F.when(F.col("r") > 0, F.col("x") - F.col("r")).otherwise(F.col("x")).alias("v"), F.lit(2).alias("kind"))
-    high = radii.select(*key, F.when(F.col("r") > 0, F.col("x") + F.col("r")).otherwise(F.col("x")).alias("v"), F.lit(0).alias("kind"))
-    # The value itself is inside, whatever rounding makes of the ends.
-    below, upto = radii.select(*key, F.col("x").alias("v"), F.lit(-1).alias("kind")), radii.select(*key, F.col("x").alias("v"), F.lit(3).alias("kind"))
-    ends = _values_before(values, reduce(DataFrame.unionByName, [low, high, below, upto]))
-    before = ends.groupBy(*key).agg(*[F.max(F.when(F.col("kind") == c, F.col("_before"))).alias(n)
-                                      for n, c in (("low", 2), ("high", 0), ("below", -1), ("upto", 3))])
-    m = F.greatest("high", "upto") - F.least("low", "below")
+    # The value itself is inside, whatever rounding makes of the ends: an end that is the value
+    # stands before it or behind it.
+    below, above = F.col("x") - F.col("r"), F.col("x") + F.col("r")
+    low = radii.select(*key, below.alias("v"), F.when(below < F.col("x"), F.lit(2)).otherwise(F.lit(-1)).alias("kind"))
+    high = radii.select(*key, above.alias("v"), F.when(above > F.col("x"), F.lit(0)).otherwise(F.lit(3)).alias("kind"))
+    ends = _values_before(values, low.unionByName(high))
+    before = ends.groupBy(*key).agg(*[F.max(F.when(F.col("kind").isin(*kinds), F.col("_before"))).alias(n)
+                                      for n, kinds in (("low", (-1, 2)), ("high", (0, 3)))])
+    m = F.col("high") - F.col("low")
     w = F.col("_w")
     per = radii.join(before, key).withColumn("m", m.cast("double")).groupBy("feature").agg(
         F.sum(w).alias("n"), F.sum(w * digamma(F.col("_k").cast("double"))).alias("sk"),

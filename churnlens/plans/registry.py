@@ -10,6 +10,7 @@ from churnlens.operators import features as feat
 from churnlens.operators import orders as ords
 from churnlens.operators import viewing as view
 from churnlens.plans import oracle as sql
+from churnlens.session import ensure_checkpoint_dir
 from churnlens.sources import fixtures as fx
 from churnlens.sources.io import scan_range, scan_snapshot
 
@@ -594,7 +595,9 @@ def vectors_b(spark, sf, cols=None, by=prep.LABEL_COL):
     """Half-B training and holdout frames: (cust_id, features, label[, fold]); folds are
     stratified by ``by``, plain without it."""
     cols = cols or _B
-    tr = spl.assign_folds(churn_train(spark, sf), prep.ID_COL, 5, by=by)
+    # Folds need an order, whose ranges are sampled first: written out, the table is built once.
+    ensure_checkpoint_dir(spark)
+    tr = spl.assign_folds(churn_train(spark, sf).checkpoint(), prep.ID_COL, 5, by=by)
     vtr = mdl.dealt(mdl.to_vectors(tr, cols, prep.LABEL_COL, prep.ID_COL, keep=("fold",)), prep.ID_COL).persist()
     # Kept as well: every model that scores them would build the table again.
     vte = mdl.dealt(mdl.to_vectors(churn_test(spark, sf), cols, prep.LABEL_COL, prep.ID_COL), prep.ID_COL).persist()

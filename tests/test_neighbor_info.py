@@ -61,3 +61,31 @@ def test_lone_class_nulls_and_no_rows(spark):
     assert neighbor_info_scores(df.limit(0), ["x"], "y", "id").count() == 0
     radii = {r.x: r.r for r in class_radii(df.where("id < 4").selectExpr("'x' feature", "id", "y", "x"), 1).collect()}
     assert radii == {1.0: 1.0, 2.0: 1.0, 4.0: 2.0}
+
+
+def test_ends_that_round_to_their_value(spark):
+    # 2^53 + 1 is no double: the end of a value one away is the value itself.
+    x = np.array([2.0 ** 53 - 1, 2.0 ** 53, 2.0 ** 53, 2.0 ** 53 + 2, 2.0 ** 53 + 4, 2.0 ** 53 + 8, 5.0, 7.0])
+    y = np.array([1.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0])
+    df = spark.createDataFrame([(i, float(b), float(a)) for i, (a, b) in enumerate(zip(x, y))], "id long, y double, x double")
+    for k in (1, 2, 3):
+        assert neighbor_info_scores(df, ["x"], "y", "id", k).first().mi == pytest.approx(_brute(x, y, k), abs=1e-9)
+
+
+def test_rows_are_built_once_and_have_two_ends(spark, monkeypatch):
+    from churnlens.operators import neighbor_info as ninfo
+
+    built, ends = spark.sparkContext.accumulator(0), []
+
+    def counted(batches):
+        for b in batches:
+            built.add(len(b))
+            yield b
+
+    rows = [(i, float(i % 3 == 0), float(i * 7919 % 101)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, y double, x double").mapInPandas(counted, "id long, y double, x double")
+    before = ninfo._values_before
+    monkeypatch.setattr(ninfo, "_values_before", lambda v, e: ends.append(e.count()) or before(v, e))
+    neighbor_info_scores(df, ["x"], "y", "id").collect()
+    assert built.value == 90  # three times before
+    assert ends == [2 * 90]  # four a value before
