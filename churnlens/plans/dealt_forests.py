@@ -38,9 +38,15 @@ def n_asked(subset: str, n_columns: int, trees: int) -> int:
     return named[subset] if subset in named else min(n_columns, int(subset))
 
 
-def _best(flat, off, slot, yes, weight, counts, drawn, min_leaf: int, bins: int):
+def root_sums(x: np.ndarray, yes: np.ndarray, weight: np.ndarray, bins: int = boosting.BINS) -> np.ndarray:
+    """(columns, bins, 2): what every variant's root sums of the same rows."""
+    return np.stack([np.bincount(2 * own.astype(np.int64) + yes, weight, minlength=2 * bins).reshape(bins, 2) for own in x.T])
+
+
+def _best(flat, off, slot, yes, weight, counts, drawn, min_leaf: int, bins: int, known=None):
     """Per open node: (column or -1, bin, left counts) of its best split.  ``off``: where a row
-    begins in ``flat``; ``slot``: its node; ``counts`` (nodes, 2)."""
+    begins in ``flat``; ``slot``: its node; ``counts`` (nodes, 2); ``known``: the sums of a
+    single node, if they are there already."""
     m = len(counts)
     gain, column, cut, lefts = np.full(m, LEAST_GAIN), np.full(m, -1), np.zeros(m, np.int64), np.zeros((m, 2))
     n = counts.sum(axis=1)
@@ -49,8 +55,8 @@ def _best(flat, off, slot, yes, weight, counts, drawn, min_leaf: int, bins: int)
     step = max(STEP, size)
     base = slot * (2 * bins) + yes
     for own in drawn.T:
-        own, sums = np.ascontiguousarray(own), np.zeros(size)
-        for s in range(0, len(off), step):
+        own, sums = np.ascontiguousarray(own), np.zeros(size) if known is None else known[own[0]]
+        for s in range(0, len(off), step) if known is None else ():
             part = slice(s, s + step)
             sums += np.bincount(base[part] + 2 * flat[off[part] + own[slot[part]]].astype(np.int64), weight[part], minlength=size)
         left = np.cumsum(sums.reshape(m, bins, 2), axis=1)[:, :-1]
@@ -65,9 +71,10 @@ def _best(flat, off, slot, yes, weight, counts, drawn, min_leaf: int, bins: int)
     return column, cut, lefts
 
 
-def grow(x: np.ndarray, yes: np.ndarray, weight: np.ndarray, depth: int, min_leaf: int, asked: int, rng, bins: int = boosting.BINS) -> tuple:
+def grow(x: np.ndarray, yes: np.ndarray, weight: np.ndarray, depth: int, min_leaf: int, asked: int, rng, bins: int = boosting.BINS, root=None) -> tuple:
     """A tree over rows ``x`` (rows, columns) of bins: arrays (left, right, column, cut, level,
-    rows, shares) by node, level by level; a leaf is its own child."""
+    rows, shares) by node, level by level; a leaf is its own child.  ``root``: ``root_sums``,
+    if known."""
     n_columns = x.shape[1]
     flat, off = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * n_columns
     yes, weight, at = yes.astype(np.int64), weight.astype(float), np.zeros(len(x), np.int64)
@@ -93,7 +100,7 @@ def grow(x: np.ndarray, yes: np.ndarray, weight: np.ndarray, depth: int, min_lea
             if len(opened) > OPEN:
                 here = (mine >= a) & (mine < a + OPEN)
                 rows = (off[here], mine[here] - a, yes[here], weight[here])
-            column[nodes], cut[nodes], lefts[nodes] = _best(flat, *rows, counts[nodes], drawn, max(1, min_leaf), bins)
+            column[nodes], cut[nodes], lefts[nodes] = _best(flat, *rows, counts[nodes], drawn, max(1, min_leaf), bins, None if level else root)
         split = np.flatnonzero(column >= 0)
         child = np.full(m, -1)
         child[split] = 2 * np.arange(len(split))
@@ -137,8 +144,9 @@ def _grow_all(groups, variants, depth: int, asked: list[int], seed: int):
                     weight = np.bincount(rng.integers(0, len(x), rng.poisson(len(x))), minlength=len(x))
                 drawn = np.flatnonzero(weight)
                 rows = x[drawn], yes[drawn], weight[drawn]
+                root = root_sums(*rows) if len(variants) > 1 else None
                 for v, (min_leaf, _) in enumerate(variants):
-                    yield (fold, v, t), grow(*rows, depth, min_leaf, asked[v], np.random.default_rng([seed, fold, t, 1]))
+                    yield (fold, v, t), grow(*rows, depth, min_leaf, asked[v], np.random.default_rng([seed, fold, t, 1]), root=root)
 
     return run
 

@@ -69,6 +69,9 @@ def test_a_tree_equals_a_plain_one(monkeypatch, opened):
         tree = dealt.grow(x.astype(np.uint8), y > 0, weight, depth, min_leaf, 4, np.random.default_rng(0))
         assert _same(_nested(tree), _plain(x, y > 0, weight, depth, min_leaf))
         assert tree[4].max() <= depth and tree[5][0] == weight.sum()
+        known = dealt.root_sums(x.astype(np.uint8), y > 0, weight)
+        again = dealt.grow(x.astype(np.uint8), y > 0, weight, depth, min_leaf, 4, np.random.default_rng(0), root=known)
+        assert all(np.array_equal(a, b) for a, b in zip(tree, again))
 
 
 def test_nodes_draw_their_own_columns():
